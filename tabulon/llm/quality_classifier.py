@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.llm import wordhash
 from tabulon.llm.shared import documents_of, stored
@@ -150,6 +151,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Neighbo
     return NeighbourModel(idf, basis, _unit(x @ basis), np.array([r["label"] for r in rows], np.float64))
 
 
+def accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """df's rows, all columns kept, whose score reaches CUT."""
+    docs = documents_of(df, id_col, text_col)
+    model = df.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))  # about 2 MB, whatever the data
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def choose(batches):
+        for batch in batches:
+            for part, counts in _blocks(batch):
+                good = np.flatnonzero(model.value.scores(counts) >= CUT)
+                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(good))], names=["row"])
+
+    return rows.mapInArrow(choose, T.StructType([rows.schema["row"]])).select("row.*")
+
+
 def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row's whole text."""
     docs = documents_of(df, id_col, text_col)
