@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.sources.scratch import stored
+
 
 def first_on_or_after(left: DataFrame, events: DataFrame, on: str, at: str, event: str, out: str) -> DataFrame:
     """left with the earliest event of the same key on or after its own date; null without one.
@@ -22,3 +24,109 @@ def unique_match(left: DataFrame, right: DataFrame, on: str, value: str, out: st
     joined = left.join(one, on, "left")
     state: Column = F.when(F.col("_n").isNull(), "unmatched").when(F.col("_n") > 1, "ambiguous").otherwise("matched")
     return joined.withColumn(out, F.when(F.col("_n") == 1, F.col("_v"))).withColumn(status, state).drop("_n", "_v")
+
+
+def first_after_by_union(left: DataFrame, events: DataFrame, on: str, at: str, event: str, out: str) -> DataFrame:
+    """first_on_or_after() for left rows that are many per key: one sort instead of a join on the key."""
+    from pyspark.sql.window import Window
+
+    a = left.select("*", F.col(at).alias("_t"), F.lit(None).cast(events.schema[event].dataType).alias("_e"))
+    b = events.select(on, F.col(event).alias("_t"), F.col(event).alias("_e"))
+    w = Window.partitionBy(on).orderBy(F.col("_t"), F.col("_e").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn(out, F.first("_e", ignorenulls=True).over(w))
+    return both.filter(F.col("_e").isNull()).drop("_t", "_e")
+
+
+def as_of(left: DataFrame, right: DataFrame, on: str, at: str, right_at: str, values: list[str]) -> DataFrame:
+    """left with the values of the latest right row of the same key at or before its own time."""
+    from pyspark.sql.window import Window
+
+    kept = F.struct(F.col(right_at), *[F.col(v) for v in values])
+    a = left.select("*", F.col(at).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(right.select(kept.alias("s")).schema["s"].dataType).alias("_s"))
+    b = right.select(on, F.col(right_at).alias("_t"), F.lit(0).alias("_o"), kept.alias("_s"))
+    w = Window.partitionBy(on).orderBy("_t", "_o", F.col("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(w))
+    return both.filter("_o = 1").select(*left.columns, *[F.col("_s")[v].alias(v) for v in values])
+
+
+def within_months(left: DataFrame, right: DataFrame, on: str, month: str, right_month: str, reach: int) -> DataFrame:
+    """Pairs of the same key whose month indexes differ by at most `reach`.
+
+    Both sides are dealt into bins of reach + 1 months and the left one is copied to its neighbours: an equi-join.
+    """
+    width = reach + 1
+    a = left.withColumn("_bin", F.explode(F.array(*[F.floor(F.col(month) / width) + d for d in (-1, 0, 1)])))
+    b = right.withColumn("_bin", F.floor(F.col(right_month) / width))
+    return a.join(b, [on, "_bin"]).filter(F.abs(F.col(month) - F.col(right_month)) <= reach).drop("_bin")
+
+
+def valid_at(df: DataFrame, start: str, end: str, day: Column) -> DataFrame:
+    """Rows that are open at a day: begun by then, and not ended or ended later."""
+    return df.filter((F.col(start) <= day) & (F.col(end).isNull() | (F.col(end) > day)))
+
+
+def null_tolerant(left: DataFrame, right: DataFrame, on: str, loose: str) -> DataFrame:
+    """Equal keys, and the loose column equal or missing on either side; right's loose column is named right_<loose>."""
+    r = right.withColumnRenamed(loose, f"right_{loose}")
+    return left.join(r, on).filter((F.col(loose) == F.col(f"right_{loose}")) | F.col(loose).isNull() | F.col(f"right_{loose}").isNull())
+
+
+def changes(held: DataFrame, offered: DataFrame, id_col: str, payload: list[str]) -> DataFrame:
+    """(id, change): insert, update or unchanged for every offered row, gone for held rows that are not offered."""
+    def digest(df: DataFrame, name: str) -> DataFrame:
+        return df.select(id_col, F.sha2(F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}), 256).alias(name))
+
+    both = digest(held, "_h").join(digest(offered, "_o"), id_col, "full")
+    change = F.when(F.col("_h").isNull(), "insert").when(F.col("_o").isNull(), "gone").when(F.col("_h") == F.col("_o"), "unchanged").otherwise("update")
+    return both.select(id_col, change.alias("change"))
+
+
+def close_spellings(df: DataFrame, word: str, most: int = 2) -> DataFrame:
+    """Pairs of distinct words (a < b) within an edit distance.
+
+    Words that are that close share one of most + 1 equal parts of the longer word nearly at the same place; parts are
+    the join key, so no word meets all others.
+    """
+    words = df.select(F.col(word).alias("w")).filter("w is not null").distinct().withColumn("n", F.length("w"))
+    parts = most + 1
+    cut = words.withColumn("size", F.ceil(F.col("n") / parts).cast("int"))
+    # left: the word's own parts; right: every substring of every length a partner's part may have, near that place
+    own = cut.select("w", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.struct(k.alias("k"), F.substring(F.col("w"), k * F.col("size") + 1, F.col("size")).alias("p"), (k * F.col("size") + 1).alias("at")))).alias("x")).select(F.col("w").alias("a"), F.col("n").alias("na"), "x.*")
+    near = words.withColumn("m", F.explode(F.sequence(F.greatest(F.col("n") - most, F.lit(1)), F.col("n") + most)))
+    near = near.withColumn("size", F.ceil(F.col("m") / parts).cast("int"))
+    at = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.struct(k.alias("k"), F.substring(F.col("w"), F.greatest(k * F.col("size") + 1 + d, F.lit(1)), F.col("size")).alias("p"))))))
+    near = near.select(F.col("w").alias("b"), "m", at.alias("y")).select("b", "m", "y.*").distinct()
+    pairs = own.join(near, (own["k"] == near["k"]) & (own["p"] == near["p"]) & (own["na"] == near["m"])).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= most)
+
+
+def ancestors(df: DataFrame, node: str, parent: str, longest: int = 64) -> DataFrame:
+    """(node, ancestor, steps): every chain of parents upwards, stopping at a cycle; chains double each round."""
+    jump = df.filter(F.col(parent).isNotNull() & (F.col(node) != F.col(parent))).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"))
+    known = jump
+    reach = 1
+    while reach < longest:
+        a, b = known.alias("a"), known.alias("b")
+        longer = a.join(b, F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.steps") + F.col("b.steps")).alias("steps"))
+        both = known.unionByName(longer).filter("node <> ancestor").groupBy("node", "ancestor").agg(F.min("steps").alias("steps"))
+        both = stored(both, "chains")
+        if both.count() == known.count():
+            break
+        known, reach = both, reach * 2
+    return known
+
+
+def neighbours(edges: DataFrame, source: str = "src", target: str = "dst", kind: str = "kind") -> DataFrame:
+    """(node, kind, direction, n): how many neighbours each node has by edge type and direction."""
+    out = edges.select(F.col(source).alias("node"), F.col(kind).alias("kind"), F.lit("out").alias("direction"), F.col(target).alias("other"))
+    back = edges.select(F.col(target).alias("node"), F.col(kind).alias("kind"), F.lit("in").alias("direction"), F.col(source).alias("other"))
+    return out.unionByName(back).groupBy("node", "kind", "direction").agg(F.countDistinct("other").alias("n"))
+
+
+def together(df: DataFrame, group: str, item: str, least: int = 1, most_items: int = 1000) -> DataFrame:
+    """(a, b, n): groups in which two items occur together; a group of more than most_items items is an error, not cut."""
+    one = df.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    size = one.groupBy("g").agg(F.count("*").alias("n"))
+    checked = one.join(size, "g").withColumn("i", F.when(F.col("n") > most_items, F.raise_error(F.lit("a group has too many items for pairs"))).otherwise(F.col("i")))
+    a, b = checked.select("g", F.col("i").alias("a")), checked.select("g", F.col("i").alias("b"))
+    return a.join(b, "g").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
