@@ -61,7 +61,7 @@ both1 AS (SELECT 'trust' AS kind, src AS a, dst AS t, w FROM edges UNION ALL SEL
 both2 AS (SELECT kind, a, t, w / sum(w) OVER (PARTITION BY kind, a) AS share FROM both1),
 {", ".join(steps)},
 judged AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) AS distrust FROM s{ROUNDS} GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN round(distrust - trust, 9) >= {(1 - DAMPING) / 2!r}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN round(distrust - trust, 9) >= {round((1 - DAMPING) / 2, 9)!r}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
   round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
 FROM v LEFT JOIN judged USING (host)
 """

@@ -31,7 +31,7 @@ from tabulon.llm.shared import documents_of, shuffle_width
 from tabulon.llm.token_counts import slices
 
 LENGTH, GRAM = 50, 20
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES, COMPARED_BYTES = 8_000_000, 1_000_000
 SMALL_BITS = np.uint64(24)  # of 64: minimizers and run hashes keep 40 bits each
 
 
@@ -114,7 +114,7 @@ def _wide(data: bytes) -> np.ndarray:
 
 ENTRIES = "shard int, bucket int, least binary, own binary, ids binary, id_at binary"
 REPLIES = "bucket int, shard int, flags binary"
-SENT = "key int, kind int, bucket int, ids binary, starts binary, ends binary, content binary"
+SENT = "key int, kind int, bucket int, least binary, ids binary, starts binary, ends binary, content binary"
 CUTS = "bucket int, ids binary, starts binary, ends binary"
 
 
@@ -123,6 +123,24 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (c.split(" ") for c in ddl.split(", "))])
 
 
+def _repeated(text: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to) of the windows that a segment of a smaller document has too; segments stand one after another."""
+    begin = np.cumsum(size) - size
+    segment = np.repeat(np.arange(len(size)), size)
+    offset = np.arange(len(text)) - begin[segment]
+    order = suffix_array.suffix_array(text)
+    order = order[offset[order] <= size[segment[order]] - LENGTH]
+    fresh = suffix_array.common_prefixes(text, order) < LENGTH
+    owner = ids[segment[order]]
+    gone = order[owner > np.minimum.reduceat(owner, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]] if len(order) else order
+    gone = np.sort(gone)  # windows of a segment in order: neighbours become one cut
+    seg, off = segment[gone], offset[gone]
+    head = np.ones(len(gone), bool)
+    head[1:] = (seg[1:] != seg[:-1]) | (off[1:] > off[:-1] + LENGTH)
+    tail = np.append(head[1:], True) if len(gone) else head
+    return seg[head], off[head], off[tail] + LENGTH
+
+
 def _steps(n_shards: int):
     def entries(table: pa.Table) -> pa.Table:
         b = _Bucket(table)
@@ -168,7 +186,7 @@ def _steps(n_shards: int):
             own_ids = b.ids[b.row]
             smallest = own_ids[b.entry_at][b.entry]
             gone = (flags[b.entry] == 1) | (own_ids > smallest)
-            out.append((bucket, 0, bucket, own_ids[gone].tobytes(), b.start[gone].tobytes(), b.end[gone].tobytes(), b""))
+            out.append((bucket, 0, bucket, b"", own_ids[gone].tobytes(), b.start[gone].tobytes(), b.end[gone].tobytes(), b""))
             raw, offsets = wordhash.buffers(b.texts)
             asked = (flags[b.entry] == 2) & ~gone
             for k, lo, hi in b.shards(n_shards):
@@ -177,36 +195,36 @@ def _steps(n_shards: int):
                 if len(at):
                     begin = offsets[b.row[at]]
                     content = b"".join(raw[x:y].tobytes() for x, y in zip((begin + b.start[at]).tolist(), (begin + b.end[at]).tolist(), strict=True))
-                    out.append((k, 1, bucket, own_ids[at].tobytes(), b.start[at].tobytes(), b.end[at].tobytes(), content))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 7, _schema(SENT), strict=True)], schema=_schema(SENT))
+                    out.append((k, 1, bucket, _narrow(b.least[at]), own_ids[at].tobytes(), b.start[at].tobytes(), b.end[at].tobytes(), content))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 8, _schema(SENT), strict=True)], schema=_schema(SENT))
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         out = [(r["bucket"], r["ids"], r["starts"], r["ends"]) for r in rows if r["kind"] == 0]
         rows = [r for r in rows if r["kind"] == 1]
         if rows:
+            least = np.concatenate([_wide(r["least"]) for r in rows])
             ids, starts, ends = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("ids", "starts", "ends"))
             bucket = np.repeat([r["bucket"] for r in rows], [len(r["ids"]) // 8 for r in rows])
             text = np.frombuffer(b"".join(r["content"] for r in rows), np.uint8)
+            del rows
             size = ends - starts
             begin = np.cumsum(size) - size
-            segment = np.repeat(np.arange(len(ids)), size)
-            offset = np.arange(len(text)) - begin[segment]
-            order = suffix_array.suffix_array(text)
-            order = order[offset[order] <= size[segment[order]] - LENGTH]
-            fresh = suffix_array.common_prefixes(text, order) < LENGTH
-            at = np.flatnonzero(fresh)
-            owner = ids[segment[order]]
-            gone = order[owner > np.minimum.reduceat(owner, at)[np.cumsum(fresh) - 1]] if len(order) else order
-            gone = np.sort(gone)  # windows of a segment in order: neighbours become one cut
-            seg, off = segment[gone], offset[gone]
-            head = np.ones(len(gone), bool)
-            head[1:] = (seg[1:] != seg[:-1]) | (off[1:] > off[:-1] + LENGTH)
-            tail = np.append(head[1:], True) if len(gone) else head
-            seg, lo, hi = seg[head], off[head], off[tail] + LENGTH
-            for k in np.unique(bucket[seg]).tolist():
-                own = bucket[seg] == k
-                out.append((k, ids[seg[own]].tobytes(), (starts[seg[own]] + lo[own]).tobytes(), (starts[seg[own]] + hi[own]).tobytes()))
+            order = np.argsort(least, kind="stable")  # equal windows have equal minimizers: these stay together
+            last = np.append(least[order][1:] != least[order][:-1], True)
+            total = np.cumsum(size[order])
+            cuts, done = [0], 0
+            for k in np.flatnonzero(last).tolist():
+                if total[k] - done >= COMPARED_BYTES or k == len(order) - 1:
+                    cuts.append(k + 1)
+                    done = total[k]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                own = order[x:y]
+                seg, lo, hi = _repeated(np.concatenate([text[p : p + n] for p, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)]), size[own], ids[own])
+                seg = own[seg]
+                for k in np.unique(bucket[seg]).tolist():
+                    at = bucket[seg] == k
+                    out.append((k, ids[seg[at]].tobytes(), (starts[seg[at]] + lo[at]).tobytes(), (starts[seg[at]] + hi[at]).tobytes()))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, _schema(CUTS), strict=True)], schema=_schema(CUTS))
 
     def cut(table: pa.Table, cuts: pa.Table) -> pa.Table:

@@ -76,6 +76,6 @@ def judge_urls(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, dampin
     seeds = hosts.select(F.lit("trust").alias("kind"), "host", (F.col("allowed") / F.col("n")).alias("seed")).unionByName(hosts.select(F.lit("distrust").alias("kind"), "host", (F.col("blocked") / F.col("n")).alias("seed"))).filter("seed > 0 and host <> ''")
     score = spread(_edges(pages, hosts), seeds, damping, rounds)
     by_host = score.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"))
-    by_host = stored(by_host.withColumn("bad", F.round(F.col("distrust") - F.col("trust"), 9) >= (1 - damping) / 2), "host-verdicts")
+    by_host = stored(by_host.withColumn("bad", F.round(F.col("distrust") - F.col("trust"), 9) >= round((1 - damping) / 2, 9)), "host-verdicts")
     out = pages.drop("html").join(by_host, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"), F.round(F.coalesce("trust", F.lit(0.0)), 9).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 9).alias("distrust"))

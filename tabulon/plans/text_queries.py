@@ -100,9 +100,9 @@ def x2_web_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(search.web_match("text", '"of the" with OR from -was')).select("doc_id")
 
 
-@register("x3_tiers", "SELECT p_partkey, CASE WHEN len(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: starts_with(x, 'steel'))) > 0 THEN 0 ELSE 1 END AS tier FROM part WHERE len(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: starts_with(x, 'steel'))) > 0")
+@register("x3_tiers", "SELECT p_partkey, CASE WHEN len(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: starts_with(x, 'sma'))) > 0 THEN 0 ELSE 1 END AS tier FROM part WHERE len(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: starts_with(x, 'sma'))) > 0")
 def x3_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.tiered(table(spark, sf_dir, "part"), "p_name", "p_type", "steel", "p_partkey").select("p_partkey", "tier")
+    return search.tiered(table(spark, sf_dir, "part"), "p_name", "p_type", "sma", "p_partkey").select("p_partkey", "tier")
 
 
 @register("x4_inverted_index", r"WITH t AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents) SELECT term, id, count(*) AS tf FROM t WHERE starts_with(term, 'tha') GROUP BY 1, 2")
@@ -110,7 +110,7 @@ def x4_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text").filter(F.startswith("term", F.lit("tha"))).drop("first")
 
 
-@register("x8_snippets", "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 ELSE greatest(ceil(length(text) / 4.0), 1) END::BIGINT AS tokens FROM documents")
+@register("x8_snippets", "SELECT doc_id, (length(text) * 10 + 33) // 34 AS tokens FROM documents")
 def x8_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tf.token_estimate("text").alias("tokens"))
 
