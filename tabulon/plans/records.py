@@ -61,7 +61,7 @@ def p11_is_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RAW = "(VALUES (1, '12.5', '2026-02-28', '1999'), (2, '-3', '2026-02-30', '1600'), (3, 'abc', '2026-1-5', 'x'), (4, NULL, NULL, NULL), (5, '1e3', '2024-02-29', '2200'))"
 
 
-@register("p12_typed_guards", f"SELECT id, CASE WHEN TRY_CAST(n AS DOUBLE) >= 0 THEN TRY_CAST(n AS DOUBLE) END AS amount, CASE WHEN regexp_full_match(d, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN TRY_CAST(d AS DATE) END AS day, CASE WHEN TRY_CAST(y AS INT) BETWEEN 1700 AND 2200 THEN TRY_CAST(y AS INT) END AS year FROM {_RAW} t(id, n, d, y)")
+@register("p12_typed_guards", f"SELECT id, CASE WHEN TRY_CAST(n AS DOUBLE) >= 0 THEN TRY_CAST(n AS DOUBLE) END AS amount, CASE WHEN regexp_full_match(d, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN TRY_CAST(d AS DATE) END AS day, CASE WHEN TRY_CAST(y AS INT) BETWEEN 1700 AND 2200 THEN TRY_CAST(y AS INT) END AS year FROM {_RAW} t(id, n, d, y)", dates=("day",))
 def p12_typed_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.sql(f"SELECT * FROM {_RAW} t(id, n, d, y)")
     return raw.select("id", filters.number_guard(F.col("n"), 0).alias("amount"), filters.date_guard(F.col("d")).alias("day"), filters.year_guard(F.col("y")).alias("year"))
@@ -171,7 +171,7 @@ def u3_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH i AS (SELECT l_suppkey AS k, l_shipdate::DATE AS s, l_shipdate::DATE + l_quantity::INT AS e FROM lineitem),
     m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
     g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
-    SELECT k, min(s) AS start, max(e) AS "end", count(*) AS parts FROM g GROUP BY k, island""")
+    SELECT k, min(s) AS start, max(e) AS "end", count(*) AS parts FROM g GROUP BY k, island""", dates=("start", "end",))
 def u4_interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("s"), F.date_add(F.to_date("l_shipdate"), F.col("l_quantity").cast("int")).alias("e"))
     return intervals.merged(i, ["k"], "s", "e").select("k", F.col("s").alias("start"), F.col("e").alias("end"), "parts")

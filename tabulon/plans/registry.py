@@ -15,14 +15,23 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: modules that register queries when imported
-MODULES = ("lifecycle", "records", "join_queries", "aggregate_queries", "series_queries", "text_queries", "ingest_queries")
+MODULES = ("lifecycle", "records", "join_queries", "aggregate_queries", "series_queries", "text_queries", "ingest_queries", "further_queries")
 
 
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+def register(name: str, oracle: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """dates: columns that query and statement both give as text (YYYY-MM-DD), as engines differ in what they hand out."""
+    if oracle and dates:
+        oracle = f"SELECT * REPLACE ({', '.join(f'CAST("{d}" AS VARCHAR) AS "{d}"' for d in dates)}) FROM ({oracle})"
+
     def add(query: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = query
+
+        def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = query(spark, sf_dir)
+            return df.withColumns({d: df[d].cast("string") for d in dates})
+
+        QUERIES[name] = spelled if dates else query
         if oracle:
             ORACLES[name] = oracle
         return query

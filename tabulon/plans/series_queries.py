@@ -33,7 +33,7 @@ def w1_survivor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter("r = 1 and n > 1").select("text", "doc_id", "n")
 
 
-@register("w3_dense_dates", "SELECT DISTINCT o_custkey % 100 AS g, o_orderdate::DATE AS d, dense_rank() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderdate::DATE) - 1 AS i FROM orders")
+@register("w3_dense_dates", "SELECT DISTINCT o_custkey % 100 AS g, o_orderdate::DATE AS d, dense_rank() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderdate::DATE) - 1 AS i FROM orders", dates=("d",))
 def w3_dense_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("g"), F.to_date("o_orderdate").alias("d")).distinct()
     return o.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("d")) - 1)
@@ -53,7 +53,7 @@ def w5_rank_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.crossJoin(F.broadcast(facts)).select("k", F.rank().over(Window.orderBy(F.desc("v"))).alias("place"), F.round(z, 6).alias("z"), (F.abs(z) > 2).alias("outlier"))
 
 
-@register("w6_consecutive", f"WITH {_M}, p AS (SELECT *, dense_rank() OVER (ORDER BY month) AS seq FROM m WHERE v > 20) SELECT a.k, a.month, a.v - b.v AS delta FROM p a JOIN p b ON a.k = b.k AND a.seq = b.seq + 1")
+@register("w6_consecutive", f"WITH {_M}, p AS (SELECT *, dense_rank() OVER (ORDER BY month) AS seq FROM m WHERE v > 20) SELECT a.k, a.month, a.v - b.v AS delta FROM p a JOIN p b ON a.k = b.k AND a.seq = b.seq + 1", dates=("month",))
 def w6_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes between neighbouring reports, for units that both list."""
     m = _monthly(spark, sf_dir).filter("v > 20")
@@ -63,7 +63,7 @@ def w6_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(b, ["k", "seq"]).select("k", "month", (F.col("v") - F.col("b")).alias("delta"))
 
 
-@register("w7_lag_change", f"WITH {_M} SELECT a.k, a.month, a.v, b.v AS before, a.v - b.v AS change, CASE WHEN b.v > 0 THEN round(100.0 * (a.v - b.v) / b.v, 6) END AS pct FROM m a LEFT JOIN m b ON a.k = b.k AND b.month = a.month - INTERVAL 12 MONTH")
+@register("w7_lag_change", f"WITH {_M} SELECT a.k, a.month, a.v, b.v AS before, a.v - b.v AS change, CASE WHEN b.v > 0 THEN round(100.0 * (a.v - b.v) / b.v, 6) END AS pct FROM m a LEFT JOIN m b ON a.k = b.k AND b.month = a.month - INTERVAL 12 MONTH", dates=("month",))
 def w7_lag_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.lag_change(_monthly(spark, sf_dir), ["k"], "month", "v", 12).withColumn("pct", F.round("pct", 6))
 
@@ -73,7 +73,7 @@ def w8_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.runs(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type").filter("length >= 3")
 
 
-@register("w9_peak", f"WITH {_M} SELECT k, v AS value, month AS at FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, month) AS r FROM m) WHERE r = 1")
+@register("w9_peak", f"WITH {_M} SELECT k, v AS value, month AS at FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, month) AS r FROM m) WHERE r = 1", dates=("at",))
 def w9_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir).groupBy("k").agg(series.peak("v", "month").alias("p")).select("k", F.col("p.value").alias("value"), F.col("p.at").alias("at"))
 
@@ -111,7 +111,7 @@ def w15_event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("user_id").agg(F.count_if(F.col("ts") < F.col("t")).alias("before"), F.count_if(F.col("ts") >= F.col("t")).alias("after"))
 
 
-@register("w16_buckets", "SELECT event_type AS k, date_trunc('week', d)::DATE AS bucket, CASE WHEN count(v) = count(*) THEN sum(v)::BIGINT END AS value, count(*) AS days FROM (SELECT event_type, ts::DATE AS d, CASE WHEN count(*) % 7 > 0 THEN count(*) END AS v FROM events GROUP BY 1, 2) GROUP BY 1, 2")
+@register("w16_buckets", "SELECT event_type AS k, date_trunc('week', d)::DATE AS bucket, CASE WHEN count(v) = count(*) THEN sum(v)::BIGINT END AS value, count(*) AS days FROM (SELECT event_type, ts::DATE AS d, CASE WHEN count(*) % 7 > 0 THEN count(*) END AS v FROM events GROUP BY 1, 2) GROUP BY 1, 2", dates=("bucket",))
 def w16_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("k"), F.to_date("ts").alias("d")).agg(F.when(F.count("*") % 7 > 0, F.count("*")).alias("v"))
     return series.complete_buckets(d, ["k"], "d", "v", "week")
@@ -124,7 +124,7 @@ def w17_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter((d > first) & (d <= last)).groupBy("event_type").agg(F.count_if(d > cut).alias("now"), F.count_if(d <= cut).alias("before"))
 
 
-@register("w18_densify", f"WITH {_M}, f AS (SELECT k, month, v FROM m WHERE v > 25), s AS (SELECT k, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM f GROUP BY k) SELECT s.k, s.month, f.v FROM s LEFT JOIN f ON f.k = s.k AND f.month = s.month")
+@register("w18_densify", f"WITH {_M}, f AS (SELECT k, month, v FROM m WHERE v > 25), s AS (SELECT k, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM f GROUP BY k) SELECT s.k, s.month, f.v FROM s LEFT JOIN f ON f.k = s.k AND f.month = s.month", dates=("month",))
 def w18_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.densified(_monthly(spark, sf_dir).filter("v > 25"), ["k"], "month", "v")
 
@@ -148,12 +148,12 @@ def w21_cohort_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("offset").agg(F.median("v").alias("med"), F.count("*").alias("n"))
 
 
-@register("w22_index_to_peak", f"WITH {_M} SELECT k, month, round(v / max(v) OVER (PARTITION BY k), 6) AS of_peak FROM m")
+@register("w22_index_to_peak", f"WITH {_M} SELECT k, month, round(v / max(v) OVER (PARTITION BY k), 6) AS of_peak FROM m", dates=("month",))
 def w22_index_to_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir).select("k", "month", F.round(F.col("v") / F.max("v").over(Window.partitionBy("k")), 6).alias("of_peak"))
 
 
-@register("w23_latest_complete", f"WITH {_M}, c AS (SELECT * FROM m WHERE month < (SELECT max(month) FROM m)) SELECT a.k, a.month, a.v, a.v - b.v AS change FROM c a LEFT JOIN m b ON a.k = b.k AND b.month = a.month - INTERVAL 12 MONTH WHERE a.month = (SELECT max(month) FROM c)")
+@register("w23_latest_complete", f"WITH {_M}, c AS (SELECT * FROM m WHERE month < (SELECT max(month) FROM m)) SELECT a.k, a.month, a.v, a.v - b.v AS change FROM c a LEFT JOIN m b ON a.k = b.k AND b.month = a.month - INTERVAL 12 MONTH WHERE a.month = (SELECT max(month) FROM c)", dates=("month",))
 def w23_latest_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _monthly(spark, sf_dir)
     last = m.agg(F.max("month").alias("last"))  # one row: the running month is partial
@@ -170,7 +170,7 @@ def w24_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.snapshot_flows(o, "y", "o_custkey")
 
 
-@register("w26_leaders", f"WITH {_M}, r AS (SELECT month, k, row_number() OVER (PARTITION BY month ORDER BY v DESC, k) AS r FROM m), l AS (SELECT month, k AS leader FROM r WHERE r = 1) SELECT month, leader, lag(leader) OVER (ORDER BY month) IS NOT NULL AND leader <> lag(leader) OVER (ORDER BY month) AS changed FROM l")
+@register("w26_leaders", f"WITH {_M}, r AS (SELECT month, k, row_number() OVER (PARTITION BY month ORDER BY v DESC, k) AS r FROM m), l AS (SELECT month, k AS leader FROM r WHERE r = 1) SELECT month, leader, lag(leader) OVER (ORDER BY month) IS NOT NULL AND leader <> lag(leader) OVER (ORDER BY month) AS changed FROM l", dates=("month",))
 def w26_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.leaders(_monthly(spark, sf_dir), "month", "k", "v")
 
@@ -180,7 +180,7 @@ def w27_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.drawdown(_monthly(spark, sf_dir), ["k"], "month", "v")
 
 
-@register("w28_trailing_mean", f"WITH {_M} SELECT k, month, CASE WHEN count(v) OVER w = 5 THEN round(avg(v) OVER w, 6) END AS mean FROM m WINDOW w AS (PARTITION BY k ORDER BY month ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+@register("w28_trailing_mean", f"WITH {_M} SELECT k, month, CASE WHEN count(v) OVER w = 5 THEN round(avg(v) OVER w, 6) END AS mean FROM m WINDOW w AS (PARTITION BY k ORDER BY month ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", dates=("month",))
 def w28_trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir).select("k", "month", F.round(series.trailing_mean("v", ["k"], "month", 5), 6).alias("mean"))
 
@@ -192,7 +192,7 @@ def w29_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(best.alias("b"), F.countDistinct("l_returnflag").alias("known")).select("k", F.col("b.l_returnflag").alias("picked"), "known")
 
 
-@register("w30_coverage_break", f"WITH {_M}, z AS (SELECT k, month, CASE WHEN month < DATE '1997-01-01' THEN v // 8 ELSE v END AS v FROM m), b AS (SELECT *, lag(v) OVER w AS before, max(v) OVER (PARTITION BY k ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM z WINDOW w AS (PARTITION BY k ORDER BY month)) SELECT k, min(month) AS month FROM b WHERE v >= 5 * before AND high <= v / 5.0 GROUP BY 1")
+@register("w30_coverage_break", f"WITH {_M}, z AS (SELECT k, month, CASE WHEN month < DATE '1997-01-01' THEN v // 8 ELSE v END AS v FROM m), b AS (SELECT *, lag(v) OVER w AS before, max(v) OVER (PARTITION BY k ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM z WINDOW w AS (PARTITION BY k ORDER BY month)) SELECT k, min(month) AS month FROM b WHERE v >= 5 * before AND high <= v / 5.0 GROUP BY 1", dates=("month",))
 def w30_coverage_break(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _monthly(spark, sf_dir).withColumn("v", F.when(F.col("month") < F.lit("1997-01-01").cast("date"), F.floor(F.col("v") / 8)).otherwise(F.col("v")))
     return series.coverage_break(m, ["k"], "month", "v")
@@ -217,13 +217,13 @@ def w35_days_to_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(F.col("o_orderpriority").alias("k")).agg(F.round(F.median("days"), 4).alias("med"), F.count("*").alias("n"))
 
 
-@register("w36_blend", f"WITH {_M}, n AS (SELECT *, lead(v) OVER (PARTITION BY k ORDER BY month) AS nxt FROM m) SELECT k, month, round(v + 0.25 * (nxt - v), 6) AS quarter_way FROM n WHERE nxt IS NOT NULL")
+@register("w36_blend", f"WITH {_M}, n AS (SELECT *, lead(v) OVER (PARTITION BY k ORDER BY month) AS nxt FROM m) SELECT k, month, round(v + 0.25 * (nxt - v), 6) AS quarter_way FROM n WHERE nxt IS NOT NULL", dates=("month",))
 def w36_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = F.lead("v").over(Window.partitionBy("k").orderBy("month"))
     return _monthly(spark, sf_dir).withColumn("nxt", nxt).filter("nxt is not null").select("k", "month", F.round(F.col("v") + 0.25 * (F.col("nxt") - F.col("v")), 6).alias("quarter_way"))
 
 
-@register("w38_aligned", f"WITH {_M}, f AS (SELECT * FROM m WHERE v > 28) SELECT month, count(*) AS series, sum(v)::BIGINT AS total FROM f WHERE month BETWEEN (SELECT min(month) FROM (SELECT month FROM f GROUP BY 1 HAVING count(*) >= 2)) AND (SELECT max(month) FROM (SELECT month FROM f GROUP BY 1 HAVING count(*) >= 2)) GROUP BY 1")
+@register("w38_aligned", f"WITH {_M}, f AS (SELECT * FROM m WHERE v > 28) SELECT month, count(*) AS series, sum(v)::BIGINT AS total FROM f WHERE month BETWEEN (SELECT min(month) FROM (SELECT month FROM f GROUP BY 1 HAVING count(*) >= 2)) AND (SELECT max(month) FROM (SELECT month FROM f GROUP BY 1 HAVING count(*) >= 2)) GROUP BY 1", dates=("month",))
 def w38_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The span in which at least two series are recorded at its ends."""
     g = _monthly(spark, sf_dir).filter("v > 28").groupBy("month").agg(F.count("*").alias("series"), F.sum("v").alias("total"))
@@ -231,7 +231,7 @@ def w38_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.crossJoin(F.broadcast(span)).filter("month between a and z").drop("a", "z")
 
 
-@register("w39_national_share", f"WITH {_M}, t AS (SELECT month, sum(v) AS t FROM m GROUP BY 1) SELECT k, month, CASE WHEN t > 0 THEN round(v / t, 6) END AS share FROM m JOIN t USING (month)")
+@register("w39_national_share", f"WITH {_M}, t AS (SELECT month, sum(v) AS t FROM m GROUP BY 1) SELECT k, month, CASE WHEN t > 0 THEN round(v / t, 6) END AS share FROM m JOIN t USING (month)", dates=("month",))
 def w39_national_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _monthly(spark, sf_dir)
     t = m.groupBy("month").agg(F.sum("v").alias("t"))
@@ -249,6 +249,6 @@ def f11_whole_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("l_orderkey", "l_linenumber", whole_months_between(F.lit("1995-01-31").cast("date"), F.to_date("l_shipdate")).alias("months"))
 
 
-@register("f12_exact_anniversary", "SELECT o_orderkey, CASE WHEN day((o_orderdate::DATE + INTERVAL 1 MONTH)::DATE) = day(o_orderdate) THEN (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE END AS due FROM orders")
+@register("f12_exact_anniversary", "SELECT o_orderkey, CASE WHEN day((o_orderdate::DATE + INTERVAL 1 MONTH)::DATE) = day(o_orderdate) THEN (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE END AS due FROM orders", dates=("due",))
 def f12_exact_anniversary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", exact_anniversary(F.to_date("o_orderdate"), 1).alias("due"))

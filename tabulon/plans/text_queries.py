@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as tf
-from tabulon.operators import calculators, search, statistics
+from tabulon.operators import passages, calculators, search, statistics
 from tabulon.plans.registry import register
 from tabulon.sources.tables import table
 
@@ -141,18 +141,8 @@ def x19_content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("x20_passages", r"WITH b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, item_id FROM d JOIN b ON contains(t, p)")
 def x20_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text holds a passage only if it holds its first eight words: those are the join key, the rest is checked."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", tf.squeezed("text").alias("p"))
-    n = 8
-    key = F.array_join(F.slice(F.split("p", " "), F.lit(1), F.lit(n)), " ")
-    b = b.withColumn("k", key).withColumn("long", F.size(F.split("p", " ")) > n)
-    d = table(spark, sf_dir, "documents").select("doc_id", tf.squeezed("text").alias("t"))
-    w = F.split("t", " ")
-    # a passage may begin inside a word: the first word of the key is compared by its end, so it is left out of the key
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n - 2)), " ")))
-    inner = b.filter("long").withColumn("k", F.array_join(F.slice(F.split("p", " "), F.lit(2), F.lit(n - 2)), " "))
-    hits = d.select("doc_id", "t", F.explode(keys).alias("k")).join(inner, "k").filter(F.contains("t", F.col("p"))).select("doc_id", "item_id").distinct()
-    return hits
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    return passages.passages_within(d.select("doc_id", "text"), b.select("item_id", F.col("text").alias("passage")), "doc_id", "text", "item_id", "passage")
 
 
 @register("x21_hash_sample", "SELECT doc_id FROM (SELECT doc_id, sha256(doc_id::VARCHAR || ':7') AS h FROM documents) ORDER BY h, doc_id LIMIT 100")
@@ -253,7 +243,7 @@ def c4_age_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calculators.row_for_age(table(spark, sf_dir, "part").select("p_partkey", "p_size"), brackets, "p_size", ["expectancy"]).select("p_partkey", "expectancy")
 
 
-@register("c5_deadlines", "SELECT * FROM (VALUES (1, DATE '2022-01-15'), (2, DATE '2022-02-14'), (3, DATE '2022-02-24'), (4, NULL)) t(id, due)")
+@register("c5_deadlines", "SELECT * FROM (VALUES (1, DATE '2022-01-15'), (2, DATE '2022-02-14'), (3, DATE '2022-02-24'), (4, NULL)) t(id, due)", dates=("due",))
 def c5_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No pause; one of 30 days; two that overlap, 40 days together; and 29 February with no such day a year on."""
     cases = spark.sql("""SELECT id, CAST(a AS DATE) AS a, from_json(p, 'array<struct<s:date,e:date>>') AS p FROM VALUES (1, '2020-01-15', '[]'), (2, '2020-01-15', '[{"s":"2021-03-01","e":"2021-03-31"}]'),
