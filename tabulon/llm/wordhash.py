@@ -29,8 +29,8 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE ** i and its inverse modulo 2 ** 64, for i < n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 20)
+    if "up" not in _powers or len(_powers["up"]) < n:
+        size = max(n, 1 << 19)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
         for name, b in (("up", _BASE), ("down", inverse)):
             out = np.full(size, b, np.uint64)
