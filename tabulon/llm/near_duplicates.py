@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import wordhash
 from tabulon.llm.components import connected
-from tabulon.llm.shared import documents_of, shuffle_width, stored
-from tabulon.llm.token_counts import slices
+from tabulon.llm.shared import SLICE_BYTES, documents_of, shuffle_width, slices, stored
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 48, 6, 32
@@ -87,7 +86,7 @@ def _sketch(batches):
     """doc_id, text -> doc_id, node, bands, bytes of the signature."""
     for batch in batches:
         raw_sizes = np.diff(wordhash.buffers(batch.column(1))[1])
-        for lo, hi in slices(raw_sizes, 1_500_000):
+        for lo, hi in slices(raw_sizes, SLICE_BYTES):
             part = batch.slice(lo, hi - lo)
             values, count, node = shingles(*wordhash.buffers(part.column(1)))
             some = np.flatnonzero(count > 0)

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm import wordhash
-from tabulon.llm.shared import documents_of, stored
-from tabulon.llm.token_counts import slices
+from tabulon.llm.shared import SLICE_BYTES, documents_of, slices, stored, text_of
 
 WORD_DIMS, SHAPE_DIMS = 3072, 1024
 DIMS = WORD_DIMS + SHAPE_DIMS
@@ -106,9 +105,9 @@ def latent_basis(x: np.ndarray, rank: int = RANK) -> np.ndarray:
 
 
 def _blocks(batch: pa.RecordBatch):
-    for lo, hi in slices(np.diff(wordhash.buffers(batch.column("text"))[1]), 1_500_000):
-        for a in range(lo, hi, 512):
-            part = batch.slice(a, min(512, hi - a))
+    for lo, hi in slices(np.diff(wordhash.buffers(batch.column("text"))[1]), SLICE_BYTES):
+        for a in range(lo, hi, 128):
+            part = batch.slice(a, min(128, hi - a))
             yield part, term_counts(*wordhash.buffers(part.column("text")))
 
 
@@ -155,11 +154,12 @@ def accepted(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """df's rows, all columns kept, whose score reaches CUT."""
     docs = documents_of(df, id_col, text_col)
     model = df.sparkSession.sparkContext.broadcast(fit(docs, labels, fit_rows))  # about 2 MB, whatever the data
-    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows, at = df.select(F.struct("*").alias("row")), df.columns.index(text_col)
 
     def choose(batches):
         for batch in batches:
-            for part, counts in _blocks(batch):
+            row = batch.column("row")
+            for part, counts in _blocks(pa.RecordBatch.from_arrays([row, text_of(row, at)], names=["row", "text"])):
                 good = np.flatnonzero(model.value.scores(counts) >= CUT)
                 yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(good))], names=["row"])
 

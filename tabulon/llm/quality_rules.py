@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulon.llm import wordhash
-from tabulon.llm.shared import stored
-from tabulon.llm.token_counts import slices
+from tabulon.llm.shared import SLICE_BYTES, slices, stored
 
 SYMBOLS = b"#*$%&|<>"
 RUN = 8  # words of a window
@@ -96,7 +95,7 @@ def base_counts(df: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            for lo, hi in slices(np.diff(wordhash.buffers(batch.column("text"))[1]), 2_000_000):
+            for lo, hi in slices(np.diff(wordhash.buffers(batch.column("text"))[1]), SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 got = text_counts(*wordhash.buffers(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), part.column("source"), *[pa.array(got[x].astype(np.int64)) for x in names]], names=["doc_id", "lang", "source", *names])

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.shared import stored
+from tabulon.llm.shared import stored, text_of
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -135,16 +135,17 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keep_row: a further column `row` holds the whole row of df.
     """
-    row = F.struct("*") if keep_row else F.struct(F.lit(0).alias("none"))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))
+    kept = df if keep_row else df.select(F.col(id_col), F.col(text_col))
+    rows, at = kept.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row")), kept.columns.index(text_col)
 
     def scan(batches):
         for batch in batches:
-            for found in _scan([batch]):
-                yield pa.RecordBatch.from_arrays([*found.columns, batch.column("row")], names=["doc_id", "base", "more", "row"])
+            row = batch.column("row")
+            for found in _scan([pa.RecordBatch.from_arrays([batch.column("doc_id"), text_of(row, at)], names=["doc_id", "text"])]):
+                yield pa.RecordBatch.from_arrays([*found.columns, *([row] if keep_row else [])], names=["doc_id", "base", "more", *(["row"] if keep_row else [])])
 
     spans, more = "array<struct<start:int,rank:int,end:int>>", "array<struct<start:int,end:int,cls:int,bin:int>>"
-    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(f"base {spans}, more {more}").fields, rows.schema["row"]])
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL(f"base {spans}, more {more}").fields, *([rows.schema["row"]] if keep_row else [])])
     found = stored(rows.mapInArrow(scan, schema), "secrets")
     grid = found.select(F.inline("more")).groupBy("cls", "bin").count().collect()  # at most len(CLASSES) * (TOP + 1) rows
     limits = rejected_from({(r["cls"], r["bin"]): r["count"] for r in grid})

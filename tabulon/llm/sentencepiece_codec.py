@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.automaton import LazyTransducer, MergeVocabulary
-from tabulon.llm.shared import documents_of
-from tabulon.llm.token_counts import slices
+from tabulon.llm.shared import SLICE_BYTES, documents_of, slices
 
 BLANK = "▁"
 NORMAL, BYTE = 1, 6  # fixed values: piece types of the model format
@@ -163,7 +162,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         codec = _codec(model.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in slices(np.array([len(s) for s in texts], np.int64), 1_000_000):
+            for lo, hi in slices(np.array([len(s) for s in texts], np.int64), SLICE_BYTES):
                 ids, ends = codec.encode(texts[lo:hi])
                 offsets = np.concatenate([[0], ends]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "ids"])
@@ -196,7 +195,7 @@ def encode_and_check(df: DataFrame, model_path: str, id_col: str = "doc_id", tex
         codec = _codec(model.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in slices(np.array([len(s) for s in texts], np.int64), 1_000_000):
+            for lo, hi in slices(np.array([len(s) for s in texts], np.int64), SLICE_BYTES):
                 ids, ends = codec.encode(texts[lo:hi])
                 flat, out, at = ids.tolist(), [], 0
                 for s, to in zip(texts[lo:hi], ends.tolist(), strict=True):

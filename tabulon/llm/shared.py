@@ -5,9 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: about so many bytes of text are worked on at once in a task (one text at least)
+SLICE_BYTES = 400_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a temporary one."""
@@ -36,3 +42,19 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(sizes: np.ndarray, limit: int):
+    """Runs of rows of about `limit` bytes together, one row at least."""
+    at = 0
+    total = np.cumsum(sizes)
+    while at < len(sizes):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
+        yield at, to
+        at = to
+
+
+def text_of(rows: pa.StructArray, at: int) -> pa.Array:
+    """The field at place `at` of a column of whole rows, nulls as empty texts; spares sending the text twice."""
+    return pc.fill_null(pc.struct_field(rows, at), "")

@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm import suffix_array, wordhash
-from tabulon.llm.shared import documents_of, shuffle_width
-from tabulon.llm.token_counts import slices
+from tabulon.llm.shared import SLICE_BYTES, documents_of, shuffle_width, slices
 
 LENGTH, GRAM = 50, 20
 BUCKET_BYTES, COMPARED_BYTES = 8_000_000, 1_000_000
@@ -83,7 +82,7 @@ class _Bucket:
         self.ids, self.texts = _texts(table)
         sizes = np.diff(wordhash.buffers(self.texts)[1])
         parts = []
-        for lo, hi in slices(sizes, 1_500_000):
+        for lo, hi in slices(sizes, SLICE_BYTES):
             raw, offsets = wordhash.buffers(self.texts.slice(lo, hi - lo))
             row, start, end, least, own = find_runs(raw, offsets)
             parts.append((row + lo, start - offsets[row], end - offsets[row], least, own))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm.automaton import LazyTransducer, MergeVocabulary
-from tabulon.llm.shared import documents_of
+from tabulon.llm.shared import SLICE_BYTES, documents_of, slices
 
 WORD_END = 256  # added to the last byte of a word
 CHUNK = 768
@@ -161,17 +161,6 @@ def _counter(spec: str) -> TokenCounter:
     return TokenCounter(spec)
 
 
-def slices(sizes: np.ndarray, limit: int):
-    """Runs of rows of about `limit` bytes together, one row at least."""
-    at = 0
-    total = np.cumsum(sizes)
-    while at < len(sizes):
-        done = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
-        yield at, to
-        at = to
-
-
 def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row's whole text; tokenizer_path is read on the driver."""
     spark: SparkSession = df.sparkSession
@@ -183,7 +172,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)).astype(np.int64) if pa.types.is_string(texts.type) else np.array([len(x.encode()) for x in texts.to_pylist()], np.int64)
-            for lo, hi in slices(sizes, 2_000_000):
+            for lo, hi in slices(sizes, SLICE_BYTES):
                 n = counter.counts(texts.slice(lo, hi - lo).to_pylist())
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes[lo:hi], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
