@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -89,10 +91,12 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
+    begins, reach = [a for a, _, _ in base], list(accumulate((z for _, _, z in base), max))
     more = []
     for m in CANDIDATE.finditer(text):
         lo, hi = m.span()
-        if any(a < hi and lo < z for a, _, z in base):
+        before = bisect_left(begins, hi)
+        if before and reach[before - 1] > lo:
             continue
         if found := battery(m[0]):
             more.append((lo, hi, length_class(hi - lo), grid_bin(found[1])))
