@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and strings that a battery of randomness tests cannot tell from random ones.
 
 Beside the patterns' matches, every run of 24 or more characters of the base64 alphabets with letters and digits in it
-is a candidate.  Its encoding is inferred (hexadecimal, base32, alphanumeric, base64), and within that alphabet three
+is a candidate; "=" ends a run, two at most are its padding.  What an assignment's span leaves of a run is a run of its
+own.  Of a run that holds other patterns' spans the parts outside them are candidates if long enough, and so is the
+whole run if a part is not.  A candidate's encoding is inferred (hexadecimal, base32, alphanumeric, base64), and within that alphabet three
 tests measure it against independent, uniform characters: Pearson's chi-squared on the counts, a runs test about the
 alphabet's middle, and the lag-1 serial correlation.  Fisher's method combines them into one p-value.  Over all
 candidates of all texts a weighted Benjamini-Hochberg step decides which are not random; weights grow with the length
 class, for only long strings give the tests power, and their mean is 1, so the false-discovery rate holds.  The
 others are spans of kind "random".  The step needs only counts of p-values on a fixed grid per length class.
 
-Defined results: a null or empty text has no spans; a span of kind random that overlaps a pattern's span is left out;
+Defined results: a null or empty text has no spans; a run that lies in patterns' spans has no span of kind random;
 repeated rows are scanned alike and count as often in the step; an empty table gives no rows; further columns are
 ignored.  Positions are code points, ends exclusive.
 """
@@ -17,8 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
-from itertools import accumulate
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from tabulon.llm.shared import stored, text_of
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # of maximal runs only those that long stay
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+LEAST = 24
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS = 12, 18
 #: encoding -> alphabet, smallest first
@@ -85,21 +87,48 @@ def length_class(n: int) -> int:
     return sum(n >= c for c in CLASSES) - 1
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the spans, in order, overlapping ones together."""
+    begins, ends = [], []
+    for lo, _, hi in spans:
+        if ends and lo <= ends[-1]:
+            ends[-1] = max(ends[-1], hi)
+        else:
+            begins.append(lo)
+            ends.append(hi)
+    return begins, ends
+
+
+def _outside(merged: tuple[list[int], list[int]], lo: int, hi: int) -> list[tuple[int, int]]:
+    """The parts of lo ... hi outside the merged spans."""
+    begins, ends = merged
+    out = []
+    for k in range(bisect_right(ends, lo), len(begins)):
+        if begins[k] >= hi:
+            break
+        if begins[k] > lo:
+            out.append((lo, begins[k]))
+        lo = ends[k]
+    return [*out, (lo, hi)] if lo < hi else out
+
+
 def scan_text(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """Pattern spans (start, kind, end), and candidates (start, end, length class, bin) outside them."""
+    """Pattern spans (start, kind, end), and candidates (start, end, length class, bin)."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_VALUE]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    begins, reach = [a for a, _, _ in base], list(accumulate((z for _, _, z in base), max))
+    assigned, inner = _merged([x for x in base if x[1] == 0]), _merged([x for x in base if x[1] > 0])
     more = []
     for m in CANDIDATE.finditer(text):
-        lo, hi = m.span()
-        before = bisect_left(begins, hi)
-        if before and reach[before - 1] > lo:
-            continue
-        if found := battery(m[0]):
-            more.append((lo, hi, length_class(hi - lo), grid_bin(found[1])))
+        for run in _outside(assigned, *m.span()):
+            parts = _outside(inner, *run)
+            tested = [x for x in parts if x[1] - x[0] >= LEAST]
+            if len(tested) < len(parts):
+                tested.append(run)
+            for lo, hi in tested:
+                if hi - lo >= LEAST and (found := battery(text[lo:hi])):
+                    more.append((lo, hi, length_class(hi - lo), grid_bin(found[1])))
     return base, more
 
 

@@ -131,6 +131,20 @@ def test_secrets(spark, odd, none):
     assert hidden[1] == "[secret] AKIA123" and hidden[2] == "[secret] 0123456789abcde" and hidden[5] == "é [secret]"
 
 
+def test_random_values_after_names_and_around_hex(spark):
+    r, h = "76dfZTPtLLKjAyS96HBqcbCtx3GIobuiF9Pl3XT4", "0a1b2c3d4e5f6978"
+    texts = [f"AccountKey={r}==;", f"?sig={r}&auth={r}", f"key {r[:30]}Z{h}Z{r[10:]} end", f"key {r[:11]}{h}{r[20:31]} end", f"token={r}", f"{r}===={r}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secret_scan.find_secrets(rows, keep_row=True).select("doc_id", secret_scan.spelled(secret_scan.F.col("spans")).alias("spans"), secret_scan.redacted(secret_scan.F.col("row.text"), secret_scan.F.col("spans")).alias("t"))
+    got = {x.doc_id: (x.spans, x.t) for x in found.collect()}
+    assert got[0] == ("random:11:53", "AccountKey=[secret];")
+    assert got[1] == ("random:5:45,random:51:91", "?sig=[secret]&auth=[secret]")
+    assert got[2] == ("random:4:35,hex:35:51,random:51:82", "key [secret][secret][secret] end")
+    assert got[3] == ("random:4:42,hex:15:33", "key [secret] end")
+    assert got[4][0] == "assign:0:46"
+    assert got[5][0] == "random:0:42,random:44:84"
+
+
 def test_random_strings_stay_and_words_go():
     r = "76dfZTPtLLKjAyS96HBqcbCtx3GIobuiF9Pl3XT4"
     assert secret_scan.battery(r)[0] == "base62" and secret_scan.battery(r)[1] > 0.05
