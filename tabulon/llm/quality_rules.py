@@ -1,9 +1,11 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-The texts' base counts are taken in one pass.  Ratios of them are then summarised per (language, source) by mergeable
+The texts' base counts are taken in one pass.  Ratios of them are then, for texts that pass the base rules, summarised per (language, source) by mergeable
 quantile sketches: counts of logarithmic bins, each 2 % wide, which add up exactly whatever the partitioning and lose
-at most 1 % of a value.  A ratio's upper threshold is a fence above the group's upper quartile; a group of fewer than
-MIN_GROUP texts takes its language's fence, or the whole table's.  The filter joins the fences to the texts.
+at most 1 % of a value.  A ratio has two upper thresholds, and the lower one holds: a fence above the group's upper
+quartile, which stands where a tenth of a group is junk, and MARGIN times the quantile TAIL, which finds what is far out
+in a clean group.  A group of fewer than MIN_GROUP such texts takes its language's, or the whole table's.  The filter
+joins the thresholds to the texts.
 
 Words are runs of anything but blanks, tabs and line ends (U+0020, U+0009-U+000D).  Defined results: a null or empty
 text has no words and fails the base rules; null languages and sources are groups of their own; repeated rows count as
@@ -31,6 +33,7 @@ MIN_GROUP = 50
 #: ratio -> (numerator, denominator, slack): the fence is q75 + SPREAD * (q75 - q50) + slack
 RATIOS = {"symbols": ("n_symbols", "n_words", 0.25), "dup_lines": ("n_dup_lines", "n_words", 0.05), "repeats": ("n_repeat_words", "n_words", 0.30), "word_length": ("word_chars", "n_words", 2.0)}
 SPREAD = 4.0
+TAIL, MARGIN = 0.99, 1.25
 
 
 def _marks(chars: bytes) -> np.ndarray:
@@ -89,6 +92,10 @@ def text_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": repeats}
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+
+
 def base_counts(df: DataFrame) -> DataFrame:
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) per row."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -112,7 +119,7 @@ def _bin(value: Column) -> Column:
 def sketches(counts: DataFrame) -> DataFrame:
     """(lang, source, level, ratio, bin, n): level 2 per language and source, 1 per language, 0 for all."""
     ratios = F.array(*[F.struct(F.lit(k).alias("ratio"), _bin(F.col(a) / F.greatest(F.col(b), F.lit(1))).alias("bin")) for k, (a, b, _) in RATIOS.items()])
-    fine = counts.filter("n_words > 0").select("lang", "source", F.inline(ratios)).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n")).withColumn("level", F.lit(2))
+    fine = counts.filter(~_base_failed()).select("lang", "source", F.inline(ratios)).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n")).withColumn("level", F.lit(2))
     fine = stored(fine, "sketches")
     by_lang = fine.groupBy("lang", "ratio", "bin").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("source"), "ratio", "bin", "n", F.lit(1).alias("level"))
     total = fine.groupBy("ratio", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "ratio", "bin", "n", F.lit(0).alias("level"))
@@ -120,7 +127,7 @@ def sketches(counts: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, n, one fence per ratio)."""
+    """(level, lang, source, n, per ratio the fence max_ and the tail's threshold tail_)."""
     w = Window.partitionBy("level", "lang", "source", "ratio")
     run = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
     value = F.when(F.col("bin") == -100000, 0.0).otherwise(F.pow(F.lit(BIN), F.col("bin") - 0.5))
@@ -128,22 +135,22 @@ def fences(sketch: DataFrame) -> DataFrame:
     def quantile(p: float) -> Column:
         return F.min(F.when(F.col("upto") >= F.col("total") * p, value))
 
-    q = run.groupBy("level", "lang", "source", "ratio").agg(F.max("total").alias("n"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"))
+    q = run.groupBy("level", "lang", "source", "ratio").agg(F.max("total").alias("n"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"), quantile(TAIL).alias("tail"))
     slack = F.create_map(*[F.lit(x) for k, (_, _, s) in RATIOS.items() for x in (k, s)])
-    fence = q.withColumn("fence", F.round(F.col("q75") + SPREAD * (F.col("q75") - F.col("q50")) + slack[F.col("ratio")], 6))
-    return fence.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("ratio") == k, F.col("fence"))).alias(f"max_{k}") for k in RATIOS])
+    fence = q.withColumn("fence", F.round(F.col("q75") + SPREAD * (F.col("q75") - F.col("q50")) + slack[F.col("ratio")], 6)).withColumn("tail", F.round(MARGIN * F.col("tail"), 6))
+    return fence.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{name}_{k}") for name, c in (("max", "fence"), ("tail", "tail")) for k in RATIOS])
 
 
 def judge_quality(df: DataFrame) -> DataFrame:
     """base_counts() with base_failed and kept."""
     counts = stored(base_counts(df), "counts")
     found = stored(fences(sketches(counts)), "fences")
-    by_source = found.filter((F.col("level") == 2) & (F.col("n") >= MIN_GROUP)).select(F.col("lang").alias("l2"), F.col("source").alias("s2"), *[F.col(f"max_{k}").alias(f"a_{k}") for k in RATIOS])
-    by_lang = found.filter((F.col("level") == 1) & (F.col("n") >= MIN_GROUP)).select(F.col("lang").alias("l1"), *[F.col(f"max_{k}").alias(f"b_{k}") for k in RATIOS])
-    total = found.filter("level = 0").select(F.lit(1).alias("one"), *[F.col(f"max_{k}").alias(f"c_{k}") for k in RATIOS])  # one row
+    by_source = found.filter((F.col("level") == 2) & (F.col("n") >= MIN_GROUP)).select(F.col("lang").alias("l2"), F.col("source").alias("s2"), *[F.least(f"max_{k}", f"tail_{k}").alias(f"a_{k}") for k in RATIOS])
+    by_lang = found.filter((F.col("level") == 1) & (F.col("n") >= MIN_GROUP)).select(F.col("lang").alias("l1"), *[F.least(f"max_{k}", f"tail_{k}").alias(f"b_{k}") for k in RATIOS])
+    total = found.filter("level = 0").select(F.lit(1).alias("one"), *[F.least(f"max_{k}", f"tail_{k}").alias(f"c_{k}") for k in RATIOS])  # one row
     out = counts.join(by_source, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left").join(by_lang, F.col("lang").eqNullSafe(F.col("l1")), "left")
     out = out.withColumn("one", F.lit(1)).join(F.broadcast(total), "one", "left")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+    failed = _base_failed()
     within = F.lit(True)
     for k, (a, b, _) in RATIOS.items():
         within = within & (F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 6) <= F.coalesce(f"a_{k}", f"b_{k}", f"c_{k}"))

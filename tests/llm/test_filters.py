@@ -96,6 +96,18 @@ def test_quality_rules(odd, none):
     assert quality_rules.judge_quality(none).count() == 0
 
 
+def test_outliers_of_a_clean_group_go(spark):
+    plain = [" ".join(f"w{k:03}x{j:02}" for j in range(100)) for k in range(203)]
+    plain[200] = " ".join([f"&{j}abcde" for j in range(20)] + plain[200].split()[20:])
+    plain[201] = plain[201] + "\nq\nq\nq\nq"
+    plain[202] = plain[202] + " " + " ".join(plain[202].split()[:10])
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(plain)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality_rules.judge_quality(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert got[200].n_symbols == 20 and got[201].n_dup_lines == 3 and got[202].n_repeat_words == 20  # below 0.25, 0.05 and 0.30
+    assert [k for k, r in sorted(got.items()) if not r.kept] == [200, 201, 202]
+
+
 def test_sketch_quantiles_are_close(spark):
     rows = [(k, "en" if k % 2 else None, "s", 100, 300 + k, k, 0, 0) for k in range(1, 400)]
     df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
