@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tabulon.llm.url_filter import DAMPING, ROUNDS
+from tabulon.llm.url_filter import DAMPING
+
+ROUNDS = 8  # of the statement; the operator goes on until it converges
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 

@@ -2,7 +2,8 @@
 
 Host edges come from the pages' html: a host named in a link or in the text of another host's page.  Trust flows along
 the edges from hosts whose pages the rules allow (personalised PageRank); distrust flows against them from hosts whose
-pages the rules block.  Both walks advance together, one join and one aggregation a round.  A host's seed is the share
+pages the rules block.  Both walks advance together, one join and one aggregation a round, until what is still to be
+added to all scores together is below TOLERANCE; the threshold is compared at 9 digits.  A host's seed is the share
 of its pages that the rules allow or block, so scores do not shrink as the graph grows; a host is blocked when distrust
 exceeds trust by as much as a host has of itself when half its pages are blocked by rule.
 
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from tabulon.llm.shared import stored
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, ROUNDS = 0.85, 8
+DAMPING, TOLERANCE = 0.85, 1e-10
+STEP = 4  # rounds between two writes
 NAMED = r"(?:(?:https?:)?//)?(?<![A-Za-z0-9-])(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}"
 
 
@@ -52,22 +54,31 @@ def _edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return named.join(known, "dst", "left").filter("linked or known").select("src", "dst", "w")
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, score) after the rounds.  seeds: (kind, host, seed), kind trust or distrust; edges: (src, dst, w)."""
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, score) of the converged walks, or after so many rounds.
+
+    seeds: (kind, host, seed), kind trust or distrust; edges: (src, dst, w).  A round passes on what the last one added;
+    no round adds more than damping times the one before, so what all further ones add is bounded.
+    """
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), "w").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), "w"))
     total = both.groupBy("kind", "at").agg(F.sum("w").alias("total"))
     both = stored(both.join(total, ["kind", "at"]).select("kind", "at", "to", (F.col("w") / F.col("total")).alias("share")), "host-edges")
-    own = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
-    score = own
-    for k in range(rounds):
-        moved = both.join(score, (both["kind"] == score["kind"]) & (both["at"] == score["host"])).select(both["kind"], F.col("to").alias("host"), (damping * F.col("share") * F.col("score")).alias("score"))
-        score = own.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3 and k + 1 < rounds:
+    own = ((1 - damping) * F.col("seed")).alias("score")
+    score = seeds.select("kind", "host", own, own.alias("added"))
+    k = 0
+    while rounds is None or k < rounds:
+        last = score.filter("added > 0")
+        moved = both.join(last, (both["kind"] == last["kind"]) & (both["at"] == last["host"])).select(both["kind"], F.col("to").alias("host"), (damping * F.col("share") * F.col("added")).alias("added"))
+        score = score.select("kind", "host", "score", F.lit(0.0).alias("added")).unionByName(moved.select("kind", "host", F.col("added").alias("score"), "added")).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("added").alias("added"))
+        k += 1
+        if k % STEP == 0:
             score = stored(score, "host-scores")
-    return score
+            if rounds is None and (score.agg(F.sum("added")).first()[0] or 0.0) * damping / (1 - damping) < tolerance:
+                break
+    return score.select("kind", "host", "score")
 
 
-def judge_urls(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge_urls(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
     host, path = host_and_path(F.col("url"))
     rule, verdict = _by_rule(rules)

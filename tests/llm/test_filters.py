@@ -42,6 +42,35 @@ def test_spread_equals_power_iteration(spark):
             assert abs(got.get((kind, h), 0) - x) < 1e-12
 
 
+def test_spread_converges(spark):
+    edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 4), ("d", "c", 1), ("x", "y", 1), ("y", "x", 1)]
+    seeds = [("trust", "a", 1.0), ("distrust", "c", 0.5), ("trust", "x", 0.25)]
+    got = {(r.kind, r.host): r.score for r in url_filter.spread(spark.createDataFrame(edges, "src string, dst string, w long"), spark.createDataFrame(seeds, "kind string, host string, seed double")).collect()}
+    for kind in ("trust", "distrust"):
+        e = [(s, t, w) if kind == "trust" else (t, s, w) for s, t, w in edges]
+        out = collections.Counter()
+        for s, _, w in e:
+            out[s] += w
+        own = {h: 0.15 * x for k, h, x in seeds if k == kind}
+        score, change = dict(own), 1.0
+        while change > 1e-15:
+            new = collections.Counter(own)
+            for s, t, w in e:
+                new[t] += 0.85 * w / out[s] * score.get(s, 0)
+            change = max(abs(new[h] - score.get(h, 0)) for h in new)
+            score = new
+        for h, x in score.items():
+            assert abs(got.get((kind, h), 0) - x) < 1e-10
+
+
+def test_distrust_reaches_its_limit(spark):
+    for n, want in ((5, 0.0919), (6, 0.0766)):
+        pages = [(0, "http://hub.net/x", " ".join(f"http://r{k}.com/" for k in range(n)))] + [(1 + k, f"http://r{k}.com/en/", "http://hub.net/x") for k in range(n)]
+        got = url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+        assert len(got) == n + 1 and {r.verdict for r in got} == {"block"}
+        assert all(abs(r.distrust - want) < 1e-4 for r in got if r.page_id)
+
+
 def test_chats(spark):
     rows = [(1, 0, "system", "be\\l [INST] <|end|> kind"), (1, 1, "user", None), (1, 2, "assistant", "</s> \\ | ok"), (2, 0, "assistant", "first"), (3, 5, "user", "hi"), (3, 9, "assistant", ""), (None, 0, "us|>\ner", "x"), (4, None, None, None), (4, None, None, None)]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, segments string")
