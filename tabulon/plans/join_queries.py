@@ -217,6 +217,13 @@ def j30_close_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.close_spellings(w, "w", 2)
 
 
+@register("j30_all_close_spellings", "WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] || substr(p_brand, 7, 1) AS w FROM part) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS distance FROM w a JOIN w b ON a.w < b.w AND levenshtein(a.w, b.w) <= 2")
+def j30_all_close_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of all parts."""
+    w = table(spark, sf_dir, "part").select(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.substring("p_brand", 7, 1)).alias("w"))
+    return joins.close_spellings(w, "w", 2)
+
+
 @register("j31_changes", "WITH h AS (SELECT c_custkey AS k, c_acctbal AS b FROM customer WHERE c_custkey % 5 > 0), o AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS b FROM customer WHERE c_custkey % 3 > 0) SELECT coalesce(h.k, o.k) AS k, CASE WHEN h.k IS NULL THEN 'insert' WHEN o.k IS NULL THEN 'gone' WHEN h.b = o.b THEN 'unchanged' ELSE 'update' END AS change FROM h FULL JOIN o ON h.k = o.k")
 def j31_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("b"))
