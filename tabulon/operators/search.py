@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabulon.sources.scratch import stored
+
 MOST_TERMS = 16
 HONORIFICS = frozenset({"mr", "mrs", "ms", "dr", "hon", "judge", "justice"})
 
@@ -106,19 +109,33 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, most_queries: int = 10_000) -> DataFrame:
-    """(query, id, score, place): exact cosine neighbours of a stated, bounded set of queries among all rows.
+def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, block: int = 1_000) -> DataFrame:
+    """(query, id, score, place): exact cosine neighbours of the queries among all rows.
 
-    The queries' number is checked before they are broadcast; each row meets them in place, and each partition keeps
-    only its best k per query before anything is shuffled.
+    The queries come to the driver and are broadcast in blocks of a fixed size; each row meets a block in place, and each
+    partition keeps only its best k per query before anything is shuffled.  Every block is one pass over the rows; the
+    results of more than one block are stored.
     """
+    asked = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v")).toLocalIterator()
+    rows, found = list(islice(asked, block)), None
+    while True:
+        after = list(islice(asked, block))
+        best = _nearest_of(df, rows, id_col, vector, k)
+        if not after and found is None:
+            return best
+        best = stored(best, "nearest")
+        found = best if found is None else found.unionByName(best)
+        if not after:
+            return found
+        rows = after
+
+
+def _nearest_of(df: DataFrame, rows: list, id_col: str, vector: str, k: int) -> DataFrame:
+    """nearest() for one block of queries (q, v)."""
     import numpy as np
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    rows = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v")).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} query vectors")
     asked = np.array([r["q"] for r in rows])
     m = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
     m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)

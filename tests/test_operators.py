@@ -2,7 +2,9 @@
 
 import itertools
 
-from tabulon.operators import joins
+import numpy as np
+
+from tabulon.operators import joins, search
 from tabulon.plans.registry import QUERIES
 
 
@@ -23,3 +25,15 @@ def test_close_spellings_of_all_parts(spark, tmp_path):
     words = sorted({n.split()[0] + b[6:7] for _, n, b in rows})
     want = {(a, b, distance(a, b)) for a, b in itertools.combinations(words, 2) if distance(a, b) <= 2}
     assert got == want and len(want) > 0
+
+
+def test_nearest_in_blocks(spark):
+    x = np.random.default_rng(1).normal(size=(60, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    got = {(r["query"], r.place): r.id for r in search.nearest(df, df.filter("id % 2 = 0"), "id", "v", 3, 7).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in range(0, 60, 2):
+        for place, k in enumerate(sorted((k for k in range(60) if k != q), key=lambda k: (-round(float(u[q] @ u[k]), 9), k))[:3]):
+            want[q, place + 1] = k
+    assert got == want
