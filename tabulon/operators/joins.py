@@ -100,20 +100,17 @@ def close_spellings(df: DataFrame, word: str, most: int = 2) -> DataFrame:
     return pairs.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= most)
 
 
-def ancestors(df: DataFrame, node: str, parent: str, longest: int = 64) -> DataFrame:
-    """(node, ancestor, steps): every chain of parents upwards, stopping at a cycle; chains double each round."""
-    jump = df.filter(F.col(parent).isNotNull() & (F.col(node) != F.col(parent))).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"))
-    known = jump
-    reach = 1
-    while reach < longest:
+def ancestors(df: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, ancestor, steps): every chain of parents upwards, stopping at a cycle; chains double each round until no pair is new."""
+    known = df.filter(F.col(parent).isNotNull() & (F.col(node) != F.col(parent))).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps")).distinct()
+    n = known.count()
+    while True:
         a, b = known.alias("a"), known.alias("b")
         longer = a.join(b, F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.steps") + F.col("b.steps")).alias("steps"))
-        both = known.unionByName(longer).filter("node <> ancestor").groupBy("node", "ancestor").agg(F.min("steps").alias("steps"))
-        both = stored(both, "chains")
-        if both.count() == known.count():
-            break
-        known, reach = both, reach * 2
-    return known
+        known = stored(known.unionByName(longer).filter("node <> ancestor").groupBy("node", "ancestor").agg(F.min("steps").alias("steps")), "chains")
+        before, n = n, known.count()
+        if n == before:
+            return known
 
 
 def neighbours(edges: DataFrame, source: str = "src", target: str = "dst", kind: str = "kind") -> DataFrame:
@@ -123,10 +120,16 @@ def neighbours(edges: DataFrame, source: str = "src", target: str = "dst", kind:
     return out.unionByName(back).groupBy("node", "kind", "direction").agg(F.countDistinct("other").alias("n"))
 
 
-def together(df: DataFrame, group: str, item: str, least: int = 1, most_items: int = 1000) -> DataFrame:
-    """(a, b, n): groups in which two items occur together; a group of more than most_items items is an error, not cut."""
-    one = df.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    size = one.groupBy("g").agg(F.count("*").alias("n"))
-    checked = one.join(size, "g").withColumn("i", F.when(F.col("n") > most_items, F.raise_error(F.lit("a group has too many items for pairs"))).otherwise(F.col("i")))
-    a, b = checked.select("g", F.col("i").alias("a")), checked.select("g", F.col("i").alias("b"))
-    return a.join(b, "g").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+def together(df: DataFrame, group: str, item: str, least: int = 1, block: int = 1000) -> DataFrame:
+    """(a, b, n): groups in which two items occur together.
+
+    A group of more than about `block` items is dealt into blocks, and each pair of blocks is a join key of its own; the
+    pairs are counted where they arise before they are shuffled.
+    """
+    one = df.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g is not null and i is not null").distinct()
+    size = one.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = one.join(size, "g").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    a = dealt.select("g", F.col("own").alias("p"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("q"), F.col("i").alias("x"))
+    b = dealt.select("g", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"), F.col("own").alias("q"), F.col("i").alias("y"))
+    pairs = a.join(b, ["g", "p", "q"]).filter("p < q or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)

@@ -1,6 +1,8 @@
 """Operators against brute force, on inputs that the tables do not hold."""
 
+import collections
 import itertools
+import random
 
 import numpy as np
 
@@ -37,3 +39,23 @@ def test_nearest_in_blocks(spark):
         for place, k in enumerate(sorted((k for k in range(60) if k != q), key=lambda k: (-round(float(u[q] @ u[k]), 9), k))[:3]):
             want[q, place + 1] = k
     assert got == want
+
+
+def test_together_in_large_groups(spark):
+    dice = random.Random(1)
+    rows = [("hot", k) for k in range(1500)] + [(f"g{g}", dice.randrange(1600)) for g in range(20) for _ in range(30)] + [(None, 1), (None, 2), ("g0", None)]
+    got = {(r.a, r.b): r.n for r in joins.together(spark.createDataFrame(rows, "g string, i long"), "g", "i", 2).collect()}
+    groups = collections.defaultdict(set)
+    for g, i in rows:
+        if g is not None and i is not None:
+            groups[g].add(i)
+    n = collections.Counter(p for items in groups.values() for p in itertools.combinations(sorted(items), 2))
+    assert got == {p: c for p, c in n.items() if c >= 2} and got
+
+
+def test_ancestors_of_a_deep_chain(spark):
+    edges = [(k, k + 1) for k in range(150)] + [(0, 1), (900, 901), (901, 902), (902, 900)]
+    got = {(r.node, r.ancestor): r.steps for r in joins.ancestors(spark.createDataFrame(edges, "n long, p long"), "n", "p").collect()}
+    want = {(a, b): b - a for a in range(151) for b in range(a + 1, 151)}
+    want |= {(900 + a, 900 + b): (b - a) % 3 for a in range(3) for b in range(3) if a != b}
+    assert got == want
