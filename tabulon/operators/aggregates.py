@@ -52,11 +52,12 @@ def shares(df: DataFrame, keys: list[str], part: str, count: str = "n") -> DataF
 
 def fold_tail(df: DataFrame, name: str, value: str, n: int, other: str = "Other") -> DataFrame:
     """(name, value): the n largest and the rest in one; n + 1 parts are all shown, nulls stay apart and never add."""
-    known = df.filter(F.col(value).isNotNull())
-    parts = known.agg(F.count("*").alias("parts"))  # one row
-    ranked = known.withColumn("r", F.row_number().over(Window.orderBy(F.desc(value), name))).crossJoin(F.broadcast(parts))
-    label = F.when((F.col("r") <= n) | (F.col("parts") <= n + 1), F.col(name)).otherwise(other)
-    return ranked.groupBy(label.alias(name)).agg(F.sum(value).alias(value)).unionByName(df.filter(F.col(value).isNull()).select(name, value))
+    known = df.filter(F.col(value).isNotNull()).groupBy(name).agg(F.sum(value).alias(value))
+    top = known.orderBy(F.desc(value), name).limit(n + 2)  # as many rows as tell whether there is a tail
+    shown = top.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(value), name))).withColumn("_all", F.count("*").over(Window.partitionBy())).filter((F.col("_r") <= n) | (F.col("_all") <= n + 1)).select(name, value)
+    rest = known.join(F.broadcast(shown.select(F.col(name).alias("_n"))), F.col(name).eqNullSafe(F.col("_n")), "left_anti")
+    tail = rest.agg(F.count("*").alias("_c"), F.sum(value).alias(value)).filter("_c > 0").select(F.lit(other).alias(name), value)
+    return shown.unionByName(tail).unionByName(df.filter(F.col(value).isNull()).select(name, value))
 
 
 def class_breaks(df: DataFrame, value: str, classes: int = 5) -> DataFrame:

@@ -24,6 +24,7 @@ class RecordFilter:
     any_date: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     def condition(self, df: DataFrame, dataset: str = "dataset", id_col: str = "id") -> Column:
+        """Cheap comparisons first, so that they reach the scan; a filter drops rows for which this is null."""
         kinds = dict(df.dtypes)
         out = F.lit(True)
         if self.datasets:
@@ -32,14 +33,15 @@ class RecordFilter:
             out &= F.col(id_col).isin(*self.ids)
         for name, wanted in self.facets.items():
             out &= F.arrays_overlap(F.col(name), F.array(*map(F.lit, wanted))) if kinds[name].startswith("array") else F.col(name).isin(*wanted)
-        for name, part in self.contains.items():
-            out &= F.contains(F.lower(name), F.lit(part.lower()))
         for name, (first, last) in self.ranges.items():
-            out &= F.col(name) >= F.lit(first).cast("timestamp") if first else F.lit(True)
-            out &= F.col(name) < F.date_add(F.lit(last).cast("date"), 1).cast("timestamp") if last else F.lit(True)
+            kind = kinds[name]  # the bound takes the column's type: a cast of the column would keep the filter from the scan
+            out &= F.col(name) >= F.lit(first).cast(kind) if first else F.lit(True)
+            out &= F.col(name) < F.date_add(F.lit(last).cast("date"), 1).cast(kind) if last else F.lit(True)
         for name, (first, last) in self.any_date.items():
             out &= F.exists(name, lambda d: d.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-        return F.coalesce(out, F.lit(False))
+        for name, part in self.contains.items():
+            out &= F.contains(F.lower(name), F.lit(part.lower()))
+        return out
 
 
 def keep(df: DataFrame, wanted: RecordFilter, **columns: str) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 
 from tabulon.sources.scratch import stored
 
-MOST_TERMS = 16
 HONORIFICS = frozenset({"mr", "mrs", "ms", "dr", "hon", "judge", "justice"})
 
 
@@ -24,7 +23,7 @@ def lexemes(c: Column | str) -> Column:
 
 def query_terms(q: str) -> list[str]:
     terms = [t for t in re.split(r"[\W_]+", q.lower()) if t]
-    return [t for t in terms if t not in HONORIFICS][:MOST_TERMS] or terms[:MOST_TERMS]
+    return [t for t in terms if t not in HONORIFICS] or terms
 
 
 def _any_begins(words: Column, term: str) -> Column:

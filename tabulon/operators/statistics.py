@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabulon.operators.ranking import cumulated, quantiles
+from tabulon.sources.scratch import stored
+
 
 def pearson(x: str, y: str) -> Column:
     """Null for fewer than three pairs or a constant side."""
@@ -16,16 +19,27 @@ def pearson(x: str, y: str) -> Column:
     return F.when((F.count_if(both) >= 3) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b))
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Ranks from 1; equal values share the mean of their places."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, value, out): each distinct value's rank from 1, less the group's mean rank; equal values share their places' mean."""
+    c = cumulated(df, keys, value)
+    return c.select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2.0 - (F.col("total") + 1) / 2.0).alias(out))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, n, rho): correlation of average ranks; null for fewer than three pairs or a constant side.  Keys are not null.
+
+    Ranks come from range partitions and equal pairs are counted first, so no group needs a task of its own.
+    """
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = d.withColumn("_rx", average_rank(x, keys)).withColumn("_ry", average_rank(y, keys))
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), pearson("_rx", "_ry").alias("rho"))
+    pairs = d.groupBy(*keys, x, y).agg(F.count("*").alias("_c"))
+    r = pairs.join(average_ranks(d, keys, x, "_rx"), [*keys, x]).join(average_ranks(d, keys, y, "_ry"), [*keys, y])
+
+    def total(c: Column) -> Column:
+        return F.sum(F.col("_c") * c)
+
+    xx, yy, xy = total(F.col("_rx") * F.col("_rx")), total(F.col("_ry") * F.col("_ry")), total(F.col("_rx") * F.col("_ry"))
+    n = F.sum("_c")
+    return r.groupBy(*keys).agg(n.alias("n"), F.when((n >= 3) & (xx > 0) & (yy > 0), xy / F.sqrt(xx * yy)).alias("rho"))
 
 
 def fisher_interval(r: Column, n: Column, z: float = 1.959963984540054) -> Column:
@@ -35,11 +49,17 @@ def fisher_interval(r: Column, n: Column, z: float = 1.959963984540054) -> Colum
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, out: str = "q") -> DataFrame:
-    """Adjusted p-values within each family; nulls stay out."""
+    """Adjusted p-values within each family; a null p has none.  Keys are not null.
+
+    The running minimum is taken within range partitions of the distinct p-values and then over the partitions.
+    """
+    c = cumulated(df, keys, p).withColumn("_q", F.col(p) * F.col("total") / (F.col("before") + F.col("n")))
+    c = stored(c, "adjusted")
     w = Window.partitionBy(*keys)
-    d = df.filter(F.col(p).isNotNull()).withColumn("_m", F.count("*").over(w)).withColumn("_r", F.rank().over(w.orderBy(p)) + F.count("*").over(Window.partitionBy(*keys, p)) - 1)
-    q = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
-    return d.withColumn(out, F.least(q, F.lit(1.0))).drop("_m", "_r").unionByName(df.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    later = c.groupBy(*keys, "part").agg(F.min("_q").alias("_l")).withColumn("_later", F.min("_l").over(w.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))).drop("_l")
+    own = F.min("_q").over(Window.partitionBy(*keys, "part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    q = c.withColumn("_own", own).join(later, [*keys, "part"]).select(*keys, p, F.least("_own", "_later", F.lit(1.0)).alias(out))
+    return df.join(q, [*keys, p], "left").select(*df.columns, out)
 
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> Column:
@@ -59,8 +79,7 @@ def poisson_limits(x: Column, z: float = 1.959963984540054) -> Column:
 
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, q1, med, q3, low, high, outliers): whiskers end at the last value within 1.5 quartile ranges."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    box = df.groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("med"), F.col("_q")[2].alias("q3"))
+    box = quantiles(df, keys, value, {"q1": 0.25, "med": 0.5, "q3": 0.75})
     d = df.join(box, keys).withColumn("_in", F.col(value).between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     return d.groupBy(*keys, "q1", "med", "q3").agg(F.min(F.when(F.col("_in"), F.col(value))).alias("low"), F.max(F.when(F.col("_in"), F.col(value))).alias("high"), F.count_if(~F.col("_in")).alias("outliers"))
 
@@ -86,6 +105,147 @@ def kaplan_meier(df: DataFrame, keys: list[str], entry: str, exit_: str, event:
     return d.withColumn("se", F.when(F.col("survival") > 0, F.col("survival") * F.sqrt(green))).select(*keys, "t", "at_risk", "events", "survival", "se")
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! of a whole number: Stirling's series, exact logarithms below 10; relative error below 1e-12."""
+    x = F.greatest(n, F.lit(10)).cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return F.when(n < 10, F.get(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(10)]), n.cast("int"))).otherwise(series)
+
+
+def poisson_tail(x: Column, mean: Column) -> Column:
+    """P(X >= x) of a Poisson count, summed from x away from the mean until nothing is left to add.
+
+    Terms fall off like a bell of width sqrt(x), so 14 widths and 80 terms more hold all that a double can.
+    """
+    log_mean = F.log(mean)
+
+    def term(k: Column) -> Column:
+        return F.exp(k * log_mean - mean - log_factorial(k))
+
+    def total(first: Column, ratio) -> Column:
+        steps = F.sequence(F.lit(1), F.ceil(14 * F.sqrt(F.greatest(x.cast("double"), mean)) + 80).cast("int"))
+        start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+        return first * F.aggregate(steps, start, lambda a, j: F.struct((a["t"] * ratio(j)).alias("t"), (a["s"] + a["t"] * ratio(j)).alias("s")), lambda a: a["s"])
+
+    above = total(term(x), lambda j: mean / (x + j))
+    below = total(term(x - 1), lambda j: F.greatest((x - j).cast("double"), F.lit(0.0)) / mean)
+    return F.when(x <= 0, 1.0).when(x > mean, above).otherwise(F.greatest(1 - below, F.lit(0.0)))
+
+
+def permutation_p(df: DataFrame, keys: list[str], x: str, y: str, shuffles: int = 1000, seed: int = 1) -> DataFrame:
+    """(keys, n, rho, p): share of seeded shuffles whose rank correlation is at least as large, with one added to both.
+
+    A shuffle orders the y ranks by a hash of (seed, shuffle, row's y place); every shuffle is a group of its own, so
+    the work spreads over tasks whatever the number of groups.
+    """
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = stored(d.join(average_ranks(d, keys, x, "_rx"), [*keys, x]).join(average_ranks(d, keys, y, "_ry"), [*keys, y]).select(*keys, "_rx", "_ry"), "ranked")
+    placed = stored(ranked.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("_rx", "_ry"))), "placed")
+    shuffled = placed.select(*keys, "_i", "_ry", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("_s"))
+    w = Window.partitionBy(*keys, "_s").orderBy(F.xxhash64(F.lit(seed), "_s", "_i"), "_i")
+    met = shuffled.select(*keys, "_s", "_ry", F.row_number().over(w).alias("_i")).join(placed.select(*keys, "_i", "_rx"), [*keys, "_i"])
+    score = met.groupBy(*keys, "_s").agg(F.sum(F.col("_rx") * F.col("_ry")).alias("_c"))
+    own = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("_rx") * F.col("_ry")).alias("_own"), F.sum(F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(F.col("_ry") * F.col("_ry")).alias("_yy"))
+    out = score.join(own, keys).groupBy(*keys, "n", "_own", "_xx", "_yy").agg(F.count_if(F.abs("_c") >= F.abs("_own") - 1e-9).alias("_hits"))
+    good = (F.col("n") >= 3) & (F.col("_xx") > 0) & (F.col("_yy") > 0)
+    return out.select(*keys, "n", F.when(good, F.col("_own") / F.sqrt(F.col("_xx") * F.col("_yy"))).alias("rho"), F.when(good, (F.col("_hits") + 1) / F.lit(shuffles + 1.0)).alias("p"))
+
+
+def test_family(df: DataFrame, unit: str, x: str, ys: list[str], least: int = 20, alpha: float = 0.05) -> DataFrame:
+    """(y, n, rho, low, high, p, q, holds): one measure against several over the same units, adjusted together.
+
+    Measures with fewer than `least` pairs, or without variation, are listed without a test.
+    """
+    long = df.select(unit, x, F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.col(y).cast("double").alias("v")) for y in ys])).alias("m")).select(F.col("m.y").alias("y"), x, F.col("m.v").alias("v"))
+    listed = df.sparkSession.createDataFrame([(y,) for y in ys], "y string")
+    rho = spearman(long, ["y"], x, "v")
+    tested = F.when(F.col("n") >= least, F.col("rho"))
+    r = listed.join(rho, "y", "left").select("y", F.coalesce("n", F.lit(0)).alias("n"), tested.alias("rho"))
+    i = fisher_interval(F.col("rho"), F.col("n"))
+    z = F.abs(F.atanh("rho")) * F.sqrt((F.col("n") - 3) / 1.06)
+    r = r.withColumn("low", i["low"]).withColumn("high", i["high"]).withColumn("p", F.when(F.col("rho").isNotNull(), F.least(2 * normal_cdf(-z), F.lit(1.0)))).withColumn("family", F.lit(x))
+    return benjamini_hochberg(r, ["family"], "p").drop("family").withColumn("holds", F.coalesce(F.col("q") < alpha, F.lit(False)))
+
+
+def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns less their mean and divided by their sample deviation; a constant column becomes 0."""
+    facts = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])  # one row
+    d = df.crossJoin(F.broadcast(facts))
+    scaled = {c: F.when(F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.when(F.col(c).isNotNull(), F.lit(0.0))) for c in columns}
+    return d.withColumns(scaled).select(*df.columns)
+
+
+def clustered(df: DataFrame, id_col: str, columns: list[str], k: int, seed: int = 7) -> tuple[DataFrame, float | None]:
+    """((id, cluster), silhouette): seeded k-means; clusters are numbered by size, largest first, ties by smallest id.
+
+    The silhouette is the distributed one of squared distances; none with one cluster.  Fewer rows than k are refused.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    if k < 1 or df.limit(k).count() < k:
+        raise ValueError(f"{k} clusters cannot be formed")
+    rows = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in columns])
+    x = stored(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(rows).select(id_col, "features").orderBy(id_col), "features")
+    found = KMeans(k=k, seed=seed, maxIter=50, tol=1e-9, initSteps=5).fit(x).transform(x)
+    score = ClusteringEvaluator().evaluate(found) if k > 1 else None
+    sizes = found.groupBy("prediction").agg(F.count("*").alias("_n"), F.min(id_col).alias("_first"))  # k rows
+    names = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("_n"), "_first")) - 1).select("prediction", "cluster")
+    return found.join(F.broadcast(names), "prediction").select(id_col, "cluster"), score
+
+
+def loess_band(df: DataFrame, keys: list[str], x: str, y: str, span: float = 0.75, grid: int = 24, least: int = 8) -> DataFrame:
+    """(keys, x, fit, low, high): a local linear fit with tricube weights and its 95 % band at evenly spaced points.
+
+    A group is a chart's series and must fit into a task; groups with fewer than `least` points, fewer than three
+    distinct places or no residual freedom give no rows.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def hat(places: np.ndarray, at: np.ndarray) -> np.ndarray:
+        near = max(2, int(np.ceil(span * len(places))))
+        apart = np.abs(places[None, :] - at[:, None])
+        reach = np.maximum(np.sort(apart, axis=1)[:, near - 1 : near], 1e-12) * (1 + 1e-9)
+        weight = np.clip(1 - (apart / reach) ** 3, 0, None) ** 3
+        off = places[None, :] - at[:, None]
+        s0, s1, s2 = weight.sum(1), (weight * off).sum(1), (weight * off * off).sum(1)
+        det = s0 * s2 - s1 * s1
+        line = weight * (s2[:, None] - s1[:, None] * off) / np.where(det > 1e-12, det, 1)[:, None]
+        return np.where((det > 1e-12)[:, None], line, weight / s0[:, None])
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.dropna(subset=["_x", "_y"]).sort_values(["_x", "_y"])
+        a, b = group["_x"].to_numpy(float), group["_y"].to_numpy(float)
+        none = pd.DataFrame({c: pd.Series([], dtype=object if c in keys else float) for c in [*keys, "x", "fit", "low", "high"]})
+        if len(a) < least or len(np.unique(a)) < 3:
+            return none
+        own = hat(a, a)
+        freedom = len(a) - 2 * np.trace(own) + (own * own).sum()
+        if freedom <= 1:
+            return none
+        sigma = np.sqrt(((b - own @ b) ** 2).sum() / freedom)
+        at = np.linspace(a.min(), a.max(), grid)
+        rows = hat(a, at)
+        mid, half = rows @ b, t_quantile_975(freedom) * sigma * np.sqrt((rows * rows).sum(1))
+        out = pd.DataFrame({"x": at, "fit": mid, "low": mid - half, "high": mid + half})
+        for c in keys:
+            out[c] = pd.Series([group[c].iloc[0]] * len(out), dtype=object)
+        return out[[*keys, "x", "fit", "low", "high"]]
+
+    d = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    schema = ", ".join([f"{c} {dict(df.dtypes)[c]}" for c in keys] + [f"{c} double" for c in ("x", "fit", "low", "high")])
+    return d.groupBy(*keys).applyInPandas(fit, schema)
+
+
+def t_quantile_975(freedom: float) -> float:
+    """The 97.5 % quantile of Student's t by the Cornish-Fisher series, within 0.5 % from three degrees on."""
+    z = 1.959963984540054
+    g = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    return z + sum(term / freedom ** (k + 1) for k, term in enumerate(g))
+
+
 def growth_rate(first: Column, last: Column, years: Column) -> Column:
     """Compound annual growth; null unless both ends are positive and time passes."""
     return F.when((first > 0) & (last > 0) & (years > 0), F.pow(last / first, 1.0 / years) - 1)

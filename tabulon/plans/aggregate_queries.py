@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.operators import aggregates
+from tabulon.operators import aggregates, ranking
 from tabulon.plans.registry import register
 from tabulon.sources.tables import table
 
@@ -57,8 +57,8 @@ def a8_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a10_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS q10, round(quantile_cont(l_extendedprice, 0.9), 4) AS q90, round(median(l_extendedprice), 4) AS med FROM lineitem GROUP BY 1")
 def a10_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.9)))
-    return _lines(spark, sf_dir).groupBy("l_returnflag").agg(F.round(q[0], 4).alias("q10"), F.round(q[1], 4).alias("q90"), F.round(F.median("l_extendedprice"), 4).alias("med"))
+    q = ranking.quantiles(_lines(spark, sf_dir), ["l_returnflag"], "l_extendedprice", {"q10": 0.1, "q90": 0.9, "med": 0.5})
+    return q.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("q10", "q90", "med")])
 
 
 @register("a11_nearest_rank", "SELECT p_brand, quantile_disc(p_retailprice, 0.25) AS q25, quantile_disc(p_retailprice, 0.9) AS q90 FROM part GROUP BY 1")

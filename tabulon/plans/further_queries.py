@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulon.operators import search
+from tabulon.operators import ranking, search, statistics
 from tabulon.plans.registry import register
 from tabulon.sources.scratch import fresh_path
 from tabulon.sources.tables import table
@@ -82,8 +82,10 @@ def w41_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a9_percentile_filter", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25) FILTER (o_orderstatus = 'O'), 4) AS q1, round(median(o_totalprice), 4) AS med FROM orders GROUP BY 1")
 def a9_percentile_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q1 = F.percentile(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")), F.lit(0.25))
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(q1, 4).alias("q1"), F.round(F.median("o_totalprice"), 4).alias("med"))
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", "o_orderstatus")
+    med = ranking.quantiles(o, ["o_orderpriority"], "o_totalprice", {"med": 0.5})
+    q1 = ranking.quantiles(o.filter("o_orderstatus = 'O'"), ["o_orderpriority"], "o_totalprice", {"q1": 0.25})
+    return med.join(q1, "o_orderpriority", "left").select("o_orderpriority", F.round("q1", 4).alias("q1"), F.round("med", 4).alias("med"))
 
 
 @register("a14_object_agg", """SELECT k, '{' || string_agg('"' || s || '":' || n, ',' ORDER BY s) || '}' AS o FROM (SELECT o_orderpriority AS k, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1""")
@@ -238,16 +240,14 @@ def x23_similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).filter("n > 1")
 
 
-@register("n13b_surprise", "WITH g AS (SELECT p_brand, count(*) FILTER (p_size < 3) AS x, count(*) AS n FROM part GROUP BY 1), l AS (SELECT *, greatest(n * sum(x) OVER () / sum(n) OVER (), 0.25) AS l FROM g) SELECT p_brand, x, round(least(-log10(list_sum(list_transform(range(0, 80), lambda j: exp((x + j) * ln(l) - l - lgamma(x + j + 1))))), 50), 6) AS surprise FROM l")
+@register("n13b_surprise", "WITH g AS (SELECT p_brand, count(*) FILTER (p_size < 3) AS x, count(*) AS n FROM part GROUP BY 1), l AS (SELECT *, greatest(n * sum(x) OVER () / sum(n) OVER (), 0.25) AS l FROM g) SELECT p_brand, x, round(least(-log10(list_sum(list_transform(range(0, (14 * sqrt(greatest(x, l)) + 80)::BIGINT), lambda j: exp((x + j) * ln(l) - l - lgamma(x + j + 1))))), 50), 6) AS surprise FROM l")
 def n13b_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """-log10 P(X >= x) for a Poisson count whose mean is the brand's share of the whole."""
     g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(F.col("p_size") < 3).alias("x"), F.count("*").alias("n"))
     total = g.agg(F.sum("x").alias("sx"), F.sum("n").alias("sn"))  # one row
     l = g.crossJoin(F.broadcast(total)).withColumn("l", F.greatest(F.col("n") * F.col("sx") / F.col("sn"), F.lit(0.25)))
-    first = F.aggregate(F.sequence(F.lit(1), F.col("x")), -F.col("l"), lambda a, i: a + F.log(F.col("l")) - F.log(i.cast("double")))
-    start = F.struct(F.when(F.col("x") == 0, -F.col("l")).otherwise(first).alias("term"), F.lit(0.0).alias("sum"))
-    tail = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, lambda a, j: F.struct((a["term"] + F.log(F.col("l")) - F.log((F.col("x") + j).cast("double"))).alias("term"), (a["sum"] + F.exp(a["term"])).alias("sum")), lambda a: a["sum"])
-    return l.select("p_brand", "x", F.round(F.least(-F.log10(tail), F.lit(50.0)), 6).alias("surprise"))
+    surprise = F.least(-F.log10(statistics.poisson_tail(F.col("x"), F.col("l"))), F.lit(50.0))
+    return l.select("p_brand", "x", (F.round(surprise, 6) + 0.0).alias("surprise"))  # adding 0 makes -0 a plain 0
 
 
 @register("n14_reliability", "WITH g AS (SELECT p_type, count(*) AS n, avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part WHERE p_size < 20 GROUP BY 1) SELECT p_type, n, CASE WHEN n >= 4 AND s / sqrt(n) / m <= 0.2 THEN round(m, 4) END AS mean FROM g")

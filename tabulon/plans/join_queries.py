@@ -207,14 +207,10 @@ def j29_alias_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.join(said, F.col("alias") == F.col("said")).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
-_SPELLED = "SELECT DISTINCT string_split(p_name, ' ')[1] || substr(p_brand, 7, 1) AS w FROM part WHERE p_partkey <= 400"
-
-
-@register("j30_close_spellings", f"WITH w AS ({_SPELLED}) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS distance FROM w a JOIN w b ON a.w < b.w AND levenshtein(a.w, b.w) <= 2")
+@register("j30_close_spellings", "WITH w AS (SELECT DISTINCT p_name AS w FROM part) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS distance FROM w a JOIN w b ON a.w < b.w AND levenshtein(a.w, b.w) <= 2")
 def j30_close_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The names of a catalogue section (p_partkey up to 400 is this query's own condition, as in its SQL)."""
-    w = table(spark, sf_dir, "part").filter("p_partkey <= 400").select(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.substring("p_brand", 7, 1)).alias("w"))
-    return joins.close_spellings(w, "w", 2)
+    """All whole names of all parts."""
+    return joins.close_spellings(table(spark, sf_dir, "part"), "p_name", 2)
 
 
 @register("j30_all_close_spellings", "WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] || substr(p_brand, 7, 1) AS w FROM part) SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS distance FROM w a JOIN w b ON a.w < b.w AND levenshtein(a.w, b.w) <= 2")

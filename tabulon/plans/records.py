@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tabulon.operators import filters, intervals, ranking
 from tabulon.operators.filters import RecordFilter
@@ -179,5 +178,4 @@ def u4_interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("u5_keep_first", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def u5_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    return table(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).filter("r = 1").select("user_id", "event_type", "event_id")
+    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))

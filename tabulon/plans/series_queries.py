@@ -78,7 +78,7 @@ def w9_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir).groupBy("k").agg(series.peak("v", "month").alias("p")).select("k", F.col("p.value").alias("value"), F.col("p.at").alias("at"))
 
 
-@register("w10_series_window", f"""WITH {_M}, s AS (SELECT k, min(month) AS a, list(v ORDER BY month) AS vals FROM m GROUP BY 1)
+@register("w10_series_window", f"""WITH {_M}, e AS (SELECT k, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM m GROUP BY 1), s AS (SELECT e.k, min(e.month) AS a, list(coalesce(v, 0) ORDER BY e.month) AS vals FROM e LEFT JOIN m ON m.k = e.k AND m.month = e.month GROUP BY 1)
     SELECT k, list_sum(vals[n - 11 : n])::BIGINT AS recent, list_sum(vals[n - 23 : n - 12])::BIGINT AS before, md5(array_to_string(list_transform(vals, lambda x: x::VARCHAR), ',')) AS digest
     FROM (SELECT *, (year(DATE '1999-06-01') - year(a)) * 12 + month(DATE '1999-06-01') - month(a) + 1 AS n FROM s)""")
 def w10_series_window(spark: SparkSession, sf_dir: str) -> DataFrame:

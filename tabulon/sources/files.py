@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.sources.scratch import fresh_path
+from tabulon.sources.scratch import fresh_path, stored, swapped_in
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
@@ -28,29 +30,51 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tup
     return rows.filter(F.col("_bad").isNull()).drop("_bad"), rows.filter(F.col("_bad").isNotNull()).select("_bad", *schema.names).select("_bad")
 
 
-def read_copy_text(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    r"""Tab-separated rows in which \N is null and \t, \n and \\ are escaped."""
-    raw = spark.read.text(path)
+#: fixed values: the letters that stand for control characters after a backslash in COPY text
+COPY_ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
+
+
+def _copy_unescaped(cell: Column) -> Column:
+    """One pass from left to right: a backslash and what follows it are one piece, so no piece is undone twice."""
+    pieces = F.regexp_extract_all(cell, F.lit(r"(?s)\\x[0-9A-Fa-f]{1,2}|\\[0-7]{1,3}|\\.|[^\\]+|\\$"), F.lit(0))
+
+    def char(p: Column) -> Column:
+        mark = F.substring(p, 2, F.length(p))
+        out = F.when(~F.startswith(p, F.lit("\\")) | (F.length(p) == 1), p)
+        out = out.when(mark.rlike("^x[0-9A-Fa-f]+$"), F.char(F.conv(F.substring(mark, 2, 2), 16, 10).cast("long")))
+        out = out.when(mark.rlike("^[0-7]+$"), F.char(F.conv(mark, 8, 10).cast("long")))
+        for letter, c in COPY_ESCAPES.items():
+            out = out.when(mark == letter, F.lit(c))
+        return out.otherwise(mark)
+
+    return F.array_join(F.transform(pieces, char), "")
+
+
+def read_copy_text(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    r"""Tab-separated rows with backslash escapes in which \N is null; and, held back, the lines (line) of another width.
+
+    The end mark \. is no row.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).filter(F.col("value") != "\\.")
     cells = F.split("value", "\t")
+    fits = F.size(cells) == len(schema.fields)
 
     def cell(i: int, f: T.StructField) -> Column:
         c = F.get(cells, F.lit(i))
-        for mark, char in (("\\t", "\t"), ("\\n", "\n"), ("\\\\", "\\")):
-            c = F.replace(c, F.lit(mark), F.lit(char))
-        return F.when(F.get(cells, F.lit(i)) != "\\N", c).cast(f.dataType).alias(f.name)
+        return F.when(c != "\\N", F.when(F.contains(c, F.lit("\\")), _copy_unescaped(c)).otherwise(c)).cast(f.dataType).alias(f.name)
 
-    return raw.filter(F.size(cells) == len(schema.fields)).select(*[cell(i, f) for i, f in enumerate(schema.fields)])
+    return raw.filter(fits).select(*[cell(i, f) for i, f in enumerate(schema.fields)]), raw.filter(~fits).select(F.col("value").alias("line"))
 
 
 def write_copy_text(df: DataFrame, path: str) -> None:
     r"""The inverse of read_copy_text()."""
     def cell(name: str) -> Column:
-        c = F.col(name).cast("string")
-        for char, mark in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n")):
-            c = F.replace(c, F.lit(char), F.lit(mark))
+        c = F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        for letter, char in COPY_ESCAPES.items():
+            c = F.replace(c, F.lit(char), F.lit("\\" + letter))
         return F.coalesce(c, F.lit("\\N"))
 
-    df.select(F.concat_ws("\t", *[cell(c) for c in df.columns]).alias("value")).write.text(path)
+    df.select(F.concat_ws("\t", *[cell(c) for c in df.columns]).alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_repaired_tsv(spark: SparkSession, path: str, columns: list[str], free_text: str, key: str = r"^\d+\t") -> DataFrame:
@@ -90,24 +114,63 @@ def read_zip_members(spark: SparkSession, path: str, suffix: str = "") -> DataFr
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(members, "archive string, member string, content binary")
 
 
+def _digest_parts(columns: list[str]) -> tuple[Column, Column]:
+    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).alias("s")
+
+
+def _digest(rows: int, total) -> str:
+    return hashlib.sha256(f"{rows}:{total}".encode()).hexdigest()
+
+
 def row_digest(df: DataFrame) -> DataFrame:
     """(rows, digest): an order-free digest of a table: the rows' hashes added up, hashed with their number."""
-    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    facts = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h), F.lit(0)).alias("s"))
+    facts = df.agg(*_digest_parts(df.columns))
     return facts.select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), F.col("s").cast("string")), 256).alias("digest"))
 
 
 def publish(df: DataFrame, path: str, id_col: str) -> dict:
-    """Replace a dataset after checks: ids are there and unique; what was written is counted and digested again."""
-    bad = df.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).collect()
+    """Replace a dataset: {rows, digest}.  It is written aside once, digested on its way; the written rows are checked
+    (ids there and unique, the same digest) and only then take the old ones' place, which stay if anything fails."""
+    spark, seen = df.sparkSession, Observation()
+    aside = f"{path}.new-{uuid.uuid4().hex}"
+    df.observe(seen, *_digest_parts(df.columns)).write.parquet(aside)
+    written = spark.read.schema(df.schema).parquet(aside)
+    bad = written.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).collect()
     if bad:
         raise ValueError(f"id {bad[0][id_col]} is missing or repeated")
-    want = row_digest(df).first()
-    df.write.mode("overwrite").parquet(path)
-    got = row_digest(df.sparkSession.read.parquet(path)).first()
-    if want != got:
+    got = row_digest(written).first().asDict()
+    if got != {"rows": seen.get["rows"], "digest": _digest(seen.get["rows"], seen.get["s"])}:
         raise RuntimeError("the published rows differ from the offered ones")
-    return got.asDict()
+    swapped_in(spark, aside, path)
+    return got
+
+
+def upsert_batches(df: DataFrame, order: str, most_rows: int, most_bytes: int, newest_first: bool = False) -> DataFrame:
+    """df with `batch`: consecutive rows in an order, at most so many and so many bytes of JSON a batch; 0 is sent first.
+
+    newest_first: batches go oldest first, but rows keep newest-first order inside (`place`), so that each batch lands
+    ahead of the ones before.  A row over the byte bound is an error.  Rows are first dealt into blocks of most_rows by
+    their number; only rows of one block meet, and a block is cut where its running bytes pass the bound.
+    """
+    from tabulon.operators.ranking import numbered
+
+    size = F.octet_length(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})) + 1
+    n = numbered(df.withColumn("_size", size), [order], "_n").withColumn("_block", F.floor((F.col("_n") - 1) / most_rows))
+    too_large = F.when(F.col("_size") + 2 > most_bytes, F.raise_error(F.lit("a row exceeds the byte bound of a batch"))).otherwise(F.col("_size"))
+    listed = n.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_n", too_large.alias("_size")))).alias("_l"))  # most_rows numbers at most
+    start = F.struct(F.lit(0).alias("part"), F.lit(2).cast("long").alias("bytes"), F.array().cast("array<struct<n:bigint,part:int>>").alias("out"))
+
+    def step(acc: Column, r: Column) -> Column:
+        full = acc["bytes"] + r["_size"] > most_bytes
+        part = F.when(full & (F.size(acc["out"]) > 0), acc["part"] + 1).otherwise(acc["part"])
+        return F.struct(part.alias("part"), F.when(full, 2 + r["_size"].cast("long")).otherwise(acc["bytes"] + r["_size"]).alias("bytes"), F.concat(acc["out"], F.array(F.struct(r["_n"].cast("long").alias("n"), part.alias("part")))).alias("out"))
+
+    parts = stored(listed.select("_block", F.inline(F.aggregate("_l", start, step, lambda acc: acc["out"]))), "parts")
+    batches = parts.select("_block", "part").distinct().withColumn("key", F.struct("_block", "part"))
+    batches = numbered(batches, ["_block", "part"], "batch").select("_block", "part", (F.col("batch") - 1).alias("batch"))
+    place = F.col("_n").alias("place") if not newest_first else (-F.col("_n")).alias("place")
+    return n.join(parts.withColumnRenamed("n", "_n"), ["_block", "_n"]).join(batches, ["_block", "part"]).select(*df.columns, "batch", place)
 
 
 def publish_more(df: DataFrame, path: str, id_col: str, expected_before: int) -> int:

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset and the master is local (tests), a
+    temporary one.  On a cluster a machine's own folder would not do: there it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         folder = context.getCheckpointDir()
         if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tabulon-"))
             folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -24,6 +27,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def children(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Names of what lies directly in a folder; none if there is no such folder."""
+    fs, at = _file_system(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in names if n.startswith(prefix))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def swapped_in(spark: SparkSession, new: str, path: str) -> None:
+    """Put a finished folder in another one's place; the old one goes only after it was moved aside."""
+    fs, at = _file_system(spark, path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
+    held = fs.exists(at)
+    if held and not fs.rename(at, aside):
+        raise OSError(f"{path} cannot be moved aside")
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(new), at):
+        if held:
+            fs.rename(aside, at)
+        raise OSError(f"{new} cannot be moved to {path}")
+    if held:
+        fs.delete(aside, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
     path = fresh_path(df.sparkSession, name)

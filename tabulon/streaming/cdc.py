@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabulon.sources.scratch import fresh_path
+from tabulon.sources.scratch import children, exists, fresh_path
 
 
 def payload_hash(columns: list[str]) -> Column:
@@ -52,29 +53,42 @@ def versions(observed: DataFrame, id_col: str, as_of: str, columns: list[str]) -
 
 
 class VersionedTable:
-    """A table that is replaced as a whole per micro-batch: generation folders and the newest one's number.
+    """A table dealt by a hash of its id into `parts`; a micro-batch writes the parts that it touches as a generation.
 
-    A batch that is replayed after a failure writes its generation again, so each batch counts once.
+    What is held is the newest finished generation of each part, as the folders in storage tell: nothing is kept in the
+    driver, so a restart goes on where the last batch ended.  A batch that is replayed after a failure reads what was
+    held before it and writes its generation again, so each batch counts once.
     """
 
-    def __init__(self, spark: SparkSession, root: str, empty: DataFrame):
-        self.spark, self.root = spark, root
-        empty.write.mode("overwrite").parquet(f"{root}/g=-1")
-        self.newest = -1
+    def __init__(self, spark: SparkSession, root: str, empty: DataFrame, id_col: str, parts: int = 16):
+        self.spark, self.root, self.schema, self.id_col, self.parts = spark, root, empty.schema, id_col, parts
 
-    def read(self, generation: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/g={self.newest if generation is None else generation}")
+    def part_of(self) -> Column:
+        return F.pmod(F.xxhash64(self.id_col), F.lit(self.parts)).cast("int")
+
+    def _newest(self, before: int | None) -> dict[int, str]:
+        """part -> folder of its newest generation, of those before a number."""
+        found: dict[int, str] = {}
+        generations = sorted(int(g.removeprefix("g=")) for g in children(self.spark, self.root, "g="))
+        for g in generations:
+            if (before is None or g < before) and exists(self.spark, f"{self.root}/g={g}/_SUCCESS"):
+                found |= {int(p.removeprefix("part=")): f"{self.root}/g={g}/{p}" for p in children(self.spark, f"{self.root}/g={g}", "part=")}
+        return found
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        paths = [p for k, p in self._newest(before).items() if only is None or k in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def write(self, generation: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/g={generation}")
-        self.newest = generation
+        df.withColumn("part", self.part_of()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/g={generation}")
 
 
 def ingest(stream: DataFrame, table: VersionedTable, id_col: str, as_of: str, checkpoint: str, ledger: Callable[[int, dict], None] | None = None) -> None:
     """Take in everything that is available, batch by batch; the cursor (checkpoint) advances only with a whole batch."""
 
     def batch(df: DataFrame, number: int) -> None:
-        base = table.read(max(number - 1, -1))
+        touched = [r["p"] for r in df.select(table.part_of().alias("p")).distinct().collect()]  # table.parts rows at most
+        base = table.read(number, touched)
         columns = [c for c in df.columns if c != id_col]
         counts = {}
         if ledger:
@@ -118,13 +132,21 @@ def sessions(df: DataFrame, at: str, gap: str, keys: list[str]) -> DataFrame:
     return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a streaming aggregation over all that is available and give its result as a table."""
+def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Run a streaming query over all that is available and give its result as a table.
+
+    Each batch writes a folder of its own, again if it is replayed.  keys: the query is an aggregation by them; a batch
+    writes only the groups that it changed, and a group's newest row counts.  Without keys all batches' rows count.
+    """
     spark = stream.sparkSession
     out = fresh_path(spark, "stream")
 
     def keep(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
-
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "cursor")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.outputMode("update" if keys else "append").foreachBatch(keep).option("checkpointLocation", fresh_path(spark, "cursor")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
+    if keys:
+        rest = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*").select(*stream.columns)
+    return rows.drop("batch")

@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB statement, over whole tables."""
 
 import datetime
+import decimal
 import os
 
 import duckdb
@@ -28,8 +29,8 @@ def plain(v):
         return "NULL"
     if isinstance(v, bool):
         return str(v)
-    if isinstance(v, (int, float)):
-        return f"{float(v):.6g}" if abs(v) < 1e15 else str(int(v))
+    if isinstance(v, (int, float, decimal.Decimal)):
+        return f"{float(v) + 0.0:.6g}" if abs(v) < 1e15 else str(int(v))
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, (list, tuple)):
