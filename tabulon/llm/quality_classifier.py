@@ -52,8 +52,7 @@ def term_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     kept[1:] = shape[1:] != shape[:-1]
     kept[lo] = True
     place = np.concatenate([[0], np.cumsum(kept)])
-    sums = wordhash.prefix(wordhash.byte_values(shape[kept]))
-    shapes = wordhash.ranges(sums, place[lo], place[hi])
+    shapes = wordhash.of_ranges(shape[kept], place[lo], place[hi])
     at2 = np.repeat(np.arange(n), tokens) * DIMS + WORD_DIMS + (shapes % np.uint64(SHAPE_DIMS)).astype(np.int64)
     owner = np.repeat(np.arange(n), per_text)
     again = np.flatnonzero((words[1:] == words[:-1]) & (owner[1:] == owner[:-1])) + 1

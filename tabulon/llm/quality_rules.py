@@ -45,45 +45,54 @@ def _marks(chars: bytes) -> np.ndarray:
 _SPACE, _SYMBOL = _marks(bytes([32, *range(9, 14)])), _marks(SYMBOLS)
 
 
-def _again(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For values of the same owner: which occur twice or more, and which repeat an earlier one."""
-    key = wordhash.mix(values + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = ranked[1:] == ranked[:-1]
-    twice, later = np.empty(len(key), bool), np.empty(len(key), bool)
-    twice[order], later[order] = same[:-1] | same[1:], same[:-1]
-    return twice, later
+def _again(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items given by the first that equals each: which occur twice or more, and which repeat an earlier one."""
+    return (np.bincount(first, minlength=len(first)) > 1)[first], first != np.arange(len(first))
 
 
 def text_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The base counts of every text."""
+    """The base counts of every text.  Lines are told apart by their bytes, words too, and windows by their words."""
     n = len(offsets) - 1
     space = _SPACE[raw]
     starts, ends, n_words = wordhash.runs(~space, offsets)
-    values = wordhash.byte_values(raw)
-    sums = wordhash.prefix(values)
 
     def per_text(flags: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(flags)])
         return total[offsets[1:]] - total[offsets[:-1]]
 
+    def apart(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return wordhash.mix(keys + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
     chars = per_text(~space & ((raw & 0xC0) != 0x80))
     symbols = per_text(_SYMBOL[raw])
     # lines with a word: runs of anything but \n in which a word begins
     lo, hi, lines = wordhash.runs(raw != 10, offsets)
     worded = np.searchsorted(starts, hi) > np.searchsorted(starts, lo)
-    owner = np.repeat(np.arange(n), lines)[worded]
-    _, later = _again(owner, wordhash.ranges(sums, lo[worded], hi[worded]))
+    owner, lo, hi = np.repeat(np.arange(n), lines)[worded], lo[worded], hi[worded]
+
+    def same_line(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = (owner[i] == owner[j]) & (hi[i] - lo[i] == hi[j] - lo[j])
+        at = np.flatnonzero(out)
+        out[at] = wordhash.equal_ranges(raw, lo[i[at]], lo[j[at]], hi[i[at]] - lo[i[at]])
+        return out
+
+    _, later = _again(wordhash.exact_groups(apart(owner, wordhash.of_ranges(raw, lo, hi)), same_line))
     dup_lines = np.bincount(owner[later], minlength=n)
     # windows of RUN words
-    word_sums = wordhash.prefix(wordhash.ranges(sums, starts, ends))
+    hashed = wordhash.of_ranges(raw, starts, ends)
+    word = wordhash.exact_ranges(raw, starts, ends, hashed)
     first = np.cumsum(n_words) - n_words
     windows = np.maximum(n_words - RUN + 1, 0)
-    owner = np.repeat(np.arange(n), windows)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + first[owner]
-    twice, _ = _again(owner, wordhash.ranges(word_sums, at, at + RUN))
+    of = np.repeat(np.arange(n), windows)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows) + first[of]
+
+    def same_window(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = of[i] == of[j]
+        for k in range(RUN):
+            out &= word[at[i] + k] == word[at[j] + k]
+        return out
+
+    twice, _ = _again(wordhash.exact_groups(apart(of, wordhash.of_windows(hashed, at, RUN)), same_window))
     cover = np.zeros(len(starts) + 1, np.int64)
     cover[at[twice]] += 1
     np.subtract.at(cover, at[twice] + RUN, 1)

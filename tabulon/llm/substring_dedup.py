@@ -43,15 +43,28 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def gram_numbers(raw: np.ndarray, width: int = GRAM) -> np.ndarray:
+    """A number for each string of `width` bytes: numbers of strings twice as long come from two halves."""
+    x, have, out, done = wordhash.byte_values(raw), 1, None, 0
+    while True:
+        if width & have:
+            if out is None:
+                out = x
+            else:
+                out = wordhash.mix(out[: len(x) - done] * np.uint64(0x9FB21C651E98DF25) + x[done:])
+            done += have
+        have *= 2
+        if have > width:
+            return out[: len(raw) - width + 1]
+        x = wordhash.mix(x[: len(x) - have // 2] * np.uint64(0x9FB21C651E98DF25) + x[have // 2 :])
+
+
 def find_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, start, end, minimizer, hash) of every run; start and end are byte positions in `raw`."""
     none = np.empty(0, np.int64)
     if len(raw) < LENGTH:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    sums = wordhash.prefix(wordhash.byte_values(raw))
-    _, down = wordhash.powers(len(sums))
-    n = len(raw) - GRAM + 1
-    grams = wordhash.mix((sums[GRAM:] - sums[:-GRAM]) * down[:n])
+    grams = gram_numbers(raw)
     least = _sliding_min(grams, LENGTH - GRAM + 1)
     valid = np.zeros(len(least) + 1, np.int64)
     lo, hi = offsets[:-1], offsets[1:] - LENGTH + 1
@@ -64,7 +77,7 @@ def find_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last = valid.copy()
     last[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
     start, end = np.flatnonzero(first), np.flatnonzero(last) + LENGTH
-    return np.searchsorted(offsets, start, side="right") - 1, start, end, least[start] >> SMALL_BITS, wordhash.ranges(sums, start, end) >> SMALL_BITS
+    return np.searchsorted(offsets, start, side="right") - 1, start, end, least[start] >> SMALL_BITS, wordhash.of_windows(grams, start, 1) >> SMALL_BITS
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, pa.Array]:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9FB21C651E98DF25)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -24,21 +22,6 @@ def _table() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and its inverse modulo 2 ** 64, for i < n."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 19)
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, b in (("up", _BASE), ("down", inverse)):
-            out = np.full(size, b, np.uint64)
-            out[0] = 1
-            _powers[name] = np.cumprod(out)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array without nulls, and where each text begins (one more entry for the end)."""
     if not pa.types.is_string(texts.type):
@@ -49,16 +32,87 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    """Running sums of values[i] * _BASE ** i, one entry longer."""
-    up, _ = powers(len(values))
-    return np.concatenate([[np.uint64(0)], np.cumsum(values * up, dtype=np.uint64)])
-
-
-def ranges(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each values[start:end], equal for equal contents."""
-    _, down = powers(max(len(sums), 1))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+EXACT_BYTES = 1_000_000  # so many bytes are compared at once
+
+
+def of_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each values[start:end] of disjoint ranges in order: sums of a mix of each value with its place.
+
+    Equal contents have equal numbers.  No contents are known to clash by their structure, but a number proves nothing:
+    where equality decides a result, exact_groups() settles it.
+    """
+    size = ends - starts
+    total = int(size.sum())
+    shift = starts - (np.cumsum(size) - size)
+    at = np.arange(total)
+    own = values[at + np.repeat(shift, size)] if total else values[:0]
+    within = (at - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(own.astype(np.uint64) * _STEP + mix(within + np.uint64(1))), dtype=np.uint64)])
+    to = np.cumsum(size)
+    return mix(sums[to] - sums[to - size] + size.astype(np.uint64) * _STEP)
+
+
+def of_windows(values: np.ndarray, starts: np.ndarray, width: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """A number for each values[start:start + width], or shorter where `ends` comes first."""
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(width):
+        at = starts + k
+        if ends is None:
+            out = mix(out * _STEP + values[at])
+        else:
+            there = at < ends
+            out = np.where(there, mix(out * _STEP + values[np.where(there, at, 0)]), out) if len(values) else out
+    return out
+
+
+def equal_ranges(values: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Is values[a:a + size] equal to values[b:b + size], for many ranges, some of them at a time."""
+    out = np.ones(len(a), bool)
+    cut = np.cumsum(size)
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(cut, (cut[lo - 1] if lo else 0) + EXACT_BYTES, side="right")))
+        n = size[lo:hi]
+        if hi == lo + 1:
+            out[lo] = np.array_equal(values[a[lo] : a[lo] + n[0]], values[b[lo] : b[lo] + n[0]])
+        else:
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            differ = values[np.repeat(a[lo:hi], n) + within] != values[np.repeat(b[lo:hi], n) + within]
+            total = np.concatenate([[0], np.cumsum(differ)])
+            to = np.cumsum(n)
+            out[lo:hi] = total[to] == total[to - n]
+        lo = hi
+    return out
+
+
+def exact_groups(keys: np.ndarray, same) -> np.ndarray:
+    """For each item the first item that equals it.  Keys deal out the work; same(i, j), on arrays of items, decides."""
+    order = np.argsort(keys, kind="stable")
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[order][1:] != keys[order][:-1]
+    first = np.empty(len(keys), np.int64)
+    first[order] = order[fresh][np.cumsum(fresh) - 1] if len(keys) else order
+    todo = np.flatnonzero(first != np.arange(len(keys)))
+    while len(todo):
+        odd = todo[~same(todo, first[todo])]
+        _, at, group = np.unique(first[odd], return_index=True, return_inverse=True)
+        first[odd] = odd[at][group]  # what only shares the key makes groups of its own
+        todo = odd[first[odd] != odd]
+    return first
+
+
+def exact_ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """exact_groups() of values[start:end]."""
+    size = ends - starts
+
+    def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = size[i] == size[j]
+        at = np.flatnonzero(out)
+        out[at] = equal_ranges(values, starts[i[at]], starts[j[at]], size[i[at]])
+        return out
+
+    return exact_groups(keys, same)
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,11 +137,30 @@ def _plain() -> tuple[np.ndarray, np.ndarray]:
     return word, lower
 
 
+def plain_ranges(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with A-Z lower-cased, where each word starts and ends, and words per text."""
+    word, lower = _plain()
+    starts, ends, per_text = runs(word[raw], offsets)
+    return lower[raw], starts, ends, per_text
+
+
 def plain_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each word (A-Z lower-cased; between words ASCII without letters and digits), and words per text."""
+    plain, starts, ends, per_text = plain_ranges(raw, offsets)
+    return of_ranges(plain, starts, ends), per_text
+
+
+def plain_digests(raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A 128-bit BLAKE2 digest of each text's words, a blank between them; empty without words."""
     word, lower = _plain()
-    starts, ends, per_text = runs(word[raw], offsets)
-    return ranges(prefix(_table()[lower[raw]]), starts, ends), per_text
+    inside = word[raw]
+    first_after = np.zeros(len(raw), bool)
+    first_after[1:] = ~inside[1:] & inside[:-1]
+    kept = inside | first_after
+    out = np.where(inside, lower[raw], 32).astype(np.uint8)[kept]
+    cut = np.concatenate([[0], np.cumsum(kept)])[offsets]
+    whole = [out[a:z].tobytes().strip() for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return [hashlib.blake2b(x, digest_size=16).digest() if x else b"" for x in whole]
 
 
 def byte_values(raw: np.ndarray) -> np.ndarray:

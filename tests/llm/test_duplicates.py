@@ -6,6 +6,7 @@ import re
 import numpy as np
 
 from tabulon.llm import near_duplicates as nd
+from tabulon.llm import quality_rules
 from tabulon.llm import substring_dedup as sd
 from tabulon.llm import suffix_array as sa
 from tabulon.llm.components import connected
@@ -65,6 +66,36 @@ def test_near_duplicates_in_a_large_group(spark):
     assert near(spark.createDataFrame(rows, "doc_id long, text string")) == links_by_force(rows)
 
 
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(k).count("1") + swap) % 2] for k in range(n))
+
+
+def test_strings_made_to_clash_stay_apart(spark):
+    """Polynomial hashes modulo a power of two take these for one."""
+    rows = [(1, thue_morse(1024)), (2, thue_morse(1024, True)), (3, thue_morse(1024) + " x"), (4, " ".join("ab"[c == "b"] * 3 for c in thue_morse(1024))), (5, " ".join("ab"[c == "b"] * 3 for c in thue_morse(1024, True)))]
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == links_by_force(rows)
+
+
+def test_equal_numbers_do_not_make_equal_contents(spark, monkeypatch):
+    """With a hash that nearly everything shares the results are the same."""
+    monkeypatch.setattr(nd.wordhash, "mix", lambda x: x & np.uint64(3))
+    raw = np.frombuffer(b"one two one two six one two one two", np.uint8)
+    values, exact, count = nd.exact_shingles(raw, np.array([0, 15, len(raw)]))
+    words = [("one", "two", "one", "two"), ("six", "one", "two", "one", "two")]
+    assert len(set(exact.tolist())) == 2 and count.tolist() == [1, 1] and words
+    lines = b"aa bb\ncc dd\naa bb\nbb aa\ncc dd"
+    got = quality_rules.text_counts(np.frombuffer(lines, np.uint8), np.array([0, len(lines)]))
+    assert got["n_dup_lines"].tolist() == [2]
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    a, b = "one two three four five six seven", "alpha beta gamma delta epsilon zeta"
+    rows = [(1, a), (1, b), (2, a.upper()), (3, b + "!"), (1, a), (4, ""), (4, None), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r.doc_id), str(r.text)) for r in nd.distinct_documents(df).collect())
+    assert kept == sorted([("1", a), ("1", b), ("4", ""), ("4", "None"), ("None", a)])
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     least = nd.fewest_matches()
     assert list(least) == sorted(least) and all(m <= 0.8 * n for m, n in zip(least, range(nd.STEP, 289, nd.STEP), strict=True))
