@@ -1,11 +1,16 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-The texts' base counts are taken in one pass.  Ratios of them are then, for texts that pass the base rules, summarised per (language, source) by mergeable
-quantile sketches: counts of logarithmic bins, each 2 % wide, which add up exactly whatever the partitioning and lose
-at most 1 % of a value.  A ratio has two upper thresholds, and the lower one holds: a fence above the group's upper
-quartile, which stands where a tenth of a group is junk, and MARGIN times the quantile TAIL, which finds what is far out
-in a clean group.  A group of fewer than MIN_GROUP such texts takes its language's, or the whole table's.  The filter
-joins the thresholds to the texts.
+The texts' base counts are taken in one pass.  Ratios of them are then, for texts that pass the base rules, summarised
+per (language, source) by mergeable quantile sketches: counts of logarithmic bins, each 2 % wide, which add up exactly
+whatever the partitioning and lose at most 1 % of a value.  A group's sketch is mixed with PRIOR texts that are spread
+as its language is, and that one with PRIOR texts spread as the whole table is: small groups lean on their parents, and
+no group size switches anything.
+
+Each ratio's threshold comes from its mixed sketch alone, the lower of two: a fence, the 90 % quantile and SPREAD times
+its distance from the median, which stands where up to a tenth of a group is junk; and MARGIN times the quantile TAIL,
+which finds what is far out in a clean group.  Where quantiles are 0 the step between a ratio's values takes their
+place: the least count that can occur (one symbol, one line, RUN + 1 repeated words) in a text of the group's median
+length.  The filter joins the thresholds to the texts.
 
 Words are runs of anything but blanks, tabs and line ends (U+0020, U+0009-U+000D).  Defined results: a null or empty
 text has no words and fails the base rules; null languages and sources are groups of their own; repeated rows count as
@@ -29,9 +34,10 @@ SYMBOLS = b"#*$%&|<>"
 RUN = 8  # words of a window
 MIN_WORDS, MAX_REPEATED_PERCENT = 20, 30
 BIN = 1.02
-MIN_GROUP = 50
-#: ratio -> (numerator, denominator, slack): the fence is q75 + SPREAD * (q75 - q50) + slack
-RATIOS = {"symbols": ("n_symbols", "n_words", 0.25), "dup_lines": ("n_dup_lines", "n_words", 0.05), "repeats": ("n_repeat_words", "n_words", 0.30), "word_length": ("word_chars", "n_words", 2.0)}
+PRIOR = 50
+#: ratio -> (numerator, denominator, least positive numerator)
+RATIOS = {"symbols": ("n_symbols", "n_words", 1), "dup_lines": ("n_dup_lines", "n_words", 1), "repeats": ("n_repeat_words", "n_words", RUN + 1), "word_length": ("word_chars", "n_words", 0)}
+LENGTH = "words"  # sketched beside the ratios: the texts' numbers of words
 SPREAD = 4.0
 TAIL, MARGIN = 0.99, 1.25
 
@@ -126,42 +132,56 @@ def _bin(value: Column) -> Column:
 
 
 def sketches(counts: DataFrame) -> DataFrame:
-    """(lang, source, level, ratio, bin, n): level 2 per language and source, 1 per language, 0 for all."""
-    ratios = F.array(*[F.struct(F.lit(k).alias("ratio"), _bin(F.col(a) / F.greatest(F.col(b), F.lit(1))).alias("bin")) for k, (a, b, _) in RATIOS.items()])
-    fine = counts.filter(~_base_failed()).select("lang", "source", F.inline(ratios)).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n")).withColumn("level", F.lit(2))
-    fine = stored(fine, "sketches")
-    by_lang = fine.groupBy("lang", "ratio", "bin").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("source"), "ratio", "bin", "n", F.lit(1).alias("level"))
-    total = fine.groupBy("ratio", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "ratio", "bin", "n", F.lit(0).alias("level"))
-    return fine.unionByName(by_lang).unionByName(total)
-
-
-def fences(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, n, per ratio the fence max_ and the tail's threshold tail_)."""
-    w = Window.partitionBy("level", "lang", "source", "ratio")
-    run = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
+    """(lang, source, ratio, bin, n) of the texts that pass the base rules."""
+    ratios = [F.struct(F.lit(k).alias("ratio"), _bin(F.col(a) / F.greatest(F.col(b), F.lit(1))).alias("bin")) for k, (a, b, _) in RATIOS.items()]
+    ratios.append(F.struct(F.lit(LENGTH).alias("ratio"), _bin(F.col("n_words").cast("double")).alias("bin")))
+    return counts.filter(~_base_failed()).select("lang", "source", F.inline(F.array(*ratios))).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n"))
+
+
+def mixed(sketch: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(lang, source, ratio, bin, w): each group's sketch with `prior` texts of its language's, itself so mixed with all."""
+    by_lang = sketch.groupBy("lang", "ratio", "bin").agg(F.sum("n").alias("n"))
+    every = sketch.groupBy("ratio", "bin").agg(F.sum("n").alias("n"))
+    groups = sketch.filter(F.col("ratio") == LENGTH).groupBy("lang", "source").agg(F.sum("n").alias("texts"))
+    langs = groups.groupBy("lang").agg(F.sum("texts").alias("lang_texts"))
+    total = groups.agg(F.sum("texts").alias("all_texts"))  # one row
+    langs = langs.crossJoin(F.broadcast(total)).withColumnRenamed("lang", "l")
+    of_all = langs.withColumn("ratio", F.explode(F.array(*map(F.lit, [*RATIOS, LENGTH])))).join(every, "ratio").select("l", "ratio", "bin", (prior * F.col("n") / F.col("all_texts")).alias("w"))
+    of_lang = by_lang.select(F.col("lang").alias("l"), "ratio", "bin", F.col("n").cast("double").alias("w"))
+    parent = of_lang.unionByName(of_all).groupBy("l", "ratio", "bin").agg(F.sum("w").alias("w"))
+    parent = parent.join(langs.select(F.col("l").alias("k"), "lang_texts"), F.col("l").eqNullSafe(F.col("k"))).select("l", "ratio", "bin", (prior * F.col("w") / (F.col("lang_texts") + prior)).alias("w"))
+    leant = groups.select("lang", "source").join(parent, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "source", "ratio", "bin", "w")
+    return sketch.select("lang", "source", "ratio", "bin", F.col("n").cast("double").alias("w")).unionByName(leant).groupBy("lang", "source", "ratio", "bin").agg(F.sum("w").alias("w"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """(lang, source, one column max_<ratio> each) of every group, from mixed() sketches."""
+    w = Window.partitionBy("lang", "source", "ratio")  # the bins of one sketch
+    run = sketch.withColumn("upto", F.sum("w").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(w))
     value = F.when(F.col("bin") == -100000, 0.0).otherwise(F.pow(F.lit(BIN), F.col("bin") - 0.5))
 
     def quantile(p: float) -> Column:
-        return F.min(F.when(F.col("upto") >= F.col("total") * p, value))
+        return F.min(F.when(F.col("upto") >= F.col("total") * (p - 1e-9), value))
 
-    q = run.groupBy("level", "lang", "source", "ratio").agg(F.max("total").alias("n"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"), quantile(TAIL).alias("tail"))
-    slack = F.create_map(*[F.lit(x) for k, (_, _, s) in RATIOS.items() for x in (k, s)])
-    fence = q.withColumn("fence", F.round(F.col("q75") + SPREAD * (F.col("q75") - F.col("q50")) + slack[F.col("ratio")], 6)).withColumn("tail", F.round(MARGIN * F.col("tail"), 6))
-    return fence.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{name}_{k}") for name, c in (("max", "fence"), ("tail", "tail")) for k in RATIOS])
+    q = run.groupBy("lang", "source", "ratio").agg(F.struct(quantile(0.5).alias("q50"), quantile(0.9).alias("q90"), quantile(TAIL).alias("tail")).alias("q"))
+    wide = q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col("q"))).alias(k) for k in [*RATIOS, LENGTH]])
+
+    def limit(k: str, least: int) -> Column:
+        step = least / F.greatest(F.col(f"{LENGTH}.q50"), F.lit(1.0))
+        fence = F.col(f"{k}.q90") + SPREAD * F.greatest(F.col(f"{k}.q90") - F.col(f"{k}.q50"), step)
+        return F.round(F.least(fence, MARGIN * F.greatest(F.col(f"{k}.tail"), step)), 6)
+
+    return wide.select("lang", "source", *[limit(k, least).alias(f"max_{k}") for k, (_, _, least) in RATIOS.items()])
 
 
 def judge_quality(df: DataFrame) -> DataFrame:
-    """base_counts() with base_failed and kept."""
+    """base_counts() with base_failed and kept.  A group none of whose texts passes the base rules has no thresholds."""
     counts = stored(base_counts(df), "counts")
-    found = stored(fences(sketches(counts)), "fences")
-    by_source = found.filter((F.col("level") == 2) & (F.col("n") >= MIN_GROUP)).select(F.col("lang").alias("l2"), F.col("source").alias("s2"), *[F.least(f"max_{k}", f"tail_{k}").alias(f"a_{k}") for k in RATIOS])
-    by_lang = found.filter((F.col("level") == 1) & (F.col("n") >= MIN_GROUP)).select(F.col("lang").alias("l1"), *[F.least(f"max_{k}", f"tail_{k}").alias(f"b_{k}") for k in RATIOS])
-    total = found.filter("level = 0").select(F.lit(1).alias("one"), *[F.least(f"max_{k}", f"tail_{k}").alias(f"c_{k}") for k in RATIOS])  # one row
-    out = counts.join(by_source, F.col("lang").eqNullSafe(F.col("l2")) & F.col("source").eqNullSafe(F.col("s2")), "left").join(by_lang, F.col("lang").eqNullSafe(F.col("l1")), "left")
-    out = out.withColumn("one", F.lit(1)).join(F.broadcast(total), "one", "left")
+    found = stored(thresholds(mixed(stored(sketches(counts), "sketches"))), "thresholds").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    out = counts.join(found, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     failed = _base_failed()
     within = F.lit(True)
     for k, (a, b, _) in RATIOS.items():
-        within = within & (F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 6) <= F.coalesce(f"a_{k}", f"b_{k}", f"c_{k}"))
+        within = within & (F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 6) <= F.col(f"max_{k}"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select("doc_id", *names, failed.alias("base_failed"), (~failed & F.coalesce(within, F.lit(False))).alias("kept"), "lang", "source")
