@@ -109,6 +109,9 @@ def test_decontamination(spark, odd, none):
         want.append((str(r[0]), len(w), len(hit), ",".join(sorted(found))))
     assert got == sorted(want)
     assert decontamination.contamination_report(none, bench).count() == 0
+    greek = odd.sparkSession.createDataFrame([(1, "ΑΣ.Β ΓΣ"), (2, "αΣ.Β ΓΣ")], "doc_id long, text string")
+    own = odd.sparkSession.createDataFrame([("q", "ΑΣ Β ΓΣ")], "item_id string, text string")
+    assert sorted((r.doc_id, r.n_hit) for r in decontamination.contamination_report(greek, own).collect()) == [(1, 3), (2, 0)]
     clean = decontamination.contamination_report(odd, bench.limit(0)).collect()
     assert len(clean) == len(ODD) and all(r.n_hit == 0 for r in clean)
 
