@@ -1,16 +1,22 @@
 """Exact removal of repeated substrings across documents, by suffix arrays over the places that can matter.
 
 Every window of 50 bytes is assigned the smallest hash of the 20-byte strings inside it, so equal windows have equal
-minimizers.  Neighbouring windows with one minimizer form a run, about 18 windows.  The documents are dealt into
-buckets of bounded size, and what a bucket tells the rest is its distinct runs: (minimizer, hash of the run's bytes,
-smallest doc_id).  Collected by minimizer these settle most windows: a run that a smaller document has too goes as a
-whole.  Where one minimizer has different runs, the one bucket that holds a run's smallest document sends its bytes,
-and there the windows themselves are compared: a suffix array (two-stage sorting) brings equal windows together, the
-common prefixes of neighbours delimit them, and all but those of the smallest document go.
-
-Buckets pre-aggregate, so a passage in a third of all documents costs each bucket one entry.  The three steps are one
-plan that shuffles the texts once.  Distinct runs around one minimizer meet in one task; they are short, but a very
-frequent 20-byte string in ever new surroundings is this method's heaviest case.
+minimizers.  Neighbouring windows with one minimizer form a run, about 16 windows.  Hashes only deal out the work:
+
+1. Documents are dealt into buckets of bounded size.  A bucket tells the shards (ranges of minimizers) its distinct
+   runs, 7 bytes each: minimizer, fingerprint, and whether several of its documents have the run.
+2. A shard answers which minimizers are met again anywhere, and which are hot: around them stand more than HOT different
+   runs.  All other windows are settled: no other document can have them.
+3. A bucket sends the bytes of its runs with such minimizers to cells, each distinct run once; what repeats inside the
+   bucket, byte for byte, is cut there for all but the smallest document.  Runs go to their minimizer's cell.  Around a
+   hot minimizer the single windows go, each to the cell of its own hash, so a frequent string in ever new surroundings
+   spreads over all cells.
+4. In a cell a suffix array (two-stage sorting) brings equal windows together, the common prefixes of neighbours delimit
+   them, and all but those of the smallest document are cut.
+5. Cuts return to the buckets, which remove them.
+
+The plan shuffles the texts once.  A bucket sends a cell or a shard at most one row, and no more rows than it has runs.
+A passage that every bucket holds costs its cell one run of about 70 bytes and 24 of bookkeeping per bucket.
 
 Defined results: a null text is empty; texts under 50 bytes keep everything; rows with one doc_id do not affect each
 other; rows whose doc_id is null keep everything and affect nothing; an empty table gives no rows; further columns are
@@ -30,8 +36,10 @@ from tabulon.llm import suffix_array, wordhash
 from tabulon.llm.shared import SLICE_BYTES, documents_of, shuffle_width, slices
 
 LENGTH, GRAM = 50, 20
-BUCKET_BYTES, COMPARED_BYTES = 8_000_000, 1_000_000
-SMALL_BITS = np.uint64(24)  # of 64: minimizers and run hashes keep 40 bits each
+#: texts per bucket; texts whose runs meet in one shard, and in one cell; bytes under one suffix array
+BUCKET_BYTES, SHARD_BYTES, CELL_BYTES, COMPARED_BYTES = 8_000_000, 64_000_000, 12_000_000, 1_000_000
+HOT, HOT_WINDOWS = 2048, 500_000  # windows around hot minimizers that a bucket works on at once
+SMALL_BITS = np.uint64(24)  # of 64: minimizers keep 40 bits
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -77,19 +85,21 @@ def find_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     last = valid.copy()
     last[:-1] &= ~valid[1:] | (least[1:] != least[:-1])
     start, end = np.flatnonzero(first), np.flatnonzero(last) + LENGTH
-    return np.searchsorted(offsets, start, side="right") - 1, start, end, least[start] >> SMALL_BITS, wordhash.of_windows(grams, start, 1) >> SMALL_BITS
+    # the strings at both ends, and one in the middle for longer runs, tell most runs apart
+    own = wordhash.mix(grams[start] + wordhash.mix(grams[end - GRAM] + wordhash.mix(grams[(start + end - GRAM) // 2] + (end - start).astype(np.uint64))))
+    return np.searchsorted(offsets, start, side="right") - 1, start, end, least[start] >> SMALL_BITS, own
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
-    """Ids and texts of a bucket in order of the ids."""
-    table = table.sort_by([("doc_id", "ascending")]) if table.num_rows else table
+    """Ids and texts of a bucket in order of both, so that a row has the same place whenever the bucket is read."""
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if table.num_rows else table
     column = table.column("text").combine_chunks()
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     return table.column("doc_id").to_numpy().astype(np.int64), column
 
 
 class _Bucket:
-    """All runs of a bucket, and its distinct ones in order of (minimizer, hash): entries."""
+    """All runs of a bucket in order of (minimizer, hash, document, place), and where its distinct ones begin: entries."""
 
     def __init__(self, table: pa.Table):
         self.ids, self.texts = _texts(table)
@@ -100,18 +110,52 @@ class _Bucket:
             row, start, end, least, own = find_runs(raw, offsets)
             parts.append((row + lo, start - offsets[row], end - offsets[row], least, own))
         row, start, end, least, own = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 5
-        order = np.lexsort([row, own, least])
+        order = np.lexsort([row, own, least])  # rows stand in order of their ids
         self.row, self.start, self.end, self.least, self.own = row[order], start[order], end[order], least[order].astype(np.uint64), own[order].astype(np.uint64)
         fresh = np.ones(len(order), bool)
         fresh[1:] = (self.least[1:] != self.least[:-1]) | (self.own[1:] != self.own[:-1])
         self.entry_at = np.flatnonzero(fresh)
         self.entry = np.cumsum(fresh) - 1
 
-    def shards(self, n: int):
-        """(shard, entries from, to): minimizers are dealt by range, so a shard's entries lie together."""
-        bounds = np.searchsorted(self.least[self.entry_at], (np.arange(n + 1, dtype=np.uint64) << np.uint64(40)) // np.uint64(n))
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            yield k, int(bounds[k]), int(bounds[k + 1])
+    def several(self) -> np.ndarray:
+        """Of each entry: do several documents have it?"""
+        last = np.append(self.entry_at[1:], len(self.row)) - 1 if len(self.entry_at) else self.entry_at
+        return self.ids[self.row[last]] > self.ids[self.row[self.entry_at]]
+
+
+def _ranges(keys: np.ndarray, n: int):
+    """(range, from, to) of ordered 40-bit keys dealt into n ranges, those that hold some."""
+    bounds = np.searchsorted(keys, (np.arange(n + 1, dtype=np.uint64) << np.uint64(40)) // np.uint64(n))
+    for k in np.flatnonzero(np.diff(bounds)).tolist():
+        yield k, int(bounds[k]), int(bounds[k + 1])
+
+
+def _united(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, from, to) with overlapping and touching ranges of one owner made one, in order."""
+    order = np.lexsort([lo, owner])
+    owner, lo, hi = owner[order], lo[order], hi[order]
+    if not len(owner):
+        return owner, lo, hi
+    fresh = np.append(True, owner[1:] != owner[:-1])
+    group = np.cumsum(fresh) - 1
+    lift = int(hi.max()) + 1  # so that a running maximum does not reach from one owner into the next
+    reach = np.maximum.accumulate(hi + group * lift) - group * lift
+    fresh[1:] |= lo[1:] > reach[:-1]
+    return owner[fresh], lo[fresh], reach[np.append(fresh[1:], True)]
+
+
+def _bytes_at(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """raw[begin:begin + size] of all ranges, one after another."""
+    total = int(size.sum())
+    return raw[np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)] if total else raw[:0]
+
+
+def _short(x: np.ndarray) -> bytes:
+    return x.astype(np.int32).tobytes()  # places within a bucket and within a text
+
+
+def _long(rows: list[dict], column: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(r[column], np.int32) for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -124,10 +168,15 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-ENTRIES = "shard int, bucket int, least binary, own binary, ids binary, id_at binary"
+ENTRIES = "shard int, bucket int, least binary, print binary, several binary"
 REPLIES = "bucket int, shard int, flags binary"
-SENT = "key int, kind int, bucket int, least binary, ids binary, starts binary, ends binary, content binary"
-CUTS = "bucket int, ids binary, starts binary, ends binary"
+SENT = "key int, kind int, bucket int, least binary, ids binary, places binary, starts binary, ends binary, content binary"
+CUTS = "bucket int, places binary, starts binary, ends binary"
+
+
+def _rows(rows: list[tuple], ddl: str) -> pa.Table:
+    schema = _schema(ddl)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -153,107 +202,112 @@ def _repeated(text: np.ndarray, size: np.ndarray, ids: np.ndarray) -> tuple[np.n
     return seg[head], off[head], off[tail] + LENGTH
 
 
-def _steps(n_shards: int):
+def _steps(n_shards: int, n_cells: int):
     def entries(table: pa.Table) -> pa.Table:
         b = _Bucket(table)
-        rows = []
-        for k, lo, hi in b.shards(n_shards):
-            at = b.entry_at[lo:hi]
-            ids, which = np.unique(b.ids[b.row[at]], return_inverse=True)
-            rows.append((k, table.column("bucket")[0].as_py(), _narrow(b.least[at]), _narrow(b.own[at]), ids.tobytes(), which.astype(np.uint16 if len(ids) < 65536 else np.uint32).tobytes()))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, _schema(ENTRIES), strict=True)], schema=_schema(ENTRIES))
+        least, mark, several = b.least[b.entry_at], (b.own[b.entry_at] >> np.uint64(48)).astype(np.uint16), b.several()
+        bucket = table.column("bucket")[0].as_py()
+        return _rows([(k, bucket, _narrow(least[lo:hi]), mark[lo:hi].tobytes(), np.packbits(several[lo:hi]).tobytes()) for k, lo, hi in _ranges(least, n_shards)], ENTRIES)
 
     def reply(table: pa.Table) -> pa.Table:
-        """Per entry: 1 if a smaller document has the run, else 2 if other runs have the minimizer, else 0."""
+        """Per entry: 0 if no other document can have its windows, 1 if one may, 2 if the minimizer is hot besides."""
         rows = table.to_pylist()
-        least, own = (np.concatenate([_wide(r[c]) for r in rows]) for c in ("least", "own"))
+        least = np.concatenate([_wide(r["least"]) for r in rows])
+        mark = np.concatenate([np.frombuffer(r["print"], np.uint16) for r in rows])
         size = [len(r["least"]) // 5 for r in rows]
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["id_at"], np.uint16 if len(r["ids"]) < 65536 * 8 else np.uint32)] for r in rows])
-        order = np.lexsort([ids, own, least])
-        least, own, ids = least[order], own[order], ids[order]
-        new_least = np.ones(len(order), bool)
-        new_least[1:] = least[1:] != least[:-1]
-        new_run = new_least.copy()
-        new_run[1:] |= own[1:] != own[:-1]
-        smallest = ids[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
-        group = np.cumsum(new_least) - 1
-        several = np.bincount(group, new_run)[group] > 1
+        several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=n).astype(bool) for r, n in zip(rows, size, strict=True)])
+        order = np.lexsort([mark, least])
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = least[order][1:] != least[order][:-1]
+        other = fresh.copy()
+        other[1:] |= mark[order][1:] != mark[order][:-1]
+        group = np.cumsum(fresh) - 1
+        again = (np.bincount(group) > 1) | (np.bincount(group, several[order]) > 0)
+        hot = np.bincount(group, other) > HOT
         flags = np.empty(len(order), np.uint8)
-        flags[order] = np.where(ids > smallest, 1, np.where(several, 2, 0))
+        flags[order] = (again.astype(np.uint8) + (again & hot))[group]
         cut = np.cumsum([0, *size])
-        told = [(r["bucket"], r["shard"], flags[a:z].tobytes()) for r, a, z in zip(rows, cut, cut[1:], strict=False) if flags[a:z].any()]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told, strict=True) if told else [[]] * 3, _schema(REPLIES), strict=True)], schema=_schema(REPLIES))
+        return _rows([(r["bucket"], r["shard"], flags[a:z].tobytes()) for r, a, z in zip(rows, cut, cut[1:], strict=False) if flags[a:z].any()], REPLIES)
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
-        """Kind 0: cuts that are settled, to their bucket.  Kind 1: runs whose windows must be compared, to their shard."""
-        out = []
-        if table.num_rows:
-            b = _Bucket(table)
-            bucket = table.column("bucket")[0].as_py()
-            flags = np.zeros(len(b.entry_at), np.uint8)
-            told = {r["shard"]: r["flags"] for r in replies.to_pylist()}
-            for k, lo, hi in b.shards(n_shards):
-                if k in told:
-                    flags[lo:hi] = np.frombuffer(told[k], np.uint8)
-            own_ids = b.ids[b.row]
-            smallest = own_ids[b.entry_at][b.entry]
-            gone = (flags[b.entry] == 1) | (own_ids > smallest)
-            out.append((bucket, 0, bucket, b"", own_ids[gone].tobytes(), b.start[gone].tobytes(), b.end[gone].tobytes(), b""))
-            raw, offsets = wordhash.buffers(b.texts)
-            asked = (flags[b.entry] == 2) & ~gone
-            for k, lo, hi in b.shards(n_shards):
-                at = np.arange(b.entry_at[lo], b.entry_at[hi] if hi < len(b.entry_at) else len(b.row))
-                at = at[asked[at]]
-                if len(at):
-                    begin = offsets[b.row[at]]
-                    content = b"".join(raw[x:y].tobytes() for x, y in zip((begin + b.start[at]).tolist(), (begin + b.end[at]).tolist(), strict=True))
-                    out.append((k, 1, bucket, _narrow(b.least[at]), own_ids[at].tobytes(), b.start[at].tobytes(), b.end[at].tobytes(), content))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 8, _schema(SENT), strict=True)], schema=_schema(SENT))
+        """Kind 0: cuts that are settled, to their bucket.  Kind 1: bytes whose windows are to be compared, to a cell."""
+        if not table.num_rows:
+            return _rows([], SENT)
+        b = _Bucket(table)
+        bucket = table.column("bucket")[0].as_py()
+        flags = np.zeros(len(b.entry_at), np.uint8)
+        told = {r["shard"]: r["flags"] for r in replies.to_pylist()}
+        for k, lo, hi in _ranges(b.least[b.entry_at], n_shards):
+            if k in told:
+                flags[lo:hi] = np.frombuffer(told[k], np.uint8)
+        flag = flags[b.entry]
+        raw, offsets = wordhash.buffers(b.texts)
+        out, gone = [], []
+
+        def asked(row: np.ndarray, start: np.ndarray, end: np.ndarray, least: np.ndarray, keys: np.ndarray) -> None:
+            """Ranges in order of (least, document): cut what a smaller document of the bucket has, send the others."""
+            begin = offsets[row] + start
+            first = wordhash.exact_ranges(raw, begin, begin + end - start, keys)
+            own = b.ids[row]
+            repeated = own > own[first]
+            gone.append((row[repeated], start[repeated], end[repeated]))
+            row, start, end, least, begin = (x[~repeated] for x in (row, start, end, least, begin))
+            for k, lo, hi in _ranges(least, n_cells):
+                out.append((k, 1, bucket, _narrow(least[lo:hi]), b.ids[row[lo:hi]].tobytes(), _short(row[lo:hi]), _short(start[lo:hi]), _short(end[lo:hi]), _bytes_at(raw, begin[lo:hi], end[lo:hi] - start[lo:hi]).tobytes()))
+
+        at = np.flatnonzero(flag == 1)
+        asked(b.row[at], b.start[at], b.end[at], b.least[at], b.own[at])
+        hot = np.flatnonzero(flag == 2)
+        windows = b.end[hot] - b.start[hot] - LENGTH + 1
+        for lo, hi in slices(windows, HOT_WINDOWS):  # what repeats across slices is for the cells to find
+            at, n = hot[lo:hi], windows[lo:hi]
+            row, start = np.repeat(b.row[at], n), np.repeat(b.start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            number = wordhash.of_windows(raw, offsets[row] + start, LENGTH)
+            order = np.lexsort([row, number])
+            asked(row[order], start[order], start[order] + LENGTH, number[order] >> SMALL_BITS, number[order])
+        row, lo, hi = _united(*(np.concatenate(x) for x in zip(*gone, strict=True)))
+        if len(row):
+            out.append((bucket, 0, bucket, b"", b"", _short(row), _short(lo), _short(hi), b""))
+        return _rows(out, SENT)
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = [(r["bucket"], r["ids"], r["starts"], r["ends"]) for r in rows if r["kind"] == 0]
+        out = [(r["bucket"], r["places"], r["starts"], r["ends"]) for r in rows if r["kind"] == 0]
         rows = [r for r in rows if r["kind"] == 1]
         if rows:
             least = np.concatenate([_wide(r["least"]) for r in rows])
-            ids, starts, ends = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("ids", "starts", "ends"))
+            ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
+            places, starts, ends = (_long(rows, c) for c in ("places", "starts", "ends"))
             bucket = np.repeat([r["bucket"] for r in rows], [len(r["ids"]) // 8 for r in rows])
             text = np.frombuffer(b"".join(r["content"] for r in rows), np.uint8)
             del rows
             size = ends - starts
             begin = np.cumsum(size) - size
-            order = np.argsort(least, kind="stable")  # equal windows have equal minimizers: these stay together
-            last = np.append(least[order][1:] != least[order][:-1], True)
+            order = np.argsort(least, kind="stable")  # equal windows have equal keys: these stay together
+            last = np.flatnonzero(np.append(least[order][1:] != least[order][:-1], True))
             total = np.cumsum(size[order])
-            cuts, done = [0], 0
-            for k in np.flatnonzero(last).tolist():
-                if total[k] - done >= COMPARED_BYTES or k == len(order) - 1:
-                    cuts.append(k + 1)
-                    done = total[k]
-            for x, y in zip(cuts, cuts[1:], strict=False):
+            x = 0
+            while x < len(order):
+                done = total[x - 1] if x else 0
+                y = int(last[min(np.searchsorted(last, min(np.searchsorted(total, done + COMPARED_BYTES), len(order) - 1)), len(last) - 1)]) + 1
                 own = order[x:y]
-                seg, lo, hi = _repeated(np.concatenate([text[p : p + n] for p, n in zip(begin[own].tolist(), size[own].tolist(), strict=True)]), size[own], ids[own])
+                x = y
+                seg, lo, hi = _repeated(_bytes_at(text, begin[own], size[own]), size[own], ids[own])
                 seg = own[seg]
                 for k in np.unique(bucket[seg]).tolist():
-                    at = bucket[seg] == k
-                    out.append((k, ids[seg[at]].tobytes(), (starts[seg[at]] + lo[at]).tobytes(), (starts[seg[at]] + hi[at]).tobytes()))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, _schema(CUTS), strict=True)], schema=_schema(CUTS))
+                    at = np.flatnonzero(bucket[seg] == k)
+                    out.append((k, _short(places[seg[at]]), _short(starts[seg[at]] + lo[at]), _short(starts[seg[at]] + hi[at])))
+        return _rows(out, CUTS)
 
     def cut(table: pa.Table, cuts: pa.Table) -> pa.Table:
         ids, texts = _texts(table)
         rows = cuts.to_pylist()
-        which, lo, hi = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) if rows else np.empty(0, np.int64) for c in ("ids", "starts", "ends"))
-        order = np.lexsort([lo, which])
-        which, lo, hi = which[order], lo[order], hi[order]
-        first, last = np.searchsorted(which, ids), np.searchsorted(which, ids, side="right")
+        which, lo, hi = _united(*(_long(rows, c) for c in ("places", "starts", "ends")))
+        first, last = (np.searchsorted(which, np.arange(len(ids)), side=s) for s in ("left", "right"))
         out = []
         for k, s in enumerate(texts.to_pylist()):
             data = s.encode()
-            a, z = first[k], last[k]
-            reach = np.maximum.accumulate(np.minimum(hi[a:z], len(data)))
-            fresh = np.ones(z - a, bool)
-            fresh[1:] = lo[a:z][1:] > reach[:-1]
-            begin, end = lo[a:z][fresh].tolist(), reach[np.append(fresh[1:], True) if z > a else fresh].tolist()
+            begin, end = lo[first[k] : last[k]].tolist(), hi[first[k] : last[k]].tolist()
             kept = b"".join(data[x:y] for x, y in zip([0, *end], [*begin, len(data)], strict=True))
             out.append((len(data), len(data) - len(kept), len(begin), begin, end, hashlib.sha256(kept).hexdigest()))
         n_bytes, n_removed, n_spans, begin, end, digest = zip(*out, strict=True) if out else [[]] * 6
@@ -267,8 +321,9 @@ def repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_bytes, n_removed, n_spans, span_starts, span_ends, kept_sha256): spans are the removed byte ranges."""
     docs = documents_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, shuffle_width(df.sparkSession), -(-total // BUCKET_BYTES))
-    entries, reply, send, compare, cut = _steps(n)
+    width = shuffle_width(df.sparkSession)
+    n = max(1, width, -(-total // BUCKET_BYTES))
+    entries, reply, send, compare, cut = _steps(max(1, min(width, n), -(-total // SHARD_BYTES)), max(1, width, -(-total // CELL_BYTES)))
     dealt = docs.filter("doc_id is not null").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     replies = dealt.groupBy("bucket").applyInArrow(entries, ENTRIES).groupBy("shard").applyInArrow(reply, REPLIES)
     sent = dealt.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(send, SENT)

@@ -161,5 +161,25 @@ def test_substrings_that_overlap_and_repeat(spark, monkeypatch):
     assert cut(spark.createDataFrame(rows, "doc_id long, text string")) == cut_by_force(rows)
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    shared = "the passage that several documents share, well over fifty bytes long, word for word"
+    rows = [(1, shared), (2, "a " + shared), (2, shared + " b"), (2, "nothing of the kind is in this text, however long it may grow here"), (3, "x"), (2, "a " + shared)]
+    assert cut(spark.createDataFrame(rows, "doc_id long, text string")) == cut_by_force(rows)
+
+
+def test_one_string_in_thousands_of_surroundings(spark, monkeypatch):
+    """A hot minimizer: its windows are dealt by their own hashes; some surroundings repeat in other documents."""
+    r = random.Random(21)
+    # a string whose hash is small, so that it is the smallest in nearly every window that holds it
+    hot = next(s for k in range(10**6) if sd.gram_numbers(np.frombuffer((s := f"twentybytes{k:09}").encode(), np.uint8))[0] < 2**64 // 1000)
+    around = ["".join(r.choice("abcdefgh") for _ in range(30)) + hot + "".join(r.choice("abcdefgh") for _ in range(30)) for _ in range(1500)]
+    rows = [(k, "".join(r.choice(around) for _ in range(3)) + str(k)) for k in range(900)]
+    monkeypatch.setattr(sd, "HOT", 20)
+    monkeypatch.setattr(sd, "HOT_WINDOWS", 3000)
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 20000)
+    monkeypatch.setattr(sd, "CELL_BYTES", 9000)
+    assert cut(spark.createDataFrame(rows, "doc_id long, text string")) == cut_by_force(rows)
+
+
 def test_schema_matches_documents():
     assert DOCUMENTS.startswith("doc_id long")
