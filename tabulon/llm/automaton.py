@@ -78,7 +78,8 @@ class LazyTransducer:
     """States and transitions of a MergeVocabulary, made when first met.
 
     resets: symbols from this number on end a word; after them the state is START.
-    max_states: the tables are emptied between batches beyond this, as lazy regular-expression automata do.
+    max_states: the tables are emptied beyond this, in the midst of a run too, as lazy regular-expression automata do;
+    the states that are still needed are numbered anew.
     """
 
     START = 0
@@ -119,6 +120,7 @@ class LazyTransducer:
     def _clear(self) -> None:
         self._states: list[tuple[int, tuple, tuple]] = [(0, (-1,), (0,))]
         self._number = {self._states[0]: 0}
+        self._most = self.max_states
         self.last_token = np.full(1024, -1, np.int32)
         self._allocate(1 << 16)
 
@@ -128,10 +130,27 @@ class LazyTransducer:
         self._emit = np.zeros(size, np.int16)
         self._shift, self._mask, self._filled = np.uint64(64 - size.bit_length() + 1), size - 1, 0
 
-    def tidy(self) -> None:
-        """To be called between batches only: state numbers do not survive it."""
-        if len(self._states) > self.max_states:
-            self._clear()
+    def tidy(self, *needed: np.ndarray) -> None:
+        """Empty the tables if they are large; arrays of states that are still needed are changed to the new numbers."""
+        if len(self._states) <= self._most:
+            return
+        used = np.unique(np.concatenate([np.zeros(1, np.int32), *needed]))
+        kept = [self._states[k] for k in used.tolist()]
+        self._clear()
+        numbers = np.array([self._register(c) for c in kept], np.int32)
+        for states in needed:
+            states[:] = numbers[np.searchsorted(used, states)]
+        self._most = max(self.max_states, 2 * len(kept))
+
+    def _register(self, config: tuple[int, tuple, tuple]) -> int:
+        number = self._number.get(config)
+        if number is None:
+            number = self._number[config] = len(self._states)
+            self._states.append(config)
+            if number >= len(self.last_token):
+                self.last_token = np.concatenate([self.last_token, np.full(len(self.last_token), -1, np.int32)])
+            self.last_token[number] = config[1][0]
+        return number
 
     def _goto(self, node: int, symbol: int) -> int:
         n, edge = self.n_symbols, self._edge
@@ -157,15 +176,7 @@ class LazyTransducer:
         if symbol >= self.resets:
             return self.START, emitted
         keep = self._depth[new]
-        config = (new, (token, *tokens[:keep]), (0, *(c - emitted for c in counts[:keep])))
-        number = self._number.get(config)
-        if number is None:
-            number = self._number[config] = len(self._states)
-            self._states.append(config)
-            if number >= len(self.last_token):
-                self.last_token = np.concatenate([self.last_token, np.full(len(self.last_token), -1, np.int32)])
-            self.last_token[number] = token
-        return number, emitted
+        return self._register((new, (token, *tokens[:keep]), (0, *(c - emitted for c in counts[:keep])))), emitted
 
     def _insert(self, keys: np.ndarray, nxt: np.ndarray, emit: np.ndarray) -> None:
         if 2 * (self._filled + len(keys)) > self._mask:
@@ -216,9 +227,10 @@ class LazyTransducer:
             slot, _ = self._find(keys)
         return self._next[slot], self._emit[slot]
 
-    def run(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray, tokens: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def run(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray, tokens: np.ndarray | None = None, needed: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
         """Run over symbols[starts:ends] of every lane from its entry state: exit states and emitted counts.
 
+        needed: further arrays of states that must stay valid if the tables are emptied on the way.
         tokens: if given, gets at each symbol's place the token that ends there in the best segmentation up to it.
         """
         length = ends - starts
@@ -228,6 +240,7 @@ class LazyTransducer:
         if len(order):
             alive_at = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")
             for step, alive in enumerate(alive_at.tolist()):
+                self.tidy(state, *needed)
                 new, emitted = self.advance(state[:alive], symbols[at[:alive] + step])
                 state[:alive] = new
                 count[:alive] += emitted

@@ -84,5 +84,13 @@ def read_back(formatted: DataFrame, template: ChatTemplate | None = None) -> Dat
         text = F.substring(p, at + len(t.open_right), F.length(p))
         return F.struct(unescape(role, t).alias("role"), unescape(text, t).alias("text"))
 
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], t))
+    # the mask as ranges of the formatted text: running lengths of the segments, kept where they bear loss
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("kept"))
+
+    def step(acc: Column, s: Column) -> Column:
+        own = F.struct(acc["at"].alias("at"), F.length(s["text"]).alias("n"))
+        return F.struct((acc["at"] + own["n"]).alias("at"), F.when(s["loss"], F.concat(acc["kept"], F.array(own))).otherwise(acc["kept"]).alias("kept"))
+
+    mask = F.aggregate("segments", start, step, lambda acc: acc["kept"])
+    loss = F.transform(mask, lambda m: unescape(F.substring(F.col("formatted"), m["at"], m["n"]), t))
     return formatted.withColumn("turns", F.transform(pieces, turn)).withColumn("loss_text", _joined(loss))

@@ -27,7 +27,7 @@ from tabulon.llm.automaton import LazyTransducer, MergeVocabulary
 from tabulon.llm.shared import SLICE_BYTES, documents_of, slices
 
 BLANK = "▁"
-NORMAL, BYTE = 1, 6  # fixed values: piece types of the model format
+NORMAL, BYTE, BPE = 1, 6, 2  # fixed values: piece types and the model kind of the model format
 
 
 def _fields(buf: bytes):
@@ -56,9 +56,15 @@ def _fields(buf: bytes):
 
 
 def read_model(data: bytes) -> list[tuple[str, float, int]]:
-    """(piece, score, type) by id."""
+    """(piece, score, type) by id.  Models of another kind than BPE, and such that change characters first, are refused."""
     pieces = []
     for number, value in _fields(data):
+        if number == 2 and dict(_fields(value)).get(3, 1) != BPE:
+            raise ValueError("a model of SentencePiece's BPE kind is expected")
+        if number == 3:
+            f = dict(_fields(value))
+            if f.get(2) or not f.get(3, 1) or f.get(4, 1) or not f.get(5, 1):
+                raise ValueError("the model changes characters before it encodes; only a blank put first is supported")
         if number == 1:
             p = dict(_fields(value))
             pieces.append((p[1].decode(), struct.unpack("<f", p.get(2, b"\0\0\0\0"))[0], p.get(3, NORMAL)))

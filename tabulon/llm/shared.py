@@ -1,40 +1,19 @@
-"""Helpers that several training-data operators use: the shared folder, stored stages and empty-safe columns."""
+"""Helpers that several training-data operators use: stored stages, slices of texts and empty-safe columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.sources.scratch import stored  # noqa: F401  the operators write their stages with it
+
 #: about so many bytes of text are worked on at once in a task (one text at least)
 SLICE_BYTES = 400_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        folder = context.getCheckpointDir()
-        if not folder:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tabulon-"))
-            folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage to the shared folder and read it back: cuts lineage, survives lost executors, is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, so that extra or clashing columns cannot matter; a null text is an empty one."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

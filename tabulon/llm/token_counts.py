@@ -14,6 +14,7 @@ inside a text count as one token each, as the library does by default.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -60,6 +61,8 @@ class TokenCounter:
         if model["type"] != "BPE" or not suffix:
             raise ValueError("a byte-level BPE file with an end-of-word suffix is expected")
         self.specials = [a["content"] for a in t["added_tokens"]]
+        # leftmost, of those that begin at one place the longest; without any, a pattern that never matches
+        self.special = re.compile("|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or r"(?!)")
 
         def symbols(token: str) -> tuple[int, ...]:
             ended = token.endswith(suffix) and token != suffix
@@ -115,13 +118,8 @@ class TokenCounter:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of every text."""
-        extra = np.zeros(len(texts), np.int64)
-        plain = list(texts)
-        for special in self.specials:
-            for i, s in enumerate(plain):
-                if special in s:
-                    extra[i] += s.count(special)
-                    plain[i] = s.replace(special, "\n")
+        cut = [self.special.subn("\n", s) for s in texts]
+        plain, extra = [s for s, _ in cut], np.array([n for _, n in cut], np.int64)
         symbols, ends = self._stream(plain)
         self.machine.tidy()
         return extra + self._compose(symbols, ends)
@@ -145,7 +143,7 @@ class TokenCounter:
             right = left + 1
             whole = fixed[left]  # else the left map is all head, and the right one's head continues it
             a, b = left[whole], right[whole]
-            state, emitted = machine.run(symbols, head_lo[b], head_hi[b], exit_state[a])
+            state, emitted = machine.run(symbols, head_lo[b], head_hi[b], exit_state[a], needed=(exit_state,))
             exit_state[a] = np.where(fixed[b], exit_state[b], state)
             count[a] += emitted + count[b]
             a, b = left[~whole], right[~whole]

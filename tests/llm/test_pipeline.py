@@ -10,17 +10,33 @@ def test_every_query_is_registered():
 
 
 def test_stages_take_odd_rows(spark, odd, none, tmp_path):
-    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 11)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 11)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "lazy dog and runs away from it")], "item_id long, text string")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES:
         for docs in (odd, none):
             out = stage(spark, docs, str(tmp_path))
-            rows = out.collect()
-            assert len(rows) <= docs.count()
+            rows, given = out.collect(), docs.collect()
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns
+                if name != "secret scans":
+                    assert {tuple(r) for r in rows} <= {tuple(r) for r in given}
+            want = {"n-gram Jaccard join": [None, 1, 3, 4, 5, 6, 7, 9, 10], "benchmark decontamination": [None, 3, 4, 5, 6, 7, 8, 9, 10]}.get(name)
+            got = sorted((r.doc_id for r in rows), key=lambda x: (x is not None, x))
+            if docs is odd and want:
+                assert got == want
+            elif docs is odd and name in ("secret scans", "SentencePiece encoding"):
+                assert got == sorted((r.doc_id for r in given), key=lambda x: (x is not None, x))
+
+
+def test_stages_judge_rows_that_share_an_id(spark, tmp_path):
+    a, b = "one two three four five six seven eight nine ten eleven", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, b, "en", "s", 1), (None, a, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, b)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    by_name = dict(corpus_pipeline.STAGES)
+    assert sorted(((r.doc_id or 0), r.text) for r in by_name["n-gram Jaccard join"](spark, docs, "").collect()) == sorted([(0, a), (1, a), (1, b)])
+    assert sorted(((r.doc_id or 0), r.text) for r in by_name["benchmark decontamination"](spark, docs, str(tmp_path)).collect()) == [(0, a), (1, a)]
 
 
 def test_stage_decisions(spark, tmp_path):

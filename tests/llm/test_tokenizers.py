@@ -40,7 +40,7 @@ def test_chunk_maps_compose_alike_for_any_chunk_length(monkeypatch):
 def test_tables_can_be_emptied_between_batches():
     counter = tc.TokenCounter(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     want = counter.counts(texts(3, 50)).tolist()
-    counter.machine.max_states = 10
+    counter.machine.max_states = counter.machine._most = 10
     assert counter.counts(texts(3, 50)).tolist() == want
 
 
@@ -54,6 +54,27 @@ def test_pieces_equal_the_library_and_decode():
     assert [codec.decode(x) for x in got] == sp.decode(got)
 
 
+def test_tables_stay_bounded_within_one_long_text():
+    counter = tc.TokenCounter(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    r = random.Random(5)
+    text = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12000)), "".join(r.choice(LETTERS) for _ in range(5000))]
+    want = [len(e.ids) for e in Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode_batch(text, add_special_tokens=False)]
+    counter.machine.max_states = counter.machine._most = 300
+    assert counter.counts(text).tolist() == want and len(counter.machine._states) < 2000
+    codec, sp = sc.PieceCodec(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    codec.machine.max_states = codec.machine._most = 300
+    ids, ends = codec.encode(text)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == sp.encode(text) and len(codec.machine._states) < 5000
+
+
+def test_models_of_other_kinds_are_refused():
+    data = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    assert len(sc.read_model(data)) == 32000
+    for wrong in (b"\x12\x02\x18\x01", b"\x1a\x03\x12\x01x", b"\x1a\x02\x18\x00"):
+        with pytest.raises(ValueError):
+            sc.read_model(data + wrong)
+
+
 def test_odd_rows(spark, odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = tc.token_counts(odd, path).collect()
