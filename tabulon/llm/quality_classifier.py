@@ -9,7 +9,7 @@ one of them is computed exactly, in blocks, and the nearest vote with weights th
 Only rows whose crc32(doc_id as text) mod 4 is not 2 teach.  FIT_ROWS bounds the sample (the rows with the smallest
 hashes of their id); document frequencies come from all texts.  Defined results: a null, empty or wordless text scores
 the sample's share of label 1; without usable labels every score is 0.5; labels of repeated rows that contradict each
-other teach nothing; repeated rows are scored alike; an empty table gives no rows; further columns are ignored.
+other teach nothing; of several texts with one id the smallest teaches; repeated rows are scored alike; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Neighbo
     taught = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other")
     taught = stored(taught.filter(~is_held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id", "label"), "fit-rows")
     # fit_rows is the bound of what is broadcast and of what comes to the driver
-    rows = docs.join(F.broadcast(taught), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text").mapInArrow(_sparse, "label int, at binary, counts binary").collect()
+    rows = docs.join(F.broadcast(taught), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "label", "text").mapInArrow(_sparse, "label int, at binary, counts binary").collect()
     rows.sort(key=lambda r: (bytes(r["at"]), bytes(r["counts"]), r["label"]))
     counts = np.zeros((len(rows), DIMS), np.int32)
     for x, r in zip(counts, rows, strict=True):
