@@ -203,11 +203,14 @@ def _dealt(df: DataFrame, blocks: Column) -> DataFrame:
 
 
 def _components(nodes: DataFrame) -> DataFrame:
-    """(node, label): components of the pairs that share a band and survive the pruning; lone nodes have no row."""
+    """(node, label): components of the pairs that share a band and survive the pruning; lone nodes have no row.
+
+    Joins whose smaller side grows with the data are merge joins at every size.
+    """
     width = shuffle_width(nodes.sparkSession)
     exploded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("c")).filter("c > 1")
-    members = stored(exploded.join(buckets, "key").select("key", "node", "least", "c"), "members")
+    members = stored(exploded.join(buckets.hint("merge"), "key").select("key", "node", "least", "c"), "members")
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     sig = nodes.select("node", "sig")
     pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
@@ -285,7 +288,7 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = facts.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     placed = facts.join(size, "label").select(F.col("label").alias("component"), "node", F.col("least_id").alias("doc_id"), "copies", "digest", blocks.alias("blocks"))
-    placed = _dealt(docs.join(placed, "doc_id"), F.col("blocks")).select("component", "bi", "bj", "block", "node", "copies", "digest", "text")
+    placed = _dealt(docs.join(placed.hint("merge"), "doc_id"), F.col("blocks")).select("component", "bi", "bj", "block", "node", "copies", "digest", "text")
     placed = placed.repartition(shuffle_width(docs.sparkSession), "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
     compared = stored(placed.mapInArrow(_compare, "node long, links long, root long"), "compared")
     labels = connected(compared.select(F.col("node").alias("a"), F.col("root").alias("b")))
