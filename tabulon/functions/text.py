@@ -89,3 +89,28 @@ def without_tags(html: Column | str) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(char))
     return squeezed(t)
+
+
+DATE_SETTINGS = r"(?i)\b(set for|reset (?:for|to)|continued to|rescheduled (?:for|to)|due (?:by|on))\s+(\d{1,2}/\d{1,2}/\d{4})(?:\s+at\s+(\d{1,2}:\d{2}\s*[AP]M))?((?:[^.]{0,60}?\bvacated\b)?)"
+
+
+def docket_dates(c: Column | str) -> Column:
+    """array<struct<phrase, date, time, vacated>>: the dates that a docket entry sets, in order; impossible days are left out."""
+    found = F.regexp_extract_all(_col(c), F.lit(DATE_SETTINGS), F.lit(0))
+
+    def one(m: Column) -> Column:
+        part = [F.regexp_extract(m, DATE_SETTINGS, k) for k in range(1, 5)]
+        return F.struct(F.lower(part[0]).alias("phrase"), F.try_to_date(part[1], "M/d/yyyy").alias("date"), F.nullif(part[2], F.lit("")).alias("time"), (part[3] != "").alias("vacated"))
+
+    return F.filter(F.transform(found, one), lambda d: d["date"].isNotNull())
+
+
+def backed_sentences(summary: Column | str, source: Column | str) -> Column:
+    """The sentences of a summary whose numbers, scaled words included, all stand in the source."""
+    known = numbers(source)
+    return F.filter(sentences(summary), lambda s: F.size(F.array_except(numbers(s), known)) == 0)
+
+
+def cleaned(c: Column | str) -> Column:
+    """A text for embedding: control characters and heading marks out, white space shrunk."""
+    return squeezed(F.regexp_replace(_col(c), r"[\x00-\x08\x0E-\x1F\x7F]", " "))

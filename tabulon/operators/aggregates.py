@@ -107,6 +107,26 @@ def tree_check(df: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     return both.withColumn("state", F.when(F.col("own") == F.col("children"), "whole").when(F.col("own") > F.col("children"), "short").otherwise("over"))
 
 
+def watch_summary(df: DataFrame, unit: str, day: str, outcome: str, good: str, as_of: Column) -> DataFrame:
+    """(month, good, other, units, partial): outcomes of each month from the first to the last, months without any as
+    zeros; units are distinct within the month; the month of the as-of date and later ones are partial."""
+    d = df.filter(F.col(day).isNotNull()).withColumn("month", F.to_date(F.date_trunc("month", F.col(day))))
+    span = d.agg(F.min("month").alias("a"), F.max("month").alias("z"))  # one row
+    spine = span.select(F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    n = d.groupBy("month").agg(F.count_if(F.col(outcome) == good).alias("good"), F.count_if(~F.col(outcome).eqNullSafe(F.lit(good))).alias("other"), F.countDistinct(unit).alias("units"))
+    out = spine.join(n, "month", "left").na.fill(0, ["good", "other", "units"])
+    return out.withColumn("partial", F.col("month") >= F.to_date(F.date_trunc("month", as_of)))
+
+
+def board(places: DataFrame, vacancies: DataFrame, months: DataFrame, key: str) -> DataFrame:
+    """places with a pending load, and beside each its vacancies (key, status, days) and vacant months (key, months, rank).
+
+    open and announced are counted, longest_open is the largest number of days; places without any show 0 and null.
+    """
+    v = vacancies.groupBy(key).agg(F.count_if(F.col("status") == "open").alias("open"), F.count_if(F.col("status") == "announced").alias("announced"), F.max("days").alias("longest_open"))
+    return places.filter("pending > 0").join(v, key, "left").join(months, key, "left").na.fill(0, ["open", "announced"])
+
+
 def path_flows(df: DataFrame, path: str) -> DataFrame:
     """(step, src, dst, n): moves between neighbouring entries of array paths."""
     pair = F.arrays_zip(F.slice(F.col(path), F.lit(1), F.greatest(F.size(path) - 1, F.lit(0))).alias("src"), F.slice(F.col(path), F.lit(2), F.greatest(F.size(path) - 1, F.lit(0))).alias("dst"))

@@ -61,23 +61,23 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
 
 
 def cumulated(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, n, before, total, part): how many of a group's rows have each value, and how many a smaller one.
+    """(keys, value, _n, _before, _total, _part): how many of a group's rows have each value, and how many a smaller one.
 
     A group of any size is spread over range partitions of its distinct values; only partition totals are put in line.
     """
     from tabulon.sources.scratch import stored
 
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    ranged = stored(counted.repartitionByRange(*keys, value).withColumn("part", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy(*keys, "part").agg(F.sum("n").alias("_s"))  # a row per group and partition that holds some of it
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranged = stored(counted.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))  # a row per group and partition that holds some of it
     w = Window.partitionBy(*keys)
-    ahead = F.sum("_s").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")
-    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("part").alias("_part"), ahead.alias("_ahead"), F.sum("_s").over(w).alias("total"))
-    same = F.col("part") == F.col("_part")
+    ahead = F.sum("_s").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")
+    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), ahead.alias("_ahead"), F.sum("_s").over(w).alias("_total"))
+    same = F.col("_part") == F.col("_p")
     for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    inside = F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return ranged.join(sums, same).withColumn("before", inside + F.col("_ahead")).select(*keys, value, "n", "before", "total", "part")
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    return ranged.join(sums, same).withColumn("_before", inside + F.col("_ahead")).select(*keys, value, "_n", "_before", "_total", "_part")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -85,11 +85,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     c = cumulated(df, keys, value).withColumn("_v", F.col(value).cast("double"))
     marks = []
     for name, p in shares.items():
-        at = (F.col("total") - 1) * F.lit(float(p))
+        at = (F.col("_total") - 1) * F.lit(float(p))
         for end, place in (("a", F.floor(at)), ("z", F.ceil(at))):
-            marks.append(F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("_v"))).alias(f"{name}_{end}"))
-    g = c.groupBy(*keys).agg(F.max("total").alias("_n"), *marks)
-    part = {name: (F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p))) for name, p in shares.items()}
+            marks.append(F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), F.col("_v"))).alias(f"{name}_{end}"))
+    g = c.groupBy(*keys).agg(F.max("_total").alias("_rows"), *marks)
+    part = {name: (F.col("_rows") - 1) * F.lit(float(p)) - F.floor((F.col("_rows") - 1) * F.lit(float(p))) for name, p in shares.items()}
     return g.select(*keys, *[(F.col(f"{n}_a") + part[n] * (F.col(f"{n}_z") - F.col(f"{n}_a"))).alias(n) for n in shares])
 
 

@@ -88,6 +88,36 @@ def web_match(c: Column | str, q: str) -> Column:
     return out
 
 
+def phrase_match(c: Column | str, phrases: list[str]) -> Column:
+    """Does a text hold any of the phrases as a sequence of whole words?"""
+    words = F.filter(F.split(F.lower(F.col(c) if isinstance(c, str) else c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    out = F.lit(False)
+    for p in phrases:
+        out |= F.contains(text, F.lit(f" {' '.join(t for t in re.split(r'[\W_]+', p.lower()) if t)} "))
+    return out
+
+
+def query_problem(c: Column | str, longest: int = 2000) -> Column:
+    """Why a search line would be misread, or null: empty, too long, quotes or parentheses that do not pair, a range
+    without TO in capitals, a wildcard after fewer than three letters."""
+    q = F.col(c) if isinstance(c, str) else c
+    bare = F.regexp_replace(q, '"[^"]*"', "")
+    marks = F.filter(F.split(F.regexp_replace(bare, "[^()]", ""), ""), lambda m: m != "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least"))
+
+    def step(acc: Column, m: Column) -> Column:
+        depth = acc["depth"] + F.when(m == "(", 1).otherwise(-1)
+        return F.struct(depth.alias("depth"), F.least(acc["least"], depth).alias("least"))
+
+    level = F.aggregate(marks, start, step)
+    problem = F.when(F.coalesce(F.trim(q), F.lit("")) == "", "empty").when(F.length(q) > longest, "too long")
+    problem = problem.when((F.length(q) - F.length(F.replace(q, F.lit('"'), F.lit("")))) % 2 == 1, "quotes")
+    problem = problem.when((level["least"] < 0) | (level["depth"] != 0), "parentheses")
+    problem = problem.when(q.rlike(r"\[[^\]]*\s+to\s+[^\]]*\]") & ~q.rlike(r"\[[^\]]*\sTO\s[^\]]*\]"), "range")
+    return problem.when(q.rlike(r"(^|[\s(:])(!\p{L}{1,2}(?=[\s)]|$)|\p{L}{1,2}\*(?=[\s)]|$))"), "wildcard")
+
+
 def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(term, id, tf, first): one row per term and document."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")

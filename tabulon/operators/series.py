@@ -103,6 +103,70 @@ def leaders(df: DataFrame, frame: str, unit: str, value: str) -> DataFrame:
     return best.withColumn("changed", before.isNotNull() & (F.col("leader") != before))
 
 
+def line_segments(df: DataFrame, keys: list[str], place: str, value: str, partial: str) -> DataFrame:
+    """(keys, kind, first, last): stretches of neighbouring places with values, as a chart draws them.
+
+    kind: solid or dashed (an edge is dashed if either end is partial; edges of one style in a row are one line), or dot
+    for a value without a neighbour.  place counts from 0 without holes; a row's value may be null.
+    """
+    w = Window.partitionBy(*keys).orderBy(place)
+    there = F.col(value).isNotNull()
+    d = df.select(*keys, F.col(place).alias("_at"), there.alias("_is"), F.col(partial).alias("_p"), F.lead(there).over(w).alias("_next"), F.lead(F.col(partial)).over(w).alias("_np"), F.lag(there).over(w).alias("_was"))
+    dots = d.filter(F.col("_is") & ~F.coalesce("_was", F.lit(False)) & ~F.coalesce("_next", F.lit(False))).select(*keys, F.lit("dot").alias("kind"), F.col("_at").alias("first"), F.col("_at").alias("last"))
+    edges = d.filter(F.col("_is") & F.col("_next")).select(*keys, F.when(F.col("_p") | F.col("_np"), "dashed").otherwise("solid").alias("kind"), F.col("_at").alias("first"))
+    e = Window.partitionBy(*keys).orderBy("first")
+    fresh = (F.col("first") != F.lag("first").over(e) + 1) | (F.col("kind") != F.lag("kind").over(e))
+    edges = edges.withColumn("_i", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(e.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = edges.groupBy(*keys, "kind", "_i").agg(F.min("first").alias("first"), (F.max("first") + 1).alias("last")).drop("_i")
+    return lines.unionByName(dots)
+
+
+def margin_runs(df: DataFrame, keys: list[str], place: str, value: str, margin: str) -> DataFrame:
+    """(keys, first, last, lowest, highest): stretches of neighbouring places with a value and a margin of error."""
+    good = df.filter(F.col(value).isNotNull() & (F.col(margin) >= 0))
+    w = Window.partitionBy(*keys).orderBy(place)
+    d = good.withColumn("_i", F.col(place) - F.row_number().over(w))
+    return d.groupBy(*keys, "_i").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min(F.col(value) - F.col(margin)).alias("lowest"), F.max(F.col(value) + F.col(margin)).alias("highest")).drop("_i")
+
+
+def panorama(df: DataFrame, unit: str, report: str, value: str) -> DataFrame:
+    """(unit, first, last, values): each unit's values at every report from its first to its last, null where it is not listed.
+
+    Reports are numbered from 0 in their order; first and last are numbers.
+    """
+    n = df.select(report).distinct().withColumn("_i", F.row_number().over(Window.orderBy(report)) - 1)  # one row per report
+    d = df.join(F.broadcast(n), report).groupBy(unit, "_i").agg(F.sum(value).alias("_v"))
+    g = d.groupBy(unit).agg(F.min("_i").alias("first"), F.max("_i").alias("last"), F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"))
+    return g.select(unit, "first", "last", F.transform(F.sequence("first", "last"), lambda i: F.try_element_at("_m", i)).alias("values"))
+
+
+def report_frames(df: DataFrame, report: str, place: str, value: str) -> DataFrame:
+    """(report, place, value, share): what each place holds at each report, and its share of the report."""
+    d = df.groupBy(report, place).agg(F.sum(value).alias("value"))
+    total = d.groupBy(report).agg(F.sum("value").alias("_t"))
+    return d.join(total, report).select(report, place, "value", F.try_divide(F.col("value"), F.col("_t")).alias("share"))
+
+
+def change_radar(df: DataFrame, part: str, section: str, versions: str, today: Column, since: Column) -> DataFrame:
+    """(part, sections, changed, changes, latest, last12_sections, last12_changes): substantive changes of sections.
+
+    versions: array<struct<date: date, substantive: boolean>> of each section; only those from `since` on count, and the
+    last twelve months end today.
+    """
+    counted = F.filter(versions, lambda v: v["substantive"] & (v["date"] >= since))
+    d = df.select(F.col(part).alias("part"), F.col(section).alias("_s"), counted.alias("_c"), today.alias("_t"))
+    recent = F.filter("_c", lambda v: (v["date"] > F.add_months("_t", -12)) & (v["date"] <= F.col("_t")))
+    d = d.withColumn("_r", F.size(recent)).withColumn("_n", F.size("_c")).withColumn("_l", F.array_max(F.transform("_c", lambda v: v["date"])))
+    return d.groupBy("part").agg(F.count("*").alias("sections"), F.count_if(F.col("_n") > 0).alias("changed"), F.sum("_n").alias("changes"), F.max("_l").alias("latest"), F.count_if(F.col("_r") > 0).alias("last12_sections"), F.sum("_r").alias("last12_changes"))
+
+
+def recent_changes(df: DataFrame, keys: list[str], day: str, today: Column, covered_from: Column, windows: tuple[int, ...]) -> DataFrame:
+    """(keys, one column d<n> per window): entries of the last n days; null if the record does not reach back that far."""
+    d = F.datediff(today, F.col(day))
+    counts = [F.when(F.max(F.datediff(today, covered_from)) >= n, F.count_if((d >= 0) & (d < n))).alias(f"d{n}") for n in windows]
+    return df.groupBy(*keys).agg(*counts)
+
+
 def fiscal_partial(day: Column, first_recorded: Column, last_recorded: Column) -> Column:
     """Is a day's fiscal year only partly recorded?"""
     start = F.make_date(F.year(F.add_months(day, 3)) - 1, F.lit(10), F.lit(1))

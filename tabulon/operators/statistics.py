@@ -22,7 +22,7 @@ def pearson(x: str, y: str) -> Column:
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """(keys, value, out): each distinct value's rank from 1, less the group's mean rank; equal values share their places' mean."""
     c = cumulated(df, keys, value)
-    return c.select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2.0 - (F.col("total") + 1) / 2.0).alias(out))
+    return c.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2.0 - (F.col("_total") + 1) / 2.0).alias(out))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -53,12 +53,12 @@ def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, out: str = "q") -
 
     The running minimum is taken within range partitions of the distinct p-values and then over the partitions.
     """
-    c = cumulated(df, keys, p).withColumn("_q", F.col(p) * F.col("total") / (F.col("before") + F.col("n")))
+    c = cumulated(df, keys, p).withColumn("_q", F.col(p) * F.col("_total") / (F.col("_before") + F.col("_n")))
     c = stored(c, "adjusted")
     w = Window.partitionBy(*keys)
-    later = c.groupBy(*keys, "part").agg(F.min("_q").alias("_l")).withColumn("_later", F.min("_l").over(w.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1))).drop("_l")
-    own = F.min("_q").over(Window.partitionBy(*keys, "part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
-    q = c.withColumn("_own", own).join(later, [*keys, "part"]).select(*keys, p, F.least("_own", "_later", F.lit(1.0)).alias(out))
+    later = c.groupBy(*keys, "_part").agg(F.min("_q").alias("_l")).withColumn("_later", F.min("_l").over(w.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))).drop("_l")
+    own = F.min("_q").over(Window.partitionBy(*keys, "_part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    q = c.withColumn("_own", own).join(later, [*keys, "_part"]).select(*keys, p, F.least("_own", "_later", F.lit(1.0)).alias(out))
     return df.join(q, [*keys, p], "left").select(*df.columns, out)
 
 

@@ -58,12 +58,6 @@ def w13_surges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("pct"), "k")))  # one row per unit
 
 
-@register("w34_change_radar", "SELECT o_orderstatus AS part, year(o_orderdate)::INT AS y, count(*) AS n, count(*) FILTER (o_orderdate > TIMESTAMP '2000-08-01') AS last12 FROM orders GROUP BY 1, 2")
-def w34_change_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = F.col("o_orderdate") > F.lit("2000-08-01").cast("timestamp_ntz")
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("part"), F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"), F.count_if(late).alias("last12"))
-
-
 @register("w37_lagged_window", f"WITH {_M}, z AS (SELECT max(month) AS z FROM m) SELECT k, sum(v)::BIGINT AS v FROM m, z WHERE month <= z - INTERVAL 3 MONTH AND month > z - INTERVAL 15 MONTH GROUP BY 1")
 def w37_lagged_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve months that end three months before the newest, which are still filling up."""
@@ -102,22 +96,6 @@ def a33_top_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.crossJoin(F.broadcast(total)).select("event_type", "n", F.round(F.col("n") / F.col("t"), 9).alias("share"), F.row_number().over(Window.orderBy(F.desc("n"), "event_type")).alias("place"))
 
 
-@register("a36_partial_final", "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, max(l_extendedprice) AS top FROM lineitem GROUP BY 1")
-def a36_partial_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accumulators per supplier (a chunk's state), then merged."""
-    part = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("s"), F.max("l_extendedprice").alias("top"))
-    return part.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean"), F.max("top").alias("top"))
-
-
-@register("a40_watch_summary", "WITH d AS (SELECT event_type, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS d FROM (SELECT DISTINCT event_type FROM events)) SELECT event_type, strftime(d, '%Y-%m-%d') AS d, count(event_id) AS n, count(DISTINCT user_id) AS users FROM d LEFT JOIN events e USING (event_type) WHERE false GROUP BY 1, 2 UNION ALL SELECT t.event_type, strftime(t.d, '%Y-%m-%d'), count(e.event_id), count(DISTINCT e.user_id) FROM d t LEFT JOIN (SELECT * FROM events WHERE value > 30) e ON e.event_type = t.event_type AND e.ts::DATE = t.d GROUP BY 1, 2")
-def a40_watch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days without an outcome count as zero."""
-    e = table(spark, sf_dir, "events")
-    days = e.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))).alias("d"))
-    n = e.filter("value > 30").groupBy("event_type", F.to_date("ts").alias("d")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
-    return days.join(n, ["event_type", "d"], "left").select("event_type", F.date_format("d", "yyyy-MM-dd").alias("d"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("users", F.lit(0)).alias("users"))
-
-
 @register("t6_notability", "WITH s AS (SELECT c_custkey AS id, c_acctbal AS score FROM customer UNION ALL SELECT o_custkey, max(o_totalprice) / 40 FROM orders GROUP BY 1) SELECT id, round(max(score), 4) AS score FROM s GROUP BY 1 ORDER BY max(score) DESC, id LIMIT 10")
 def t6_notability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten highest ids of two score lists; an id counts once, with its best score."""
@@ -163,16 +141,6 @@ def f16_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(head, 5).alias("head"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("positive"))
 
 
-@register("f19_json_diff", "SELECT * FROM (VALUES (1, 'b,c'), (2, ''), (3, 'a')) t(id, paths)")
-def f19_json_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths whose values differ, one side's missing ones included; whole values are compared."""
-    said = spark.sql("""SELECT * FROM VALUES (1, '{"a":1,"b":{"x":2}}', '{"b":{"x":3},"a":1,"c":4}'), (2, '{}', '{}'), (3, '{"a":null}', '{}') t(id, old, new)""")
-    old, new = (F.from_json(c, "map<string,string>") for c in ("old", "new"))
-    keys = F.array_sort(F.array_distinct(F.concat(F.map_keys(old), F.map_keys(new))))
-    differ = F.filter(keys, lambda k: ~F.try_element_at(old, k).eqNullSafe(F.try_element_at(new, k)) | (F.map_contains_key(old, k) != F.map_contains_key(new, k)))
-    return said.select("id", F.array_join(differ, ",").alias("paths"))
-
-
 @register("f21_null_cases", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal = 0 THEN 'zero' ELSE 'credit' END AS side FROM customer")
 def f21_null_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") == 0, "zero").otherwise("credit")
@@ -199,33 +167,6 @@ def x10_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(e, e.filter("vec_id = 7"), "vec_id", "embedding", 10).select("query", "id", "place")
 
 
-@register("x15_authority_lines", "SELECT * FROM (VALUES (1, '15', '2064', 'exact'), (2, '15', '2051', 'et seq'), (3, '21', '351', 'range'), (4, '28', '1407', 'note'), (5, NULL, NULL, 'none')) t(id, title, section, form)")
-def x15_authority_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = spark.sql("SELECT * FROM VALUES (1, '15 U.S.C. 2064'), (2, '15 U.S.C. 2051 et seq.'), (3, '21 U.S.C. 351-360'), (4, '28 U.S.C. 1407 note'), (5, 'as delegated') t(id, line)")
-    pattern = r"(\d+) U\.S\.C\. (\d+)(-\d+)?( et seq\.)?( note)?"
-    part = [F.regexp_extract("line", pattern, k) for k in range(6)]
-    form = F.when(part[0] == "", "none").when(part[3] != "", "range").when(part[4] != "", "et seq").when(part[5] != "", "note").otherwise("exact")
-    return said.select("id", F.nullif(part[1], F.lit("")).alias("title"), F.nullif(part[2], F.lit("")).alias("section"), form.alias("form"))
-
-
-@register("x17_order_windows", "WITH z AS (SELECT max(o_orderdate) AS z FROM orders) SELECT o_orderpriority, count(*) FILTER (o_orderdate > z - INTERVAL 30 DAY) AS d30, count(*) FILTER (o_orderdate > z - INTERVAL 90 DAY) AS d90 FROM orders, z GROUP BY 1")
-def x17_order_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderdate")
-    z = o.agg(F.max("o_orderdate").alias("z"))  # one row
-    recent = [F.count_if(F.col("o_orderdate") > F.col("z") - F.expr(f"INTERVAL {n} DAYS")).alias(f"d{n}") for n in (30, 90)]
-    return o.crossJoin(F.broadcast(z)).groupBy("o_orderpriority").agg(*recent)
-
-
-@register("x18_fact_check", "SELECT * FROM (VALUES (1, 'It paid 40 dollars. Nobody spoke.'), (2, '')) t(id, kept)")
-def x18_fact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences whose numbers the source does not have are dropped."""
-    said = spark.sql("SELECT * FROM VALUES (1, 'In 1999 the firm paid 40 dollars', 'It paid 40 dollars. It paid 41 dollars. Nobody spoke.'), (2, 'no numbers', 'Over 9000 of 12.') t(id, source, summary)")
-    number = F.lit(r"\d+(?:\.\d+)?")
-    known = F.regexp_extract_all("source", number, F.lit(0))
-    backed = F.filter(F.split("summary", r"(?<=\.)\s+"), lambda s: F.size(F.array_except(F.regexp_extract_all(s, number, F.lit(0)), known)) == 0)
-    return said.select("id", F.array_join(backed, " ").alias("kept"))
-
-
 @register("x22_title", r"SELECT doc_id, left(trim(regexp_extract(text, '[^\n]*[^\x09-\x0D\x20][^\n]*'), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 80) AS title FROM documents")
 def x22_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line that is not blank."""
@@ -233,13 +174,6 @@ def x22_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.left(F.regexp_replace(line, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+\z", ""), F.lit(80)).alias("title"))
 
 
-@register("x23_similar_names", "SELECT array_to_string(list_sort(list_distinct(string_split(lower(p_name), ' '))), ' ') AS key, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1 HAVING count(*) > 1")
-def x23_similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of the same words, whatever their order."""
-    key = F.array_join(F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " "))), " ")
-    return table(spark, sf_dir, "part").groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).filter("n > 1")
-
-
 @register("n13b_surprise", "WITH g AS (SELECT p_brand, count(*) FILTER (p_size < 3) AS x, count(*) AS n FROM part GROUP BY 1), l AS (SELECT *, greatest(n * sum(x) OVER () / sum(n) OVER (), 0.25) AS l FROM g) SELECT p_brand, x, round(least(-log10(list_sum(list_transform(range(0, (14 * sqrt(greatest(x, l)) + 80)::BIGINT), lambda j: exp((x + j) * ln(l) - l - lgamma(x + j + 1))))), 50), 6) AS surprise FROM l")
 def n13b_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """-log10 P(X >= x) for a Poisson count whose mean is the brand's share of the whole."""
@@ -250,45 +184,6 @@ def n13b_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select("p_brand", "x", (F.round(surprise, 6) + 0.0).alias("surprise"))  # adding 0 makes -0 a plain 0
 
 
-@register("n14_reliability", "WITH g AS (SELECT p_type, count(*) AS n, avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS s FROM part WHERE p_size < 20 GROUP BY 1) SELECT p_type, n, CASE WHEN n >= 4 AND s / sqrt(n) / m <= 0.2 THEN round(m, 4) END AS mean FROM g")
-def n14_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Withheld if the sample is small or the estimate's coefficient of variation is large."""
-    g = table(spark, sf_dir, "part").filter("p_size < 20").groupBy("p_type").agg(F.count("*").alias("n"), F.avg("p_retailprice").alias("m"), F.stddev_samp("p_retailprice").alias("s"))
-    return g.select("p_type", "n", F.when((F.col("n") >= 4) & (F.col("s") / F.sqrt("n") / F.col("m") <= 0.2), F.round("m", 4)).alias("mean"))
-
-
-@register("c7_change_events", "WITH o AS (SELECT o_custkey AS k, o_orderkey AS v, o_orderpriority AS p, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders) SELECT k, v, before, p AS now FROM o WHERE before <> p")
-def c7_change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_orderpriority").alias("now"))
-    return o.withColumn("before", F.lag("now").over(Window.partitionBy("k").orderBy("v"))).filter("before <> now")
-
-
-@register("c8_rule_matrix", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
-def c8_rule_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
-    return g.select("o_orderpriority", *[F.coalesce(c, F.lit(0)).alias(c.lower()) for c in "FOP"])
-
-
-@register("m7_work_queue", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) ORDER BY o_orderdate, o_orderkey LIMIT 100")
-def m7_work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hundred oldest items that nobody has claimed."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    claimed = o.filter("o_orderkey % 3 = 0").select("o_orderkey")
-    return o.filter("o_orderstatus = 'O'").join(claimed, "o_orderkey", "left_anti").orderBy("o_orderdate", "o_orderkey").limit(100).select("o_orderkey")
-
-
-@register("m11_family_rebuild", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
-def m11_family_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aggregates of the customers that new orders touch are deleted and built again, the others stay."""
-    o = table(spark, sf_dir, "orders")
-
-    def family(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-    held, touched = family(o.filter("o_orderkey % 10 > 0")), o.filter("o_orderkey % 10 = 0").select("o_custkey").distinct()
-    return held.join(touched, "o_custkey", "left_anti").unionByName(family(o.join(touched, "o_custkey", "left_semi")))
-
-
 @register("k5_json_export", "SELECT p_partkey, p_name, p_retailprice FROM part")
 def k5_json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, p = fresh_path(spark, "json"), table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")

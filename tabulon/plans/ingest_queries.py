@@ -163,16 +163,3 @@ def m15_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("x7_chunks")
 def x7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.chunked(table(spark, sf_dir, "documents"), "doc_id", "text").drop("body")
-
-
-@register("x12_citations", "SELECT * FROM (VALUES (1, 'usc', 'usc:15:2064', 2), (1, 'cfr', 'cfr:21:820.30', 1), (2, 'fr', 'fr:89:12345', 1), (2, 'publ', 'publ:110:314', 1), (2, 'us', 'us:509:579', 1)) t(id, kind, key, n)")
-def x12_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = spark.sql("SELECT * FROM VALUES (1, 'See 15 U.S.C. § 2064 and 21 C.F.R. § 820.30; also 15 USC 2064.'), (2, '89 Fed. Reg. 12,345; Pub. L. No. 110-314; Daubert, 509 U.S. 579 (1993)'), (3, 'no 12 citation 5') t(id, text)")
-    return passages.citations(said, "id", "text")
-
-
-@register("x14_citation_facts", "SELECT source AS court, lang AS kind, count(DISTINCT doc_id) AS filings, count(DISTINCT text) AS nodes FROM documents GROUP BY 1, 2")
-def x14_citation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("court"), F.col("lang").alias("kind")).agg(F.countDistinct("doc_id").alias("filings"), F.countDistinct(F.sha2("text", 256)).alias("nodes"))
-
-

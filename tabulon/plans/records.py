@@ -57,15 +57,6 @@ def p11_is_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(s, F.col("s_suppkey") == F.col("c_custkey"), "left").filter(~F.col("s_nationkey").eqNullSafe(F.col("c_nationkey"))).select("c_custkey")
 
 
-_RAW = "(VALUES (1, '12.5', '2026-02-28', '1999'), (2, '-3', '2026-02-30', '1600'), (3, 'abc', '2026-1-5', 'x'), (4, NULL, NULL, NULL), (5, '1e3', '2024-02-29', '2200'))"
-
-
-@register("p12_typed_guards", f"SELECT id, CASE WHEN TRY_CAST(n AS DOUBLE) >= 0 THEN TRY_CAST(n AS DOUBLE) END AS amount, CASE WHEN regexp_full_match(d, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN TRY_CAST(d AS DATE) END AS day, CASE WHEN TRY_CAST(y AS INT) BETWEEN 1700 AND 2200 THEN TRY_CAST(y AS INT) END AS year FROM {_RAW} t(id, n, d, y)", dates=("day",))
-def p12_typed_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.sql(f"SELECT * FROM {_RAW} t(id, n, d, y)")
-    return raw.select("id", filters.number_guard(F.col("n"), 0).alias("amount"), filters.date_guard(F.col("d")).alias("day"), filters.year_guard(F.col("y")).alias("year"))
-
-
 @register("p13_url_allow_list", r"SELECT page_id, url LIKE 'https://%' AND regexp_matches(url, '^https://([^/?#:]+\.)?example\.(org|net)([/?#:]|$)') AS allowed FROM pages")
 def p13_url_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", filters.allowed_url(F.col("url"), ("example.org", "example.net")).alias("allowed"))

@@ -32,26 +32,6 @@ def f6_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(tf.category("p_type", rules, "rest").alias("cat")).agg(F.count("*").alias("n"))
 
 
-_NAMES = "(VALUES (1, 'The Acme & Sons, Inc.'), (2, 'ACME AND SONS'), (3, 'Acme and Sons Co. Ltd.'), (4, 'Zeta LLP'), (5, NULL))"
-
-
-@register("f7_firm_key", "SELECT * FROM (VALUES (1, 'acme and sons'), (2, 'acme and sons'), (3, 'acme and sons'), (4, 'zeta'), (5, NULL)) t(id, key)")
-def f7_firm_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_NAMES} t(id, name)").select("id", tf.firm_key("name").alias("key"))
-
-
-@register("f8_negation", "SELECT * FROM (VALUES (1, true), (2, false), (3, false), (4, true)) t(id, reported)")
-def f8_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = spark.sql("SELECT * FROM VALUES (1, 'One death was reported.'), (2, 'No injury or death was reported.'), (3, 'The firm denies any death'), (4, 'No fire occurred. A death followed.') t(id, text)")
-    return said.select("id", tf.mentions("text", "(?i)death").alias("reported"))
-
-
-@register("f9_sentences", "SELECT * FROM (VALUES (1, 2, 1500000.0), (2, 1, 12.0)) t(id, sentences, first_number)")
-def f9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = spark.sql("SELECT * FROM VALUES (1, 'Mr. Lee won 1.5 million dollars. He left.'), (2, 'Lee v. Ray cited No. 12 of it') t(id, text)")
-    return said.select("id", F.size(tf.sentences("text")).alias("sentences"), F.get(tf.numbers("text"), F.lit(0)).alias("first_number"))
-
-
 @register("f10_window", "SELECT doc_id, CASE WHEN strpos(lower(text), 'the') > 0 THEN substr(text, greatest(strpos(lower(text), 'the') - 10, 1), strpos(lower(text), 'the') - greatest(strpos(lower(text), 'the') - 10, 1) + 13) END AS around FROM documents")
 def f10_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tf.window_around("text", "the", 10).alias("around"))
@@ -110,11 +90,6 @@ def x4_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.inverted_index(table(spark, sf_dir, "documents"), "doc_id", "text").filter(F.startswith("term", F.lit("tha"))).drop("first")
 
 
-@register("x8_snippets", "SELECT doc_id, (length(text) * 10 + 33) // 34 AS tokens FROM documents")
-def x8_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tf.token_estimate("text").alias("tokens"))
-
-
 @register("x9_nearest", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), s AS (SELECT q.vec_id AS query, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS score, list_cosine_similarity(q.e, v.e) AS s FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
     SELECT query, id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, id) AS place FROM s) WHERE place <= 5""")
 def x9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,12 +216,3 @@ def c3_judgment_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c4_age_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     brackets = spark.sql("SELECT * FROM VALUES (0, 10, 70.5D), (10, 30, 55.25D), (30, NULL, 30.0D) t(from_age, to_age, expectancy)")
     return calculators.row_for_age(table(spark, sf_dir, "part").select("p_partkey", "p_size"), brackets, "p_size", ["expectancy"]).select("p_partkey", "expectancy")
-
-
-@register("c5_deadlines", "SELECT * FROM (VALUES (1, DATE '2022-01-15'), (2, DATE '2022-02-14'), (3, DATE '2022-02-24'), (4, NULL)) t(id, due)", dates=("due",))
-def c5_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No pause; one of 30 days; two that overlap, 40 days together; and 29 February with no such day a year on."""
-    cases = spark.sql("""SELECT id, CAST(a AS DATE) AS a, from_json(p, 'array<struct<s:date,e:date>>') AS p FROM VALUES (1, '2020-01-15', '[]'), (2, '2020-01-15', '[{"s":"2021-03-01","e":"2021-03-31"}]'),
-        (3, '2020-01-15', '[{"s":"2021-03-11","e":"2021-04-10"},{"s":"2021-03-01","e":"2021-03-21"}]'), (4, '2020-02-29', '[]') t(id, a, p)""")
-    months = F.when(F.col("id") == 4, 12).otherwise(24)
-    return cases.select("id", calculators.deadline(F.col("a"), months, F.col("p")).alias("due"))

@@ -85,7 +85,7 @@ def read_repaired_tsv(spark: SparkSession, path: str, columns: list[str], free_t
     """
     at = columns.index(free_text)
     after = len(columns) - at - 1
-    joined = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), rf"\n(?!{key.lstrip('^')})", " ")
+    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), r"\n+\z", ""), rf"\n(?!{key.lstrip('^')})", " ")
     lines = spark.read.text(path, wholetext=True).select(F.explode(F.split(joined, "\n")).alias("line")).filter(F.col("line").rlike(key))
     cells = lines.select(F.split("line", "\t").alias("c")).filter(F.size("c") >= len(columns))
     n = F.size("c")
@@ -146,6 +146,50 @@ def publish(df: DataFrame, path: str, id_col: str) -> dict:
     return got
 
 
+def read_windows(df: DataFrame, id_col: str, size: int, most: int) -> DataFrame:
+    """df with `page`: rows in order of the id in windows of a fixed size; more rows than `most`, or windows that do not
+    add up to the table, are an error."""
+    from tabulon.operators.ranking import numbered
+
+    total = df.count()
+    if total > most:
+        raise ValueError(f"{total} rows are there, {most} at most are read")
+    paged = numbered(df, [id_col], "_n").withColumn("page", F.floor((F.col("_n") - 1) / size)).drop("_n")
+    if paged.count() != total:
+        raise RuntimeError("the windows do not add up to the table")
+    return paged
+
+
+def write_half_vectors(df: DataFrame, id_col: str, vector: str, path: str) -> None:
+    """(id, half: little-endian 16-bit floats, sha256) as Parquet."""
+    import numpy as np
+    import pyarrow as pa
+
+    def narrow(batches):
+        for batch in batches:
+            data = [None if v is None else np.asarray(v, np.float64).astype("<f2").tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=[id_col, "half"])
+
+    schema = T.StructType([df.schema[id_col], T.StructField("half", T.BinaryType())])
+    df.select(id_col, vector).mapInArrow(narrow, schema).withColumn("sha256", F.sha2("half", 256)).write.parquet(path)
+
+
+def read_half_vectors(spark: SparkSession, path: str, id_col: str) -> DataFrame:
+    """(id, vector array<float>); a shard whose digest is wrong fails the read."""
+    import numpy as np
+    import pyarrow as pa
+
+    def widen(batches):
+        for batch in batches:
+            data = [None if b is None else np.frombuffer(b, "<f2").astype(np.float32) for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.list_(pa.float32()))], names=[id_col, "vector"])
+
+    held = spark.read.parquet(path)
+    right = F.when(F.sha2("half", 256).eqNullSafe(F.col("sha256")), F.col("half")).otherwise(F.raise_error(F.lit("a vector's digest is wrong")).cast("binary"))
+    schema = T.StructType([held.schema[id_col], T.StructField("vector", T.ArrayType(T.FloatType()))])
+    return held.select(id_col, right.alias("half")).mapInArrow(widen, schema)
+
+
 def upsert_batches(df: DataFrame, order: str, most_rows: int, most_bytes: int, newest_first: bool = False) -> DataFrame:
     """df with `batch`: consecutive rows in an order, at most so many and so many bytes of JSON a batch; 0 is sent first.
 

@@ -121,6 +121,84 @@ def applied(df: DataFrame, plan: DataFrame, id_col: str, columns: list[str]) ->
     return now.join(p, match, "left_anti").drop("_now"), now.join(p, match, "left_semi").drop("_now")
 
 
+def change_events(df: DataFrame, id_col: str, version: str, fields: list[str]) -> DataFrame:
+    """(id, version, field, before, after, kind): what each version changed; kind is added, removed or changed.
+
+    Values are given as text.  Versions of one id meet in one window; an id's first version has no events.
+    """
+    w = Window.partitionBy(id_col).orderBy(version)
+    d = df.select(id_col, version, F.row_number().over(w).alias("_r"), *[F.struct(F.lag(F.col(f).cast("string")).over(w).alias("before"), F.col(f).cast("string").alias("after")).alias(f"_{f}") for f in fields])
+    long = d.filter("_r > 1").select(id_col, version, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{f}.before").alias("before"), F.col(f"_{f}.after").alias("after")) for f in fields])).alias("c")).select(id_col, version, "c.*")
+    kind = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed")
+    return long.filter(~F.col("before").eqNullSafe(F.col("after"))).withColumn("kind", kind)
+
+
+class WorkQueue:
+    """Claims on pending items, kept as an append-only table that one writer extends.
+
+    A claim holds an item for a lease; an item that is neither done nor held may be claimed again, so a lost worker's
+    items come back.  claim() takes at most so many, oldest first.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, id_type: str = "long"):
+        self.spark, self.root, self.schema = spark, root, f"id {id_type}, worker string, until timestamp, done boolean"
+
+    def ledger(self) -> DataFrame:
+        rounds = [f"{self.root}/{r}" for r in children(self.spark, self.root, "round=") if exists(self.spark, f"{self.root}/{r}/_SUCCESS")]
+        return self.spark.read.schema(self.schema).parquet(*rounds) if rounds else self.spark.createDataFrame([], self.schema)
+
+    def _append(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/round={len(children(self.spark, self.root, 'round=')):06}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def claim(self, items: DataFrame, id_col: str, order: list[str], worker: str, now: str, lease_minutes: int, most: int) -> DataFrame:
+        """(id) of the items that the worker now holds."""
+        at = F.lit(now).cast("timestamp")
+        taken = self.ledger().filter(F.col("done") | (F.col("until") > at)).select(F.col("id").alias(id_col)).distinct()
+        free = items.join(taken, id_col, "left_anti").orderBy(*order, id_col).limit(most)
+        rows = free.select(F.col(id_col).alias("id"), F.lit(worker).alias("worker"), (at + F.expr(f"INTERVAL {lease_minutes} MINUTES")).alias("until"), F.lit(False).alias("done"))
+        return self._append(rows).select("id")
+
+    def finish(self, ids: DataFrame, worker: str) -> None:
+        self._append(ids.select("id", F.lit(worker).alias("worker"), F.lit(None).cast("timestamp").alias("until"), F.lit(True).alias("done")))
+
+
+def rebuilt_family(spark: SparkSession, path: str, rows: DataFrame, partition: str, touched: DataFrame, family: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Delete and build again the aggregates of the touched partitions only, by overwriting these partitions.
+
+    rows: the whole base table; touched: (partition) values; family() aggregates rows and keeps the partition column.
+    """
+    fresh = family(rows.join(touched.distinct(), partition, "left_semi"))
+    fresh.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return spark.read.parquet(path)
+
+
+def budgeted(spark: SparkSession, docs: DataFrame, id_col: str, size: Column, root: str, budget: int, work: Callable[[DataFrame], DataFrame]) -> int:
+    """One night's run: work on the first pending documents whose sizes add up to at most the budget (one at least).
+
+    Each run writes results and then the ids it has done, so a broken run is done again as a whole; the number of
+    documents done.  Running sums are taken over range partitions.
+    """
+    from tabulon.operators.ranking import numbered
+
+    runs = [r for r in children(spark, f"{root}/done", "run=") if exists(spark, f"{root}/done/{r}/_SUCCESS")]
+    done = spark.read.schema(docs.select(id_col).schema).parquet(*[f"{root}/done/{r}" for r in runs]) if runs else None
+    pending = docs.select(id_col, size.cast("long").alias("_size"))
+    pending = pending.join(done, id_col, "left_anti") if done is not None else pending
+    ranged = numbered(pending, [id_col], "_n")
+    block = ranged.withColumn("_b", F.floor(F.col("_n") / 1000))
+    ahead = block.groupBy("_b").agg(F.sum("_size").alias("_s")).withColumn("_before", F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))  # a row per thousand documents
+    upto = block.join(ahead.select("_b", "_before"), "_b").withColumn("_upto", F.col("_before") + F.sum("_size").over(Window.partitionBy("_b").orderBy("_n")))
+    chosen = upto.filter((F.col("_upto") <= budget) | (F.col("_n") == 1)).select(id_col)
+    number = f"run={len(runs):06}"
+    chosen.write.mode("overwrite").parquet(f"{root}/chosen/{number}")
+    chosen = spark.read.schema(docs.select(id_col).schema).parquet(f"{root}/chosen/{number}")
+    work(docs.join(chosen, id_col, "left_semi")).write.mode("overwrite").parquet(f"{root}/results/{number}")
+    chosen.write.mode("overwrite").parquet(f"{root}/done/{number}")
+    return chosen.count()
+
+
 def tumbling(df: DataFrame, at: str, width: str, keys: list[str], slide: str | None = None) -> DataFrame:
     """(keys, start, n) per window; works on streams and tables alike."""
     g = df.groupBy(*keys, F.window(at, width, slide or width).alias("w")).agg(F.count("*").alias("n"))
