@@ -26,26 +26,40 @@ def unique_match(left: DataFrame, right: DataFrame, on: str, value: str, out: st
     return joined.withColumn(out, F.when(F.col("_n") == 1, F.col("_v"))).withColumn(status, state).drop("_n", "_v")
 
 
-def first_after_by_union(left: DataFrame, events: DataFrame, on: str, at: str, event: str, out: str) -> DataFrame:
-    """first_on_or_after() for left rows that are many per key: one sort instead of a join on the key."""
+def _along(both: DataFrame, on: str, order: list, value: str, chunk: str, after: bool) -> DataFrame:
+    """both with `value` filled along time `_t` within each key: the last known one before, or the first after, a row.
+
+    Time is cut into chunks.  A chunk of a key is a window of its own; between chunks only one value per key and chunk
+    is carried, so a key with very many rows is spread over as many tasks as it has chunks.
+    """
     from pyspark.sql.window import Window
 
-    a = left.select("*", F.col(at).alias("_t"), F.lit(None).cast(events.schema[event].dataType).alias("_e"))
-    b = events.select(on, F.col(event).alias("_t"), F.col(event).alias("_e"))
-    w = Window.partitionBy(on).orderBy(F.col("_t"), F.col("_e").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(out, F.first("_e", ignorenulls=True).over(w))
-    return both.filter(F.col("_e").isNull()).drop("_t", "_e")
+    d = both.withColumn("_b", F.date_trunc(chunk, F.col("_t")))
+    inner = Window.partitionBy(on, "_b").orderBy(*order)
+    pick, edge = (F.first, inner.rowsBetween(0, Window.unboundedFollowing)) if after else (F.last, inner.rowsBetween(Window.unboundedPreceding, 0))
+    known = F.when(F.col(value).isNotNull(), F.struct("_t", F.col(value).alias("v")))
+    ends = d.groupBy(on, "_b").agg((F.min(known) if after else F.max(known)).alias("_e"))
+    outer = Window.partitionBy(on).orderBy("_b")  # a row per key and chunk
+    beyond = F.first("_e", ignorenulls=True).over(outer.rowsBetween(1, Window.unboundedFollowing)) if after else F.last("_e", ignorenulls=True).over(outer.rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select(F.col(on).alias("_k"), F.col("_b").alias("_c"), beyond["v"].alias("_carried"))
+    out = d.withColumn(value, pick(value, ignorenulls=True).over(edge)).join(carried, F.col(on).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c")))
+    return out.withColumn(value, F.coalesce(value, "_carried")).drop("_b", "_k", "_c", "_carried")
 
 
-def as_of(left: DataFrame, right: DataFrame, on: str, at: str, right_at: str, values: list[str]) -> DataFrame:
-    """left with the values of the latest right row of the same key at or before its own time."""
-    from pyspark.sql.window import Window
+def first_after_by_union(left: DataFrame, events: DataFrame, on: str, at: str, event: str, out: str, chunk: str = "day") -> DataFrame:
+    """first_on_or_after() for left rows that are many per key: sorts of the keys' time chunks instead of a join on the key."""
+    a = left.select("*", F.col(at).alias("_t"), F.lit(True).alias("_left"), F.lit(None).cast(events.schema[event].dataType).alias(out))
+    b = events.select(on, F.col(event).alias("_t"), F.lit(False).alias("_left"), F.col(event).alias(out))
+    both = _along(a.unionByName(b, allowMissingColumns=True), on, ["_t", F.desc("_left")], out, chunk, after=True)
+    return both.filter("_left").select(*left.columns, out)
+
 
+def as_of(left: DataFrame, right: DataFrame, on: str, at: str, right_at: str, values: list[str], chunk: str = "day") -> DataFrame:
+    """left with the values of the latest right row of the same key at or before its own time."""
     kept = F.struct(F.col(right_at), *[F.col(v) for v in values])
     a = left.select("*", F.col(at).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(right.select(kept.alias("s")).schema["s"].dataType).alias("_s"))
     b = right.select(on, F.col(right_at).alias("_t"), F.lit(0).alias("_o"), kept.alias("_s"))
-    w = Window.partitionBy(on).orderBy("_t", "_o", F.col("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(w))
+    both = _along(a.unionByName(b, allowMissingColumns=True), on, ["_t", "_o", "_s"], "_s", chunk, after=False)
     return both.filter("_o = 1").select(*left.columns, *[F.col("_s")[v].alias(v) for v in values])
 
 

@@ -41,13 +41,16 @@ def w2_group_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(n, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "n")
 
 
-@register("w12_watch", "SELECT p_brand, count(*) FILTER (m > 23973) AS r12, count(*) FILTER (m <= 23973) AS p12, count(*) FILTER (l_linestatus = 'O') AS pending FROM (SELECT p_brand, l_linestatus, year(l_shipdate) * 12 + month(l_shipdate) - 1 AS m FROM lineitem JOIN part ON p_partkey = l_partkey) WHERE m BETWEEN 23962 AND 23985 GROUP BY 1")
+@register("w12_watch", "WITH l AS (SELECT p_brand, l_orderkey, l_linestatus, l_returnflag, l_extendedprice AS price, year(l_shipdate) * 12 + month(l_shipdate) - 1 AS m FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT p_brand, count(*) FILTER (m > 23973) AS r12, count(*) FILTER (m <= 23973) AS p12, count(*) FILTER (m > 23982) AS tail, count(*) FILTER (m > 23973 AND l_returnflag = 'R') AS partner_r12, count(*) FILTER (m <= 23973 AND l_returnflag = 'R') AS partner_p12, count(DISTINCT l_orderkey) FILTER (m > 23973) AS links, round(sum(price) FILTER (l_linestatus = 'O'), 2) AS pending FROM l WHERE m BETWEEN 23962 AND 23985 GROUP BY 1")
 def w12_watch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1
-    l = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linestatus", m.alias("m")).filter("m between 23962 and 23985")
-    l = l.groupBy("l_partkey").agg(F.count_if(F.col("m") > 23973).alias("r"), F.count_if(F.col("m") <= 23973).alias("p"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
+    """Per unit the last and the prior twelve months and the newest three, the same of its partner series, linked orders
+    and pending sums; lines are counted per part and order before they are joined."""
+    m, new, partner = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1, F.col("m") > 23973, F.col("l_returnflag") == "R"
+    l = table(spark, sf_dir, "lineitem").withColumn("m", m).filter("m between 23962 and 23985")
+    l = l.groupBy("l_partkey", "l_orderkey").agg(F.count_if(new).alias("r12"), F.count_if(~new).alias("p12"), F.count_if(F.col("m") > 23982).alias("tail"), F.count_if(new & partner).alias("partner_r12"), F.count_if(~new & partner).alias("partner_p12"), F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_extendedprice"))).alias("pending"))
     j = l.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("p_partkey") == F.col("l_partkey"))
-    return j.groupBy("p_brand").agg(F.sum("r").alias("r12"), F.sum("p").alias("p12"), F.sum("o").alias("pending"))
+    sums = [F.sum(c).alias(c) for c in ("r12", "p12", "tail", "partner_r12", "partner_p12")]
+    return j.groupBy("p_brand").agg(*sums, F.countDistinct(F.when(F.col("r12") > 0, F.col("l_orderkey"))).alias("links"), F.round(F.sum("pending"), 2).alias("pending"))
 
 
 @register("w13_surges", "WITH g AS (SELECT o_custkey % 40 AS k, count(*) FILTER (year(o_orderdate) = 1999) AS a, count(*) FILTER (year(o_orderdate) = 2000 AND o_custkey % 7 > 0) AS z FROM orders GROUP BY 1), p AS (SELECT *, CASE WHEN a >= 40 THEN round(100.0 * (z - a) / a, 6) END AS pct FROM g) SELECT k, a, z, pct, row_number() OVER (ORDER BY pct DESC NULLS LAST, k) AS place FROM p")

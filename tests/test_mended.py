@@ -3,13 +3,15 @@
 import math
 import random
 import re
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.operators import citations, filters, passages, ranking, search, statistics
+from tabulon.functions import json_paths
+from tabulon.operators import citations, filters, joins, names, passages, ranking, search, statistics
 from tabulon.plans.registry import QUERIES
 from tabulon.sources import files
 from tabulon.streaming import cdc
@@ -174,6 +176,65 @@ def test_citations_and_antecedents(spark):
     assert parsed == {(1, 15, "1453", "exact", None), (1, 15, "1454", "exact", None), (1, 21, "321", "note", None), (1, 21, "371", "et seq", None), (2, 28, "351", "range", "360"), (2, 28, "1407", "exact", None), (3, 50, "2401", "appendix", None)}
 
 
+def test_as_of_across_chunks(spark):
+    dice = random.Random(3)
+    base = "2024-01-01 00:00:00"
+    left = spark.createDataFrame([(k, "hot" if k % 3 else None, dice.randint(0, 400)) for k in range(120)], "i long, g string, h int").withColumn("t", F.expr(f"timestamp '{base}' + make_interval(0, 0, 0, 0, h)"))
+    right = spark.createDataFrame([(k, "hot" if k % 2 else "cold", dice.randint(0, 400)) for k in range(30)], "v long, g string, h int").withColumn("r", F.expr(f"timestamp '{base}' + make_interval(0, 0, 0, 0, h)")).drop("h")
+    rows, seen = [r.asDict() for r in left.collect()], [r.asDict() for r in right.collect()]
+    got = {r.i: r.v for r in joins.as_of(left, right, "g", "t", "r", ["v"]).collect()}
+    want = {x["i"]: max(((y["r"], y["v"]) for y in seen if y["g"] == x["g"] and y["r"] <= x["t"]), default=(None, None))[1] for x in rows}
+    assert got == want and any(v is None for v in want.values()) and any(v is not None for v in want.values())
+    got = {r.i: r.nxt for r in joins.first_after_by_union(left, right.select("g", "r"), "g", "t", "r", "nxt").collect()}
+    assert got == {x["i"]: min((y["r"] for y in seen if y["g"] == x["g"] and y["r"] >= x["t"]), default=None) for x in rows}
+
+
+def test_parameters_are_checked_before_any_plan(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, title string")
+    for limit, offset, sort in ((0, 0, "title"), (501, 0, "title"), (10, -1, "title"), (10, 0, "size")):
+        with pytest.raises(ValueError):
+            ranking.page(df, sort, limit, offset)
+    with pytest.raises(ValueError):
+        filters.bounded(5, 6, 9, "n")
+
+
+def test_normal_distribution(spark):
+    rows = spark.createDataFrame([(x / 4,) for x in range(-20, 21)], "x double").withColumn("p", statistics.normal_cdf(F.col("x"))).collect()
+    assert all(abs(r.p - 0.5 * math.erfc(-r.x / math.sqrt(2))) < 2e-7 for r in rows)
+
+
+def test_daily_pick_walks_through_all(spark):
+    df = spark.createDataFrame([(k,) for k in range(7)], "k long")
+    assert {ranking.daily_pick(df, "k", day).first().k for day in range(100, 107)} == set(range(7))
+
+
+def test_zip_members(spark, tmp_path):
+    with zipfile.ZipFile(f"{tmp_path}/a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.csv", "a,b\n1,2\n")
+        z.writestr("d/y.txt", "text" * 1000)
+    rows = {r.member: bytes(r.content) for r in files.read_zip_members(spark, f"{tmp_path}/a.zip").collect()}
+    assert rows == {"x.csv": b"a,b\n1,2\n", "d/y.txt": b"text" * 1000}
+    assert files.read_zip_members(spark, f"{tmp_path}/a.zip", ".csv").count() == 1
+
+
+def test_names_and_middles(spark):
+    rows = [(1, "Hon. José A. de la Cruz-Peña, Jr."), (2, "smith"), (3, None), (4, "Mary Ann Lee Esq."), (5, "Dr. John Q Public III")]
+    got = {r.i: r.p for r in spark.createDataFrame(rows, "i long, n string").select("i", names.name_parts("n").alias("p")).collect()}
+    assert got[1].first == "jose" and got[1].last == "pena" and got[1].suffix == ["jr"] and got[1].middle == ["a", "de", "la", "cruz"]
+    assert got[2] is None and got[3] is None and got[4].middle == ["ann"] and got[5].suffix == ["iii"]
+
+
+def test_json_differences_and_masks(spark):
+    rows = [(1, '{"a":{"b":[1,{"c":2}]}}', '{"a":{"b":[1,{"c":3}]},"d":null}'), (2, "{bad", "{}"), (3, None, None), (4, '{"x":1,"y":2}', '{"y":2,"x":1}')]
+    got = {r.i: r.paths for r in json_paths.with_differences(spark.createDataFrame(rows, "i long, o string, n string"), "o", "n").collect()}
+    assert got == {1: ["$.a.b[1].c", "$.d"], 2: ["$.text"], 3: [], 4: []}
+    df = spark.createDataFrame([(1, [("a", "x"), ("b", None)]), (2, None)], "i long, l array<struct<k:string,v:string>>")
+    masked = {r.i: r.l for r in df.withColumn("l", json_paths.masked(F.col("l"), df.schema["l"].dataType, ["*", "v"])).collect()}
+    assert [tuple(x) for x in masked[1]] == [("a", "<masked>"), ("b", None)] and masked[2] is None
+    facets = spark.createDataFrame([(1, '{"k":3,"t":["a","b"]}'), (2, '{"k":4,"t":"a"}'), (3, '{"t":["a"]}'), (4, None), (5, "{")], "i long, f string")
+    assert sorted(r.i for r in facets.filter(json_paths.json_facets("f", {"k": [3, 4], "t": "a"})).collect()) == [1, 2]
+
+
 def test_all_query_terms_count():
     q = " ".join(f"w{k}" for k in range(40))
     assert len(search.query_terms(q)) == 40
