@@ -30,6 +30,12 @@ CHUNK = 768
 # fixed values: what Unicode calls white space, and the endings that the tokenizer's pattern splits off
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+# fixed values: letters and numbers that Unicode 16.0, which the library follows, has beyond Python's tables (first, last),
+# and the small forms of the new capitals
+NEW_LETTERS = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0))
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+NEW_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+_NEW_CAPITAL = re.compile("[" + "".join(map(chr, NEW_SMALL)) + "]")
 
 
 @lru_cache(1)
@@ -40,6 +46,9 @@ def _classes() -> np.ndarray:
         major = unicodedata.category(chr(c))[0]
         if major in "LN":
             kind[c] = 1 if major == "L" else 2
+    for ranges, k in ((NEW_LETTERS, 1), (NEW_NUMBERS, 2)):
+        for first, last in ranges:
+            kind[first : last + 1] = k
     kind[WHITE] = 0
     return kind
 
@@ -83,6 +92,8 @@ class TokenCounter:
         for s in texts:
             if not s.isascii():
                 s = unicodedata.normalize("NFC", s).replace("Σ", "σ")  # noqa: PLW2901  the library lowers sigma without context
+                if _NEW_CAPITAL.search(s):
+                    s = s.translate(NEW_SMALL)  # noqa: PLW2901
             clean.append(s.lower())
         joined = "\n".join([*clean, ""])
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)

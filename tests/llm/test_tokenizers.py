@@ -28,6 +28,14 @@ def test_counts_equal_the_library():
     assert counter.counts(t).tolist() == want
 
 
+def test_counts_of_characters_that_python_does_not_know_yet():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counter = tc.TokenCounter(open(path, encoding="utf-8").read())
+    new = [c for a, z in (*tc.NEW_LETTERS, *tc.NEW_NUMBERS, (0x378, 0x3A2), (0xA7CE, 0xA7F1)) for c in range(a, min(z, a + 60) + 1)]
+    t = [f"a{chr(c)}b{chr(c)}{chr(c)}1" for c in new]
+    assert counter.counts(t).tolist() == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(t, add_special_tokens=False)]
+
+
 def test_chunk_maps_compose_alike_for_any_chunk_length(monkeypatch):
     counter = tc.TokenCounter(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     t = texts(2, 60)
