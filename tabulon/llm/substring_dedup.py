@@ -3,20 +3,22 @@
 Every window of 50 bytes is assigned the smallest hash of the 20-byte strings inside it, so equal windows have equal
 minimizers.  Neighbouring windows with one minimizer form a run, about 16 windows.  Hashes only deal out the work:
 
-1. Documents are dealt into buckets of bounded size.  A bucket tells the shards (ranges of minimizers) its distinct
-   runs, 7 bytes each: minimizer, fingerprint, and whether several of its documents have the run.
+1. Documents are dealt into buckets of bounded size.  A bucket tells the shards (ranges of minimizers, mixed once more,
+   as minima crowd at the low end) its distinct runs, 8 bytes each: 48 bits of the minimizer, a fingerprint, and whether
+   several of its documents have the run.
 2. A shard answers which minimizers are met again anywhere, and which are hot: around them stand more than HOT different
    runs.  All other windows are settled: no other document can have them.
 3. A bucket sends the bytes of its runs with such minimizers to cells, each distinct run once; what repeats inside the
    bucket, byte for byte, is cut there for all but the smallest document.  Runs go to their minimizer's cell.  Around a
    hot minimizer the single windows go, each to the cell of its own hash, so a frequent string in ever new surroundings
    spreads over all cells.
-4. In a cell a suffix array (two-stage sorting) brings equal windows together, the common prefixes of neighbours delimit
-   them, and all but those of the smallest document are cut.
+4. In a cell runs that are equal byte for byte become one, of the smallest document; over all that are left a suffix
+   array (two-stage sorting) brings equal windows together, the common prefixes of neighbours delimit them, and all but
+   those of the smallest document are cut.
 5. Cuts return to the buckets, which remove them.
 
 The plan shuffles the texts once.  A bucket sends a cell or a shard at most one row, and no more rows than it has runs.
-A passage that every bucket holds costs its cell one run of about 70 bytes and 24 of bookkeeping per bucket.
+A passage that every bucket holds costs its cell one run of about 70 bytes and 26 of bookkeeping per bucket.
 
 Defined results: a null text is empty; texts under 50 bytes keep everything; rows with one doc_id do not affect each
 other; rows whose doc_id is null keep everything and affect nothing; an empty table gives no rows; further columns are
@@ -39,7 +41,8 @@ LENGTH, GRAM = 50, 20
 #: texts per bucket; texts whose runs meet in one shard, and in one cell; bytes under one suffix array
 BUCKET_BYTES, SHARD_BYTES, CELL_BYTES, COMPARED_BYTES = 8_000_000, 64_000_000, 12_000_000, 1_000_000
 HOT, HOT_WINDOWS = 2048, 500_000  # windows around hot minimizers that a bucket works on at once
-SMALL_BITS = np.uint64(24)  # of 64: minimizers keep 40 bits
+KEY_BITS = 48  # of minimizers and windows' hashes
+SMALL_BITS = np.uint64(64 - KEY_BITS)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -87,7 +90,7 @@ def find_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     start, end = np.flatnonzero(first), np.flatnonzero(last) + LENGTH
     # the strings at both ends, and one in the middle for longer runs, tell most runs apart
     own = wordhash.mix(grams[start] + wordhash.mix(grams[end - GRAM] + wordhash.mix(grams[(start + end - GRAM) // 2] + (end - start).astype(np.uint64))))
-    return np.searchsorted(offsets, start, side="right") - 1, start, end, least[start] >> SMALL_BITS, own
+    return np.searchsorted(offsets, start, side="right") - 1, start, end, wordhash.mix(least[start]) >> SMALL_BITS, own
 
 
 def _texts(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
@@ -124,8 +127,8 @@ class _Bucket:
 
 
 def _ranges(keys: np.ndarray, n: int):
-    """(range, from, to) of ordered 40-bit keys dealt into n ranges, those that hold some."""
-    bounds = np.searchsorted(keys, (np.arange(n + 1, dtype=np.uint64) << np.uint64(40)) // np.uint64(n))
+    """(range, from, to) of ordered keys dealt into n ranges, those that hold some."""
+    bounds = np.searchsorted(keys, np.array([(k << KEY_BITS) // n for k in range(n + 1)], np.uint64))
     for k in np.flatnonzero(np.diff(bounds)).tolist():
         yield k, int(bounds[k]), int(bounds[k + 1])
 
@@ -150,28 +153,42 @@ def _bytes_at(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
     return raw[np.arange(total) + np.repeat(begin - (np.cumsum(size) - size), size)] if total else raw[:0]
 
 
+_KINDS = (np.uint8, np.uint16, np.int32, np.int64)
+
+
+def _packed(content: np.ndarray) -> bytes:
+    return len(content).to_bytes(8, "little") + pa.compress(content.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd"), np.uint8)
+
+
 def _short(x: np.ndarray) -> bytes:
-    return x.astype(np.int32).tobytes()  # places within a bucket and within a text
+    """Whole numbers in the narrowest type that holds them, which the first byte names."""
+    low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    kind = next(k for k, t in enumerate(_KINDS) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return bytes([kind]) + x.astype(_KINDS[kind]).tobytes()
 
 
 def _long(rows: list[dict], column: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(r[column], np.int32) for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
+    return np.concatenate([np.frombuffer(r[column], _KINDS[r[column][0]], offset=1).astype(np.int64) for r in rows]) if rows else np.empty(0, np.int64)
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]).tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(data) // (KEY_BITS // 8), 8), np.uint8)
+    out[:, : KEY_BITS // 8] = np.frombuffer(data, np.uint8).reshape(-1, KEY_BITS // 8)
     return out.view("<u8").ravel()
 
 
 ENTRIES = "shard int, bucket int, least binary, print binary, several binary"
 REPLIES = "bucket int, shard int, flags binary"
-SENT = "key int, kind int, bucket int, least binary, ids binary, places binary, starts binary, ends binary, content binary"
-CUTS = "bucket int, places binary, starts binary, ends binary"
+SENT = "key int, kind int, bucket int, least binary, ids binary, places binary, starts binary, sizes binary, content binary"
+CUTS = "bucket int, places binary, starts binary, sizes binary"
 
 
 def _rows(rows: list[tuple], ddl: str) -> pa.Table:
@@ -214,7 +231,7 @@ def _steps(n_shards: int, n_cells: int):
         rows = table.to_pylist()
         least = np.concatenate([_wide(r["least"]) for r in rows])
         mark = np.concatenate([np.frombuffer(r["print"], np.uint16) for r in rows])
-        size = [len(r["least"]) // 5 for r in rows]
+        size = [len(r["least"]) // (KEY_BITS // 8) for r in rows]
         several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=n).astype(bool) for r, n in zip(rows, size, strict=True)])
         order = np.lexsort([mark, least])
         fresh = np.ones(len(order), bool)
@@ -253,7 +270,7 @@ def _steps(n_shards: int, n_cells: int):
             gone.append((row[repeated], start[repeated], end[repeated]))
             row, start, end, least, begin = (x[~repeated] for x in (row, start, end, least, begin))
             for k, lo, hi in _ranges(least, n_cells):
-                out.append((k, 1, bucket, _narrow(least[lo:hi]), b.ids[row[lo:hi]].tobytes(), _short(row[lo:hi]), _short(start[lo:hi]), _short(end[lo:hi]), _bytes_at(raw, begin[lo:hi], end[lo:hi] - start[lo:hi]).tobytes()))
+                out.append((k, 1, bucket, _narrow(least[lo:hi]), _short(b.ids[row[lo:hi]]), _short(row[lo:hi]), _short(start[lo:hi]), _short(end[lo:hi] - start[lo:hi]), _packed(_bytes_at(raw, begin[lo:hi], end[lo:hi] - start[lo:hi]))))
 
         at = np.flatnonzero(flag == 1)
         asked(b.row[at], b.start[at], b.end[at], b.least[at], b.own[at])
@@ -267,42 +284,62 @@ def _steps(n_shards: int, n_cells: int):
             asked(row[order], start[order], start[order] + LENGTH, number[order] >> SMALL_BITS, number[order])
         row, lo, hi = _united(*(np.concatenate(x) for x in zip(*gone, strict=True)))
         if len(row):
-            out.append((bucket, 0, bucket, b"", b"", _short(row), _short(lo), _short(hi), b""))
+            out.append((bucket, 0, bucket, b"", b"", _short(row), _short(lo), _short(hi - lo), b""))
         return _rows(out, SENT)
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = [(r["bucket"], r["places"], r["starts"], r["ends"]) for r in rows if r["kind"] == 0]
+        out = [(r["bucket"], r["places"], r["starts"], r["sizes"]) for r in rows if r["kind"] == 0]
         rows = [r for r in rows if r["kind"] == 1]
-        if rows:
-            least = np.concatenate([_wide(r["least"]) for r in rows])
-            ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
-            places, starts, ends = (_long(rows, c) for c in ("places", "starts", "ends"))
-            bucket = np.repeat([r["bucket"] for r in rows], [len(r["ids"]) // 8 for r in rows])
-            text = np.frombuffer(b"".join(r["content"] for r in rows), np.uint8)
-            del rows
-            size = ends - starts
-            begin = np.cumsum(size) - size
-            order = np.argsort(least, kind="stable")  # equal windows have equal keys: these stay together
-            last = np.flatnonzero(np.append(least[order][1:] != least[order][:-1], True))
-            total = np.cumsum(size[order])
-            x = 0
-            while x < len(order):
-                done = total[x - 1] if x else 0
-                y = int(last[min(np.searchsorted(last, min(np.searchsorted(total, done + COMPARED_BYTES), len(order) - 1)), len(last) - 1)]) + 1
-                own = order[x:y]
-                x = y
-                seg, lo, hi = _repeated(_bytes_at(text, begin[own], size[own]), size[own], ids[own])
-                seg = own[seg]
-                for k in np.unique(bucket[seg]).tolist():
-                    at = np.flatnonzero(bucket[seg] == k)
-                    out.append((k, _short(places[seg[at]]), _short(starts[seg[at]] + lo[at]), _short(starts[seg[at]] + hi[at])))
+        if not rows:
+            return _rows(out, CUTS)
+        least = np.concatenate([_wide(r["least"]) for r in rows])
+        ids, places, starts, size = (_long(rows, c) for c in ("ids", "places", "starts", "sizes"))
+        bucket = np.repeat([r["bucket"] for r in rows], [len(r["least"]) // (KEY_BITS // 8) for r in rows])
+        text = np.concatenate([_unpacked(r.pop("content")) for r in rows])
+        del rows
+        begin = np.cumsum(size) - size
+        order = np.lexsort([ids, least])  # equal windows have equal keys: these stay together
+        least, ids, places, starts, size, bucket, begin = (x[order] for x in (least, ids, places, starts, size, bucket, begin))
+        ends8 = np.lib.stride_tricks.sliding_window_view(text, 8)
+        head, tail = (np.ascontiguousarray(ends8[at]).view(np.uint64).ravel() for at in (begin, begin + size - 8))
+        keys = wordhash.mix(least + wordhash.mix(head + wordhash.mix(tail + size.astype(np.uint64))))
+        first = wordhash.exact_ranges(text, begin, begin + size, keys)
+        whole = np.flatnonzero(ids > ids[first])
+        found = [(whole, np.zeros(len(whole), np.int64), size[whole])]
+        alone = np.flatnonzero(first == np.arange(len(first)))
+        twins = np.flatnonzero((first != np.arange(len(first))) & (ids == ids[first]))
+        twins = twins[np.argsort(first[twins], kind="stable")]
+        last = np.flatnonzero(np.append(least[alone][1:] != least[alone][:-1], True))
+        total = np.cumsum(size[alone])
+        x = 0
+        while x < len(alone):
+            reach = np.searchsorted(total, (total[x - 1] if x else 0) + COMPARED_BYTES)
+            y = int(last[np.searchsorted(last, min(reach, len(alone) - 1))]) + 1
+            own = alone[x:y]
+            x = y
+            seg, lo, hi = _repeated(_bytes_at(text, begin[own], size[own]), size[own], ids[own])
+            seg = own[seg]
+            found.append((seg, lo, hi))
+            # the same document's other runs of these bytes fare alike
+            a, z = (np.searchsorted(first[twins], seg, side=s) for s in ("left", "right"))
+            n = z - a
+            each = np.repeat(np.arange(len(seg)), n)
+            found.append((twins[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], lo[each], hi[each]))
+        seg, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True))
+        to = bucket[seg]
+        order = np.argsort(to, kind="stable")
+        seg, lo, hi, to = seg[order], lo[order], hi[order], to[order]
+        for k in np.unique(to).tolist():
+            at = slice(np.searchsorted(to, k), np.searchsorted(to, k, side="right"))
+            out.append((k, _short(places[seg[at]]), _short(starts[seg[at]] + lo[at]), _short(hi[at] - lo[at])))
         return _rows(out, CUTS)
 
     def cut(table: pa.Table, cuts: pa.Table) -> pa.Table:
         ids, texts = _texts(table)
         rows = cuts.to_pylist()
-        which, lo, hi = _united(*(_long(rows, c) for c in ("places", "starts", "ends")))
+        which, lo, size = (_long(rows, c) for c in ("places", "starts", "sizes"))
+        which, lo, hi = _united(which, lo, lo + size)
         first, last = (np.searchsorted(which, np.arange(len(ids)), side=s) for s in ("left", "right"))
         out = []
         for k, s in enumerate(texts.to_pylist()):
