@@ -22,6 +22,7 @@ from tabulon.llm.shared import stored
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING, TOLERANCE = 0.85, 1e-10
 STEP = 4  # rounds between two writes
+HUB = 100_000  # edges of one host that are joined under one key; a hub's are dealt over as many keys as it takes
 NAMED = r"(?:(?:https?:)?//)?(?<![A-Za-z0-9-])(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}"
 
 
@@ -61,15 +62,17 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     no round adds more than damping times the one before, so what all further ones add is bounded.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), "w").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), "w"))
-    total = both.groupBy("kind", "at").agg(F.sum("w").alias("total"))
-    both = stored(both.join(total, ["kind", "at"]).select("kind", "at", "to", (F.col("w") / F.col("total")).alias("share")), "host-edges")
+    total = stored(both.groupBy("kind", "at").agg(F.sum("w").alias("total"), F.ceil(F.count("*") / HUB).cast("int").alias("salts")), "host-degrees")
+    salts = total.select("kind", F.col("at").alias("host"), "salts")
+    both = both.join(total, ["kind", "at"]).select("kind", "at", "to", (F.col("w") / F.col("total")).alias("share"), F.pmod(F.xxhash64("to"), F.col("salts")).cast("int").alias("salt"))
+    both = stored(both.join(salts.withColumnsRenamed({"host": "to", "salts": "to_salts"}), ["kind", "to"], "left").withColumn("to_salts", F.coalesce("to_salts", F.lit(1))), "host-edges")
     own = ((1 - damping) * F.col("seed")).alias("score")
-    score = seeds.select("kind", "host", own, own.alias("added"))
+    score = seeds.join(salts, ["kind", "host"], "left").select("kind", "host", own, own.alias("added"), F.coalesce("salts", F.lit(1)).alias("salts"))
     k = 0
     while rounds is None or k < rounds:
-        last = score.filter("added > 0")
-        moved = both.join(last, (both["kind"] == last["kind"]) & (both["at"] == last["host"])).select(both["kind"], F.col("to").alias("host"), (damping * F.col("share") * F.col("added")).alias("added"))
-        score = score.select("kind", "host", "score", F.lit(0.0).alias("added")).unionByName(moved.select("kind", "host", F.col("added").alias("score"), "added")).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("added").alias("added"))
+        last = score.filter("added > 0").select("kind", F.col("host").alias("at"), "added", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        moved = both.join(last, ["kind", "at", "salt"]).select("kind", F.col("to").alias("host"), (damping * F.col("share") * F.col("added")).alias("added"), F.col("to_salts").alias("salts"))
+        score = score.select("kind", "host", "score", F.lit(0.0).alias("added"), "salts").unionByName(moved.select("kind", "host", F.col("added").alias("score"), "added", "salts")).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("added").alias("added"), F.max("salts").alias("salts"))
         k += 1
         if k % STEP == 0:
             score = stored(score, "host-scores")

@@ -47,6 +47,16 @@ def test_spread_equals_power_iteration(spark):
             assert abs(got.get((kind, h), 0) - x) < 1e-12
 
 
+def test_edges_of_a_hub_are_dealt_over_keys(spark, monkeypatch):
+    edges = [("hub", f"h{k}", 1 + k % 3) for k in range(40)] + [(f"h{k}", "hub", 1) for k in range(40)] + [("h1", "h2", 1)]
+    seeds = [("trust", "hub", 1.0), ("distrust", "h3", 0.5)]
+    tables = spark.createDataFrame(edges, "src string, dst string, w long"), spark.createDataFrame(seeds, "kind string, host string, seed double")
+    plain = {(r.kind, r.host): r.score for r in url_filter.spread(*tables, 0.85, 5).collect()}
+    monkeypatch.setattr(url_filter, "HUB", 6)
+    dealt = {(r.kind, r.host): r.score for r in url_filter.spread(*tables, 0.85, 5).collect()}
+    assert plain.keys() == dealt.keys() and all(abs(plain[k] - dealt[k]) < 1e-12 for k in plain) and len(plain) > 40
+
+
 def test_spread_converges(spark):
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 4), ("d", "c", 1), ("x", "y", 1), ("y", "x", 1)]
     seeds = [("trust", "a", 1.0), ("distrust", "c", 0.5), ("trust", "x", 0.25)]
