@@ -38,6 +38,17 @@ def prefix_match(words: Column, q: str) -> Column:
     return out
 
 
+def prefix_search(c: Column | str, q: str) -> Column:
+    """prefix_match() on a text itself: no text is split.  A term that does not occur at all costs one plain search."""
+    text = F.lower(F.col(c) if isinstance(c, str) else c)
+    out = F.lit(True)
+    for t in query_terms(q):
+        out &= F.contains(text, F.lit(t))
+    for t in query_terms(q):
+        out &= text.rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){re.escape(t)}")
+    return out
+
+
 @dataclass(frozen=True)
 class WebQuery:
     """What a search line asks for: words and phrases that must occur, groups of alternatives, exclusions."""
@@ -126,7 +137,7 @@ def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def tiered(df: DataFrame, title: str, body: str, q: str, ordinal: str) -> DataFrame:
     """Rows that match in title or body, titles first, then by ordinal."""
-    in_title, in_any = prefix_match(lexemes(title), q), prefix_match(lexemes(F.concat_ws(" ", title, body)), q)
+    in_title, in_any = prefix_search(title, q), prefix_search(F.concat_ws(" ", title, body), q)
     return df.filter(in_any).withColumn("tier", F.when(in_title, 0).otherwise(1)).orderBy("tier", ordinal)
 
 

@@ -72,7 +72,7 @@ def s8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("x1_prefix_search", "SELECT doc_id FROM (SELECT doc_id, string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM documents) WHERE len(list_filter(w, lambda x: starts_with(x, 'ther'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'anst'))) > 0")
 def x1_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(search.prefix_match(search.lexemes("text"), "ther anst")).select("doc_id")
+    return table(spark, sf_dir, "documents").filter(search.prefix_search("text", "ther anst")).select("doc_id")
 
 
 @register("x2_web_search", r"WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents) SELECT doc_id FROM t WHERE contains(t, ' of the ') AND (contains(t, ' with ') OR contains(t, ' from ')) AND NOT contains(t, ' was ')")
