@@ -141,10 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Neighbo
     # fit_rows is the bound of what is broadcast and of what comes to the driver
     rows = docs.join(F.broadcast(taught), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "label", "text").mapInArrow(_sparse, "label int, at binary, counts binary").collect()
     rows.sort(key=lambda r: (bytes(r["at"]), bytes(r["counts"]), r["label"]))
-    counts = np.zeros((len(rows), DIMS), np.int32)
-    for x, r in zip(counts, rows, strict=True):
-        x[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["counts"], np.int32)
-    x = weighted(counts, idf)
+    x = np.empty((len(rows), DIMS), np.float32)  # 64 MB with FIT_ROWS rows; filled some rows at a time
+    for lo in range(0, len(rows), 128):
+        counts = np.zeros((min(128, len(rows) - lo), DIMS), np.int32)
+        for own, r in zip(counts, rows[lo : lo + 128], strict=True):
+            own[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["counts"], np.int32)
+        x[lo : lo + 128] = weighted(counts, idf)
     basis = latent_basis(x) if len(rows) else np.zeros((DIMS, 1), np.float32)
     return NeighbourModel(idf, basis, _unit(x @ basis), np.array([r["label"] for r in rows], np.float64))
 
