@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+MOST_FITS = 300_000  # remembered pairs of neighbours; beyond this they are found anew
 
 
 class MergeVocabulary:
@@ -27,7 +28,7 @@ class MergeVocabulary:
         self.pair_rank = pair_rank
         self.token_of = {s: t for t, s in symbols_of.items()}
         self._parts: dict[int, tuple[int, int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.known_fits: dict[tuple[int, int], bool] = {}
 
     def merge(self, symbols: tuple[int, ...]) -> tuple[list[int], tuple[int, int, int] | None]:
         """Plain byte-pair merging of a short symbol string: the tokens, and the last merge (left, right, rank)."""
@@ -56,7 +57,7 @@ class MergeVocabulary:
     def fits(self, a: int, b: int) -> bool:
         """Do a and b stay apart side by side?  Undo their merges, latest first, and look for an earlier one across."""
         key = (a, b)
-        if key not in self._fits:
+        if key not in self.known_fits:
             limit, verdict = None, True
             while True:
                 across = self.pair_rank(a, b)
@@ -70,8 +71,8 @@ class MergeVocabulary:
                     limit, a = rank_a, right
                 else:  # of equal merges the left one comes first, so the right one is undone first
                     limit, b = rank_b + 1, left
-            self._fits[key] = verdict
-        return self._fits[key]
+            self.known_fits[key] = verdict
+        return self.known_fits[key]
 
 
 class LazyTransducer:
@@ -84,7 +85,7 @@ class LazyTransducer:
 
     START = 0
 
-    def __init__(self, vocabulary: MergeVocabulary, n_symbols: int, resets: int | None = None, max_states: int = 400_000):
+    def __init__(self, vocabulary: MergeVocabulary, n_symbols: int, resets: int | None = None, max_states: int = 150_000):
         self.vocabulary, self.n_symbols, self.max_states = vocabulary, n_symbols, max_states
         self.resets = n_symbols if resets is None else resets
         self._build_trie()
@@ -132,6 +133,8 @@ class LazyTransducer:
 
     def tidy(self, *needed: np.ndarray) -> None:
         """Empty the tables if they are large; arrays of states that are still needed are changed to the new numbers."""
+        if len(self.vocabulary.known_fits) > MOST_FITS:
+            self.vocabulary.known_fits.clear()
         if len(self._states) <= self._most:
             return
         used = np.unique(np.concatenate([np.zeros(1, np.int32), *needed]))

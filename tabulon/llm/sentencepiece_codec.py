@@ -90,7 +90,7 @@ class PieceCodec:
         rank = {i: r for r, i in enumerate(order)}
         ids = {p: i for i, p in normal.items()}
 
-        @lru_cache(1_000_000)
+        @lru_cache(200_000)
         def pair_rank(a: int, b: int) -> int | None:
             joined = ids.get(normal[a] + normal[b])
             return None if joined is None else rank[joined]
