@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_run: ContextVar[str | None] = ContextVar("run", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset and the master is local (tests), a
@@ -24,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_run.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -44,6 +50,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str):
+    """Inside, fresh_path() and stored() use a folder of this run's own, which goes with all it holds at the end."""
+    path = fresh_path(spark, name)
+    before = _run.set(path)
+    try:
+        yield path
+    finally:
+        _run.reset(before)
+        removed(spark, path)
+
+
+def tidy(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose steps lie in a folder of their own: its result is written beside that folder, which then goes.
+    The session is that of the first argument, a DataFrame or the session itself."""
+
+    @functools.wraps(build)
+    def finished(first, *args, **kwargs) -> DataFrame:
+        spark = first if isinstance(first, SparkSession) else first.sparkSession
+        name = build.__name__.replace("_", "-")
+        out = fresh_path(spark, name)
+        with run_folder(spark, f"{name}-steps"):
+            df = build(first, *args, **kwargs)
+            df.write.parquet(out)
+        return spark.read.schema(df.schema).parquet(out)
+
+    return finished
+
+
 def swapped_in(spark: SparkSession, new: str, path: str) -> None:
     """Put a finished folder in another one's place; the old one goes only after it was moved aside."""
     fs, at = _file_system(spark, path)
