@@ -69,4 +69,24 @@ FROM v LEFT JOIN judged USING (host)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": _op3(), "op5_chat_format": OP5, "op10_decontamination": OP10}
+def _op12(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (SELECT rid, c, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.x[i] - m.x[i]) * (v.x[i] - m.x[i])))::BIGINT AS d FROM v, c{r} m),
+a{r} AS MATERIALIZED (SELECT rid, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{r} GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT c, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM a{r} JOIN v USING (rid), range(1, {dims + 1}) t(i) GROUP BY c, i),
+m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m USING (c))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT {k})),
+{", ".join(steps)},
+f AS (SELECT c, sha256(array_to_string(x, ',')) AS sha FROM c{rounds})
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha AS centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN f USING (c)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": _op3(), "op5_chat_format": OP5, "op10_decontamination": OP10, "op12_centroid_clusters": _op12()}

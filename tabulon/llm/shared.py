@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.sources.scratch import stored  # noqa: F401  the operators write their stages with it
+from tabulon.sources.scratch import fresh_path, removed, stored, tidy  # noqa: F401  the operators write their stages with them
 
 #: about so many bytes of text are worked on at once in a task (one text at least)
 SLICE_BYTES = 400_000
