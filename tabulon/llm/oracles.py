@@ -89,4 +89,23 @@ FROM a{rounds} JOIN v USING (rid) JOIN f USING (c)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": _op3(), "op5_chat_format": OP5, "op10_decontamination": OP10, "op12_centroid_clusters": _op12()}
+OP13 = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+runs AS (SELECT lang, size, array_to_string(w[s : s + size - 1], ' ') AS phrase
+         FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM split, range(1, 5) z(size) WHERE len(w) >= size)),
+f AS MATERIALIZED (SELECT lang, phrase, any_value(size) AS size, count(*) AS a FROM runs GROUP BY lang, phrase HAVING count(*) >= 30),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[: k], ' ') AS lp, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS rp
+         FROM f, range(1, 4) c(k) WHERE k < size),
+scored AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a // (x.a + y.a))::BIGINT AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = lp JOIN f y ON y.lang = c.lang AND y.phrase = rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.lang = b.lang AND g.size > len(string_split(b.phrase, ' '))
+           AND 100 * g.a >= 80 * b.a AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score FROM kept)
+SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": _op3(), "op5_chat_format": OP5, "op10_decontamination": OP10, "op12_centroid_clusters": _op12(), "op13_collocations": OP13}
