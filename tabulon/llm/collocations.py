@@ -38,9 +38,6 @@ CHUNK_BYTES = 3_000_000  # text that a task looks at in one go (one text at leas
 CHUNK_WORDS = 400_000  # words whose polynomials are held at once
 SUM_ROWS = 3_000_000  # numbers a task adds up before it hands them on
 MAP_BITS = 1 << 30
-BASE = np.uint64(0x9E3779B97F4A7C55)  # odd, so that it has an inverse among 64-bit numbers
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
 _SPLIT = np.isin(np.arange(256), [*b".,;:!?", *range(10, 14)])
 _BETWEEN = _SPLIT | np.isin(np.arange(256), [32, 9])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,18 +64,6 @@ class Words:
         return len(self.start)
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        x = np.full(max(n, 1 << 21), base, np.uint64)
-        x[0] = 1
-        have = _powers[name] = np.multiply.accumulate(x)
-    return have[:n]
-
-
 def fingerprints(words: Words, lang: np.ndarray):
     """For some words at a time {n: (first word, number) of each run of n words within a piece}, n = 1 to LONGEST, and the
     word at which they end: pairs go on a little beyond, as far as runs that begin before it reach.
@@ -89,15 +74,13 @@ def fingerprints(words: Words, lang: np.ndarray):
         hi = min(lo + CHUNK_WORDS, len(words))
         to = min(hi + LONGEST - 1, len(words))
         at = words.start[lo]
-        own = wordhash.byte_values(words.raw[at : words.end[to - 1]])
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * _power("up", BASE, len(own)), dtype=np.uint64)])
-        down = _power("down", INVERSE, len(own) + 1)
+        polynomial = wordhash.Polynomial(words.raw[at : words.end[to - 1]])
         out = {}
         for n in range(1, LONGEST + 1):
             first = np.arange(lo, to - 1 if n == 2 else min(hi, len(words) - n + 1))
             first = first[words.piece[first] == words.piece[first + n - 1]] if n > 1 else first
             a, z = words.start[first] - at, words.end[first + n - 1] - at
-            out[n] = first, wordhash.mix((prefix[z] - prefix[a]) * down[a] + wordhash.mix((z - a).astype(np.uint64) + lang[words.text[first]]))
+            out[n] = first, wordhash.mix(polynomial.of(a, z) + wordhash.mix((z - a).astype(np.uint64) + lang[words.text[first]]))
         yield hi, out
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import centroid_clusters, chat_format, collocations, decontamination, near_duplicates, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_counts, url_filter
+from tabulon.llm import centroid_clusters, chat_format, collocations, decontamination, hidden_markov, near_duplicates, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.cluster_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -73,4 +77,4 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_url_filter, op4_suffix_array_dedup, op5_chat_format, op6_quality_rules, op7_quality_classifier, op8_secret_scan, op9_sentencepiece, op10_decontamination, op12_centroid_clusters, op13_collocations)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard, op3_url_filter, op4_suffix_array_dedup, op5_chat_format, op6_quality_rules, op7_quality_classifier, op8_secret_scan, op9_sentencepiece, op10_decontamination, op11_lm_scores, op12_centroid_clusters, op13_collocations)}
