@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +37,20 @@ def test_counts_of_characters_that_python_does_not_know_yet():
     assert counter.counts(t).tolist() == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(t, add_special_tokens=False)]
 
 
+def test_counts_of_marks_in_sequence():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counter, library = tc.TokenCounter(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    t = [f"a{x}{m}{y}b" for m in marks for x in ("", "\u0307", "\u0323", "\u0302") for y in ("", "\u0307", "\u0323", "\u0302", m)]
+    t += ["T\u08d1\u0307", "\u0307\u0c3c", "\u0307\u1dfa", "\u0307\U00011070", "G\u1df6\u0302", "\u1df6\u0307", "H\u0d3b\u0307", "\U00011935\U00011930\u0307", "\U00011938\u0323\u0307", "\u1100\u1161\u11a8"]
+    r = random.Random(6)
+    odd = [*"aeoTGHш\u1100\u1161\u11a8\u0915\u09c7\u09be가", *"\u0307\u0323\u0302\u0300\u0345\u0338\u093c\u05b0\u3099", *r.sample(marks, 300), *[chr(c) for a, z in tc.NEWER_MARKS for c in range(a, z + 1)]]
+    t += ["".join(r.choices(odd, k=r.randint(2, 7))) for _ in range(200_000)]
+    for lo in range(0, len(t), 20_000):
+        part = t[lo : lo + 20_000]
+        assert counter.counts(part).tolist() == [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+
+
 def test_chunk_maps_compose_alike_for_any_chunk_length(monkeypatch):
     counter = tc.TokenCounter(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     t = texts(2, 60)
