@@ -15,7 +15,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: modules that register queries when imported
-MODULES = ("lifecycle", "records", "join_queries", "aggregate_queries", "series_queries", "text_queries", "ingest_queries", "further_queries", "law_queries", "completed_queries")
+MODULES = ("lifecycle", "records", "join_queries", "aggregate_queries", "series_queries", "text_queries", "index_queries", "ingest_queries", "further_queries", "law_queries", "completed_queries")
 
 
 def register(name: str, oracle: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Query], Query]:
