@@ -11,8 +11,8 @@ key is above it no other centroid can have become nearer.  Each block keeps one
 has fallen to the drift is popped and compared with all centroids in 64-bit arithmetic.  Keys are floating-point
 numbers, made smaller and drifts larger than any rounding error, so they decide only what need not be looked at.
 
-A round joins blocks and states bucket by bucket, without a shuffle, writes the new states (12 bytes a vector) and adds
-up what moved: k * (dims + 1) whole numbers, all that comes to the driver.
+A round joins blocks and states bucket by bucket, without a shuffle, and writes the new states (12 bytes a vector); each
+task adds up what moved: k * (dims + 1) whole numbers, and their sums are all that comes to the driver.
 
 Defined results: no kept vector gives no rows; fewer kept rows than k give so many centroids; repeated rows are separate
 vectors; rows that share an id are ordered by their components where they compete for a start; a null id counts as an
@@ -160,6 +160,17 @@ def _rounds(centroids: np.ndarray, drift: np.ndarray):
     return assign
 
 
+def _total(batches):
+    """What a task's blocks gain together."""
+    total = None
+    for batch in batches:
+        moved = batch.column("moved")
+        for part in [moved.flatten().to_numpy().reshape(len(moved), -1).sum(0)] if len(moved) else []:
+            total = part if total is None else total + part
+    at = np.flatnonzero(total) if total is not None else np.empty(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at] if len(at) else at, pa.int64())], names=["at", "v"])
+
+
 def _members(centroids: np.ndarray):
     def members(batches):
         for batch in batches:
@@ -227,7 +238,7 @@ def cluster_vectors(df: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64,
             if before:
                 buckets.drop(before)
             if r < rounds:
-                gained = spark.table(states).select(F.posexplode("moved").alias("at", "v")).groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
+                gained = spark.table(states).select("moved").mapInArrow(_total, "at int, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
                 for row in gained.collect():  # k * (dims + 1) numbers
                     sums[row["at"] // (dims + 1)][row["at"] % (dims + 1)] += int(row["v"])
                 old, centroids = centroids, _moved(centroids, sums)
