@@ -32,5 +32,7 @@ def exact_anniversary(day: Column | str, months: Column | int) -> Column:
 
 
 def whole_months_between(start: Column | str, end: Column | str) -> Column:
-    """Full months from start to end; the day before an anniversary is not yet a full month."""
-    return F.floor(F.months_between(_col(end), _col(start), False)).cast("int")
+    """Completed months: a month is complete on the same day of a later one, so the last of February does not complete a
+    month begun on the 31st.  Null where the end comes first."""
+    a, b = _col(start), _col(end)
+    return F.when(b >= a, month_index(b) - month_index(a) - F.when(F.dayofmonth(b) < F.dayofmonth(a), 1).otherwise(0)).cast("int")

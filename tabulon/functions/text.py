@@ -91,18 +91,60 @@ def without_tags(html: Column | str) -> Column:
     return squeezed(t)
 
 
-DATE_SETTINGS = r"(?i)\b(set for|reset (?:for|to)|continued to|rescheduled (?:for|to)|due (?:by|on))\s+(\d{1,2}/\d{1,2}/\d{4})(?:\s+at\s+(\d{1,2}:\d{2}\s*[AP]M))?((?:[^.]{0,60}?\bvacated\b)?)"
+# fixed values: how docket entries announce a date, take one back, and lead up to what it is for
+DATE_SETTING = r"(?i)\b(due\s+by|is\s+set\s+for|set\s+for|reset\s+for|continued\s+to)\s+(\d{1,2})/(\d{1,2})/(\d{4})\b(?:,?\s+(?:at\s+)?(\d{1,2}:\d{2}\s*(?:[AP]\.?\s?M\.?)?))?"
+VACATED = r"(?i)^[\s,]*(?:(?:is|are|has\s+been|have\s+been|was|were)\s+)?(?:hereby\s+)?VACATED\b"
+LEAD_IN = r"(?i)^(?:You\s+are\s+hereby\s+notified\s+that|It\s+is\s+(?:hereby\s+)?ordered\s+that|ORDERED\s+that|Please\s+take\s+notice\s+that|and|or|the|with)\s+"
+CLAUSE_END = r"(?:[.;:]\s+|\)\s+|\n)"
+LABEL_WORDS, SNIPPET_CHARS = 12, 200
 
 
-def docket_dates(c: Column | str) -> Column:
-    """array<struct<phrase, date, time, vacated>>: the dates that a docket entry sets, in order; impossible days are left out."""
-    found = F.regexp_extract_all(_col(c), F.lit(DATE_SETTINGS), F.lit(0))
+def _label(clause: Column) -> Column:
+    """What a date is for: the clause before it without lead-ins, its last words; null if nothing is left."""
+    s = F.trim(F.regexp_replace(squeezed(clause), "[,;:]+$", ""))
+    s = F.aggregate(F.sequence(F.lit(1), F.lit(4)), s, lambda acc, _: F.trim(F.regexp_replace(acc, LEAD_IN, "")))
+    words = F.split(s, " ")
+    return F.when(s != "", F.when(F.size(words) > LABEL_WORDS, F.concat(F.lit("… "), F.array_join(F.slice(words, -LABEL_WORDS, LABEL_WORDS), " "))).otherwise(s))
 
-    def one(m: Column) -> Column:
-        part = [F.regexp_extract(m, DATE_SETTINGS, k) for k in range(1, 5)]
-        return F.struct(F.lower(part[0]).alias("phrase"), F.try_to_date(part[1], "M/d/yyyy").alias("date"), F.nullif(part[2], F.lit("")).alias("time"), (part[3] != "").alias("vacated"))
 
-    return F.filter(F.transform(found, one), lambda d: d["date"].isNotNull())
+def docket_dates(c: Column | str) -> Column:
+    """array<struct<date, printed, phrase, label, time, vacated, snippet>>: the dates that a docket entry sets, in order.
+
+    A date that directly goes on with "is vacated" is taken back, and only that one.  Its label is what its clause says
+    before it; a further date in one clause is for the same thing.  Impossible days are left out.
+    """
+    marked = F.split(F.regexp_replace(F.regexp_replace(_col(c), "[\x01\x02]", ""), DATE_SETTING, "\x01$0\x02"), "\x01")
+    parts = F.transform(F.slice(marked, 2, F.size(marked)), lambda p: F.struct(F.substring_index(p, "\x02", 1).alias("m"), F.substring_index(p, "\x02", -1).alias("rest")))
+    numbered = F.transform(parts, lambda p, k: F.struct(p["m"].alias("m"), p["rest"].alias("rest"), F.translate(F.array_join(F.slice(marked, k + 2, F.size(marked)), ""), "\x02", "").alias("onward")))
+
+    def one(p: Column, label: Column, clause: Column) -> Column:
+        part = [F.regexp_extract(p["m"], DATE_SETTING, k) for k in range(1, 6)]
+        year = part[3].cast("int")
+        day = F.when(year.between(1900, 2100), F.try_to_date(F.concat_ws("/", *part[1:4]), "M/d/yyyy"))
+        said = F.concat(clause, p["onward"])
+        ended = F.regexp_extract(said, r"(?s)^(.*?)\.\s+[A-Z(]", 1)
+        snippet = F.substring(squeezed(F.when(said.rlike(r"\.\s+[A-Z(]"), ended).otherwise(said)), 1, SNIPPET_CHARS)
+        return F.struct(day.alias("date"), F.concat_ws("/", *part[1:4]).alias("printed"), F.regexp_replace(F.lower(part[0]), r"\s+", " ").alias("phrase"), label.alias("label"), F.nullif(squeezed(part[4]), F.lit("")).alias("time"), p["rest"].rlike(VACATED).alias("vacated"), snippet.alias("snippet"))
+
+    def clause_of(text: Column) -> Column:
+        return F.regexp_replace(text, f"(?s)^.*{CLAUSE_END}", "")
+
+    none = F.filter(F.transform(numbered, lambda p: one(p, F.lit(None).cast("string"), F.lit(""))), lambda _: F.lit(False))
+    start = F.struct(clause_of(F.element_at(marked, 1)).alias("clause"), F.lit(False).alias("same"), F.lit(None).cast("string").alias("label"), none.alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        found = one(p, F.when(acc["same"], acc["label"]).otherwise(_label(acc["clause"])), acc["clause"])
+        real = found["date"].isNotNull()
+        onward = F.concat(p["m"], p["rest"])
+        ends = onward.rlike(CLAUSE_END)
+        return F.struct(
+            F.when(ends, clause_of(onward)).otherwise(F.concat(acc["clause"], onward)).alias("clause"),
+            (~ends & (real | acc["same"])).alias("same"),
+            F.when(real, found["label"]).otherwise(acc["label"]).alias("label"),
+            F.when(real, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.when(_col(c).isNotNull(), F.aggregate(numbered, start, step, lambda acc: acc["out"]))
 
 
 def backed_sentences(summary: Column | str, source: Column | str) -> Column:

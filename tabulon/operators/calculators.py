@@ -13,11 +13,23 @@ def present_value(amount: Column, years: Column, rate: Column) -> Column:
     return F.when(n > 0, pay).otherwise(0.0)
 
 
-def compounded_interest(principal: Column, rate: Column, start: Column, end: Column, day_basis: int = 365) -> Column:
-    """Simple daily interest within a year, compounded on each anniversary of the start."""
-    whole = F.greatest(F.floor(F.months_between(end, start, False) / 12), F.lit(0)).cast("int")
-    rest = F.datediff(end, F.add_months(start, whole * 12))
-    return F.when(end >= start, principal * F.pow(1 + rate, whole) * (1 + rate * rest / day_basis) - principal)
+def compounded_interest(principal: Column, rate: Column, start: Column, end: Column, day_basis: int | None = 365) -> Column:
+    """Interest by days, added to the balance on each anniversary of the start; null where the end comes first.
+
+    A day bears rate / day_basis, so a year with a 29th of February bears a day more; day_basis None counts each year's
+    own days.  Anniversaries of a 29th of February fall on the 28th in other years.
+    """
+
+    def anniversary(n: Column) -> Column:
+        return F.add_months(start, n * 12)
+
+    def grown(balance: Column, n: Column) -> Column:
+        to = F.least(anniversary(n), end)
+        year = F.datediff(anniversary(n), anniversary(n - 1)) if day_basis is None else F.lit(day_basis)
+        return balance * (1 + rate * F.greatest(F.datediff(to, anniversary(n - 1)), F.lit(0)) / year)
+
+    years = F.sequence(F.lit(1), F.year(end) - F.year(start) + 1)
+    return F.when(end >= start, F.aggregate(years, principal.cast("double"), grown) - principal)
 
 
 def adjusted_for_prices(df: DataFrame, index: DataFrame, amount: str, month: str, to_month: str, out: str) -> DataFrame:

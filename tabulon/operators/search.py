@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulon.sources.scratch import stored
-
 HONORIFICS = frozenset({"mr", "mrs", "ms", "dr", "hon", "judge", "justice"})
 
 
@@ -149,70 +146,66 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, block: int = 1_000) -> DataFrame:
-    """(query, id, score, place): exact cosine neighbours of the queries among all rows.
+ROW_BLOCK = 20_000  # rows that meet a block of queries in one task
+
 
-    The queries come to the driver and are broadcast in blocks of a fixed size; each row meets a block in place, and each
-    partition keeps only its best k per query before anything is shuffled.  Every block is one pass over the rows; the
-    results of more than one block are stored.
+def nearest(df: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, block: int = 2_000) -> DataFrame:
+    """(query, id, score, place): exact cosine neighbours of the queries among all rows, a query itself left out.
+
+    Queries are dealt into blocks, rows into blocks, and every block of queries meets every block of rows in a group of
+    its own, which keeps its best k per query; these are merged by query.  Nothing goes through the driver but two
+    counts; a group holds `block` queries and ROW_BLOCK rows or a little more, whatever the data.  Ties go to the
+    smaller id; rows without a vector are left out.
     """
-    asked = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("v")).toLocalIterator()
-    rows, found = list(islice(asked, block)), None
-    while True:
-        after = list(islice(asked, block))
-        best = _nearest_of(df, rows, id_col, vector, k)
-        if not after and found is None:
-            return best
-        best = stored(best, "nearest")
-        found = best if found is None else found.unionByName(best)
-        if not after:
-            return found
-        rows = after
-
-
-def _nearest_of(df: DataFrame, rows: list, id_col: str, vector: str, k: int) -> DataFrame:
-    """nearest() for one block of queries (q, v)."""
+    import math
+
+    rows = df.filter(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    asked = queries.filter(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    n_rows, n_asked = max(1, math.ceil(rows.count() / ROW_BLOCK)), max(1, math.ceil(asked.count() / block))
+    rows = rows.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(n_rows))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long"))))
+    asked = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_asked))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
+    kind = df.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+    best = asked.groupBy("q", "r").cogroup(rows.groupBy("q", "r")).applyInArrow(_best_of_blocks(k), f"query {kind}, id {kind}, score double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return best.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def _best_of_blocks(k: int):
     import numpy as np
     import pyarrow as pa
-    from pyspark.sql import types as T
-
-    asked = np.array([r["q"] for r in rows])
-    m = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
-    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    sent = df.sparkSession.sparkContext.broadcast((asked, m))
-
-    def score(batches):
-        ids0, q = sent.value
-        best: list[tuple] = []
-        for batch in batches:
-            if not len(q) or not batch.num_rows:
-                continue
-            x = batch.column(1)
-            x = np.array(x.flatten(), np.float64).reshape(len(x), -1)
-            ids = np.array(batch.column(0))
-            s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T, 9)
-            keep = min(k + 1, s.shape[1])  # one more: the row itself may be among them
-            edge = -np.sort(-s, axis=1)[:, keep - 1 : keep]
-            a, b = np.nonzero(s >= edge)
-            best.append((ids0[a], ids[b], s[a, b]))
-        if best:
-            a, b, s = (np.concatenate(c) for c in zip(*best, strict=True))
-            order = np.lexsort([b, -s, a])
-            a, b, s = a[order], b[order], s[order]
-            start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            nth = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-            good = nth <= k
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(s[good])], names=["query", "id", "score"])
-
-    kind = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField("query", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
-    found = df.filter(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(score, schema).filter("query <> id")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
+
+    def unit(table: pa.Table) -> np.ndarray:
+        x = table.column("v").combine_chunks()
+        m = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        a, b, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if asked.num_rows and rows.num_rows:
+            rows = rows.sort_by("id")
+            x, found = unit(rows).T, []
+            own = unit(asked)
+            for lo in range(0, len(own), 200):
+                scores = np.round(own[lo : lo + 200] @ x, 9)
+                keep = min(k + 1, scores.shape[1])  # one more: the query itself may be among them
+                edge = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
+                i, j = np.nonzero(scores >= edge)
+                order = np.lexsort([j, -scores[i, j], i])  # rows stand in order of their ids
+                i, j = i[order], j[order]
+                nth = np.arange(len(i)) - np.searchsorted(i, i)
+                found.append((i[nth <= k] + lo, j[nth <= k], scores[i, j][nth <= k]))
+            a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
+        query, other = asked.column("id").take(pa.array(a)), rows.column("id").take(pa.array(b))
+        apart = np.array([x != y for x, y in zip(query.to_pylist(), other.to_pylist(), strict=True)], bool)
+        return pa.table({"query": query, "id": other, "score": s}).filter(pa.array(apart))
+
+    return best
 
 
 def retrieval_scores(found: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(queries, recall, mrr): found (query, id, place) held against wanted (query, id)."""
-    hit = wanted.join(found.filter(F.col("place") <= k), ["query", "id"], "left")
-    per = hit.groupBy("query").agg((F.count("place") / F.count("*")).alias("r"), F.coalesce(1 / F.min("place"), F.lit(0.0)).alias("rr"))
-    return per.agg(F.count("*").alias("queries"), F.avg("r").alias("recall"), F.avg("rr").alias("mrr"))
+    """(queries, recall, mrr): found (query, id, place, good), in which `good` marks what was wanted, held against wanted
+    (query, n), how many rows each query wants; queries that want none are left out."""
+    good = F.col("good") & (F.col("place") <= k)
+    per = found.groupBy("query").agg(F.count_if(good).alias("hits"), F.min(F.when(good, F.col("place"))).alias("first"))
+    both = wanted.filter("n > 0").join(per, "query", "left")
+    return both.agg(F.count("*").alias("queries"), F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))

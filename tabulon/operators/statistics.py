@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabulon.functions.special import t_two_sided
 from tabulon.operators.ranking import cumulated, quantiles
 from tabulon.sources.scratch import stored
 
@@ -16,7 +17,7 @@ def pearson(x: str, y: str) -> Column:
     """Null for fewer than three pairs or a constant side."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return F.when((F.count_if(both) >= 3) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.corr(a, b))
+    return F.when((F.count_if(both) >= 3) & (F.var_pop(a) > 0) & (F.var_pop(b) > 0), F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -48,6 +49,12 @@ def fisher_interval(r: Column, n: Column, z: float = 1.959963984540054) -> Colum
     return F.when(n >= 4, F.struct(F.tanh(F.atanh(r) - half).alias("low"), F.tanh(F.atanh(r) + half).alias("high")))
 
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of n pairs by Student's t with n - 2 degrees of freedom; null for n < 3."""
+    t = r * F.sqrt((n - 2) / F.greatest(1 - r * r, F.lit(1e-300)))
+    return F.when(r.isNotNull() & (n >= 3), F.when(F.abs(r) >= 1, 0.0).otherwise(t_two_sided(t, n - 2)))
+
+
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, out: str = "q") -> DataFrame:
     """Adjusted p-values within each family; a null p has none.  Keys are not null.
 
@@ -151,7 +158,7 @@ def permutation_p(df: DataFrame, keys: list[str], x: str, y: str, shuffles: int
     return out.select(*keys, "n", F.when(good, F.col("_own") / F.sqrt(F.col("_xx") * F.col("_yy"))).alias("rho"), F.when(good, (F.col("_hits") + 1) / F.lit(shuffles + 1.0)).alias("p"))
 
 
-def test_family(df: DataFrame, unit: str, x: str, ys: list[str], least: int = 20, alpha: float = 0.05) -> DataFrame:
+def family_tests(df: DataFrame, unit: str, x: str, ys: list[str], least: int = 20, alpha: float = 0.05) -> DataFrame:
     """(y, n, rho, low, high, p, q, holds): one measure against several over the same units, adjusted together.
 
     Measures with fewer than `least` pairs, or without variation, are listed without a test.
@@ -162,8 +169,7 @@ def test_family(df: DataFrame, unit: str, x: str, ys: list[str], least: int = 20
     tested = F.when(F.col("n") >= least, F.col("rho"))
     r = listed.join(rho, "y", "left").select("y", F.coalesce("n", F.lit(0)).alias("n"), tested.alias("rho"))
     i = fisher_interval(F.col("rho"), F.col("n"))
-    z = F.abs(F.atanh("rho")) * F.sqrt((F.col("n") - 3) / 1.06)
-    r = r.withColumn("low", i["low"]).withColumn("high", i["high"]).withColumn("p", F.when(F.col("rho").isNotNull(), F.least(2 * normal_cdf(-z), F.lit(1.0)))).withColumn("family", F.lit(x))
+    r = r.withColumn("low", i["low"]).withColumn("high", i["high"]).withColumn("p", correlation_p(F.col("rho"), F.col("n"))).withColumn("family", F.lit(x))
     return benjamini_hochberg(r, ["family"], "p").drop("family").withColumn("holds", F.coalesce(F.col("q") < alpha, F.lit(False)))
 
 
@@ -251,21 +257,6 @@ def growth_rate(first: Column, last: Column, years: Column) -> Column:
     return F.when((first > 0) & (last > 0) & (years > 0), F.pow(last / first, 1.0 / years) - 1)
 
 
-def error_function_complement(x: Column) -> Column:
-    """erfc by the rational Chebyshev approximation of Numerical Recipes, relative error below 1.2e-7."""
-    coefficients = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    t = 1 / (1 + F.abs(x) / 2)
-    poly = F.lit(coefficients[-1])
-    for c in reversed(coefficients[:-1]):
-        poly = poly * t + c
-    tau = t * F.exp(-x * x + poly)
-    return F.when(x >= 0, tau).otherwise(2 - tau)
-
-
-def normal_cdf(x: Column) -> Column:
-    return 0.5 * error_function_complement(-x / math.sqrt(2))
-
-
 def unreliable(estimate: Column, n: Column, cv: Column) -> Column:
     """Survey estimates that are withheld: below 1,200, fewer than 20 cases, or a coefficient of variation above 33 %."""
     return (estimate < 1200) | (n < 20) | (cv > 0.33)

@@ -328,7 +328,7 @@ def n11_loess(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("n15_family")
 def n15_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.max("o_totalprice").alias("largest"))
-    return statistics.test_family(c.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_custkey", "total", ["n", "largest", "c_acctbal"])
+    return statistics.family_tests(c.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_custkey", "total", ["n", "largest", "c_acctbal"])
 
 
 @register("n14_reliability", "WITH g AS (SELECT p_type, sum(p_size * 10) AS estimate, count(*) AS n, stddev_samp(p_size) / sqrt(count(*)) / avg(p_size) AS cv FROM part WHERE p_size > 0 GROUP BY 1) SELECT p_type, n, CASE WHEN NOT (estimate < 1200 OR n < 20 OR cv > 0.33) THEN estimate END::BIGINT AS estimate FROM g")

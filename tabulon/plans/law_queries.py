@@ -86,11 +86,23 @@ def x15_authority_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.authority_lines(table(spark, sf_dir, "part").select("p_partkey", line.alias("line")), "p_partkey", "line")
 
 
-@register("x16_docket_dates", "SELECT o_orderkey, 'set for' AS phrase, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 2 = 0 THEN '9:30 AM' END AS time, o_orderkey % 3 = 0 AS vacated FROM orders UNION ALL SELECT o_orderkey, 'continued to', strftime(o_orderdate + INTERVAL 44 DAY, '%Y-%m-%d'), NULL, false FROM orders WHERE o_orderkey % 3 = 0")
+_DAYS = "strftime(o_orderdate + INTERVAL {} DAY, '%Y-%m-%d')"
+
+
+@register("x16_docket_dates", f"""WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS kind, {_DAYS.format(30)} AS a, {_DAYS.format(44)} AS b FROM orders)
+    SELECT o_orderkey, 1 AS nth, a AS date, 'set for' AS phrase, 'Jury Selection' AS label, '08:00 AM' AS time, false AS vacated FROM o WHERE kind = 0 UNION ALL SELECT o_orderkey, 2, b, 'set for', 'Jury Selection', NULL, true FROM o WHERE kind = 0
+    UNION ALL SELECT o_orderkey, 1, a, 'reset for', 'Status Conference', '10:00 AM', false FROM o WHERE kind = 1 UNION ALL SELECT o_orderkey, 2, b, 'due by', 'Answer of party ' || o_orderkey, NULL, false FROM o WHERE kind = 1
+    UNION ALL SELECT o_orderkey, 1, a, 'is set for', 'Hearing', NULL, true FROM o WHERE kind = 2 UNION ALL SELECT o_orderkey, 2, b, 'continued to', 'Hearing', NULL, false FROM o WHERE kind = 2
+    UNION ALL SELECT o_orderkey, 1, a, 'continued to', '… two three four five six seven eight nine ten eleven Bench Trial', '9:30', false FROM o WHERE kind = 3""")
 def x16_docket_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry = F.expr("concat('Hearing set for ', date_format(o_orderdate + INTERVAL 30 DAYS, 'M/d/yyyy'), CASE WHEN o_orderkey % 2 = 0 THEN ' at 9:30 AM' ELSE '' END, CASE WHEN o_orderkey % 3 = 0 THEN concat(', is vacated and continued to ', date_format(o_orderdate + INTERVAL 44 DAYS, 'M/d/yyyy')) ELSE '' END, '. Answer due by 2/30/2001. Seen 1/2/2003.')")
-    d = table(spark, sf_dir, "orders").select("o_orderkey", F.inline(tf.docket_dates(entry)))
-    return d.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    day = "date_format(o_orderdate + INTERVAL {} DAYS, 'M/d/yyyy')"
+    a, b = day.format(30), day.format(44)
+    entry = F.expr(f"""CASE o_orderkey % 4
+        WHEN 0 THEN concat('CLERK NOTICE (hearing). Jury Selection set for ', {a}, ' at 08:00 AM, Jury Trial set for ', {b}, ' is vacated. Seen 1/2/2003.')
+        WHEN 1 THEN concat('ORDERED that the Status  Conference reset for ', {a}, ', 10:00 AM; Answer of party ', o_orderkey, ' due by ', {b}, '. It was vacated before.')
+        WHEN 2 THEN concat('It is hereby ordered that the Hearing is set for ', {a}, ', has been vacated and continued to ', {b}, '. Reply due by 2/30/2001.')
+        ELSE concat('Minutes\none two three four five six seven eight nine ten eleven Bench Trial continued to ', {a}, ' at 9:30. (Signed on 5/21/2026)') END""")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(tf.docket_dates(entry)).alias("at", "d")).select("o_orderkey", (F.col("at") + 1).alias("nth"), F.date_format("d.date", "yyyy-MM-dd").alias("date"), "d.phrase", "d.label", "d.time", "d.vacated")
 
 
 @register("x17_order_windows", "WITH z AS (SELECT max(o_orderdate)::DATE AS z, min(o_orderdate)::DATE AS a FROM orders) SELECT o_orderpriority, count(*) FILTER (z - o_orderdate::DATE < 30) AS d30, count(*) FILTER (z - o_orderdate::DATE < 90) AS d90, CASE WHEN max(z - a) >= 90000 THEN count(*) END AS d90000 FROM orders, z GROUP BY 1")

@@ -245,10 +245,11 @@ def w40_latest_filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("concept"), F.year("l_shipdate").alias("y")).agg(F.max(F.struct((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("o"), "l_extendedprice"))["l_extendedprice"].alias("fact"))
 
 
-@register("f11_whole_months", "SELECT l_orderkey, l_linenumber, date_sub('month', DATE '1995-01-31', l_shipdate::DATE) AS months FROM lineitem WHERE day(l_shipdate) BETWEEN 2 AND 27 AND l_shipdate >= TIMESTAMP '1995-02-01'")
+@register("f11_whole_months", "SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate >= TIMESTAMP '1995-01-31' THEN ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 - (day(l_shipdate) < 31)::INT)::INT END AS since, CASE WHEN l_shipdate < TIMESTAMP '2000-03-01' THEN ((2000 - year(l_shipdate)) * 12 + 2 - month(l_shipdate) - (29 < day(l_shipdate))::INT)::INT END AS until FROM lineitem")
 def f11_whole_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").filter(F.dayofmonth("l_shipdate").between(2, 27) & (F.col("l_shipdate") >= F.lit("1995-02-01").cast("timestamp")))
-    return l.select("l_orderkey", "l_linenumber", whole_months_between(F.lit("1995-01-31").cast("date"), F.to_date("l_shipdate")).alias("months"))
+    """Completed months of every line since the end of a month, and until the end of a February."""
+    ship = F.to_date("l_shipdate")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", whole_months_between(F.lit("1995-01-31").cast("date"), ship).alias("since"), whole_months_between(ship, F.lit("2000-02-29").cast("date")).alias("until"))
 
 
 @register("f12_exact_anniversary", "SELECT o_orderkey, CASE WHEN day((o_orderdate::DATE + INTERVAL 1 MONTH)::DATE) = day(o_orderdate) THEN (o_orderdate::DATE + INTERVAL 1 MONTH)::DATE END AS due FROM orders", dates=("due",))

@@ -102,9 +102,11 @@ def x9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT query, count(*) FILTER (place <= 10) / count(*) AS r, coalesce(1 / min(place) FILTER (place <= 10), 0) AS rr FROM s WHERE good GROUP BY 1) SELECT count(*) AS queries, round(avg(r), 6) AS recall, round(avg(rr), 6) AS mrr FROM p""")
 def x11_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 100 = 0")
-    wanted = q.select(F.col("vec_id").alias("query"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").filter("query <> id").select("query", "id")
-    s = search.retrieval_scores(search.nearest(e, q, "vec_id", "embedding", 10), wanted, 10)
+    q, labels = e.filter("vec_id % 100 = 0"), e.select(F.col("vec_id").alias("id"), F.col("label").alias("own"))
+    sizes = e.groupBy("label").agg((F.count("*") - 1).alias("n"))
+    wanted = q.select(F.col("vec_id").alias("query"), "label").join(sizes, "label")
+    found = search.nearest(e, q, "vec_id", "embedding", 10).join(labels, "id").join(wanted.select("query", "label"), "query").withColumn("good", F.col("own") == F.col("label"))
+    s = search.retrieval_scores(found, wanted.select("query", "n"), 10)
     return s.select("queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
@@ -142,6 +144,31 @@ def n3_fisher(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("p_brand", F.round(i["low"], 6).alias("low"), F.round(i["high"], 6).alias("high"))
 
 
+def _t_sql(keys: str) -> str:
+    """Student's two-sided p-value by its closed sums for whole degrees of freedom."""
+    return f"""WITH g AS (SELECT {keys} AS k, count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1 HAVING count(*) >= 3 AND var_pop(l_quantity) > 0 AND var_pop(l_extendedprice) > 0),
+    t AS (SELECT k, n - 2 AS v, r, atan(r / sqrt(greatest(1 - r * r, 1e-300))) AS th FROM g),
+    s AS (SELECT *, coalesce(list_sum(list_transform(range(0, v // 2), lambda j: exp(2 * j * ln(cos(th)) + coalesce(list_sum(list_transform(range(1, j + 1), lambda i: CASE WHEN v % 2 = 1 THEN ln(2.0 * i / (2 * i + 1)) ELSE ln((2.0 * i - 1) / (2 * i)) END)), 0)))), 0) AS total FROM t)
+    SELECT k, v AS freedom, round(r, 9) AS r, round(CASE WHEN v % 2 = 1 THEN 1 - 2 / pi() * (abs(th) + abs(sin(th)) * cos(th) * total) ELSE 1 - abs(sin(th)) * total END, 8) + 0 AS p FROM s"""
+
+
+@register("n3_t_test", _t_sql("l_suppkey"))
+def n3_t_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations with their p-values, of a few hundred pairs each."""
+    return _t_tests(table(spark, sf_dir, "lineitem"), "l_suppkey")
+
+
+@register("n3_t_test_few", _t_sql("l_orderkey"))
+def n3_t_test_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of three to seven pairs."""
+    return _t_tests(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+def _t_tests(lines: DataFrame, key: str) -> DataFrame:
+    g = lines.groupBy(F.col(key).alias("k")).agg(statistics.pearson("l_quantity", "l_extendedprice").alias("r"), F.count("*").alias("n")).filter("r IS NOT NULL")
+    return g.select("k", (F.col("n") - 2).alias("freedom"), F.round("r", 9).alias("r"), F.round(statistics.correlation_p(F.col("r"), F.col("n")), 8).alias("p"))
+
+
 @register("n4_benjamini_hochberg", "WITH p AS (SELECT p_partkey AS k, p_brand AS fam, (p_partkey * 37 % 1000 + 1) / 1000.0 AS p FROM part), r AS (SELECT *, rank() OVER (PARTITION BY fam ORDER BY p) + count(*) OVER (PARTITION BY fam, p) - 1 AS r, count(*) OVER (PARTITION BY fam) AS m FROM p) SELECT k, round(least(min(p * m / r) OVER (PARTITION BY fam ORDER BY p DESC RANGE UNBOUNDED PRECEDING), 1), 6) AS q FROM r")
 def n4_benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("fam"), ((F.col("p_partkey") * 37 % 1000 + 1) / 1000.0).alias("p"))
@@ -206,9 +233,10 @@ def c2_present_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(calculators.present_value(F.col("p_retailprice"), F.col("p_size"), F.lit(0.03)), 4).alias("pv"))
 
 
-@register("c3_judgment_interest", "WITH d AS (SELECT o_orderkey, o_totalprice AS p, o_orderdate::DATE AS s, date_sub('year', o_orderdate::DATE, DATE '2003-05-28') AS y FROM orders WHERE day(o_orderdate) < 29) SELECT o_orderkey, round(p * power(1.045, y) * (1 + 0.045 * date_diff('day', (s + to_years(y::INT))::DATE, DATE '2003-05-28') / 365) - p, 2) AS interest FROM d")
+@register("c3_judgment_interest", """WITH y AS (SELECT o_orderkey, o_totalprice AS p, (o_orderdate::DATE + to_years(n - 1))::DATE AS a, least((o_orderdate::DATE + to_years(n))::DATE, DATE '2003-05-28') AS z FROM orders, range(1, 20) t(n))
+    SELECT o_orderkey, round(any_value(p) * product(1 + 0.045 * (z - a) / 365) - any_value(p), 2) AS interest FROM y WHERE z > a GROUP BY 1""")
 def c3_judgment_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter(F.dayofmonth("o_orderdate") < 29)
+    o = table(spark, sf_dir, "orders")
     return o.select("o_orderkey", F.round(calculators.compounded_interest(F.col("o_totalprice"), F.lit(0.045), F.to_date("o_orderdate"), F.lit("2003-05-28").cast("date")), 2).alias("interest"))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.functions import json_paths
+from tabulon.functions import json_paths, special
 from tabulon.operators import citations, filters, joins, names, passages, ranking, search, statistics
 from tabulon.plans.registry import QUERIES
 from tabulon.sources import files
@@ -143,7 +143,7 @@ def test_permutation_p_and_family(spark):
     weak = statistics.permutation_p(df, ["g"], "x", "noise", 99, 5).first()
     assert strong.p == 0.01 and strong.rho > 0.5 and weak.p > 0.05
     assert statistics.permutation_p(df, ["g"], "x", "noise", 99, 5).first().p == weak.p
-    f = {r.y: r for r in statistics.test_family(df, "u", "x", ["near", "noise", "few"]).collect()}
+    f = {r.y: r for r in statistics.family_tests(df, "u", "x", ["near", "noise", "few"]).collect()}
     assert f["near"].holds and not f["noise"].holds and f["few"].rho is None and f["few"].n == 5 and f["near"].low < f["near"].rho < f["near"].high
 
 
@@ -199,7 +199,7 @@ def test_parameters_are_checked_before_any_plan(spark):
 
 
 def test_normal_distribution(spark):
-    rows = spark.createDataFrame([(x / 4,) for x in range(-20, 21)], "x double").withColumn("p", statistics.normal_cdf(F.col("x"))).collect()
+    rows = spark.createDataFrame([(x / 4,) for x in range(-20, 21)], "x double").withColumn("p", special.normal_cdf(F.col("x"))).collect()
     assert all(abs(r.p - 0.5 * math.erfc(-r.x / math.sqrt(2))) < 2e-7 for r in rows)
 
 
