@@ -153,6 +153,33 @@ def backed_sentences(summary: Column | str, source: Column | str) -> Column:
     return F.filter(sentences(summary), lambda s: F.size(F.array_except(numbers(s), known)) == 0)
 
 
+#: what Python's str.isspace() holds for white space
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def cleaned(c: Column | str) -> Column:
-    """A text for embedding: control characters and heading marks out, white space shrunk."""
-    return squeezed(F.regexp_replace(_col(c), r"[\x00-\x08\x0E-\x1F\x7F]", " "))
+    """A passage for embedding: heading marks and indents out, blanks shrunk, at most one blank line; line breaks stay."""
+    s = F.regexp_replace(F.regexp_replace(_col(c), "[\x1e\x1f]", ""), "\n[\t ]+", "\n")
+    s = F.regexp_replace(F.regexp_replace(F.translate(s, "\t", " "), " {2,}", " "), "\n{3,}", "\n\n")
+    return F.regexp_replace(s, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
+def snippet(c: Column | str, most: int = 280) -> Column:
+    """The first words of a passage on one line, cut at a blank in the second half of the room, or where it ends, without
+    a sign that leads on, and marked."""
+    flat = F.trim(F.regexp_replace(cleaned(c), rf"{SPACE}+", " "))
+    head = F.substring(flat, 1, most)
+    cut = F.length(head) - F.instr(F.reverse(head), " ")
+    n = F.when((F.instr(head, " ") > 0) & (cut > most // 2), cut).otherwise(most)
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, F.lit(1), n), r"[ ,;:.\-]+\z", ""), F.lit("…")))
+
+
+def embedding_text(heading: Column | str, body: Column | str) -> Column:
+    """What is embedded: the heading path, a blank line, the cleaned passage."""
+    h = F.coalesce(_col(heading), F.lit(""))
+    return F.when(h != "", F.concat(h, F.lit("\n\n"), cleaned(body))).otherwise(cleaned(body))
+
+
+def embedding_key(text: Column | str, model: str, kind: str = "document") -> Column:
+    """The identity of one input of an embedding model."""
+    return F.sha2(F.concat(F.lit(f"{model}\0{kind}\0"), _col(text)), 256)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulon.functions import text as tf
 from tabulon.operators import passages
 from tabulon.plans.registry import register
 from tabulon.sources import files
-from tabulon.sources.scratch import fresh_path
+from tabulon.sources.scratch import fresh_path, stored
 from tabulon.sources.tables import table
 from tabulon.streaming import cdc
 
@@ -114,6 +115,33 @@ def m10_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.applied(now, plan, "o_orderkey", ["o_orderstatus", "o_totalprice"])[0].select("o_orderkey")
 
 
+def _cleaned_orders(spark: SparkSession, sf_dir: str):
+    """Orders P are to go and orders F to be marked; before the clean-up every third one changes, after it every fifth."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderpriority"))
+    run = cdc.Cleanup(spark, fresh_path(spark, "cleanup"), "o_orderkey")
+    run.plan(o, "one", F.col("o_orderstatus") == "P", "pending orders")
+    run.plan(o, "two", F.col("o_orderstatus") == "F", "finished orders are marked", {"o_orderpriority": F.concat(F.lit("done "), "o_orderpriority")})
+    now = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    first = run.apply(now, "one")
+    return run, now, first, run.apply(first, "two")
+
+
+@register("m10_verified", """SELECT phase, count(*) FILTER (s) AS planned, CASE WHEN phase = 'one' THEN count(*) FILTER (s AND o_orderkey % 3 > 0) ELSE 0 END AS removed, CASE WHEN phase = 'two' THEN count(*) FILTER (s AND o_orderkey % 3 > 0) ELSE 0 END AS changed, count(*) FILTER (s AND o_orderkey % 3 = 0) AS skipped, true AS complete
+    FROM (SELECT phase, o_orderkey, o_orderstatus = CASE WHEN phase = 'one' THEN 'P' ELSE 'F' END AS s FROM orders, (VALUES ('one'), ('two')) p(phase)) GROUP BY phase""")
+def m10_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run, now, first, second = _cleaned_orders(spark, sf_dir)
+    return run.verify(now, first, "one").withColumn("phase", F.lit("one")).unionByName(run.verify(first, second, "two").withColumn("phase", F.lit("two")))
+
+
+@register("m10_rolled_back", """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 AND o_orderstatus <> 'P' THEN -1 WHEN o_orderkey % 5 = 0 AND o_orderkey % 3 = 0 THEN -1 WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+    CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 > 0 AND o_orderkey % 5 = 0 THEN 'done ' ELSE '' END || o_orderpriority AS o_orderpriority FROM orders""")
+def m10_rolled_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taken back but for the marked orders that somebody has changed since."""
+    run, _, _, second = _cleaned_orders(spark, sf_dir)
+    later = second.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, -1.0).otherwise(F.col("o_totalprice")))
+    return run.rollback(run.rollback(later, "two"), "one")
+
+
 @register("m12_coverage", "SELECT event_type, min(ts) AS first, max(ts) AS last, count(*) AS n, count(DISTINCT ts::DATE) AS days FROM events GROUP BY 1")
 def m12_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"), F.countDistinct(F.to_date("ts")).alias("days"))
@@ -125,6 +153,29 @@ def m14_only_new_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("key").distinct().join(d.filter("doc_id % 2 = 0").select("key"), "key", "left_anti")
 
 
+@register("m14_two_nights", r"""WITH a AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 > 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'Line of document ' || doc_id % 10 ELSE text END AS text FROM documents WHERE doc_id % 11 > 0),
+    ka AS (SELECT DISTINCT l FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM a) WHERE l <> ''), kb AS (SELECT DISTINCT l FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM b) WHERE l <> '')
+    SELECT 1 AS night, 'send' AS what, sha256('m' || chr(0) || 'document' || chr(0) || l) AS key FROM ka UNION ALL SELECT 2, 'send', sha256('m' || chr(0) || 'document' || chr(0) || l) FROM kb WHERE l NOT IN (SELECT l FROM ka) UNION ALL SELECT 2, 'delete', sha256('m' || chr(0) || 'document' || chr(0) || l) FROM ka WHERE l NOT IN (SELECT l FROM kb)
+    UNION ALL SELECT 1, 'cut', count(*)::VARCHAR FROM a UNION ALL SELECT 2, 'cut', count(*)::VARCHAR FROM b WHERE doc_id % 5 = 0 OR doc_id % 7 = 0""")
+def m14_two_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two nights of a changing corpus, cut at line ends: what is sent to be embedded, what is deleted, how many are cut."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tail = F.concat(F.coalesce("text", F.lit("")), F.lit("\nLine of document "), F.col("doc_id") % 10)
+    nights = [d.filter("doc_id % 7 > 0"), d.filter("doc_id % 11 > 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, tail).otherwise(F.col("text")))]
+
+    def lines(docs: DataFrame) -> DataFrame:
+        return docs.select("id", F.posexplode(F.split("text", "\n")).alias("chunk_no", "body")).filter("body <> ''")
+
+    state, out = cdc.PassageState(spark, fresh_path(spark, "passages"), lines), None
+    for number, docs in enumerate(nights, 1):
+        send, gone, cut = state.refresh(docs, "doc_id", "text", lambda body: tf.embedding_key(body, "m"))
+        told = [send.select(F.lit("send").alias("what"), "key"), gone.select(F.lit("delete").alias("what"), "key"), spark.createDataFrame([("cut", str(cut))], "what string, key string")]
+        for t in told:
+            t = stored(t.withColumn("night", F.lit(number)), "night")
+            out = t if out is None else out.unionByName(t)
+    return out
+
+
 @register("m15_tumbling", "SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def m15_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.tumbling(table(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"])

@@ -133,10 +133,14 @@ def x24_watch_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.filter(search.phrase_match("text", ["of the", "With that", "and  in"])).select("doc_id")
 
 
-@register("x8_snippets", r"WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 160 THEN t ELSE regexp_replace(substr(t, 1, 159), '\s+\S*$', '') || '…' END AS snippet, (length(t) * 10 + 33) // 34 AS tokens FROM c")
+@register("x8_snippets", r"""WITH c AS (SELECT doc_id, 'Document ' || doc_id || ' › ' || coalesce(source, '') AS heading, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(text, '[\x1e\x1f]', '', 'g'), '\n[\t ]+', chr(10), 'g'), chr(9), ' '), ' {2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS t FROM documents),
+    f AS (SELECT *, trim(regexp_replace(t, '\s+', ' ', 'g')) AS flat FROM c), n AS (SELECT *, CASE WHEN contains(left(flat, 160), ' ') AND length(regexp_replace(left(flat, 160), ' [^ ]*$', '')) > 80 THEN length(regexp_replace(left(flat, 160), ' [^ ]*$', '')) ELSE 160 END AS n FROM f)
+    SELECT doc_id, CASE WHEN length(flat) <= 160 THEN flat ELSE rtrim(left(flat, n), ' ,;:.-') || '…' END AS snippet, (length(t) * 10 + 33) // 34 AS tokens, sha256('m' || chr(0) || 'document' || chr(0) || heading || chr(10) || chr(10) || t) AS key FROM n""")
 def x8_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tf.cleaned("text").alias("t"))
-    return d.select("doc_id", tf.short("t", 160).alias("snippet"), tf.token_estimate("t").alias("tokens"))
+    """Snippets, estimates of tokens, and the keys of what would be embedded under a heading path."""
+    heading = F.concat(F.lit("Document "), F.col("doc_id"), F.lit(" › "), F.coalesce("source", F.lit("")))
+    d = table(spark, sf_dir, "documents").select("doc_id", heading.alias("heading"), "text", tf.cleaned("text").alias("t"))
+    return d.select("doc_id", tf.snippet("text", 160).alias("snippet"), tf.token_estimate("t").alias("tokens"), tf.embedding_key(tf.embedding_text("heading", "text"), "m").alias("key"))
 
 
 @register("x23_similar_names", "WITH n AS (SELECT DISTINCT p_name AS n FROM part), k AS (SELECT n, array_to_string(list_sort(list_distinct(string_split(lower(n), ' '))), ' ') AS k FROM n) SELECT a.n AS a, b.n AS b, CASE WHEN a.k = b.k THEN 'order' ELSE 'spelling' END AS why FROM k a JOIN k b ON a.n < b.n AND (a.k = b.k OR levenshtein(a.n, b.n) <= 2)")

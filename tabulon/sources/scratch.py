@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _run: ContextVar[str | None] = ContextVar("run", default=None)
@@ -84,6 +86,45 @@ def tidy(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return finished
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless there is one: of several writers just one succeeds, and readers see all of it or none."""
+    fs, at = _file_system(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.draft-{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    if fs.getUri().getScheme() == "file":  # a local folder: a hard link is made or refused in one step
+        try:
+            os.link(draft.toUri().getPath(), at.toUri().getPath())
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            fs.delete(draft, False)
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    try:
+        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+        only_new = spark.sparkContext._gateway.new_array(options, 1)
+        only_new[0] = options.NONE
+        context.rename(draft, at, only_new)
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception):
+            raise
+        fs.delete(draft, False)
+        return False
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, at = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def swapped_in(spark: SparkSession, new: str, path: str) -> None:
     """Put a finished folder in another one's place; the old one goes only after it was moved aside."""
     fs, at = _file_system(spark, path)

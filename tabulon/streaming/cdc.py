@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabulon.sources.scratch import children, exists, fresh_path
+from tabulon.sources.scratch import children, exists, fresh_path, put_if_absent, removed, stored, text_of
 
 
 def payload_hash(columns: list[str]) -> Column:
@@ -121,6 +122,118 @@ def applied(df: DataFrame, plan: DataFrame, id_col: str, columns: list[str]) ->
     return now.join(p, match, "left_anti").drop("_now"), now.join(p, match, "left_semi").drop("_now")
 
 
+class Cleanup:
+    """A clean-up in steps that can be checked and taken back: plan, apply, verify, roll back.
+
+    The plan holds each row to be removed or changed with the reason and a digest of the row as it was.  apply() acts on
+    rows that still have that digest and writes them, as they were, to a journal.  verify() holds rows before and after
+    against the journal.  rollback() restores what the journal holds where nothing has happened since: a removed row
+    if its id is still free, a changed one if it still is as the clean-up left it.  Ids are unique and not null.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, id_col: str):
+        self.spark, self.root, self.id_col = spark, root, id_col
+
+    @staticmethod
+    def digest(df: DataFrame, row: str | None = None) -> Column:
+        return F.md5(F.to_json(F.col(row) if row else F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+
+    def _image(self, df: DataFrame) -> DataFrame:
+        """(_id, _row, _md5): each row as it is."""
+        row = df.select(F.col(self.id_col).alias("_id"), F.struct(*sorted(df.columns)).alias("_row"))
+        return row.withColumn("_md5", self.digest(row, "_row"))
+
+    def plan(self, df: DataFrame, phase: str, chosen: Column, reason: str, changes: dict[str, Column] | None = None) -> DataFrame:
+        """(id, action, reason, before, and the new values): rows to remove, or to change where `changes` are given."""
+        rows = df.filter(chosen)
+        new = F.struct(*[(changes or {}).get(c, F.col(c)).cast(df.schema[c].dataType).alias(c) for c in sorted(df.columns)])
+        planned = rows.select(F.col(self.id_col).alias("_id"), F.lit("change" if changes else "remove").alias("action"), F.lit(reason).alias("reason"), self.digest(rows).alias("before"), new.alias("new"))
+        planned.write.parquet(f"{self.root}/plan/{phase}")
+        return self.spark.read.parquet(f"{self.root}/plan/{phase}")
+
+    def journal(self, phase: str) -> DataFrame:
+        """(id, action, reason, old row, its digest, and the new row's digest, null if removed) of what was done."""
+        return self.spark.read.parquet(f"{self.root}/journal/{phase}")
+
+    def apply(self, df: DataFrame, phase: str) -> DataFrame:
+        """The rows after the clean-up; planned rows that have changed since stay as they are.  A phase is applied once."""
+        if exists(self.spark, f"{self.root}/journal/{phase}/_SUCCESS"):
+            raise ValueError(f"{phase} has been applied")
+        plan = self.spark.read.parquet(f"{self.root}/plan/{phase}")
+        now = self._image(df)
+        hit = now.join(plan, "_id").filter(F.col("_md5") == F.col("before"))
+        after = F.when(F.col("action") == "change", self.digest(hit, "new"))
+        hit.select("_id", "action", "reason", F.col("_row").alias("old"), F.col("_md5").alias("before"), "new", after.alias("after")).write.mode("overwrite").parquet(f"{self.root}/journal/{phase}")
+        done = self.journal(phase).select("_id", "action", "new")
+        out = now.join(done, "_id", "left").filter(~F.coalesce(F.col("action") == "remove", F.lit(False)))
+        return out.select(F.coalesce("new", "_row").alias("r")).select("r.*").select(*df.columns)
+
+    def verify(self, before: DataFrame, after: DataFrame, phase: str) -> DataFrame:
+        """One row: planned, removed, changed, skipped, and whether rows and digests before are those after with the journal
+        put back.  Digests are sums over rows, so order does not matter."""
+
+        def facts(df: DataFrame, image: DataFrame) -> DataFrame:
+            return image.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("_md5", 1, 12), 16, 10).cast("decimal(38,0)")).alias("d"))
+
+        j = self.journal(phase)
+        kept = self._image(after).join(j.filter("after is not null").select("_id", F.col("after").alias("_md5")), ["_id", "_md5"], "left_anti")
+        whole = kept.select("_id", "_md5").unionByName(j.select("_id", F.col("before").alias("_md5")))
+        one, two = facts(before, self._image(before)), facts(after, whole)
+        counts = j.agg(F.count_if(F.col("action") == "remove").alias("removed"), F.count_if(F.col("action") == "change").alias("changed"))
+        planned = self.spark.read.parquet(f"{self.root}/plan/{phase}").agg(F.count("*").alias("planned"))
+        same = (F.col("n0") == F.col("n1")) & F.col("d0").eqNullSafe(F.col("d1"))
+        both = one.select(F.col("n").alias("n0"), F.col("d").alias("d0")).crossJoin(two.select(F.col("n").alias("n1"), F.col("d").alias("d1"))).crossJoin(counts).crossJoin(planned)  # one row each
+        return both.select("planned", "removed", "changed", (F.col("planned") - F.col("removed") - F.col("changed")).alias("skipped"), same.alias("complete"))
+
+    def rollback(self, df: DataFrame, phase: str) -> DataFrame:
+        """The rows with what the journal holds put back where nothing has happened since."""
+        now = self._image(df)
+        j = self.journal(phase).select("_id", "old", "after")
+        back = now.join(j, "_id", "full")
+        free, untouched = F.col("_row").isNull() & F.col("after").isNull(), F.col("_md5") == F.col("after")
+        row = F.when(F.col("old").isNotNull() & (free | F.coalesce(untouched, F.lit(False))), F.col("old")).otherwise(F.col("_row"))
+        return back.select(row.alias("r")).filter("r is not null").select("r.*").select(*df.columns)
+
+
+class PassageState:
+    """Which passages of which records are embedded, night by night; only new ones are sent on.
+
+    A generation holds (record, record digest, chunk_no, key) of every passage.  refresh() cuts records whose digest is
+    new or changed again, keeps the others' rows, and leaves out records that are gone.  A generation is complete with
+    its folder, so a broken night is done again from the one before.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, cut: Callable[[DataFrame], DataFrame], record_type: str = "bigint"):
+        """cut: (id, text) -> (id, chunk_no, body); what is embedded is the body."""
+        self.spark, self.root, self.cut = spark, root, cut
+        self.schema = f"id {record_type}, digest string, chunk_no int, key string"
+
+    def _generations(self) -> list[str]:
+        return [g for g in children(self.spark, self.root, "g=") if exists(self.spark, f"{self.root}/{g}/_SUCCESS")]
+
+    def held(self, back: int = 0) -> DataFrame:
+        """The newest generation, or the one so many before it."""
+        found = self._generations()
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{found[-1 - back]}") if len(found) > back else self.spark.createDataFrame([], self.schema)
+
+    def refresh(self, docs: DataFrame, id_col: str, text: str, key: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, int]:
+        """((key, body) to embed, (key) to delete, records cut): against the newest generation, which the night's replaces."""
+        held, number = self.held(), len(self._generations())
+        now = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
+        known = held.select("id", "digest").distinct()
+        marks = stored(now.select("id", "digest").unionByName(known.select("id", "digest")).distinct().join(known.withColumn("was", F.lit(True)), ["id", "digest"], "left").join(now.select("id", "digest").withColumn("here", F.lit(True)), ["id", "digest"], "left"), "marks")
+        fresh = now.join(marks.filter("was is null").select("id", "digest"), ["id", "digest"], "left_semi")
+        pieces = stored(self.cut(fresh.select("id", "text")).select("id", "chunk_no", "body").withColumn("key", key(F.col("body"))), "pieces")
+        rows = pieces.join(fresh.select("id", "digest"), "id").select("id", "digest", F.col("chunk_no").cast("int").alias("chunk_no"), "key")
+        empty = fresh.join(pieces.select("id").distinct(), "id", "left_anti").select("id", "digest", F.lit(-1).alias("chunk_no"), F.lit(None).cast("string").alias("key"))  # known, without passages
+        same = held.join(marks.filter("was and here").select("id", "digest"), ["id", "digest"], "left_semi")
+        same.select("id", "digest", "chunk_no", "key").unionByName(rows).unionByName(empty).write.mode("overwrite").parquet(f"{self.root}/g={number:06}")
+        after = self.held().filter("key is not null").select("key").distinct()
+        before = held.filter("key is not null").select("key").distinct()
+        send = pieces.groupBy("key").agg(F.min("body").alias("body")).join(before, "key", "left_anti")
+        return send, before.join(after, "key", "left_anti"), marks.filter("was is null").count()
+
+
 def change_events(df: DataFrame, id_col: str, version: str, fields: list[str]) -> DataFrame:
     """(id, version, field, before, after, kind): what each version changed; kind is added, removed or changed.
 
@@ -134,34 +247,46 @@ def change_events(df: DataFrame, id_col: str, version: str, fields: list[str]) -
 
 
 class WorkQueue:
-    """Claims on pending items, kept as an append-only table that one writer extends.
+    """Claims on pending items, kept as an append-only table that any number of writers extend.
 
     A claim holds an item for a lease; an item that is neither done nor held may be claimed again, so a lost worker's
-    items come back.  claim() takes at most so many, oldest first.
+    items come back.  claim() takes at most so many, oldest first.  A writer reads the rounds up to n, writes its rows
+    and then a file that makes them round n + 1, which succeeds only if there is none yet: of two that claim at once one
+    loses, reads again and chooses anew.
     """
 
     def __init__(self, spark: SparkSession, root: str, id_type: str = "long"):
         self.spark, self.root, self.schema = spark, root, f"id {id_type}, worker string, until timestamp, done boolean"
 
-    def ledger(self) -> DataFrame:
-        rounds = [f"{self.root}/{r}" for r in children(self.spark, self.root, "round=") if exists(self.spark, f"{self.root}/{r}/_SUCCESS")]
-        return self.spark.read.schema(self.schema).parquet(*rounds) if rounds else self.spark.createDataFrame([], self.schema)
+    def _rounds(self) -> list[str]:
+        return [r for r in children(self.spark, f"{self.root}/rounds") if r.isdigit()]
+
+    def ledger(self, rounds: list[str] | None = None) -> DataFrame:
+        rows = [f"{self.root}/rows/{text_of(self.spark, f'{self.root}/rounds/{r}')}" for r in (self._rounds() if rounds is None else rounds)]
+        return self.spark.read.schema(self.schema).parquet(*rows) if rows else self.spark.createDataFrame([], self.schema)
 
-    def _append(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.root}/round={len(children(self.spark, self.root, 'round=')):06}"
-        rows.write.parquet(path)
-        return self.spark.read.schema(self.schema).parquet(path)
+    def _append(self, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        while True:
+            rounds = self._rounds()
+            name = uuid.uuid4().hex
+            choose(self.ledger(rounds)).write.parquet(f"{self.root}/rows/{name}")
+            if put_if_absent(self.spark, f"{self.root}/rounds/{len(rounds):09}", name):
+                return self.spark.read.schema(self.schema).parquet(f"{self.root}/rows/{name}")
+            removed(self.spark, f"{self.root}/rows/{name}")
 
     def claim(self, items: DataFrame, id_col: str, order: list[str], worker: str, now: str, lease_minutes: int, most: int) -> DataFrame:
         """(id) of the items that the worker now holds."""
         at = F.lit(now).cast("timestamp")
-        taken = self.ledger().filter(F.col("done") | (F.col("until") > at)).select(F.col("id").alias(id_col)).distinct()
-        free = items.join(taken, id_col, "left_anti").orderBy(*order, id_col).limit(most)
-        rows = free.select(F.col(id_col).alias("id"), F.lit(worker).alias("worker"), (at + F.expr(f"INTERVAL {lease_minutes} MINUTES")).alias("until"), F.lit(False).alias("done"))
-        return self._append(rows).select("id")
+
+        def choose(ledger: DataFrame) -> DataFrame:
+            taken = ledger.filter(F.col("done") | (F.col("until") > at)).select(F.col("id").alias(id_col)).distinct()
+            free = items.join(taken, id_col, "left_anti").orderBy(*order, id_col).limit(most)
+            return free.select(F.col(id_col).alias("id"), F.lit(worker).alias("worker"), (at + F.expr(f"INTERVAL {lease_minutes} MINUTES")).alias("until"), F.lit(False).alias("done"))
+
+        return self._append(choose).select("id")
 
     def finish(self, ids: DataFrame, worker: str) -> None:
-        self._append(ids.select("id", F.lit(worker).alias("worker"), F.lit(None).cast("timestamp").alias("until"), F.lit(True).alias("done")))
+        self._append(lambda _: ids.select("id", F.lit(worker).alias("worker"), F.lit(None).cast("timestamp").alias("until"), F.lit(True).alias("done")))
 
 
 def rebuilt_family(spark: SparkSession, path: str, rows: DataFrame, partition: str, touched: DataFrame, family: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -38,34 +38,6 @@ def test_passages_of_any_number_of_words(spark):
     assert none.count() == 0
 
 
-def test_packed_passages_against_a_search_of_all_cuts():
-    dice = random.Random(2)
-    parts = ["word ", "Sentence ends. ", "line\n", "\n\n", "PART IV\n", "(a) item ", "(12) more ", "x" * 40, "é😀 ", "\t", "a.\n"]
-    patterns = [re.compile(p) for _, p in passages.SEPARATORS]
-    for _ in range(120):
-        text, longest = "".join(dice.choice(parts) for _ in range(dice.randint(0, 60))), dice.randint(5, 90)
-        rank = {}
-        for k, p in enumerate(patterns):
-            for m in p.finditer(text):
-                rank.setdefault(m.end(), k)
-        spans = passages.packed(text, longest)
-        assert all(z - a <= longest and text[a:z] == text[a:z].strip() and a < z for a, z in spans)
-        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
-        assert "".join(text[a:z] for a, z in spans).replace(" ", "").split() == [] or re.sub(r"\s", "", "".join(text[a:z] for a, z in spans)) == re.sub(r"\s", "", text)
-        at, want = len(text) - len(text.lstrip()), []
-        while at < len(text.rstrip()):
-            stop = at + longest
-            if len(text.rstrip()) > stop:
-                room = [p for p in rank if at + longest // 2 < p <= stop] or [p for p in rank if at < p <= stop]
-                stop = max((p for p in room if rank[p] == min(rank[q] for q in room)), default=stop)
-            else:
-                stop = len(text.rstrip())
-            if text[at:stop].strip():
-                want.append((at + len(text[at:stop]) - len(text[at:stop].lstrip()), at + len(text[at:stop].rstrip())))
-            at = stop
-        assert spans == want
-
-
 def test_poisson_tails_of_large_means(spark):
     cases = [(25000, 25000.0), (25300, 25000.0), (3, 0.25), (0, 4.0), (100, 160.0), (160, 100.0), (9, 9.0), (24000, 25000.0)]
     got = {(r.x, r.m): r.p for r in spark.createDataFrame(cases, "x long, m double").withColumn("p", statistics.poisson_tail(F.col("x"), F.col("m"))).collect()}
