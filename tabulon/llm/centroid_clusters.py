@@ -25,14 +25,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import fresh_path, removed, shuffle_width, stored, tidy
+from tabulon.llm.shared import Buckets, shuffle_width, stored, tidy
 
 BLOCK_ROWS = 1024  # vectors of a block, on average
 LARGEST = 1 << 27
@@ -183,23 +182,6 @@ def _members(centroids: np.ndarray):
     return members
 
 
-class _Buckets:
-    """Tables of one run, bucketed alike by slot, so that they join without a shuffle."""
-
-    def __init__(self, spark, n: int):
-        self.spark, self.n, self.paths = spark, n, {}
-
-    def stored(self, df: DataFrame, name: str) -> str:
-        table, path = f"tabulon_{name}_{uuid.uuid4().hex}", fresh_path(self.spark, name)
-        self.paths[table] = path
-        df.write.bucketBy(self.n, "slot").option("path", path).format("parquet").saveAsTable(table)
-        return table
-
-    def drop(self, table: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        removed(self.spark, self.paths.pop(table))
-
-
 def _moved(centroids: list[list[int]], sums: list[list[int]]) -> list[list[int]]:
     """Each centroid's floor of the mean; one without vectors stays."""
     return [[s // total[-1] for s in total[:-1]] if total[-1] else old for old, total in zip(centroids, sums, strict=True)]
@@ -222,8 +204,7 @@ def cluster_vectors(df: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64,
     centroids = [r["x"] for r in named.orderBy("h", "x").limit(k).collect()]
     n = shuffle_width(spark)
     slots = max(n, math.ceil(seen.get["n"] / BLOCK_ROWS))
-    buckets = _Buckets(spark, n)
-    try:
+    with Buckets(spark, n, "slot") as buckets:
         # the input's partition takes part, so that copies of one row are dealt out too
         dealt = kept.withColumn("slot", F.pmod(F.xxhash64("vec_id", "x", F.spark_partition_id()), F.lit(slots)))
         packed = dealt.repartition(n, "slot").sortWithinPartitions("slot").select("slot", "vec_id", "x").mapInArrow(_pack, f"slot long, ids array<{id_type}>, x binary")
@@ -251,6 +232,3 @@ def cluster_vectors(df: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64,
         about = [(c, own, sum(inertia.values()), hashlib.sha256(",".join(map(str, centroids[c])).encode()).hexdigest()) for c, own in inertia.items()]
         clusters = spark.createDataFrame(about, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
         return members.join(F.broadcast(clusters), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # k rows
-    finally:
-        for table in list(buckets.paths):
-            buckets.drop(table)

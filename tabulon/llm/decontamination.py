@@ -9,8 +9,9 @@ words there are then compared with the window's.  Shingles are joined by hashes
 decides.
 
 Defined results: null or empty texts have no words; an item without words has no window; repeated rows each get their
-result, rows that share a doc_id but not the text are judged apart; a null doc_id is kept; item ids may repeat and then
-count once per id; further columns are ignored.
+result, rows that share a doc_id but not the text are judged apart (by a 64-bit hash of the text: only rows of one
+doc_id could be taken for each other); a null doc_id is kept; item ids may repeat and then count once per id, a null one
+as an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import stored
+from tabulon.llm.shared import stored, tidy
 
 WINDOW, SHINGLE = 10, 3
 #: beyond so many benchmark shingles they are joined by shuffle instead of broadcast (about 200 bytes each with their windows)
@@ -67,7 +68,7 @@ def _hash(words: list[Column]) -> Column:
     return F.xxhash64(*words, F.lit(len(words)))
 
 
-MARK = 0  # the key of a row's own entry among its positions
+MARKS = 4096  # keys from 0 under which the rows' own entries go among the positions: no key holds them all
 
 
 def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
@@ -81,7 +82,7 @@ def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     names = [f"w{i}" for i in range(most)]
     zipped = F.arrays_zip("w0", *[F.slice("w0", F.lit(i + 1), F.size("w0")).alias(names[i]) for i in range(1, most)])
     at = d.select("doc_id", "tk", (F.size("w0") - 1).alias("n_words"), F.posexplode(zipped).alias("pos", "z"))
-    own = [F.when(F.col("pos") == 0, F.lit(MARK).cast("long"))]
+    own = [F.when(F.col("pos") == 0, F.pmod(F.xxhash64("doc_id", "tk"), F.lit(MARKS)))]
     keys = [F.when(F.col(f"z.{names[n - 1]}").isNotNull(), _hash([F.col(f"z.{x}") for x in names[:n]])) for n in sizes]
     every = [F.coalesce(own[0], keys[0]) if keys else own[0], *[F.when(F.col("pos") > 0, k) for k in keys[1:]]]
     h = every[0] if len(every) == 1 else F.explode(F.array(*every))
@@ -101,8 +102,8 @@ def _scanned(df: DataFrame, benchmark: DataFrame, window: int, shingle: int) ->
     rarest = F.min(F.struct(F.coalesce("cnt", F.lit(0)).alias("cnt"), "h", "k"))
     prefix = windows.join(counts, "h", "left").groupBy("win", "len").agg(rarest.alias("p")).filter("p.cnt > 0").select("win", "len", F.col("p.h").alias("h"), F.col("p.k").alias("k"))
     prefix = stored(prefix, "prefixes")
-    keys = prefix.select("h").unionByName(df.sparkSession.range(1).select(F.lit(MARK).cast("long").alias("h"))).distinct()
-    met = stored(_positions(df, sizes).join(sent(keys), "h").filter(f"pos < 0 or h <> {MARK}"), "prefix-hits")
+    keys = prefix.select("h").unionByName(df.sparkSession.range(MARKS).select(F.col("id").alias("h"))).distinct()
+    met = stored(_positions(df, sizes).join(sent(keys), "h"), "prefix-hits")  # a shingle that has a mark's number finds no prefix
     start = F.col("pos") - F.col("k")
     cand = met.filter("pos >= 0").join(sent(prefix), "h").withColumn("start", start).filter("start >= 0 and start + len <= n_words")
     cand = cand.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "len", "win")).alias("c"))  # of one text's own positions
@@ -120,11 +121,13 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, window: int = WINDOW
     return found.join(benchmark_windows(benchmark, window).select("item_id", "win"), "win").select("doc_id", "tk", "item_id", "start", "len")
 
 
+@tidy
 def contaminated_texts(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, tk) of the texts that hold a window of any item; tk is the text's xxhash64."""
     return _scanned(df, benchmark, window, shingle)[1].select("doc_id", "tk").distinct()
 
 
+@tidy
 def contamination_report(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, tk, n_words, n_hit, items) per row: words hit, and the items with occurring windows as sorted strings."""
     rows, found = _scanned(df, benchmark, window, shingle)
@@ -132,7 +135,7 @@ def contamination_report(df: DataFrame, benchmark: DataFrame, window: int = WIND
     spans = found.select("doc_id", "tk", "start", "len").distinct()
     n_hit = spans.select("doc_id", "tk", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy("doc_id", "tk").agg(F.count("*").alias("n_hit"))
     named = found.select("doc_id", "tk", "win").distinct().join(benchmark_windows(benchmark, window).select("item_id", "win"), "win")
-    items = named.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    items = named.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("items"))
     hit = n_hit.select(F.col("doc_id").alias("d"), F.col("tk").alias("t"), "n_hit").join(items.select(F.col("doc_id").alias("d2"), F.col("tk").alias("t2"), "items"), F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2"))).select("d", "t", "n_hit", "items")
     out = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")), "left")
     none = F.array().cast("array<string>")

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tabulon.llm import wordhash
 from tabulon.llm.components import connected
-from tabulon.llm.shared import SLICE_BYTES, documents_of, shuffle_width, slices, stored, text_of
+from tabulon.llm.shared import SLICE_BYTES, documents_of, shuffle_width, slices, stored, text_of, tidy
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, STEP = 48, 6, 32
@@ -300,6 +300,7 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return base.select("doc_id", "digest"), facts.select("digest", F.col("least_id").alias("doc_id"), F.coalesce("class_id", "least_id").alias("class_id"), F.coalesce("class_digest", "digest").alias("class_digest"), n_links.alias("n_links"))
 
 
+@tidy
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links) per row: the class is the connected component of links, named by its smallest id;
     n_links counts the other rows whose similarity to this one reaches the threshold."""
@@ -310,6 +311,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return judged.unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+@tidy
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows, all columns kept, but of each class only one: a row with the class's smallest id and, of several texts
     with that id, the smallest digest.  Rows without words or without an id all stay."""

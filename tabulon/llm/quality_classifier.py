@@ -9,7 +9,9 @@ one of them is computed exactly, in blocks, and the nearest vote with weights th
 Only rows whose crc32(doc_id as text) mod 4 is not 2 teach.  FIT_ROWS bounds the sample (the rows with the smallest
 hashes of their id); document frequencies come from all texts.  Defined results: a null, empty or wordless text scores
 the sample's share of label 1; without usable labels every score is 0.5; labels of repeated rows that contradict each
-other teach nothing; of several texts with one id the smallest teaches; repeated rows are scored alike; an empty table gives no rows; further columns are ignored.
+other teach nothing; of several texts with one id the smallest teaches; labels
+of ids that `documents` lacks take no place in the sample; cosines count to five digits, and of equally near rows the first
+of the sample vote; repeated rows are scored alike; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,6 +74,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the k columns with the largest values, in order of their numbers; of equal values the first columns."""
+    least = np.partition(near, -k, axis=1)[:, [-k]]
+    above, level = near > least, near == least
+    chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True)))
+    return np.nonzero(chosen)[1].reshape(len(near), k)
+
+
 @dataclass
 class NeighbourModel:
     idf: np.ndarray
@@ -84,9 +94,8 @@ class NeighbourModel:
         out = np.full(len(counts), prior)
         if not len(self.labels):
             return out
-        near = _unit(weighted(counts, self.idf) @ self.basis) @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        near = np.round(_unit(weighted(counts, self.idf) @ self.basis) @ self.vectors.T, 5)
+        top = nearest(near, min(NEIGHBOURS, near.shape[1]))
         weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(1)
         some = (total > 1e-12) & (counts.sum(1) > 0)
@@ -137,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Neighbo
     freq = {r["dim"]: r["n"] for r in spread}
     idf = np.log((1 + freq.get(-1, 0)) / (1 + np.array([freq.get(k, 0) for k in range(DIMS)], np.float64))) + 1
     taught = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other")
-    taught = stored(taught.filter(~is_held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id", "label"), "fit-rows")
+    there = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
+    taught = stored(taught.join(there, "doc_id", "left_semi").filter(~is_held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id", "label"), "fit-rows")
     # fit_rows is the bound of what is broadcast and of what comes to the driver
     rows = docs.join(F.broadcast(taught), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "label", "text").mapInArrow(_sparse, "label int, at binary, counts binary").collect()
     rows.sort(key=lambda r: (bytes(r["at"]), bytes(r["counts"]), r["label"]))

@@ -25,10 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tabulon.llm import wordhash
-from tabulon.llm.shared import SLICE_BYTES, slices, stored
+from tabulon.llm.shared import SLICE_BYTES, slices, stored, tidy
 
 SYMBOLS = b"#*$%&|<>"
 RUN = 8  # words of a window
@@ -138,32 +137,51 @@ def sketches(counts: DataFrame) -> DataFrame:
     return counts.filter(~_base_failed()).select("lang", "source", F.inline(F.array(*ratios))).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n"))
 
 
-def mixed(sketch: DataFrame, prior: float = PRIOR) -> DataFrame:
-    """(lang, source, ratio, bin, w): each group's sketch with `prior` texts of its language's, itself so mixed with all."""
+def _bins(keys: list[str], sketch: DataFrame, weight: Column) -> DataFrame:
+    """One row per sketch: its bins in order, each with its weight."""
+    return sketch.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", weight.cast("double").alias("w")))).alias("bins"))
+
+
+def parents(sketch: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(lang, ratio, bins): `prior` texts spread as the language's are, these mixed with `prior` spread as all are."""
     by_lang = sketch.groupBy("lang", "ratio", "bin").agg(F.sum("n").alias("n"))
     every = sketch.groupBy("ratio", "bin").agg(F.sum("n").alias("n"))
-    groups = sketch.filter(F.col("ratio") == LENGTH).groupBy("lang", "source").agg(F.sum("n").alias("texts"))
-    langs = groups.groupBy("lang").agg(F.sum("texts").alias("lang_texts"))
-    total = groups.agg(F.sum("texts").alias("all_texts"))  # one row
+    langs = sketch.filter(F.col("ratio") == LENGTH).groupBy("lang").agg(F.sum("n").alias("lang_texts"))
+    total = langs.agg(F.sum("lang_texts").alias("all_texts"))  # one row
     langs = langs.crossJoin(F.broadcast(total)).withColumnRenamed("lang", "l")
     of_all = langs.withColumn("ratio", F.explode(F.array(*map(F.lit, [*RATIOS, LENGTH])))).join(every, "ratio").select("l", "ratio", "bin", (prior * F.col("n") / F.col("all_texts")).alias("w"))
     of_lang = by_lang.select(F.col("lang").alias("l"), "ratio", "bin", F.col("n").cast("double").alias("w"))
     parent = of_lang.unionByName(of_all).groupBy("l", "ratio", "bin").agg(F.sum("w").alias("w"))
-    parent = parent.join(langs.select(F.col("l").alias("k"), "lang_texts"), F.col("l").eqNullSafe(F.col("k"))).select("l", "ratio", "bin", (prior * F.col("w") / (F.col("lang_texts") + prior)).alias("w"))
-    leant = groups.select("lang", "source").join(parent, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "source", "ratio", "bin", "w")
-    return sketch.select("lang", "source", "ratio", "bin", F.col("n").cast("double").alias("w")).unionByName(leant).groupBy("lang", "source", "ratio", "bin").agg(F.sum("w").alias("w"))
+    parent = parent.join(langs.select(F.col("l").alias("k"), "lang_texts"), F.col("l").eqNullSafe(F.col("k")))
+    return _bins(["l", "ratio"], parent, prior * F.col("w") / (F.col("lang_texts") + prior)).withColumnRenamed("l", "lang")
+
+
+def _quantiles(bins: Column, shares: dict[str, float]) -> Column:
+    """The values below which these shares of a sketch lie, in one walk over its bins."""
+    total = F.aggregate(bins, F.lit(0.0), lambda acc, b: acc + b["w"])
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0.0).alias("upto"), *[none.alias(k) for k in shares])
+
+    def step(acc: Column, b: Column) -> Column:
+        upto = acc["upto"] + b["w"]
+        value = F.when(b["bin"] == -100000, 0.0).otherwise(F.pow(F.lit(BIN), b["bin"] - 0.5))
+        return F.struct(upto.alias("upto"), *[F.when(acc[k].isNull() & (upto >= b["need"] * (p - 1e-9)), value).otherwise(acc[k]).alias(k) for k, p in shares.items()])
 
+    with_total = F.element_at(F.transform(F.array(total), lambda t: F.transform(bins, lambda b: F.struct(b["bin"].alias("bin"), b["w"].alias("w"), t.alias("need")))), 1)
+    return F.aggregate(with_total, start, step)
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, one column max_<ratio> each) of every group, from mixed() sketches."""
-    w = Window.partitionBy("lang", "source", "ratio")  # the bins of one sketch
-    run = sketch.withColumn("upto", F.sum("w").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("w").over(w))
-    value = F.when(F.col("bin") == -100000, 0.0).otherwise(F.pow(F.lit(BIN), F.col("bin") - 0.5))
 
-    def quantile(p: float) -> Column:
-        return F.min(F.when(F.col("upto") >= F.col("total") * (p - 1e-9), value))
+def thresholds(sketch: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """(lang, source, one column max_<ratio> each) of every group.
 
-    q = run.groupBy("lang", "source", "ratio").agg(F.struct(quantile(0.5).alias("q50"), quantile(0.9).alias("q90"), quantile(TAIL).alias("tail")).alias("q"))
+    A language's sketch is one array per ratio; a group's own bins meet it when its quantiles are looked up, so nothing of
+    the language is copied to its groups but in passing.
+    """
+    parent = parents(sketch, prior).withColumnsRenamed({"lang": "_lang", "ratio": "_ratio", "bins": "_bins"})
+    own = _bins(["lang", "source", "ratio"], sketch, F.col("n"))
+    met = own.join(parent, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("ratio") == F.col("_ratio")))
+    # a group without texts of some ratio does not occur: every text has them all
+    q = met.select("lang", "source", "ratio", _quantiles(F.sort_array(F.concat("bins", "_bins")), {"q50": 0.5, "q90": 0.9, "tail": TAIL}).alias("q"))
     wide = q.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col("q"))).alias(k) for k in [*RATIOS, LENGTH]])
 
     def limit(k: str, least: int) -> Column:
@@ -174,10 +192,11 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return wide.select("lang", "source", *[limit(k, least).alias(f"max_{k}") for k, (_, _, least) in RATIOS.items()])
 
 
+@tidy
 def judge_quality(df: DataFrame) -> DataFrame:
     """base_counts() with base_failed and kept.  A group none of whose texts passes the base rules has no thresholds."""
     counts = stored(base_counts(df), "counts")
-    found = stored(thresholds(mixed(stored(sketches(counts), "sketches"))), "thresholds").withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    found = stored(thresholds(stored(sketches(counts), "sketches")), "thresholds").withColumnsRenamed({"lang": "_lang", "source": "_source"})
     out = counts.join(found, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     failed = _base_failed()
     within = F.lit(True)

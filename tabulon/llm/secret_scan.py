@@ -54,6 +54,7 @@ ALPHABETS = {
 CLASSES, WEIGHTS, RATE = (24, 32, 48, 96), (0.25, 0.5, 1.0, 2.0), 0.05
 GRID, TOP = 20, 320  # combined p-values count as floor(GRID * -log10 p), TOP at most
 NULL_EVERY, NULL_MADE, NULL_PRIOR = 4096, 12_000, 300
+NAME_WORDS = 12  # words of a made name at most, drawn from all words of its NULL_EVERY characters
 _ENCODINGS = tuple(ALPHABETS)
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 
@@ -169,7 +170,8 @@ def names_of(text: str) -> list[tuple[int, int, int]]:
     """(encoding, length class, bin) of names made of a text's own words, one for each NULL_EVERY characters begun."""
     out = []
     for k, lo in enumerate(range(0, len(text), NULL_EVERY)):
-        words = [w for w in _WORD.findall(text, lo, lo + 300) if len(w) < LEAST][:12]
+        words = [w for w in _WORD.findall(text, lo, lo + NULL_EVERY) if len(w) < LEAST]
+        words = words[:: -(-len(words) // NAME_WORDS)] if words else words  # evenly from the whole of them
         if len(words) > 3:
             turn = len(text) + k
             s = named(words, [turn % 97, 1900 + turn % 190, turn % 7], turn, CLASSES[turn % len(CLASSES)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +25,30 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Buckets:
+    """Tables of one run, bucketed alike, so that they join by these columns without a shuffle; they go with the run."""
+
+    def __init__(self, spark: SparkSession, n: int, *by: str):
+        self.spark, self.n, self.by, self.paths = spark, n, by, {}
+
+    def __enter__(self) -> Buckets:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for table in list(self.paths):
+            self.drop(table)
+
+    def stored(self, df: DataFrame, name: str) -> str:
+        table, path = f"tabulon_{name}_{uuid.uuid4().hex}", fresh_path(self.spark, name)
+        self.paths[table] = path
+        df.write.bucketBy(self.n, *self.by).option("path", path).format("parquet").saveAsTable(table)
+        return table
+
+    def drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        removed(self.spark, self.paths.pop(table))
+
+
 def slices(sizes: np.ndarray, limit: int):
     """Runs of rows of about `limit` bytes together, one row at least."""
     at = 0

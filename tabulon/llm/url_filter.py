@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.shared import stored
+from tabulon.llm.shared import Buckets, shuffle_width, stored, tidy
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING, TOLERANCE = 0.85, 1e-10
@@ -59,28 +59,43 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     """(kind, host, score) of the converged walks, or after so many rounds.
 
     seeds: (kind, host, seed), kind trust or distrust; edges: (src, dst, w).  A round passes on what the last one added;
-    no round adds more than damping times the one before, so what all further ones add is bounded.
+    no round adds more than damping times the one before, so what all further ones add is bounded.  Edges are stored once,
+    in buckets, and stay where they are.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("at"), F.col("dst").alias("to"), "w").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("at"), F.col("src").alias("to"), "w"))
     total = stored(both.groupBy("kind", "at").agg(F.sum("w").alias("total"), F.ceil(F.count("*") / HUB).cast("int").alias("salts")), "host-degrees")
     salts = total.select("kind", F.col("at").alias("host"), "salts")
     both = both.join(total, ["kind", "at"]).select("kind", "at", "to", (F.col("w") / F.col("total")).alias("share"), F.pmod(F.xxhash64("to"), F.col("salts")).cast("int").alias("salt"))
-    both = stored(both.join(salts.withColumnsRenamed({"host": "to", "salts": "to_salts"}), ["kind", "to"], "left").withColumn("to_salts", F.coalesce("to_salts", F.lit(1))), "host-edges")
+    both = both.join(salts.withColumnsRenamed({"host": "to", "salts": "to_salts"}), ["kind", "to"], "left").withColumn("to_salts", F.coalesce("to_salts", F.lit(1)))
     own = ((1 - damping) * F.col("seed")).alias("score")
     score = seeds.join(salts, ["kind", "host"], "left").select("kind", "host", own, own.alias("added"), F.coalesce("salts", F.lit(1)).alias("salts"))
-    k = 0
-    while rounds is None or k < rounds:
-        last = score.filter("added > 0").select("kind", F.col("host").alias("at"), "added", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        moved = both.join(last, ["kind", "at", "salt"]).select("kind", F.col("to").alias("host"), (damping * F.col("share") * F.col("added")).alias("added"), F.col("to_salts").alias("salts"))
-        score = score.select("kind", "host", "score", F.lit(0.0).alias("added"), "salts").unionByName(moved.select("kind", "host", F.col("added").alias("score"), "added", "salts")).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("added").alias("added"), F.max("salts").alias("salts"))
-        k += 1
-        if k % STEP == 0:
-            score = stored(score, "host-scores")
-            if rounds is None and (score.agg(F.sum("added")).first()[0] or 0.0) * damping / (1 - damping) < tolerance:
-                break
-    return score.select("kind", "host", "score")
+    n = shuffle_width(edges.sparkSession)
+    with Buckets(edges.sparkSession, n, *EDGE_KEY) as buckets:
+        held = edges.sparkSession.table(buckets.stored(both.repartition(n, *EDGE_KEY), "edges"))
+        k = 0
+        while rounds is None or k < rounds:
+            moved = _passed_on(held, score, damping)
+            score = score.select("kind", "host", "score", F.lit(0.0).alias("added"), "salts").unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("added").alias("added"), F.max("salts").alias("salts"))
+            k += 1
+            if k % STEP == 0:
+                score = stored(score, "host-scores")
+                if rounds is None and (score.agg(F.sum("added")).first()[0] or 0.0) * damping / (1 - damping) < tolerance:
+                    break
+        return stored(score.select("kind", "host", "score"), "host-totals")
 
 
+EDGE_KEY = ("kind", "at", "salt")
+
+
+def _passed_on(edges: DataFrame, score: DataFrame, damping: float) -> DataFrame:
+    """(kind, host, score, added, salts): what hosts whose score has grown add to others.  Edges lie in buckets by the key
+    of this join, so only these hosts are moved, not the edges."""
+    last = score.filter("added > 0").select("kind", F.col("host").alias("at"), "added", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    added = (damping * F.col("share") * F.col("added")).alias("added")
+    return edges.join(last, [*EDGE_KEY]).select("kind", F.col("to").alias("host"), added.alias("score"), added, F.col("to_salts").alias("salts"))
+
+
+@tidy
 def judge_urls(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
     host, path = host_and_path(F.col("url"))

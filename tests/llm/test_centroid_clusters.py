@@ -4,6 +4,7 @@ import math
 import numpy as np
 
 from tabulon.llm import centroid_clusters as cc
+from tabulon.llm import shared
 
 COLUMNS = "vec_id long, embedding array<float>, label int, slot string, x string, cluster string"
 
@@ -82,11 +83,10 @@ def test_heaps_spare_comparisons_and_change_nothing():
 
 
 def test_rounds_join_without_a_shuffle(spark, tmp_path):
-    buckets = cc._Buckets(spark, 4)
-    a = spark.range(100).selectExpr("id AS slot", "id AS x").repartition(4, "slot")
-    one, two = buckets.stored(a, "one"), buckets.stored(a, "two")
-    joined = spark.table(one).join(spark.table(two).selectExpr("slot", "x AS y").hint("merge"), "slot")
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert joined.count() == 100 and "Exchange" not in plan
-    for t in (one, two):
-        buckets.drop(t)
+    with shared.Buckets(spark, 4, "slot") as buckets:
+        a = spark.range(100).selectExpr("id AS slot", "id AS x").repartition(4, "slot")
+        one, two = buckets.stored(a, "one"), buckets.stored(a, "two")
+        joined = spark.table(one).join(spark.table(two).selectExpr("slot", "x AS y").hint("merge"), "slot")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 100 and "Exchange" not in plan
+    assert not spark.catalog.tableExists(one) and not buckets.paths

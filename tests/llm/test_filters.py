@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tabulon.llm import chat_format, decontamination, quality_classifier, quality_rules, secret_scan, url_filter
 from tests.llm.conftest import ODD
@@ -128,6 +129,25 @@ def test_decontamination(spark, odd, none):
     assert len(clean) == len(ODD) and all(r.n_hit == 0 for r in clean)
 
 
+def test_items_without_an_id_and_marks_that_clash(spark, monkeypatch):
+    bench = spark.createDataFrame([(None, "one two three four"), (None, "five six"), ("b", "six seven")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "zero"), (3, None)], "doc_id long, text string")
+    want = [(1, 7, 7, ["", "b"]), (2, 1, 0, []), (3, 0, 0, [])]
+    for marks in (decontamination.MARKS, 1 << 62):  # so many that shingles have marks' numbers
+        if marks == 1 << 62:
+            hashed = decontamination._hash
+            monkeypatch.setattr(decontamination, "_hash", lambda words: F.pmod(hashed(words), F.lit(4096)))
+        got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontamination.contamination_report(docs, bench).collect())
+        assert got == want
+
+
+def test_rows_that_share_marks(spark):
+    docs = spark.createDataFrame([(k, "filler words only here" if k % 3 else "alpha beta gamma delta") for k in range(9000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "beta gamma delta")], "item_id long, text string")
+    got = decontamination.contamination_report(docs, bench).collect()
+    assert len(got) == 9000 and all((r.n_hit == 3) == (r.doc_id % 3 == 0) and r.n_words == 4 for r in got)
+
+
 def test_quality_rules(odd, none):
     got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.judge_quality(odd).collect())
     want = []
@@ -158,7 +178,7 @@ def test_outliers_of_a_clean_group_go(spark):
 def test_sketch_quantiles_are_close(spark):
     rows = [(k, "en" if k % 2 else None, "s", 100, 300 + k, k, 0, 0) for k in range(1, 400)]
     df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
-    f = {r.lang: r for r in quality_rules.thresholds(quality_rules.mixed(quality_rules.sketches(df))).collect()}
+    f = {r.lang: r for r in quality_rules.thresholds(quality_rules.sketches(df)).collect()}
     want = 1.25 * 3.95  # 1.25 times the 99 % quantile of 1/100 ... 399/100, which lies below the fence
     assert abs(f[None].max_symbols - want) < 0.1 and abs(f["en"].max_symbols - want) < 0.1
     assert abs(f["en"].max_repeats - 1.25 * 9 / 100) < 0.01 and abs(f["en"].max_dup_lines - 1.25 / 100) < 0.001
@@ -204,7 +224,7 @@ def test_thresholds_against_the_values_themselves(spark):
             rows.append((lang, source, dict(zip(names, (words, int(words * dice.uniform(4, 6)), sum(dice.random() < rate for _ in range(words)), dice.choice((0, 0, 0, 2)), dice.choice((0, 0, 0, 0, 12, 90))), strict=True))))
     df = spark.createDataFrame([(k, r[0], r[1], *[r[2][x] for x in names]) for k, r in enumerate(rows)], "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in names))
     want = kept_by_force(rows)
-    for r in quality_rules.thresholds(quality_rules.mixed(quality_rules.sketches(df))).collect():
+    for r in quality_rules.thresholds(quality_rules.sketches(df)).collect():
         for k, (a, _, _) in quality_rules.RATIOS.items():
             assert abs(r[f"max_{k}"] - want[r.lang, r.source, a]) <= 0.06 * want[r.lang, r.source, a] + 1e-6, (r.lang, r.source, k)
 
@@ -403,3 +423,47 @@ def test_base_spans_against_every_start():
 
 def test_digest_is_of_joined_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_equally_near_rows_vote_in_order():
+    rng = np.random.default_rng(2)
+    near = np.round(rng.normal(size=(50, 40)), 1).astype(np.float32)
+    got = quality_classifier.nearest(near, 7)
+    for row, columns in zip(near, got, strict=True):
+        assert columns.tolist() == sorted(sorted(range(40), key=lambda c: (-row[c], c))[:7])
+    assert quality_classifier.nearest(near[:, :3], 3).tolist() == [[0, 1, 2]] * 50
+
+
+def test_labels_of_absent_ids_take_no_place(spark):
+    docs = spark.createDataFrame([(k, "good text here" if k % 2 else "## spam 99 ##") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(k, 0, 0) for k in range(1000, 3000)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.fit(docs, labels, fit_rows=20)
+    assert len(model.labels) == 20 and 0 < model.labels.mean() < 1
+
+
+def test_names_come_from_whole_blocks():
+    first, last = "alpha beta gamma delta " * 30, "omega sigma kappa theta " * 150
+    found = []
+    real = secret_scan.named
+    secret_scan.named = lambda words, *rest: found.append(words) or real(words, *rest)
+    try:
+        secret_scan.names_of(first + last)
+    finally:
+        secret_scan.named = real
+    assert {"alpha", "beta", "gamma", "delta"} & set(found[0]) and {"omega", "sigma", "kappa", "theta"} & set(found[0]) and len(found[0]) <= secret_scan.NAME_WORDS
+
+
+def test_edges_stay_where_they_are(spark, monkeypatch):
+    seen = []
+    real = url_filter._passed_on
+
+    def watched(edges, score, damping):
+        out = real(edges.hint("merge"), score, damping)
+        seen.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(url_filter, "_passed_on", watched)
+    edges = spark.createDataFrame([("a", "b", 2), ("b", "c", 1), ("c", "a", 4)], "src string, dst string, w long")
+    url_filter.spread(edges, spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, seed double"), 0.85, 1).collect()
+    side = [x for x in seen[0].split("\n") if "Scan parquet" in x and "tabulon_edges" in x]
+    assert side and "Bucketed: true" in side[0]
