@@ -94,6 +94,29 @@ def survey_total(df: DataFrame, keys: list[str], stratum: str, unit: str, weight
     return out.withColumn("cv", F.try_divide(F.sqrt(F.greatest("variance", F.lit(0.0))), F.col("total")))
 
 
+def survey_ratio(df: DataFrame, keys: list[str], stratum: str, unit: str, weight: str, part: Column) -> DataFrame:
+    """(keys, n, total, part, share, variance, share_variance): weighted totals of all cases and of those where `part` holds,
+    their share, the total's variance, and the share's by linearisation.
+
+    The share's variance is that of the total of the residuals y - share * x of a design's units, over the square of the
+    total; squares and products of the units' sums are added up by stratum, so one pass does for any number of domains.
+    """
+    units = df.groupBy(stratum).agg(F.countDistinct(unit).alias("_m"))
+    w = F.col(weight).cast("double")
+    own = df.groupBy(*keys, stratum, unit).agg(F.sum(w).alias("_x"), F.sum(F.when(part, w).otherwise(0.0)).alias("_y"), F.count("*").alias("_n"))
+    x, y = F.col("_x"), F.col("_y")
+    sums = own.groupBy(*keys, stratum).agg(F.sum(x).alias("_sx"), F.sum(y).alias("_sy"), F.sum(x * x).alias("_xx"), F.sum(y * y).alias("_yy"), F.sum(x * y).alias("_xy"), F.sum("_n").alias("_n")).join(units, stratum)
+
+    def between(a: str, b: str, product: str) -> Column:
+        m = F.col("_m")
+        return F.sum(F.when(m > 1, m / (m - 1) * (F.col(product) - F.col(a) * F.col(b) / m)).otherwise(0.0))
+
+    out = sums.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_sx").alias("total"), F.sum("_sy").alias("part"), between("_sx", "_sx", "_xx").alias("_vx"), between("_sy", "_sy", "_yy").alias("_vy"), between("_sx", "_sy", "_xy").alias("_cxy"))
+    share = F.try_divide(F.col("part"), F.col("total"))
+    spread = F.greatest(F.col("_vy") - 2 * F.col("share") * F.col("_cxy") + F.col("share") * F.col("share") * F.col("_vx"), F.lit(0.0))
+    return out.withColumn("share", share).select(*keys, "n", "total", "part", "share", F.greatest("_vx", F.lit(0.0)).alias("variance"), F.try_divide(spread, F.col("total") * F.col("total")).alias("share_variance"))
+
+
 def moe_sum(moe: Column | str) -> Column:
     """Root of the sum of squares; null if any margin is missing."""
     c = F.col(moe) if isinstance(moe, str) else moe

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,16 +13,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: reporters of decisions, and how states are abbreviated before their codes
-REPORTERS = ("U.S.", "S. Ct.", "L. Ed. 2d", "F.4th", "F.3d", "F.2d", "F. Supp. 3d", "F. Supp. 2d", "F. Supp.", "F.R.D.", "B.R.")
+REPORTERS = (
+    "U.S.", "S. Ct.", "L. Ed.", "L. Ed. 2d", "F.", "F.2d", "F.3d", "F.4th", "F. App'x", "F. Supp.", "F. Supp. 2d", "F. Supp. 3d", "F.R.D.", "B.R.", "Fed. Cl.", "T.C.", "M.J.", "Vet. App.",
+    "A.2d", "A.3d", "N.E.2d", "N.E.3d", "N.W.2d", "P.2d", "P.3d", "S.E.2d", "So. 2d", "So. 3d", "S.W.2d", "S.W.3d", "Cal. Rptr.", "Cal. Rptr. 2d", "Cal. Rptr. 3d", "Cal. 4th", "Cal. App. 4th", "N.Y.S.2d", "N.Y.S.3d", "Ill. 2d", "Wash. 2d",
+)
 STATES = ("Ala.", "Alaska", "Ariz.", "Ark.", "Cal.", "Colo.", "Conn.", "Del.", "D.C.", "Fla.", "Ga.", "Haw.", "Idaho", "Ill.", "Ind.", "Iowa", "Kan.", "Ky.", "La.", "Me.", "Md.", "Mass.", "Mich.", "Minn.", "Miss.", "Mo.", "Mont.", "Neb.", "Nev.", "N.H.", "N.J.", "N.M.", "N.Y.", "N.C.", "N.D.", "Ohio", "Okla.", "Or.", "Pa.", "R.I.", "S.C.", "S.D.", "Tenn.", "Tex.", "Utah", "Vt.", "Va.", "Wash.", "W. Va.", "Wis.", "Wyo.")
+BLANK = r"\s?"
 
 
-def _one_of(names: tuple[str, ...]) -> str:
-    """Any of the names, longest first, blanks optional after full stops."""
-    return "|".join(r"\.\s?".join(re.escape(x) for x in n.replace(". ", ".").split(".")).removesuffix(r"\s?") for n in sorted(names, key=len, reverse=True))
+def letters_of(spelling: str) -> tuple[str, ...]:
+    """A spelling letter by letter as patterns; blanks, and the ends of full stops, may have one blank or none."""
+    parts = [p for chunk in spelling.split() for p in re.findall(r"[^.]*\.|[^.]+", chunk)]
+    return tuple(x for k, p in enumerate(parts) for x in ([BLANK] if k else []) + ["['’]" if c in "'’" else re.escape(c) for c in p])
 
 
-_REPORTER, _STATE, _SECTION = _one_of(REPORTERS), _one_of(STATES), r"§+\s*"
+def trie_pattern(spellings: Iterable[str]) -> str:
+    """One pattern for all spellings, the longest that fits: letters that several begin with are looked at once."""
+
+    def below(rows: list[tuple[str, ...]]) -> str:
+        onward = [(first, below([r[1:] for r in own])) for first, own in ((f, list(g)) for f, g in groupby((r for r in rows if r), key=itemgetter(0)))]
+        if not onward:
+            return ""
+        # a blank that may be missing comes last, so that it does not keep others from trying without it
+        either = "|".join(first + rest for first, rest in sorted(onward, key=lambda x: x[0] == BLANK))
+        return f"(?:{either})?" if () in rows else f"(?:{either})" if len(onward) > 1 else either
+
+    return below(sorted({letters_of(s) for s in spellings}))
+
+
+_REPORTER, _STATE, _SECTION = trie_pattern(REPORTERS), trie_pattern(STATES), r"§+\s*"
+#: a citation has a digit, but for short forms and constitutions; texts with none of these are not sent to Python
+ANCHOR = r"\p{Nd}|[Ii]d\.|Const\."
 #: kind -> pattern; its groups, in order, make the key.  Of kinds that match at one place the first counts.
 KINDS = {
     "usc": r"(\d{1,2})\s+U\.?\s?S\.?\s?C\.?\s+(?:§+\s*)?(\d+[a-z]*(?:-\d+[a-z]*)?)",
@@ -81,7 +105,7 @@ def located(df: DataFrame, id_col: str, text: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1).take(pa.array([0] * len(found))), pa.array(kind), pa.array(key, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["id", "kind", "key", "start", "end"])
 
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T.StructType.fromDDL("kind string, key string, start int, end int").fields])
-    return df.select(id_col, text).mapInArrow(find, schema)
+    return df.filter(F.col(text).rlike(ANCHOR)).select(id_col, text).mapInArrow(find, schema)
 
 
 def citations(df: DataFrame, id_col: str, text: str) -> DataFrame:

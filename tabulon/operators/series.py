@@ -171,3 +171,29 @@ def fiscal_partial(day: Column, first_recorded: Column, last_recorded: Column) -
     """Is a day's fiscal year only partly recorded?"""
     start = F.make_date(F.year(F.add_months(day, 3)) - 1, F.lit(10), F.lit(1))
     return (first_recorded > start) | (last_recorded < F.date_sub(F.add_months(start, 12), 1))
+
+
+def aligned(points: DataFrame, markers: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((id, x, value, common), (id, fate)): several series over the periods in which they can be compared.
+
+    points: (id, nth, kind, x, value, partial), nth the series' place; markers: (id, x), where what is counted changes.
+    Series of the most frequent kind of period are used (of equally frequent ones that of the first series), the others
+    are left out.  What lies before a series' last marker, and unfinished periods, are dropped.  The periods kept run from
+    the first to the last in which at least two series have a value, and there must be `least` such; a value that is not
+    recorded is null.  common: the first period in which every series used has a positive value, else the first one.
+    """
+    series = points.groupBy("id").agg(F.min("nth").alias("nth"), F.min("kind").alias("kind"))
+    kinds = series.groupBy("kind").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
+    chosen = kinds.orderBy(F.desc("n"), "first").limit(1).select(F.col("kind").alias("_kind"))
+    fates = series.crossJoin(F.broadcast(chosen)).select("id", F.when(F.col("kind") == F.col("_kind"), "used").otherwise("left out").alias("fate"))
+    last = markers.groupBy("id").agg(F.max("x").alias("_cut"))
+    used = fates.filter("fate = 'used'").select("id")
+    p = points.join(used, "id", "left_semi").join(last, "id", "left").filter((F.col("_cut").isNull() | (F.col("x") >= F.col("_cut"))) & ~F.coalesce("partial", F.lit(False)))
+    p = p.groupBy("id", "x").agg(F.max("value").alias("value"))
+    periods = p.groupBy("x").agg(F.count("value").alias("known"), F.count_if(F.col("value") > 0).alias("positive"))
+    span = periods.agg(F.min(F.when(F.col("known") >= 2, F.col("x"))).alias("_a"), F.max(F.when(F.col("known") >= 2, F.col("x"))).alias("_z"), F.count_if(F.col("known") >= 2).alias("_n")).filter(F.col("_n") >= least)
+    kept = periods.crossJoin(F.broadcast(span)).filter(F.col("x").between(F.col("_a"), F.col("_z")))
+    number = used.agg(F.count("*").alias("_all"))
+    common = kept.crossJoin(F.broadcast(number)).agg(F.coalesce(F.min(F.when(F.col("positive") == F.col("_all"), F.col("x"))), F.min("x")).alias("_common"))
+    spine = kept.select("x").crossJoin(F.broadcast(used)).crossJoin(F.broadcast(common))  # a few series by their periods
+    return spine.join(p, ["id", "x"], "left").select("id", "x", "value", (F.col("x") == F.col("_common")).alias("common")), fates

@@ -134,6 +134,16 @@ def a25_survey_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.survey_total(d, ["dom"], "st", "psu", "w", "one").select("dom", "n", F.round("total", 2).alias("total"), F.round("variance", 2).alias("variance"))
 
 
+@register("a25_survey_ratio", """WITH d AS (SELECT l_returnflag AS dom, l_suppkey % 5 AS st, l_suppkey AS psu, l_quantity AS w, l_discount > 0.05 AS hit FROM lineitem), m AS (SELECT st, count(DISTINCT psu) AS m FROM d GROUP BY 1),
+    r AS (SELECT dom, count(*) AS n, sum(w) AS x, sum(CASE WHEN hit THEN w ELSE 0 END) AS y FROM d GROUP BY 1), u AS (SELECT dom, st, psu, sum(w) AS x, sum(CASE WHEN hit THEN w ELSE 0 END) AS y FROM d GROUP BY ALL),
+    z AS (SELECT u.dom, st, sum(u.y - r.y / r.x * u.x) AS z, sum((u.y - r.y / r.x * u.x) ** 2) AS zz FROM u JOIN r USING (dom) GROUP BY ALL)
+    SELECT dom, n, round(y / x, 9) AS share, round(1e6 * v / (x * x), 9) AS share_variance FROM r JOIN (SELECT dom, sum(CASE WHEN m > 1 THEN m / (m - 1) * (zz - z * z / m) ELSE 0 END) AS v FROM z JOIN m USING (st) GROUP BY 1) USING (dom)""")
+def a25_survey_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of discounted lines by domain, its variance times a million."""
+    d = _lines(spark, sf_dir).select(F.col("l_returnflag").alias("dom"), (F.col("l_suppkey") % 5).alias("st"), F.col("l_suppkey").alias("psu"), F.col("l_quantity").alias("w"), (F.col("l_discount") > 0.05).alias("hit"))
+    return aggregates.survey_ratio(d, ["dom"], "st", "psu", "w", F.col("hit")).select("dom", "n", F.round("share", 9).alias("share"), F.round(F.col("share_variance") * 1e6, 9).alias("share_variance"))
+
+
 @register("a26_moe_sum", "SELECT p_brand, CASE WHEN count(m) = count(*) THEN round(sqrt(sum(m * m)), 6) END AS moe FROM (SELECT p_brand, CASE WHEN p_size <> 50 OR p_brand < 'Brand#3' THEN p_size / 10.0 END AS m FROM part) GROUP BY 1")
 def a26_moe_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.when((F.col("p_size") != 50) | (F.col("p_brand") < "Brand#3"), F.col("p_size") / 10.0)

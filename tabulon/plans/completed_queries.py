@@ -37,13 +37,26 @@ def s3_pruned_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(rows, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count("*").alias("orders"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@register("s4_repaired_tsv", "SELECT p_partkey::VARCHAR AS id, CASE p_partkey % 3 WHEN 0 THEN p_name || chr(9) || p_type WHEN 1 THEN p_name || ' ' || p_type ELSE p_name END AS narrative, p_size::VARCHAR AS size FROM part")
-def s4_repaired_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A third of the records holds a tab in its narrative, a third is broken over two lines."""
+def _broken_tsv(spark: SparkSession, sf_dir: str):
+    """A file whose records hold tabs or line feeds in their narratives, are broken over two or three lines, or are beyond
+    repair."""
     path = fresh_path(spark, "tsv")
-    line = F.expr("concat(p_partkey, '\\t', CASE p_partkey % 3 WHEN 0 THEN concat(p_name, '\\t', p_type) WHEN 1 THEN concat(p_name, '\\n', p_type) ELSE p_name END, '\\t', p_size)")
-    table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
-    return files.read_repaired_tsv(spark, path, ["id", "narrative", "size"], "narrative", key=r"^\d+\t")
+    tail = "concat('\\t', p_size, '\\t', p_partkey)"
+    line = F.expr(f"""CASE p_partkey % 6 WHEN 0 THEN concat(p_partkey, '\\t', p_name, '\\t', p_type, {tail}) WHEN 1 THEN concat(p_partkey, '\\t', p_name, '\\r\\n', p_type, {tail})
+        WHEN 2 THEN concat(p_partkey, '\\t', p_name, '\\n', p_type, {tail}) WHEN 3 THEN concat(p_partkey, '\\t', p_name, '\\t\\r\\n', p_size, '\\r\\n\\t', p_partkey)
+        WHEN 4 THEN concat('torn\\t', p_name, '\\r\\n', p_partkey, '\\t', p_name, {tail}) ELSE concat(p_partkey, '\\t', p_name, {tail}) END""")
+    table(spark, sf_dir, "part").select(line.alias("value")).write.option("lineSep", "\r\n").text(path)
+    return files.read_repaired_tsv(spark, path, ["id", "narrative", "size", "again"], "narrative")
+
+
+@register("s4_repaired_tsv", "SELECT p_partkey::VARCHAR AS id, CASE p_partkey % 6 WHEN 0 THEN p_name || chr(9) || p_type WHEN 1 THEN p_name || p_type WHEN 2 THEN p_name || chr(10) || p_type ELSE p_name END AS narrative, p_size::VARCHAR AS size, p_partkey::VARCHAR AS again FROM part WHERE p_partkey % 6 <> 4")
+def s4_repaired_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _broken_tsv(spark, sf_dir)[0]
+
+
+@register("s4_repair_counts", "SELECT CASE p_partkey % 6 WHEN 0 THEN 'merged' WHEN 1 THEN 'rejoined' WHEN 3 THEN 'rejoined' WHEN 4 THEN 'fragment' ELSE 'whole' END AS kind, count(*) AS n FROM part GROUP BY 1")
+def s4_repair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _broken_tsv(spark, sf_dir)[1]
 
 
 @register("s7_xml", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")

@@ -61,6 +61,35 @@ def x12_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.citations(_citing(spark, sf_dir), "o_orderkey", "said")
 
 
+#: kind, text before and after the number n, key before and after it
+_KINDS = (
+    ("usc", "under 28 U.S.C. § ", "a-1 and", "usc:28:", "a-1"), ("cfr", "21 C. F. R. part ", ".5", "cfr:21:", ".5"), ("federal_register", "85 Fed. Reg. ", ",001", "federal_register:85:", "001"), ("statutes_at_large", "110 Stat. ", "", "statutes_at_large:110:", ""),
+    ("public_law", "Public Law No. 104-", ".", "public_law:104:", ""), ("constitution_us", "item ", " of U.S. Const. amend. XIV", None, None), ("constitution_state", "item ", " of N.Y. Const. art. VI", None, None), ("federal_rule", "Fed. R. Civ. P. ", "", "federal_rule:civ:", ""),
+    ("local_rule", "Local Civil Rule ", ".1", "local_rule:", ".1"), ("state_regulation", "Cal. Code Regs. tit. 8, § ", "", "state_regulation:cal:", ""), ("state_statute", "W.Va. Penal Code Ann. § ", ".02", "state_statute:wva:", ".02"), ("mdl", "MDL No. 1", "", "mdl:1", ""),
+    ("docket", "No. 3:20-cv-10", "", "docket:3:20-cv-10", ""), ("case", "77 F. Supp. 2d ", " (2001)", "case:77:fsupp2d:", ""), ("case", "77 Cal.App.4th ", "; see", "case:77:calapp4th:", ""), ("case", "77 F. App’x ", "", "case:77:fapp’x:", ""),
+)
+_NUMBER = "(100 + p_partkey % 800)"
+
+
+def _kinds_sql() -> str:
+    out = []
+    for k, (kind, before, after, key, rest) in enumerate(_KINDS):
+        own = f"'{key}' || {_NUMBER} || '{rest}'" if key else "'constitution_us:amend:xiv'" if kind == "constitution_us" else "'constitution_state:ny:vi'"
+        shift = len(" of ") + len(before) + 3 + len("Part: ") if not key else len("Part: ") + {"usc": 6}.get(kind, 0)
+        out.append(f"SELECT p_partkey AS id, '{kind}' AS kind, {own} AS key, {shift} AS start FROM part WHERE p_partkey % {len(_KINDS) + 1} = {k}")
+    last = len(_KINDS)
+    out.append(f"SELECT p_partkey, k, 'case:5:f3d:' || {_NUMBER}, s FROM part, (VALUES ('case', 6), ('short', 34), ('short', 54)) t(k, s) WHERE p_partkey % {last + 1} = {last}")
+    return " UNION ALL ".join(out)
+
+
+@register("x12_all_kinds", _kinds_sql())
+def x12_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of citation, and where each stands."""
+    texts = [f"concat('Part: {before}', {_NUMBER}, '{after}')" for _, before, after, _, _ in _KINDS] + [f"concat('Part: 5 F.3d ', {_NUMBER}, ' (9th Cir. 2001). 5 F.3d at 300, then Id. at 14')"]
+    said = F.expr("CASE p_partkey % " + str(len(texts)) + " " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(texts)) + " END")
+    return citations.located(table(spark, sf_dir, "part").select("p_partkey", said.alias("said")), "p_partkey", "said").select("id", "kind", "key", "start")
+
+
 _KNOWN = "k AS (SELECT DISTINCT 'usc:' || (p_partkey % 50 + 1) || ':' || p_partkey AS key, 'statute ' || (p_partkey % 50 + 1) || '-' || p_partkey || CASE WHEN p_partkey % 11 = 0 AND t = 1 THEN ' bis' ELSE '' END AS target FROM part, range(2) r(t))"
 
 

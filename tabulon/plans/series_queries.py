@@ -233,6 +233,22 @@ def w38_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.crossJoin(F.broadcast(span)).filter("month between a and z").drop("a", "z")
 
 
+_TRENDS = """p AS (SELECT r AS id, r AS nth, CASE WHEN r % 5 = 4 THEN 'fiscal' ELSE 'year' END AS kind, y AS x, CASE WHEN (y + r) % 4 > 0 OR r > 5 THEN n END AS value, y = 2001 AND r % 2 = 0 AS partial FROM (SELECT c_nationkey AS r, year(o_orderdate) AS y, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)), m AS (SELECT DISTINCT id, 1990 + id % 7 AS x FROM p WHERE id % 3 = 0 UNION ALL SELECT DISTINCT id, 1989 FROM p)"""
+
+
+@register("w38_aligned_trends", f"""WITH {_TRENDS}, k AS (SELECT kind FROM (SELECT DISTINCT id, nth, kind FROM p) GROUP BY kind ORDER BY count(*) DESC, min(nth) LIMIT 1), u AS (SELECT DISTINCT id FROM p WHERE kind = (SELECT kind FROM k)),
+    q AS (SELECT id, x, value FROM p JOIN u USING (id) WHERE NOT partial AND x >= (SELECT max(m.x) FROM m WHERE m.id = p.id)), c AS (SELECT x, count(value) AS known, count(*) FILTER (value > 0) AS positive FROM q GROUP BY x),
+    s AS (SELECT x, positive FROM c WHERE x BETWEEN (SELECT min(x) FROM c WHERE known >= 2) AND (SELECT max(x) FROM c WHERE known >= 2) AND (SELECT count(*) FROM c WHERE known >= 2) >= 3)
+    SELECT id, s.x, value, s.x = coalesce((SELECT min(x) FROM s WHERE positive = (SELECT count(*) FROM u)), (SELECT min(x) FROM s)) AS common FROM u CROSS JOIN s LEFT JOIN q USING (id, x)""")
+def w38_aligned_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly orders by nation: some by fiscal year, some with a change of what is counted, the last year unfinished for some."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("id"), F.year("o_orderdate").alias("x")).agg(F.count("*").alias("n"))
+    p = o.select("id", F.col("id").alias("nth"), F.when(F.col("id") % 5 == 4, "fiscal").otherwise("year").alias("kind"), "x", F.when(((F.col("x") + F.col("id")) % 4 > 0) | (F.col("id") > 5), F.col("n")).alias("value"), ((F.col("x") == 2001) & (F.col("id") % 2 == 0)).alias("partial"))
+    ids = p.select("id").distinct()
+    markers = ids.filter("id % 3 = 0").select("id", (1990 + F.col("id") % 7).alias("x")).unionByName(ids.select("id", F.lit(1989).cast("long").alias("x")))
+    return series.aligned(p, markers)[0]
+
+
 @register("w39_national_share", f"WITH {_M}, t AS (SELECT month, sum(v) AS t FROM m GROUP BY 1) SELECT k, month, CASE WHEN t > 0 THEN round(v / t, 6) END AS share FROM m JOIN t USING (month)", dates=("month",))
 def w39_national_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _monthly(spark, sf_dir)

@@ -7,6 +7,7 @@ import io
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,22 +78,97 @@ def write_copy_text(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws("\t", *[cell(c) for c in df.columns]).alias("value")).write.option("lineSep", "\n").text(path)
 
 
-def read_repaired_tsv(spark: SparkSession, path: str, columns: list[str], free_text: str, key: str = r"^\d+\t") -> DataFrame:
-    """Rows whose record was broken over several lines, or whose free-text column holds tabs itself, made whole.
-
-    A line that does not begin like a record continues the one before it in its file.  Surplus cells belong to the
-    free-text column.  Files are read whole, so one must fit into a task.
+class _Repair:
+    """Records from a file's lines, one after another.  A line with too few tabs opens a fragment, to which the next lines
+    are added, without anything between, until it has the tabs of a record; a whole line that meets an open fragment, or
+    too many tabs, end it as beyond repair (that line goes with it).  Surplus tabs of a line belong to its free text."""
+
+    def __init__(self, tabs: int, at: int, held: str | None = None):
+        self.tabs, self.at, self.held, self.out = tabs, at, held, []
+
+    def put(self, kind: str, line: str | None = None) -> None:
+        cells = line.split("\t") if line is not None else []
+        if len(cells) > self.tabs + 1:
+            after = self.tabs - self.at
+            cells = [*cells[: self.at], "\t".join(cells[self.at : len(cells) - after]), *cells[len(cells) - after :]]
+        self.out.append((kind, cells))
+
+    def take(self, line: str) -> None:
+        n = line.count("\t")
+        if self.held is None:
+            if n < self.tabs and line:
+                self.held = line
+            elif line:
+                self.put("whole" if n == self.tabs else "merged", line)
+        elif n == self.tabs:
+            self.held = self.put("fragment")
+        else:
+            self.held += line
+            n = self.held.count("\t")
+            if n == self.tabs:
+                self.held = self.put("rejoined", self.held)
+            elif n > self.tabs:
+                self.held = self.put("fragment")
+
+
+def read_repaired_tsv(spark: SparkSession, path: str, columns: list[str], free_text: str, line_end: str = "\r\n", header: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, (kind, n)): rows of all records that are whole or can be made whole, and how many are whole, rejoined, merged
+    (tabs in the free text) or fragments beyond repair, which give no rows.
+
+    A file is read by as many tasks as it has splits.  After the first line with the tabs of a record no fragment is open,
+    whatever stood before, so a split works on from there; the lines up to it, and what is left open at its end, meet the
+    file's other splits in one small pass.  header: each file's first line is one.
     """
-    at = columns.index(free_text)
-    after = len(columns) - at - 1
-    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), r"\n+\z", ""), rf"\n(?!{key.lstrip('^')})", " ")
-    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split(joined, "\n")).alias("line")).filter(F.col("line").rlike(key))
-    cells = lines.select(F.split("line", "\t").alias("c")).filter(F.size("c") >= len(columns))
-    n = F.size("c")
-    out = [F.get("c", F.lit(i)).alias(name) for i, name in enumerate(columns[:at])]
-    out.append(F.trim(F.array_join(F.slice("c", F.lit(at + 1), n - len(columns) + 1), "\t")).alias(free_text))
-    out += [F.get("c", n - after + i).alias(name) for i, name in enumerate(columns[at + 1 :])]
-    return cells.select(*out)
+    at, tabs = columns.index(free_text), len(columns) - 1
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.option("lineSep", line_end).text(path).select(*place, F.col("value").alias("line"))
+    schema = "file string, block long, kind string, cells array<string>"
+
+    def rows(file: str, block: int, out: list) -> pa.RecordBatch:
+        n = len(out)
+        return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array([k for k, _ in out], pa.string()), pa.array([c for _, c in out], pa.list_(pa.string()))], names=["file", "block", "kind", "cells"])
+
+    def by_split(batches):
+        file = block = repair = head = None
+        for batch in batches:
+            for f, b, line in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "line")), strict=True):
+                if (f, b) != (file, block):
+                    if file is not None:
+                        yield rows(file, block, [*repair.out, ("head", head), ("open", [x for x in [repair.held] if x is not None])])
+                    file, block, repair, head = f, b, _Repair(tabs, at), []
+                    seeking, first = True, b == 0 and header
+                if first:
+                    first = False
+                elif seeking:
+                    head.append(line)
+                    seeking = line.count("\t") != tabs
+                else:
+                    repair.take(line)
+            if file is not None and repair.out:
+                yield rows(file, block, repair.out)
+                repair.out = []
+        if file is not None:
+            yield rows(file, block, [("head", head), ("open", [x for x in [repair.held] if x is not None])])
+
+    def stitched(table: pa.Table) -> pa.Table:
+        rest = sorted(table.to_pylist(), key=lambda r: (r["block"], r["kind"]))  # of each split its head, then what it left open
+        repair = _Repair(tabs, at)
+        for r in rest:
+            if r["kind"] == "head":
+                for line in r["cells"]:
+                    repair.take(line)
+            elif r["cells"]:
+                repair.held = r["cells"][0]
+        if repair.held is not None:
+            repair.put("fragment")
+        return pa.Table.from_batches([rows(rest[0]["file"], -1, repair.out)])
+
+    found = stored(lines.mapInArrow(by_split, schema), "records")
+    edges = ["head", "open"]
+    small = found.filter(F.col("kind").isin(edges)).groupBy("file").applyInArrow(stitched, schema)  # a few lines a split
+    every = stored(found.filter(~F.col("kind").isin(edges)).unionByName(small), "repaired")
+    counts = every.groupBy("kind").agg(F.count("*").alias("n"))
+    return every.filter("kind <> 'fragment'").select(*[F.get("cells", F.lit(k)).alias(c) for k, c in enumerate(columns)]), counts
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
