@@ -6,7 +6,7 @@ found from the same columns, not from the texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import text as tf
@@ -192,6 +192,33 @@ def c5_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.when(exact, F.date_format(due, "yyyy-MM-dd")).alias("due"))
 
 
+@register("c5_reviewed", """WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderdate::DATE AS d, (o_orderdate::DATE + INTERVAL 24 MONTH)::DATE AS b, ((o_orderdate::DATE + 50) + INTERVAL 24 MONTH)::DATE AS anew FROM orders),
+    r AS (SELECT *, CASE WHEN k = 2 THEN 'open_ended' WHEN k = 3 AND day(anew) <> day(d + 50) THEN 'needs_review' ELSE 'calculated' END AS status, CASE k WHEN 1 THEN b + 45 WHEN 3 THEN anew WHEN 4 THEN greatest(b, d + 750) WHEN 5 THEN d + 800 ELSE b END AS due FROM o)
+    SELECT o_orderkey, status, CASE WHEN status = 'calculated' THEN strftime(CASE WHEN o_orderkey % 7 = 0 THEN least(due, b + 20) ELSE due END, '%Y-%m-%d') END AS due, status = 'calculated' AND o_orderkey % 7 = 0 AND due > b + 20 AS capped FROM r""")
+def c5_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two years from each order under two pauses, an open pause, a delayed start, a floor or a fixed date, and some caps."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
+
+    def one(**parts) -> Column:
+        kinds = dict(f.split(":") for f in calculators.INSTRUCTION[7:-1].split(","))
+        return F.struct(*[parts.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+    def day(n: int) -> Column:
+        return F.date_add("d", n)
+
+    yes, kind = F.lit(True), F.col("o_orderkey") % 6
+    pauses = F.array(one(id=F.lit("b"), kind=F.lit("pause"), confirmed=yes, start=day(120), resume=day(400), most=F.lit(25), most_unit=F.lit("calendar_days")), one(id=F.lit("a"), kind=F.lit("pause"), confirmed=yes, start=day(100), resume=day(130)))
+    still = F.array(one(id=F.lit("a"), kind=F.lit("pause"), confirmed=yes, start=day(100)))
+    later = F.array(one(id=F.lit("a"), kind=F.lit("defer_start"), confirmed=yes, resume=day(50)))
+    floor = F.array(one(id=F.lit("a"), kind=F.lit("minimum_after_event"), confirmed=yes, protected=day(10), event=day(720), amount=F.lit(30), unit=F.lit("calendar_days")))
+    fixed = F.array(one(id=F.lit("a"), kind=F.lit("fixed_deadline"), confirmed=yes, date=day(800)))
+    given = F.when(kind == 1, pauses).when(kind == 2, still).when(kind == 3, later).when(kind == 4, floor).when(kind == 5, fixed)
+    base = F.add_months("d", 24)
+    caps = F.when(F.col("o_orderkey") % 7 == 0, F.array(F.date_add(base, 20)))
+    out = calculators.reviewed_deadline(F.col("d"), base, F.lit(2), F.lit("calendar_years"), given, caps)
+    return o.select("o_orderkey", out.alias("r")).select("o_orderkey", "r.status", F.date_format("r.date", "yyyy-MM-dd").alias("due"), "r.capped")
+
+
 @register("c6_rules_of_sections", "WITH s AS (SELECT s_suppkey AS section_id, s_nationkey AS j, 'usc:' || (s_suppkey % 50 + 1) || ':' || s_suppkey AS key FROM supplier), r AS (SELECT p_partkey AS rule_id, p_partkey % 25 AS j, 'usc:' || (p_partkey % 50 + 1) || ':' || (p_partkey % 150) AS key, p_partkey % 100 AS held FROM part), m AS (SELECT section_id, rule_id, 'citation' AS how FROM s JOIN r ON s.j = r.j AND s.key = r.key UNION SELECT section_id, rule_id, 'captured_text' FROM s JOIN r ON s.j = r.j AND section_id = held) SELECT section_id, rule_id, string_agg(how, ',' ORDER BY how) AS matched_by FROM m GROUP BY 1, 2")
 def c6_rules_of_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("section_id"), F.col("s_nationkey").cast("long").alias("jurisdiction"), F.expr("concat('usc:', s_suppkey % 50 + 1, ':', s_suppkey)").alias("key"))
