@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabulon.operators.ranking import nearest_ranks
+
 
 def facet_counts(df: DataFrame, column: str, limit: int) -> DataFrame:
     """(value, n, total, distinct_values, truncated): the most frequent values, ties by value."""
@@ -28,11 +30,6 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def nearest_rank(column: str, p: float) -> Column:
-    """The smallest value that at least the share p of the values does not exceed."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
-
-
 def concentration(df: DataFrame, keys: list[str], unit: str, value: str, top: int) -> DataFrame:
     """(keys, units, hhi, top_share): Herfindahl index on shares in percent, and the largest units' share."""
     by_unit = df.groupBy(*keys, unit).agg(F.sum(value).alias("_v"))
@@ -62,8 +59,9 @@ def fold_tail(df: DataFrame, name: str, value: str, n: int, other: str = "Other"
 
 def class_breaks(df: DataFrame, value: str, classes: int = 5) -> DataFrame:
     """One row, breaks: nearest-rank quantiles of the positive values, equal ones merged."""
-    marks = F.array(*[nearest_rank(value, k / classes) for k in range(1, classes + 1)])
-    return df.filter(F.col(value) > 0).agg(F.array_distinct(marks).alias("breaks"))
+    marks = {f"q{k}": k / classes for k in range(1, classes + 1)}
+    ranked = nearest_ranks(df.filter(F.col(value) > 0), [], value, marks)
+    return ranked.select(F.array_distinct(F.array(*marks)).alias("breaks"))
 
 
 def duplicate_groups(df: DataFrame, column: str) -> DataFrame:

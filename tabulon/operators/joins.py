@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from tabulon.sources.scratch import stored
 
 
-def first_on_or_after(left: DataFrame, events: DataFrame, on: str, at: str, event: str, out: str) -> DataFrame:
+def first_on_or_after(left: DataFrame, events: DataFrame, on: str, at: str, event: str, out: str, chunk: str = "month") -> DataFrame:
     """left with the earliest event of the same key on or after its own date; null without one.
 
-    Events are cut down to (key, event), joined on the key, and only the minimum survives the map-side aggregation.
+    Dates and events of a key are sorted together by chunks of time, so a key with very many of both costs no more than
+    their sum.
     """
-    key = left.select(on, at).distinct()
-    first = key.join(events.select(on, event), on).filter(F.col(event) >= F.col(at)).groupBy(on, at).agg(F.min(event).alias(out))
-    return left.join(first, [on, at], "left")
+    return first_after_by_union(left, events, on, at, event, out, chunk)
 
 
 def unique_match(left: DataFrame, right: DataFrame, on: str, value: str, out: str, status: str = "match_status") -> DataFrame:
@@ -95,7 +94,7 @@ def changes(held: DataFrame, offered: DataFrame, id_col: str, payload: list[str]
     return both.select(id_col, change.alias("change"))
 
 
-def close_spellings(df: DataFrame, word: str, most: int = 2) -> DataFrame:
+def close_spellings(df: DataFrame, word: str, most: int = 2, share: int = 1000) -> DataFrame:
     """Pairs of distinct words (a < b) within an edit distance.
 
     Words that are that close share one of most + 1 equal parts of the longer word nearly at the same place; parts are
@@ -110,7 +109,11 @@ def close_spellings(df: DataFrame, word: str, most: int = 2) -> DataFrame:
     near = near.withColumn("size", F.ceil(F.col("m") / parts).cast("int"))
     at = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.struct(k.alias("k"), F.substring(F.col("w"), F.greatest(k * F.col("size") + 1 + d, F.lit(1)), F.col("size")).alias("p"))))))
     near = near.select(F.col("w").alias("b"), "m", at.alias("y")).select("b", "m", "y.*").distinct()
-    pairs = own.join(near, (own["k"] == near["k"]) & (own["p"] == near["p"]) & (own["na"] == near["m"])).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a part that very many words have is dealt into shares of its own words, each of which meets all partners
+    many = own.groupBy("k", "p", "na").agg(F.ceil(F.count("*") / share).cast("int").alias("shares")).filter("shares > 1")
+    own = own.join(many, ["k", "p", "na"], "left").withColumn("share", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1))).cast("int"))
+    near = near.join(many.withColumnRenamed("na", "m"), ["k", "p", "m"], "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+    pairs = own.join(near, (own["k"] == near["k"]) & (own["p"] == near["p"]) & (own["na"] == near["m"]) & (own["share"] == near["share"])).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= most)
 
 

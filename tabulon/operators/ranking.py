@@ -93,6 +93,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     return g.select(*keys, *[(F.col(f"{n}_a") + part[n] * (F.col(f"{n}_z") - F.col(f"{n}_a"))).alias(n) for n in shares])
 
 
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column per share): the smallest value that at least this share of a group's values does not exceed, of
+    groups of any size."""
+    c = cumulated(df, keys, value)
+    reached = F.col("_before") + F.col("_n")
+    marks = [F.min(F.when(reached >= F.greatest(F.ceil(F.col("_total") * F.lit(float(p)) - 1e-9), F.lit(1)), F.col(value))).alias(n) for n, p in shares.items()]
+    return c.groupBy(*keys).agg(*marks)
+
+
 def daily_pick(df: DataFrame, key: str, day_number: int) -> DataFrame:
     """One row for a day: rows stand in order of a hash of their key, and the day number walks through them."""
     h = F.xxhash64(F.col(key))

@@ -81,6 +81,25 @@ def drawdown(df: DataFrame, keys: list[str], order: str, value: str) -> DataFram
     return df.withColumn("_f", F.max(value).over(w) - F.col(value)).groupBy(*keys).agg(F.max("_f").alias("drop"))
 
 
+def largest_drop(df: DataFrame, member: str, order: str, value: str) -> DataFrame:
+    """One row (from, to, drop, member, member_drop): the largest fall of all members' total, from its highest period to a
+    later one, and the member that fell most between these two; none if the total never falls.
+
+    Earlier periods come first among equal ones, smaller names among equal members; a member counts if it is listed in
+    both periods.
+    """
+    total = df.filter(F.col(value).isNotNull()).groupBy(F.col(order).alias("to")).agg(F.sum(value).alias("v"))
+    upto = Window.orderBy("to").rowsBetween(Window.unboundedPreceding, 0)  # a row per period
+    high = total.withColumn("high", F.max("v").over(upto))
+    first = total.select(F.col("to").alias("from"), F.col("v").alias("high")).groupBy("high").agg(F.min("from").alias("from"))
+    fall = high.join(first, "high").withColumn("drop", F.col("high") - F.col("v")).filter("drop > 0 and `from` < `to`").orderBy(F.desc("drop"), "to").limit(1)
+    a = df.select(F.col(member).alias("member"), F.col(order).alias("from"), F.col(value).alias("before"))
+    z = df.select(F.col(member).alias("member"), F.col(order).alias("to"), F.col(value).alias("after"))
+    one = F.broadcast(fall.select("from", "to", "drop"))  # one row
+    both = a.join(one, "from").join(z, ["member", "to"]).withColumn("member_drop", F.col("before") - F.col("after")).filter(F.col("member_drop").isNotNull())
+    return both.orderBy(F.desc("member_drop"), "member").limit(1).select("from", "to", "drop", "member", "member_drop")
+
+
 def trailing_mean(value: str, keys: list[str], order: str, n: int) -> Column:
     """Mean of the last n rows; null until n values are there."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(n - 1), 0)

@@ -84,6 +84,21 @@ def poisson_limits(x: Column, z: float = 1.959963984540054) -> Column:
     return F.struct(low.alias("low"), high.alias("high"))
 
 
+def signal(recent: Column, prior: Column, change: Column, least: int = 50, new_below: int = 10, sharp: float = 1.5) -> Column:
+    """struct<expected, ratio, signal>: a count against what the source-wide change of its prior count leads to expect.
+
+    low: not recorded, or fewer than `least`; new: hardly any before; sharp: at least `sharp` times what is expected, and
+    its 95 % limits above it; rising, falling: its limits above or below; else steady.
+    """
+    expected = prior * change
+    limits = poisson_limits(recent)
+    kind = (
+        F.when(recent.isNull() | (recent < least), "low").when(prior.isNull() | (prior < new_below), "new")
+        .when(limits["low"] > expected, F.when(recent >= sharp * expected, "sharp").otherwise("rising")).when(limits["high"] < expected, "falling").otherwise("steady")
+    )
+    return F.struct(expected.alias("expected"), F.when(expected > 0, recent / expected).alias("ratio"), kind.alias("signal"))
+
+
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, q1, med, q3, low, high, outliers): whiskers end at the last value within 1.5 quartile ranges."""
     box = quantiles(df, keys, value, {"q1": 0.25, "med": 0.5, "q3": 0.75})
@@ -92,7 +107,8 @@ def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def kaplan_meier(df: DataFrame, keys: list[str], entry: str, exit_: str, event: str) -> DataFrame:
-    """(keys, t, at_risk, events, survival, se): product limit with delayed entry and Greenwood's standard error.
+    """(keys, t, at_risk, events, survival, se, low, high): product limit with delayed entry, Greenwood's standard error and
+    the 95 % band on the logarithm's scale, not above 1.
 
     Subjects entering at t are at risk after t.  Entries and exits are counted per time first, so the windows run over
     distinct times, not over subjects.
@@ -109,7 +125,10 @@ def kaplan_meier(df: DataFrame, keys: list[str], entry: str, exit_: str, event:
     log_s = F.sum(F.when(alive > 0, F.log(alive / F.col("at_risk"))).otherwise(0.0)).over(upto)
     d = d.withColumn("survival", F.when(gone == 1, 0.0).otherwise(F.exp(log_s)))
     green = F.sum(F.when(alive > 0, F.col("events") / (F.col("at_risk") * alive))).over(upto)
-    return d.withColumn("se", F.when(F.col("survival") > 0, F.col("survival") * F.sqrt(green))).select(*keys, "t", "at_risk", "events", "survival", "se")
+    d = d.withColumn("_log_se", F.when(F.col("survival") > 0, F.sqrt(green)))
+    half = F.lit(1.959963984540054) * F.col("_log_se")
+    band = [(F.col("survival") * F.exp(-half)).alias("low"), F.least(F.col("survival") * F.exp(half), F.lit(1.0)).alias("high")]
+    return d.select(*keys, "t", "at_risk", "events", "survival", (F.col("survival") * F.col("_log_se")).alias("se"), *[F.when(F.col("survival") > 0, b).alias(n) for b, n in zip(band, ("low", "high"), strict=True)])
 
 
 def log_factorial(n: Column) -> Column:

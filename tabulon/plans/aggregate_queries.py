@@ -63,7 +63,7 @@ def a10_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("a11_nearest_rank", "SELECT p_brand, quantile_disc(p_retailprice, 0.25) AS q25, quantile_disc(p_retailprice, 0.9) AS q90 FROM part GROUP BY 1")
 def a11_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(aggregates.nearest_rank("p_retailprice", 0.25).alias("q25"), aggregates.nearest_rank("p_retailprice", 0.9).alias("q90"))
+    return ranking.nearest_ranks(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", {"q25": 0.25, "q90": 0.9})
 
 
 @register("a13_ordered_list", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey) AS keys FROM orders GROUP BY 1")

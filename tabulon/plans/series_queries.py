@@ -182,6 +182,15 @@ def w27_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.drawdown(_monthly(spark, sf_dir), ["k"], "month", "v")
 
 
+@register("w27_largest_drop", f"""WITH {_M}, t AS (SELECT month, sum(v) AS v FROM m GROUP BY 1), h AS (SELECT month, v, max(v) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS high FROM t),
+    f AS (SELECT (SELECT min(month) FROM t WHERE t.v = h.high) AS a, month AS z, high - v AS d FROM h WHERE high > v ORDER BY d DESC, z LIMIT 1)
+    SELECT a AS "from", z AS "to", d::BIGINT AS "drop", p.k AS member, (p.v - q.v)::BIGINT AS member_drop FROM f JOIN m p ON p.month = a JOIN m q ON q.month = z AND q.k = p.k ORDER BY member_drop DESC, member LIMIT 1""", dates=("from", "to"))
+def w27_largest_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest fall of all series together, and the one that fell most between its two ends."""
+    d = series.largest_drop(_monthly(spark, sf_dir), "k", "month", "v")
+    return d.withColumns({c: F.col(c).cast("long") for c in ("drop", "member_drop")})
+
+
 @register("w28_trailing_mean", f"WITH {_M} SELECT k, month, CASE WHEN count(v) OVER w = 5 THEN round(avg(v) OVER w, 6) END AS mean FROM m WINDOW w AS (PARTITION BY k ORDER BY month ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)", dates=("month",))
 def w28_trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _monthly(spark, sf_dir).select("k", "month", F.round(series.trailing_mean("v", ["k"], "month", 5), 6).alias("mean"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.functions import special
 from tabulon.functions import text as tf
-from tabulon.operators import passages, calculators, search, statistics
+from tabulon.operators import calculators, passages, ranking, search, statistics
 from tabulon.plans.registry import register
 from tabulon.sources.tables import table
 
@@ -188,10 +189,12 @@ def n7_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("n8_survival", """WITH d AS (SELECT p_brand AS g, p_size // 4 AS a, p_size // 4 + 1 + p_partkey % 9 AS z, p_partkey % 3 > 0 AS e FROM part), t AS (SELECT DISTINCT g, z AS t FROM d WHERE e),
     r AS (SELECT t.g, t.t, (SELECT count(*) FROM d WHERE d.g = t.g AND a < t.t AND z >= t.t) AS n, (SELECT count(*) FROM d WHERE d.g = t.g AND z = t.t AND e) AS k FROM t)
-    SELECT g, t, n AS at_risk, k AS events, round(CASE WHEN bool_or(k >= n) OVER w THEN 0 ELSE exp(sum(CASE WHEN k < n THEN ln((n - k) / n) ELSE 0 END) OVER w) END, 6) AS survival FROM r WHERE n > 0 WINDOW w AS (PARTITION BY g ORDER BY t ROWS UNBOUNDED PRECEDING)""")
+    SELECT g, t, n AS at_risk, k AS events, round(CASE WHEN bool_or(k >= n) OVER w THEN 0 ELSE exp(sum(CASE WHEN k < n THEN ln((n - k) / n) ELSE 0 END) OVER w) END, 6) AS survival,
+      CASE WHEN NOT bool_or(k >= n) OVER w THEN round(exp(sum(CASE WHEN k < n THEN ln((n - k) / n) ELSE 0 END) OVER w - 1.959963984540054 * sqrt(sum(CASE WHEN k < n THEN k / (n * (n - k)) END) OVER w)), 6) END AS low,
+      CASE WHEN NOT bool_or(k >= n) OVER w THEN round(least(1, exp(sum(CASE WHEN k < n THEN ln((n - k) / n) ELSE 0 END) OVER w + 1.959963984540054 * sqrt(sum(CASE WHEN k < n THEN k / (n * (n - k)) END) OVER w))), 6) END AS high FROM r WHERE n > 0 WINDOW w AS (PARTITION BY g ORDER BY t ROWS UNBOUNDED PRECEDING)""")
 def n8_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), F.floor(F.col("p_size") / 4).alias("a"), (F.floor(F.col("p_size") / 4) + 1 + F.col("p_partkey") % 9).alias("z"), (F.col("p_partkey") % 3 > 0).alias("e"))
-    return statistics.kaplan_meier(d, ["g"], "a", "z", "e").select("g", "t", "at_risk", "events", F.round("survival", 6).alias("survival"))
+    return statistics.kaplan_meier(d, ["g"], "a", "z", "e").select("g", "t", "at_risk", "events", *[F.round(c, 6).alias(c) for c in ("survival", "low", "high")])
 
 
 @register("n9_box", "WITH q AS (SELECT p_brand, quantile_cont(p_retailprice, 0.25) AS q1, median(p_retailprice) AS med, quantile_cont(p_retailprice, 0.75) AS q3 FROM part GROUP BY 1) SELECT p_brand, round(q1, 4) AS q1, round(med, 4) AS med, round(q3, 4) AS q3, min(p_retailprice) FILTER (p_retailprice >= q1 - 1.5 * (q3 - q1)) AS low, max(p_retailprice) FILTER (p_retailprice <= q3 + 1.5 * (q3 - q1)) AS high, count(*) FILTER (p_retailprice NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers FROM part JOIN q USING (p_brand) GROUP BY 1, 2, 3, 4")
@@ -214,6 +217,28 @@ def n13_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("p_brand", "x", F.round(p["low"], 6).alias("low"), F.round(p["high"], 6).alias("high"))
 
 
+@register("n13_signals", """WITH g AS (SELECT p_brand AS k, count(*) FILTER (p_size > 25) AS recent, count(*) FILTER (p_size <= 25 AND p_brand < 'Brand#45') AS prior FROM part GROUP BY 1), c AS (SELECT sum(recent) / sum(prior) AS c FROM g),
+    e AS (SELECT *, prior * c AS expected, CASE WHEN recent > 0 THEN recent * power(1 - 1 / (9.0 * recent) - 1.959963984540054 / (3 * sqrt(recent)), 3) ELSE 0 END AS low, (recent + 1) * power(1 - 1 / (9.0 * (recent + 1)) + 1.959963984540054 / (3 * sqrt(recent + 1)), 3) AS high FROM g, c)
+    SELECT k, recent, round(CASE WHEN expected > 0 THEN recent / expected END, 6) AS ratio, CASE WHEN recent < 5 THEN 'low' WHEN prior < 2 THEN 'new' WHEN low > expected THEN CASE WHEN recent >= 1.5 * expected THEN 'sharp' ELSE 'rising' END WHEN high < expected THEN 'falling' ELSE 'steady' END AS signal FROM e""")
+def n13_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by brand against what the change over all brands leads to expect."""
+    size = F.col("p_size")
+    g = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("k")).agg(F.count_if(size > 25).alias("recent"), F.count_if((size <= 25) & (F.col("p_brand") < "Brand#45")).alias("prior"))
+    change = g.agg((F.sum("recent") / F.sum("prior")).alias("change"))  # one row
+    s = statistics.signal(F.col("recent"), F.col("prior"), F.col("change"), least=5, new_below=2)
+    return g.crossJoin(F.broadcast(change)).select("k", "recent", s.alias("s")).select("k", "recent", F.round("s.ratio", 6).alias("ratio"), "s.signal")
+
+
+@register("n16_normal_scores", "SELECT p_partkey, round((row_number() OVER (ORDER BY p_retailprice, p_partkey)) / ((SELECT count(*) FROM part) + 1.0), 9) AS share, (row_number() OVER (ORDER BY p_retailprice, p_partkey) * 2 > (SELECT count(*) FROM part) + 1)::INTEGER AS upper FROM part")
+def n16_normal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal scores of all prices by rank: the quantile's sign, and the share that the distribution gives back."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    n = p.agg(F.count("*").alias("n"))  # one row
+    ranked = ranking.numbered(p, ["p_retailprice", "p_partkey"], "r").crossJoin(F.broadcast(n))
+    z = special.normal_quantile(F.col("r") / (F.col("n") + 1))
+    return ranked.select("p_partkey", z.alias("z")).select("p_partkey", F.round(special.normal_cdf(F.col("z")), 9).alias("share"), (F.col("z") > 0).cast("int").alias("upper"))
+
+
 @register("n16_growth", "WITH g AS (SELECT o_orderpriority AS k, count(*) FILTER (year(o_orderdate) = 1995) AS a, count(*) FILTER (year(o_orderdate) = 2000) AS z FROM orders GROUP BY 1) SELECT k, round(power(z / a, 1 / 5.0) - 1, 9) AS cagr FROM g")
 def n16_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.year("o_orderdate")
