@@ -1,6 +1,7 @@
 import __spark_entry__
 import corpus_pipeline
 from tabulon.llm import queries
+from tabulon.sources import scratch
 
 
 def test_every_query_is_registered():
@@ -50,3 +51,20 @@ def test_stage_decisions(spark, tmp_path):
     hidden = {r.doc_id: (r.text, r.n_chars) for r in by_name["secret scans"](spark, docs, "").collect()}
     assert hidden[4] == ("[secret], nothing else here", 27) and hidden[1] == (a, len(a))
     assert {r.doc_id for r in by_name["SentencePiece encoding"](spark, docs, "").collect()} == {1, 2, 3, 4}
+
+
+def test_run_equals_its_stages_one_by_one(spark, odd, tmp_path):
+    rows = [(k, ("good plain words about nothing at all number %d and more of them " % k) * 3 if k % 2 else "## 99 @@ spam %d ##" % k) for k in range(100, 160)]
+    extra = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd.select(extra.columns).unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "plain words about nothing at all number 111 and more of them")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/own-{k}")
+        docs = spark.read.parquet(f"{tmp_path}/own-{k}")
+    before = set(scratch.children(spark, scratch.shared_folder(spark), "run"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect())) and 5 < got.count() < len(rows)
+    left = set(scratch.children(spark, scratch.shared_folder(spark), "run")) - before
+    assert len(left) == 1 and not any("steps" in x for x in left)  # the result alone
