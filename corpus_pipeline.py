@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import decontamination, near_duplicates, quality_classifier, secret_scan, sentencepiece_codec
-from tabulon.llm.shared import stored
+from tabulon.llm.shared import stored, tidy
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +63,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; what lies between them goes when the last one's result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
