@@ -79,6 +79,33 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
+def quality(df: DataFrame, id_col: str, columns: list[str], days: dict[str, tuple[str, str]] | None = None, parents: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """(check, subject, n): what is wrong with a table, in one pass and a join per parent.
+
+    rows; blank and untrimmed by column; bad_dates: texts that are no day from the first to the last of `days`[column];
+    bad_ids: null, or not made of digits; duplicate_ids: rows beyond the first of an id; orphans: rows whose value, not
+    null, is in no row of the parent table.
+    """
+    found = {("rows", ""): F.count("*")}
+    for c in columns:
+        s = F.col(c).cast("string")
+        found |= {("blank", c): F.count_if(s.isNull() | (F.trim(s) == "")), ("untrimmed", c): F.count_if((F.trim(s) != s) & (F.trim(s) != ""))}
+    for c, (first, last) in (days or {}).items():
+        day = F.try_to_date(F.when(F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col(c)), "yyyy-MM-dd")
+        found["bad_dates", c] = F.count_if(~F.coalesce(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")), F.lit(False)))
+    good = F.coalesce(F.col(id_col).cast("string").rlike(r"^\d+$"), F.lit(False))
+    found["bad_ids", id_col] = F.count_if(~good)
+    names = {k: f"c{n}" for n, k in enumerate(found)}
+    wide = df.agg(*[v.alias(names[k]) for k, v in found.items()])
+    out = wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("check"), F.lit(b).alias("subject"), F.col(n).alias("n")) for (a, b), n in names.items()])))
+    again = df.filter(good).groupBy(id_col).agg((F.count("*") - 1).alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"))
+    out = out.unionByName(again.select(F.lit("duplicate_ids").alias("check"), F.lit(id_col).alias("subject"), "n"))
+    for c, (parent, key) in (parents or {}).items():
+        alone = df.filter(F.col(c).isNotNull()).join(parent.select(F.col(key).alias("_key")), F.col(c) == F.col("_key"), "left_anti").agg(F.count("*").alias("n"))
+        out = out.unionByName(alone.select(F.lit("orphans").alias("check"), F.lit(c).alias("subject"), "n"))
+    return out
+
+
 def survey_total(df: DataFrame, keys: list[str], stratum: str, unit: str, weight: str, value: str) -> DataFrame:
     """(keys, n, total, variance, cv): weighted total with the between-unit variance within strata of a design.
 

@@ -137,6 +137,32 @@ def neighbours(edges: DataFrame, source: str = "src", target: str = "dst", kind:
     return out.unionByName(back).groupBy("node", "kind", "direction").agg(F.countDistinct("other").alias("n"))
 
 
+def cited_paths(nodes: DataFrame, edges: DataFrame, path: str = "path", position: str = "pos", node: str = "node") -> DataFrame:
+    """(path, nodes, problem, shown): is each path a chain, and how it reads.
+
+    nodes: (path, pos from 0, node); edges: (path, pos, src, dst, kind, visible), the edge at pos lies between the nodes at
+    pos and pos + 1.  problem: null; or count (not one edge between each pair, or none at all), hidden, or disconnected (an
+    edge that does not join its neighbours, in either direction).  shown, of whole paths: the nodes in order, with the
+    kind of each edge and > or < for its direction.
+    """
+    n = nodes.groupBy(path).agg(F.count("*").alias("nodes"))
+    e = edges.groupBy(path).agg(F.count("*").alias("_e"), F.countDistinct(position).alias("_places"))
+    a = nodes.select(path, position, F.col(node).alias("_a"))
+    b = nodes.select(path, (F.col(position) - 1).alias(position), F.col(node).alias("_b"))
+    met = edges.join(a, [path, position], "left").join(b, [path, position], "left")
+    ahead = (F.col("src") == F.col("_a")) & (F.col("dst") == F.col("_b"))
+    back = (F.col("dst") == F.col("_a")) & (F.col("src") == F.col("_b"))
+    met = met.withColumn("_way", F.when(ahead, ">").when(back, "<")).withColumn("_seen", F.coalesce("visible", F.lit(False)))
+    step = F.struct(position, F.concat(F.col("kind"), F.col("_way"), F.col("_b").cast("string")).alias("text"))
+    judged = met.groupBy(path).agg(F.bool_and("_seen").alias("_seen"), F.bool_and(F.col("_way").isNotNull()).alias("_joined"), F.sort_array(F.collect_list(step)).alias("_steps"))
+    first = nodes.filter(F.col(position) == 0).select(path, F.col(node).cast("string").alias("_first"))
+    out = n.join(e, path, "left").join(judged, path, "left").join(first, path, "left")
+    edges_there = F.coalesce("_e", F.lit(0))
+    problem = F.when((edges_there != F.col("nodes") - 1) | (F.coalesce("_places", F.lit(0)) != edges_there), "count").when(~F.coalesce("_joined", F.lit(True)), "disconnected").when(~F.coalesce("_seen", F.lit(True)), "hidden")
+    shown = F.array_join(F.concat(F.array("_first"), F.coalesce(F.transform("_steps", lambda x: x["text"]), F.array().cast("array<string>"))), " ")
+    return out.withColumn("problem", problem).select(path, "nodes", "problem", F.when(F.col("problem").isNull(), shown).alias("shown"))
+
+
 def together(df: DataFrame, group: str, item: str, least: int = 1, block: int = 1000) -> DataFrame:
     """(a, b, n): groups in which two items occur together.
 

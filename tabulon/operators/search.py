@@ -209,3 +209,11 @@ def retrieval_scores(found: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     per = found.groupBy("query").agg(F.count_if(good).alias("hits"), F.min(F.when(good, F.col("place"))).alias("first"))
     both = wanted.filter("n > 0").join(per, "query", "left")
     return both.agg(F.count("*").alias("queries"), F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")).alias("recall"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
+
+
+def best_passages(passages: DataFrame, record: str, passage: str, score: str, k: int) -> DataFrame:
+    """(record, passage, score, place): the k records with the best passages, each with that passage; of equally good ones
+    the first passage, the smaller record.  What a record has is aggregated before anything is sorted."""
+    best = passages.filter(F.col(score).isNotNull()).groupBy(F.col(record).alias("record")).agg(F.max(F.struct(F.col(score).alias("score"), (-F.col(passage)).alias("n"))).alias("b"))
+    top = best.select("record", (-F.col("b.n")).alias("passage"), "b.score").orderBy(F.desc("score"), "record").limit(k)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "record")))  # k rows

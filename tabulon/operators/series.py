@@ -216,3 +216,29 @@ def aligned(points: DataFrame, markers: DataFrame, least: int = 3) -> tuple[Data
     common = kept.crossJoin(F.broadcast(number)).agg(F.coalesce(F.min(F.when(F.col("positive") == F.col("_all"), F.col("x"))), F.min("x")).alias("_common"))
     spine = kept.select("x").crossJoin(F.broadcast(used)).crossJoin(F.broadcast(common))  # a few series by their periods
     return spine.join(p, ["id", "x"], "left").select("id", "x", "value", (F.col("x") == F.col("_common")).alias("common")), fates
+
+
+# fixed values: forms that report whole years, and those that report quarters too; days of a year and of a quarter
+ANNUAL_FORMS = ("10-K", "10-K405", "10-KT", "20-F", "40-F")
+ALL_FORMS = (*ANNUAL_FORMS, "10-Q")
+YEAR_DAYS, QUARTER_DAYS, FIRST_DAYS = (340, 380), (80, 100), 7
+
+
+def reported(facts: DataFrame, keys: list[str], concepts: list[str]) -> DataFrame:
+    """(keys, grain, start, end, fiscal_year, concept, value, form, filed): one value a period, the latest filed.
+
+    facts: (keys, concept, start, end, value, form, filed); a balance has no start.  annual: 340 to 380 days, or a balance,
+    in an annual form; quarterly: 80 to 100 days, or a balance, in any form; amendments (form with /A) count as their
+    form.  Other facts are left out.  Of several concepts with a value the first in `concepts` is taken; of facts filed on
+    one day the largest value.  A period that ends in the first week of January belongs to the year before.
+    """
+    form, span = F.regexp_replace("form", "/A$", ""), F.datediff("end", "start")
+    balance = F.col("start").isNull()
+    rank = F.coalesce(*[F.when(F.col("concept") == c, k) for k, c in enumerate(concepts)])
+    year = F.when(form.isin(*ANNUAL_FORMS) & (balance | span.between(*YEAR_DAYS)), F.lit("annual"))
+    quarter = F.when(form.isin(*ALL_FORMS) & (balance | span.between(*QUARTER_DAYS)), F.lit("quarterly"))
+    d = facts.filter(F.col("value").isNotNull() & F.col("end").isNotNull()).withColumn("_rank", rank).filter("_rank IS NOT NULL")
+    d = d.withColumn("grain", F.explode(F.array_compact(F.array(year, quarter))))
+    best = F.max_by(F.struct("concept", "value", "form", "filed"), F.struct(-F.col("_rank"), "filed", "value"))
+    fiscal = F.year("end") - F.when((F.month("end") == 1) & (F.dayofmonth("end") <= FIRST_DAYS), 1).otherwise(0)
+    return d.groupBy(*keys, "grain", "start", "end").agg(best.alias("_b")).select(*keys, "grain", "start", "end", fiscal.alias("fiscal_year"), "_b.*")

@@ -165,6 +165,25 @@ def a29_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.profile(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"]).drop("approx_values")
 
 
+_REGISTRY = """d AS (SELECT CASE WHEN o_orderkey % 50 = 3 THEN NULL WHEN o_orderkey % 50 = 4 THEN 'x' || o_orderkey ELSE (o_orderkey // 2)::VARCHAR END AS id, CASE WHEN o_orderkey % 9 = 0 THEN ' ' WHEN o_orderkey % 9 = 1 THEN ' ' || o_orderpriority ELSE o_orderpriority END AS label,
+    CASE WHEN o_orderkey % 7 = 0 THEN '2001-02-30' WHEN o_orderkey % 7 = 1 THEN strftime(o_orderdate, '%d.%m.%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN o_orderkey % 11 = 0 THEN -o_custkey ELSE o_custkey END AS cust FROM orders)"""
+
+
+@register("a29_quality", f"""WITH {_REGISTRY} SELECT 'rows' AS "check", '' AS subject, count(*) AS n FROM d UNION ALL SELECT 'blank', 'label', count(*) FILTER (trim(label) = '') FROM d UNION ALL SELECT 'untrimmed', 'label', count(*) FILTER (trim(label) <> label AND trim(label) <> '') FROM d
+    UNION ALL SELECT 'bad_dates', 'day', count(*) FILTER (NOT coalesce(try_strptime(day, '%Y-%m-%d') BETWEEN DATE '1995-01-01' AND DATE '2030-01-01', false)) FROM d UNION ALL SELECT 'bad_ids', 'id', count(*) FILTER (NOT coalesce(regexp_full_match(id, '[0-9]+'), false)) FROM d
+    UNION ALL SELECT 'duplicate_ids', 'id', coalesce(sum(m - 1), 0)::BIGINT FROM (SELECT count(*) AS m FROM d WHERE regexp_full_match(id, '[0-9]+') GROUP BY id) UNION ALL SELECT 'orphans', 'cust', count(*) FROM d WHERE cust NOT IN (SELECT c_custkey FROM customer)""")
+def a29_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A register with bad days, blanks, ids that are missing, odd or repeated, and customers that are not there."""
+    k = F.col("o_orderkey")
+    d = table(spark, sf_dir, "orders").select(
+        F.when(k % 50 == 4, F.concat(F.lit("x"), k)).when(k % 50 != 3, F.floor(k / 2).cast("string")).alias("id"),
+        F.when(k % 9 == 0, " ").when(k % 9 == 1, F.concat(F.lit(" "), "o_orderpriority")).otherwise(F.col("o_orderpriority")).alias("label"),
+        F.when(k % 7 == 0, "2001-02-30").when(k % 7 == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
+        F.when(k % 11 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("cust"),
+    )
+    return aggregates.quality(d, "id", ["label"], {"day": ("1995-01-01", "2030-01-01")}, {"cust": (table(spark, sf_dir, "customer"), "c_custkey")})
+
+
 @register("a30_path_flows", "WITH t AS (SELECT conv_id, turn, role, row_number() OVER w - 1 AS step, lead(role) OVER w AS nxt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)) SELECT step::INT AS step, role AS src, nxt AS dst, count(*) AS n FROM t WHERE nxt IS NOT NULL GROUP BY 1, 2, 3")
 def a30_path_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t")).select(F.transform("t", lambda x: x["role"]).alias("path"))

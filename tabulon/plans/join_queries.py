@@ -193,6 +193,22 @@ def j26_path_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("ok", ~F.col("role").eqNullSafe(before)).groupBy("conv_id").agg(F.bool_and("ok").alias("alternates"))
 
 
+@register("j26_cited_paths", """WITH n AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos, l_partkey AS node, l_suppkey % 2 AS turn, l_quantity > 48 AS torn, l_discount < 0.1 AS visible FROM lineitem),
+    e AS (SELECT path, pos, node AS a, lead(node) OVER w AS b, turn, torn AND node <> lead(node) OVER w AS torn, visible, l FROM (SELECT *, count(*) OVER (PARTITION BY path) - 1 AS l FROM n) WINDOW w AS (PARTITION BY path ORDER BY pos)),
+    j AS (SELECT path, count(*) AS nodes, bool_or(torn AND pos < l) AS torn, bool_and(visible OR pos = l) AS visible, path % 10 = 0 AND count(*) > 1 AS short, string_agg(CASE WHEN pos < l THEN 'cites' || CASE WHEN turn = 1 AND a <> b THEN '<' ELSE '>' END || b END, ' ' ORDER BY pos) AS steps, min(a) FILTER (pos = 0) AS first FROM e GROUP BY path)
+    SELECT path, nodes, CASE WHEN short THEN 'count' WHEN torn THEN 'disconnected' WHEN NOT visible THEN 'hidden' END AS problem, CASE WHEN NOT short AND NOT coalesce(torn, false) AND visible THEN first || coalesce(' ' || steps, '') END AS shown FROM j""")
+def j26_cited_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of an order as a path: some edges point back, some join nothing, some are hidden, some are missing."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("path").orderBy("l_linenumber", "node", "l_suppkey")
+    n = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "path", "l_partkey": "node"}).withColumn("pos", F.row_number().over(w) - 1).withColumn("b", F.lead("node").over(w))
+    turn, torn = F.col("l_suppkey") % 2 == 1, (F.col("l_quantity") > 48) & (F.col("node") != F.col("b"))
+    src, dst = F.when(turn, F.col("b")).otherwise(F.col("node")), F.when(turn, F.col("node")).otherwise(F.col("b"))
+    e = n.filter("b IS NOT NULL").select("path", "pos", src.alias("src"), F.when(torn, F.lit(-1)).otherwise(dst).alias("dst"), F.lit("cites").alias("kind"), (F.col("l_discount") < 0.1).alias("visible"))
+    return joins.cited_paths(n.select("path", "pos", "node"), e.filter("path % 10 > 0 OR pos > 0"))
+
+
 @register("j27_together", "WITH i AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS i FROM lineitem) SELECT x.i AS a, y.i AS b, count(*) AS n FROM i x JOIN i y ON x.g = y.g AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 20")
 def j27_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.together(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey", 20)

@@ -270,6 +270,21 @@ def w40_latest_filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("concept"), F.year("l_shipdate").alias("y")).agg(F.max(F.struct((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("o"), "l_extendedprice"))["l_extendedprice"].alias("fact"))
 
 
+@register("w40_reported", """WITH f AS (SELECT o_custkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS concept, CASE WHEN o_orderkey % 5 > 0 THEN e - (CASE WHEN o_orderkey % 5 < 3 THEN 339 + o_orderkey % 43 ELSE 79 + o_orderkey % 23 END)::INT END AS start, e AS "end", o_totalprice AS value,
+      CASE o_orderkey % 4 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '10-K/A' ELSE '8-K' END AS form, o_orderdate::DATE AS filed FROM (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN make_date(year(o_orderdate)::INT, 1, 1 + (o_orderkey % 12)::INT) ELSE make_date(year(o_orderdate)::INT, 12, 31) END AS e FROM orders)),
+    g AS (SELECT *, 'annual' AS grain FROM f WHERE replace(form, '/A', '') = '10-K' AND (start IS NULL OR "end" - start BETWEEN 340 AND 380) UNION ALL SELECT *, 'quarterly' FROM f WHERE replace(form, '/A', '') IN ('10-K', '10-Q') AND (start IS NULL OR "end" - start BETWEEN 80 AND 100)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY k, grain, start, "end" ORDER BY concept = 'B' DESC, filed DESC, value DESC) AS r FROM g WHERE concept <> 'C')
+    SELECT k, grain, start, "end", (year("end") - (month("end") = 1 AND day("end") <= 7)::INT)::INT AS fiscal_year, concept, value, form, filed FROM r WHERE r = 1""", dates=("start", "end", "filed"))
+def w40_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts from orders: years and quarters of varying length, balances, amendments; concept B before A, C is not asked for."""
+    k = F.col("o_orderkey")
+    year = F.year("o_orderdate")
+    end = F.when(k % 2 == 0, F.make_date(year, F.lit(1), (1 + k % 12).cast("int"))).otherwise(F.make_date(year, F.lit(12), F.lit(31)))
+    span = F.when(k % 5 < 3, 339 + k % 43).otherwise(79 + k % 23).cast("int")
+    f = table(spark, sf_dir, "orders").withColumn("end", end).select(F.col("o_custkey").alias("k"), F.when(k % 3 == 0, "A").when(k % 3 == 1, "B").otherwise("C").alias("concept"), F.when(k % 5 > 0, F.date_sub("end", span)).alias("start"), "end", F.col("o_totalprice").alias("value"), F.when(k % 4 == 0, "10-K").when(k % 4 == 1, "10-Q").when(k % 4 == 2, "10-K/A").otherwise("8-K").alias("form"), F.to_date("o_orderdate").alias("filed"))
+    return series.reported(f, ["k"], ["B", "A"])
+
+
 @register("f11_whole_months", "SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate >= TIMESTAMP '1995-01-31' THEN ((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 - (day(l_shipdate) < 31)::INT)::INT END AS since, CASE WHEN l_shipdate < TIMESTAMP '2000-03-01' THEN ((2000 - year(l_shipdate)) * 12 + 2 - month(l_shipdate) - (29 < day(l_shipdate))::INT)::INT END AS until FROM lineitem")
 def f11_whole_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completed months of every line since the end of a month, and until the end of a February."""

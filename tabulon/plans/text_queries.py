@@ -71,7 +71,7 @@ def s8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.length(tf.without_tags("html")).cast("long").alias("chars"))
 
 
-@register("x1_prefix_search", "SELECT doc_id FROM (SELECT doc_id, string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM documents) WHERE len(list_filter(w, lambda x: starts_with(x, 'ther'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'anst'))) > 0")
+@register("x1_prefix_search", r"SELECT doc_id FROM (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}\p{N}]+') AS w FROM documents) WHERE len(list_filter(w, lambda x: starts_with(x, 'ther'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'anst'))) > 0")
 def x1_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(search.prefix_search("text", "ther anst")).select("doc_id")
 
@@ -111,6 +111,18 @@ def x11_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
+@register("t5_top_records", r"""WITH p AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+    s AS (SELECT doc_id, n, round(len(list_filter(w, lambda x: x IN ('the', 'of', 'and', 'der', 'de'))) / len(w), 9) AS score FROM (SELECT doc_id, n, list_filter(string_split_regex(lower(line), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM p) WHERE len(w) >= 5),
+    b AS (SELECT doc_id, max(score) AS score FROM s GROUP BY 1) SELECT doc_id AS record, min(n)::INTEGER AS passage, score, (row_number() OVER (ORDER BY score DESC, doc_id))::INTEGER AS place FROM b JOIN s USING (doc_id, score) GROUP BY doc_id, score ORDER BY score DESC, doc_id LIMIT 50""")
+def t5_top_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their line with the largest share of common words."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
+    w = F.filter(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    common = F.filter("w", lambda x: x.isin("the", "of", "and", "der", "de"))
+    scored = lines.select("doc_id", "n", w.alias("w")).filter(F.size("w") >= 5).select("doc_id", "n", F.round(F.size(common) / F.size("w"), 9).alias("score"))
+    return search.best_passages(scored, "doc_id", "n", "score", 50)
+
+
 @register("x19_content_dedup", "SELECT doc_id, md5(text) AS h, min(doc_id) OVER (PARTITION BY text) AS keeper FROM documents")
 def x19_content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))

@@ -71,3 +71,20 @@ def test_largest_drop(spark):
     got = series.largest_drop(spark.createDataFrame(rows, "k string, t int, v int"), "k", "t", "v").collect()
     assert [tuple(r) for r in got] == [(4, 5, 8, "b", -13)]
     assert series.largest_drop(spark.createDataFrame(rows[:4], "k string, t int, v int"), "k", "t", "v").count() == 0
+
+
+def test_cited_paths(spark):
+    nodes = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("a", 2, 3), ("b", 0, 9), ("c", 0, 1), ("c", 1, 2), ("d", 0, 1), ("d", 1, 2), ("e", 0, 1), ("e", 1, 2), ("f", 0, 1), ("f", 1, 2), ("f", 2, 3)], "path string, pos int, node int")
+    edges = spark.createDataFrame([("a", 0, 1, 2, "cites", True), ("a", 1, 3, 2, "amends", True), ("c", 0, 1, 3, "cites", True), ("d", 0, 1, 2, "cites", None), ("f", 0, 1, 2, "cites", True), ("f", 0, 2, 3, "cites", True)], "path string, pos int, src int, dst int, kind string, visible boolean")
+    got = {r.path: (r.nodes, r.problem, r.shown) for r in joins.cited_paths(nodes, edges).collect()}
+    assert got == {"a": (3, None, "1 cites>2 amends<3"), "b": (1, None, "9"), "c": (2, "disconnected", None), "d": (2, "hidden", None), "e": (2, "count", None), "f": (3, "count", None)}
+
+
+def test_reported_facts(spark):
+    d = datetime.date
+    rows = [("x", "A", d(2023, 1, 1), d(2023, 12, 31), 10.0, "10-K", d(2024, 2, 1)), ("x", "A", d(2023, 1, 1), d(2023, 12, 31), 11.0, "10-K/A", d(2024, 5, 1)), ("x", "B", d(2023, 1, 1), d(2023, 12, 31), 5.0, "10-K", d(2024, 2, 1)), ("x", "A", d(2022, 1, 3), d(2023, 1, 1), 7.0, "10-K", d(2023, 2, 1)),
+            ("x", "A", d(2023, 10, 1), d(2023, 12, 31), 3.0, "10-Q", d(2024, 2, 1)), ("x", "A", d(2023, 1, 1), d(2023, 6, 30), 4.0, "10-Q", d(2023, 8, 1)), ("x", "A", None, d(2023, 12, 31), 1.0, "10-K", d(2024, 2, 1)), ("x", "A", d(2023, 1, 1), d(2023, 12, 31), 99.0, "8-K", d(2025, 1, 1)), ("x", "Z", None, d(2020, 1, 1), 1.0, "10-K", d(2020, 2, 1)), ("x", "A", d(2021, 1, 1), d(2021, 12, 31), None, "10-K", d(2022, 1, 1))]
+    df = spark.createDataFrame(rows, "k string, concept string, start date, end date, value double, form string, filed date")
+    got = sorted((r.grain, str(r.start), r.fiscal_year, r.concept, r.value) for r in series.reported(df, ["k"], ["A", "B"]).collect())
+    assert got == sorted([("annual", "2023-01-01", 2023, "A", 11.0), ("annual", "2022-01-03", 2022, "A", 7.0), ("quarterly", "2023-10-01", 2023, "A", 3.0), ("annual", "None", 2023, "A", 1.0), ("quarterly", "None", 2023, "A", 1.0)])
+    assert {r.concept for r in series.reported(df, ["k"], ["B", "A"]).filter("grain = 'annual' AND start = '2023-01-01'").collect()} == {"B"}
