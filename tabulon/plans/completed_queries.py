@@ -338,10 +338,19 @@ def n11_loess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.loess_band(m, ["k"], "x", "v")
 
 
-@register("n15_family")
+@register("n15_family", """WITH c AS (SELECT o_custkey, count(*)::DOUBLE AS n, sum(o_totalprice) AS total, max(o_totalprice) AS largest, any_value(c_acctbal) AS c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+    l AS (SELECT 'n' AS y, total AS x, n AS v FROM c UNION ALL SELECT 'largest', total, largest FROM c UNION ALL SELECT 'c_acctbal', total, c_acctbal FROM c),
+    r AS (SELECT y, rank() OVER (PARTITION BY y ORDER BY x) + (count(*) OVER (PARTITION BY y, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY y ORDER BY v) + (count(*) OVER (PARTITION BY y, v) - 1) / 2.0 AS rv FROM l),
+    k AS (SELECT y, count(*) AS n, corr(rx, rv) AS rho FROM r GROUP BY y), t AS (SELECT *, n - 2 AS f, atan(rho / sqrt(1 - rho * rho)) AS th FROM k),
+    s AS (SELECT *, coalesce(list_sum(list_transform(range(0, f // 2), lambda j: exp(2 * j * ln(cos(th)) + coalesce(list_sum(list_transform(range(1, j + 1), lambda i: CASE WHEN f % 2 = 1 THEN ln(2.0 * i / (2 * i + 1)) ELSE ln((2.0 * i - 1) / (2 * i)) END)), 0)))), 0) AS total FROM t),
+    p AS (SELECT *, greatest(CASE WHEN f % 2 = 1 THEN 1 - 2 / pi() * (abs(th) + abs(sin(th)) * cos(th) * total) ELSE 1 - abs(sin(th)) * total END, 0) AS p FROM s),
+    q AS (SELECT *, least(min(p * 3 / r) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING), 1) AS q FROM (SELECT *, rank() OVER (ORDER BY p) AS r FROM p))
+    SELECT y, n, round(rho, 6) AS rho, round(tanh(atanh(rho) - 1.959963984540054 / sqrt(n - 3)), 6) AS low, round(tanh(atanh(rho) + 1.959963984540054 / sqrt(n - 3)), 6) AS high, round(p, 7) AS p, round(q, 7) AS q, q < 0.05 AS holds FROM q""")
 def n15_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's total against three other measures, tested together."""
     c = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.max("o_totalprice").alias("largest"))
-    return statistics.family_tests(c.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_custkey", "total", ["n", "largest", "c_acctbal"])
+    tested = statistics.family_tests(c.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")), "c_custkey", "total", ["n", "largest", "c_acctbal"])
+    return tested.select("y", "n", *[F.round(x, 6).alias(x) for x in ("rho", "low", "high")], F.round("p", 7).alias("p"), F.round("q", 7).alias("q"), "holds")
 
 
 @register("n14_reliability", "WITH g AS (SELECT p_type, sum(p_size * 10) AS estimate, count(*) AS n, stddev_samp(p_size) / sqrt(count(*)) / avg(p_size) AS cv FROM part WHERE p_size > 0 GROUP BY 1) SELECT p_type, n, CASE WHEN NOT (estimate < 1200 OR n < 20 OR cv > 0.33) THEN estimate END::BIGINT AS estimate FROM g")
