@@ -183,3 +183,27 @@ def embedding_text(heading: Column | str, body: Column | str) -> Column:
 def embedding_key(text: Column | str, model: str, kind: str = "document") -> Column:
     """The identity of one input of an embedding model."""
     return F.sha2(F.concat(F.lit(f"{model}\0{kind}\0"), _col(text)), 256)
+
+
+# fixed values: what a maker's name, and a case's title, lose on a label
+MAKER_ENDINGS = r"(?i),?\s+(?:Inc\.?|LLC|Corp\.?|Corporation|Company|Co\.|Ltd\.?|North America|USA|America)\b\.?"
+TITLE_TAIL = r"(?is)\s*,?\s*(?:marketing,?\s*)?(?:(?:sales practices|sp),?\s*)?(?:&\s*|and\s*)?(?:products? liability|\bpl\b|antitrust|securities|data security breach|consumer privacy|privacy|litigation).*$"
+
+
+def title_case(c: Column | str) -> Column:
+    """Every run of a-z, digits and underscores with a capital; `and` stays small."""
+    parts = F.regexp_extract_all(F.lower(_col(c)), F.lit("[a-z0-9_]+|[^a-z0-9_]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda w: F.when((w == "and") | ~w.rlike("^[a-z]"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))), "")
+
+
+def short_maker(c: Column | str) -> Column:
+    """A maker's name without what is in parentheses and without corporate endings."""
+    s = F.regexp_replace(F.regexp_replace(_col(c), r"\s*\(.*?\)\s*", " "), MAKER_ENDINGS, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\s{2,}", " "), r"[,\s]+$", ""))
+
+
+def short_title(c: Column | str) -> Column:
+    """A case's title without `In re` and without what says only what kind of case it is; whole if nothing else is left."""
+    s = F.regexp_replace(F.regexp_replace(_col(c), r"(?i)^\s*in re:?\s*", ""), TITLE_TAIL, "")
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, '["“”]', ""), r"[,\s]+$", ""))
+    return F.when(s != "", s).otherwise(F.trim(_col(c)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabulon.functions import text as tf
 from tabulon.operators import ranking, search, statistics
 from tabulon.plans.registry import register
 from tabulon.sources.scratch import fresh_path
@@ -124,7 +125,15 @@ def f3_strip_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("f5_title_case", "SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM part")
 def f5_title_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", F.initcap("p_name").alias("title"))
+    return table(spark, sf_dir, "part").select("p_partkey", tf.title_case("p_name").alias("title"))
+
+
+@register("f5_short_names", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_type || ' of ' || p_brand || ' Co.' WHEN 1 THEN p_type ELSE p_type || ', ' || p_brand END AS maker, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' and ' || p_name ELSE 'Antitrust Litigation' END AS title FROM part""")
+def f5_short_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from makers with corporate endings and from titles of cases."""
+    maker = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat(p_type, ' (US)  of ', p_brand, ' Co., Ltd.') WHEN 1 THEN concat(p_type, ' North America LLC') ELSE concat(p_type, ', ', p_brand, ', Inc. USA') END")
+    title = F.expr("CASE p_partkey % 3 WHEN 0 THEN concat('IN RE: ', p_name, ' Marketing, Sales Practices and Products Liability Litigation (No. II)') WHEN 1 THEN concat('In re \"', p_name, ' and ', p_name, '\", Data Security Breach Litigation') ELSE 'Antitrust Litigation' END")
+    return table(spark, sf_dir, "part").select("p_partkey", tf.short_maker(maker).alias("maker"), tf.short_title(title).alias("title"))
 
 
 @register("f13_date_parts", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, quarter(o_orderdate)::INT AS q, isodow(o_orderdate)::INT AS weekday, strftime(make_date(year(o_orderdate)::INT, 1, 1), '%Y-%m-%d') AS year_start FROM orders")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import special
 from tabulon.functions import text as tf
-from tabulon.operators import calculators, passages, ranking, search, statistics
+from tabulon.operators import calculators, dedup, passages, ranking, search, statistics
 from tabulon.plans.registry import register
 from tabulon.sources.tables import table
 
@@ -129,6 +129,20 @@ def x19_content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(d.groupBy("h").agg(F.min("doc_id").alias("keeper")), "h").select("doc_id", "h", "keeper")
 
 
+@register("x19_fetch_decisions", """WITH d AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS h, sha1(coalesce(text, '')) AS s, length(coalesce(text, ''))::BIGINT + 1 AS b, doc_id % 12 AS k FROM documents), o AS (SELECT h, any_value(s) AS s, any_value(b) AS b FROM d WHERE k <> 9 GROUP BY h)
+    SELECT id, CASE WHEN k = 0 THEN 'other provider' WHEN k IN (1, 2) AND d.h IN (SELECT h FROM o) THEN 'same sha1' WHEN k = 3 THEN 'nothing known' WHEN k = 4 THEN 'several versions of the address' WHEN d.h NOT IN (SELECT h FROM o) THEN 'object not in the index' WHEN k = 5 THEN 'sha1 has changed' WHEN k = 6 THEN 'size has changed' ELSE 'same address' END AS reason,
+      CASE WHEN (k IN (1, 2) OR k > 6) AND d.h IN (SELECT h FROM o) THEN 'skip' ELSE 'download' END AS action, CASE WHEN (k IN (1, 2) OR k > 6) AND d.h IN (SELECT h FROM o) THEN d.h END AS sha256 FROM d""")
+def x19_fetch_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: some stored, some known by their address, some changed since, some with two versions."""
+    text, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 12
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2(text, 256).alias("h"), F.sha1(text).alias("s"), (F.length(text) + 1).cast("long").alias("b"), k.alias("k"))
+    objects = d.filter("k <> 9").select(F.col("h").alias("sha256"), F.col("s").alias("sha1"), F.col("b").alias("bytes"))
+    address = F.concat(F.lit("https://Files.example.org/"), F.col("id"), F.lit("?v=1"))
+    urls = d.filter("k <> 3").select(address.alias("url"), F.col("h").alias("sha256")).unionByName(d.filter("k = 4").select(F.lower(address).alias("url"), F.sha2(F.lit("another"), 256).alias("sha256")))
+    queue = d.select("id", F.when(F.col("k") == 0, "letters").otherwise("docket").alias("provider"), F.concat(address, F.lit("#page=2")).alias("url"), F.when(F.col("k").isin(1, 2), F.upper("s")).when(F.col("k") == 5, F.sha1(F.lit("changed"))).alias("sha1"), F.when(F.col("k") == 6, F.col("b") + 1).when(F.col("k") == 7, F.col("b")).alias("bytes"))
+    return dedup.fetch_decisions(queue, objects, urls, ["docket"])
+
+
 @register("x20_passages", r"WITH b AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, item_id FROM d JOIN b ON contains(t, p)")
 def x20_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
