@@ -6,7 +6,7 @@ from tabulon.sources import scratch
 
 def test_every_query_is_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(queries.QUERIES) <= set(names)
 
 
