@@ -2,7 +2,6 @@
 
 import math
 import random
-import re
 import zipfile
 
 import numpy as np
