@@ -60,10 +60,14 @@ KINDS = {
     "mdl": r"M\.?D\.?L\.?\s+(?:No\.\s+|Docket\s+No\.\s+)?(\d{3,4})\b",
     "docket": r"(?:No\.\s+)?(\d{1,2}:\d{2}-(?:cv|cr|md|mc|bk)-\d{3,6})",
     "short_case": rf"(\d{{1,4}})\s+({_REPORTER})\s+at\s+\d+",
-    "case": rf"(\d{{1,4}})\s+({_REPORTER})\s+(\d{{1,5}})",
+    "case": rf"(\d{{1,4}})\s+({_REPORTER})\s+(\d+)",
     "short": r"\b[Ii]d\.(?:\s+(?:at\s+\d+|§\s*\d+))?",
 }
-_EVERY = re.compile(r"(?<![\w.])(?:" + "|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()) + ")")
+#: no kind begins with another letter than these, which spares trying them all at each word
+_EVERY = re.compile(r"(?<![\w.])(?=[\dA-Zi])(?:" + "|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()) + ")")
+#: where the groups of a kind's own pattern stand in _EVERY
+_PARTS = {k: tuple(range(_EVERY.groupindex[k] + 1, _EVERY.groupindex[k] + 1 + re.compile(p).groups)) for k, p in KINDS.items()}
+FOUND_ROWS = 20_000  # citations that a task hands on at once
 
 
 def _plain(part: str) -> str:
@@ -80,7 +84,7 @@ def citations_in(text: str) -> list[tuple[str, str | None, int, int]]:
     last: str | None = None
     for m in _EVERY.finditer(text):
         kind = m.lastgroup
-        parts = [_plain(g) for g in re.fullmatch(KINDS[kind], m[0]).groups() if g]
+        parts = [_plain(m[g]) for g in _PARTS[kind] if m[g]]
         if kind == "short":
             key = last
         elif kind == "short_case":
@@ -97,15 +101,26 @@ def citations_in(text: str) -> list[tuple[str, str | None, int, int]]:
 def located(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, kind, key, start, end): every citation of every whole text; code points, end exclusive."""
     def find(batches):
+        def rows(batch, at, found):
+            kind, key, start, end = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(kind), pa.array(key, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["id", "kind", "key", "start", "end"])
+
         for batch in batches:
+            at, found = [], []
             for k, s in enumerate(batch.column(1).to_pylist()):
-                found = citations_in(s) if s else []
-                if found:
-                    kind, key, start, end = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1).take(pa.array([0] * len(found))), pa.array(kind), pa.array(key, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["id", "kind", "key", "start", "end"])
+                own = citations_in(s)
+                found += own
+                at += [k] * len(own)
+                if len(found) >= FOUND_ROWS:
+                    yield rows(batch, at, found)
+                    at, found = [], []
+            if found:
+                yield rows(batch, at, found)
 
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T.StructType.fromDDL("kind string, key string, start int, end int").fields])
-    return df.filter(F.col(text).rlike(ANCHOR)).select(id_col, text).mapInArrow(find, schema)
+    # a table of short rows is one small file, which would be one task: the texts are dealt out first
+    texts = df.filter(F.col(text).rlike(ANCHOR)).select(id_col, text).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col, text)
+    return texts.mapInArrow(find, schema)
 
 
 def citations(df: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -217,3 +217,15 @@ def test_every_chunk_lies_in_its_text(spark):
     whole = dict(texts)
     assert {r.id for r in rows} == {1, 4} and all(whole[r.id][r.start : r.end] == r.body for r in rows)
     assert "x7_chunks" in QUERIES
+
+
+def test_pages_of_decisions_have_any_number_of_digits(spark):
+    found = citations.citations(spark.createDataFrame([(1, "Roe v. Doe, 512 U.S. 123456 (1999); 512 U.S. at 77.")], "id long, t string"), "id", "t")
+    assert [tuple(r) for r in found.collect()] == [(1, "case", "case:512:us:123456", 2)]
+
+
+def test_citations_are_looked_for_in_many_tasks_and_handed_on_together(spark):
+    texts = spark.range(3000, numPartitions=1).selectExpr("id", "concat('See 7 U.S.C. § ', id, '. Id.') AS t")
+    found = citations.located(texts, "id", "t")
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.id, r.kind, r.key) for r in found.collect()} == {(k, kind, f"usc:7:{k}") for k in range(3000) for kind in ("usc", "short")}
