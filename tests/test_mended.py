@@ -229,3 +229,24 @@ def test_citations_are_looked_for_in_many_tasks_and_handed_on_together(spark):
     found = citations.located(texts, "id", "t")
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {(r.id, r.kind, r.key) for r in found.collect()} == {(k, kind, f"usc:7:{k}") for k in range(3000) for kind in ("usc", "short")}
+
+
+def test_few_degrees_of_freedom_take_the_closed_sum(spark, monkeypatch):
+    cases = [(t, n) for n in range(1, 21) for t in (0.0, 0.3, -1.7, 2.5)]
+    rows = spark.createDataFrame(cases, "t double, n long")
+    long = {(r.t, r.n): r.p for r in rows.withColumn("p", special.incomplete_beta(F.col("n") / (F.col("n") + F.col("t") * F.col("t")), F.col("n") / 2, F.lit(0.5))).collect()}
+    monkeypatch.setattr(special, "incomplete_beta", lambda *_: F.lit(None).cast("double"))
+    short = {(r.t, r.n): r.p for r in rows.withColumn("p", special.t_two_sided(F.col("t"), F.col("n"))).collect()}
+    assert all(abs(short[c] - long[c]) < 1e-12 * long[c] for c in cases)
+    odd = [(float("inf"), 3), (float("nan"), 3), (None, 3), (1.0, 0), (1e9, 4)]
+    assert [r.p for r in spark.createDataFrame(odd, "t double, n long").select(special.t_two_sided(F.col("t"), F.col("n")).alias("p")).collect()] == [None] * 5
+
+
+def test_pairs_are_counted_in_as_many_parts_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART_PAIRS", 20)
+    df = spark.createDataFrame([(g, (g * 7 + k) % 23) for g in range(40) for k in range(6)], "g long, i long")
+    got = joins.together(df, "g", "i", 2)
+    assert got.rdd.getNumPartitions() == 40 * 15 // 20
+    sets = [{(g * 7 + k) % 23 for k in range(6)} for g in range(40)]
+    want = {(a, b): sum(a in s and b in s for s in sets) for a in range(23) for b in range(a + 1, 23)}
+    assert {(r.a, r.b): r.n for r in got.collect()} == {p: n for p, n in want.items() if n >= 2}
