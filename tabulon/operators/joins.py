@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,16 +165,26 @@ def cited_paths(nodes: DataFrame, edges: DataFrame, path: str = "path", position
     return out.withColumn("problem", problem).select(path, "nodes", "problem", F.when(F.col("problem").isNull(), shown).alias("shown"))
 
 
+PART_PAIRS = 2_000_000  # pairs of items that one task counts
+
+
 def together(df: DataFrame, group: str, item: str, least: int = 1, block: int = 1000) -> DataFrame:
     """(a, b, n): groups in which two items occur together.
 
-    A group of more than about `block` items is dealt into blocks, and each pair of blocks is a join key of its own; the
-    pairs are counted where they arise before they are shuffled.
+    A group of more than about `block` items is dealt into blocks, and each pair of blocks is a join key of its own.  The
+    pairs to come are added up beforehand, and as many parts are made that none has more than about PART_PAIRS: neither the
+    join's nor the counting's tasks grow with the table.
     """
-    one = df.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g is not null and i is not null").distinct()
-    size = one.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = one.join(size, "g").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = df.select(F.col(group).alias("g"), F.col(item).alias("i")).filter("g is not null and i is not null")
+    one = one.repartition(max(width, math.ceil(one.count() / PART_PAIRS)), "g").distinct()
+    size = one.groupBy("g").agg(F.count("*").alias("n"))
+    expected = size.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    parts = max(width, math.ceil(expected / PART_PAIRS))
+    dealt = one.join(size.select("g", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "g").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
     a = dealt.select("g", F.col("own").alias("p"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("q"), F.col("i").alias("x"))
     b = dealt.select("g", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"), F.col("own").alias("q"), F.col("i").alias("y"))
+    a, b = (d.repartition(parts, "g", "p", "q") for d in (a, b))
     pairs = a.join(b, ["g", "p", "q"]).filter("p < q or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = pairs.repartition(parts, "a", "b")  # before they are counted: a task's table of distinct pairs would grow with its input
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
