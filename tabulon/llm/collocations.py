@@ -35,7 +35,7 @@ from tabulon.llm.shared import shuffle_width, slices, stored, tidy
 
 LEAST, LONGEST, TOP, PART_OF = 30, 4, 2000, 80
 CHUNK_BYTES = 3_000_000  # text that a task looks at in one go (one text at least)
-CHUNK_WORDS = 400_000  # words whose polynomials are held at once
+CHUNK_WORDS = 100_000  # words whose polynomials are held at once
 SUM_ROWS = 3_000_000  # numbers a task adds up before it hands them on
 MAP_BITS = 1 << 30
 _SPLIT = np.isin(np.arange(256), [*b".,;:!?", *range(10, 14)])
@@ -49,16 +49,18 @@ class Words:
 
     def __init__(self, texts: pa.Array):
         raw, offsets = wordhash.buffers(texts)
-        start, end, per_text = wordhash.runs(~_BETWEEN[raw], offsets)
         kept = ~_BETWEEN[raw]
-        cuts = np.concatenate([[0], np.cumsum(_SPLIT[raw])])
+        start, end, per_text = wordhash.runs(kept, offsets)
+        cuts = np.concatenate([np.zeros(1, np.int32), np.cumsum(_SPLIT[raw], dtype=np.int32)])
         self.text = np.repeat(np.arange(len(texts)), per_text)
         self.piece = cuts[start] + self.text  # another text is another piece
         size = end - start
         self.end = np.cumsum(size + 1) - 1
         self.start = self.end - size
-        self.raw = np.full(len(raw[kept]) + len(size), 32, np.uint8)
-        self.raw[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = _LOWER[raw[kept]]
+        letters = np.ones(int(size.sum()) + len(size), bool)
+        letters[self.end] = False
+        self.raw = np.full(len(letters), 32, np.uint8)
+        self.raw[letters] = _LOWER[raw[kept]]
 
     def __len__(self) -> int:
         return len(self.start)
@@ -128,7 +130,9 @@ def _sums(longer: bool, bitmap):
         held, n_held = [], 0
 
         def batch():
-            number = np.sort(np.concatenate(held))
+            number = np.concatenate(held)
+            held.clear()
+            number.sort()
             at = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
             return pa.RecordBatch.from_arrays([pa.array(number[at].view(np.int64)), pa.array(np.diff(np.append(at, len(number))))], names=["number", "a"])
 
@@ -138,7 +142,6 @@ def _sums(longer: bool, bitmap):
                 n_held += len(number)
                 if n_held > SUM_ROWS:
                     yield batch()
-                    held.clear()
                     n_held = 0
         if n_held:
             yield batch()
@@ -158,10 +161,15 @@ def _phrases(bitmap):
 
             total = np.bincount(code, minlength=len(coded.dictionary))
             yield rows(0, np.arange(len(total)), total, pa.array([""] * len(total)))
+            found = {n: ([], []) for n in range(1, LONGEST + 1)}
             for hi, runs in fingerprints(words, _languages(langs)):
                 for n, (first, number) in runs.items():
                     keep = _in_map(bitmap.value, number) & (first < hi)
-                    first, number = first[keep], number[keep]
+                    found[n][0].append(first[keep])
+                    found[n][1].append(number[keep])
+            for n, (first, number) in found.items():
+                if first:
+                    first, number = np.concatenate(first), np.concatenate(number)
                     a, z, own = words.start[first], words.end[first + n - 1], code[first]
                     head = wordhash.exact_groups(number, lambda i, j, a=a, z=z, own=own: _equal(words.raw, a, z, own, i, j))
                     at, count = np.unique(head, return_counts=True)

@@ -107,3 +107,17 @@ def test_scores_pass_64_bits(spark):
     finally:
         co.frequent_phrases = real
     assert got == [("en", 1, "x y", big // 4, big, big // 2, big, 2000000 * (big // 4) // (big + big // 2))]
+
+
+def test_a_part_hands_on_each_phrase_once_however_small_its_chunks(monkeypatch):
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(co, "CHUNK_WORDS", 7)
+    every = types.SimpleNamespace(value=np.full(16, np.uint64(2**64 - 1)))
+    texts = pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["a b c " * 40]})
+    rows = [tuple(r.values()) for b in co._phrases(every)([texts]) for r in b.to_pylist()]
+    assert len(rows) == len({r[:3] for r in rows}) == 1 + 4 * 3
+    assert ("en", 1, "a", 40) in rows and ("en", 2, "c a", 39) in rows and ("en", 4, "a b c a", 39) in rows
