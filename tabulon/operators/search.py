@@ -185,8 +185,8 @@ def _best_of_blocks(k: int):
             rows = rows.sort_by("id")
             x, found = unit(rows).T, []
             own = unit(asked)
-            for lo in range(0, len(own), 200):
-                scores = np.round(own[lo : lo + 200] @ x, 9)
+            for lo in range(0, len(own), 20):
+                scores = np.round(own[lo : lo + 20] @ x, 9)
                 keep = min(k + 1, scores.shape[1])  # one more: the query itself may be among them
                 edge = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
                 i, j = np.nonzero(scores >= edge)

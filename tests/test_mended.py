@@ -250,3 +250,20 @@ def test_pairs_are_counted_in_as_many_parts_as_they_need(spark, monkeypatch):
     sets = [{(g * 7 + k) % 23 for k in range(6)} for g in range(40)]
     want = {(a, b): sum(a in s and b in s for s in sets) for a in range(23) for b in range(a + 1, 23)}
     assert {(r.a, r.b): r.n for r in got.collect()} == {p: n for p, n in want.items() if n >= 2}
+
+
+def test_nearest_rows_of_a_block_are_scored_a_few_queries_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def block(n: int) -> pa.Table:
+        x = np.random.default_rng(n).standard_normal(8 * n)
+        return pa.table({"id": pa.array(range(n), pa.int64()), "v": pa.ListArray.from_arrays(pa.array(range(0, 8 * n + 1, 8), pa.int32()), pa.array(x))})
+
+    asked, rows = block(400), block(20_000)
+    tracemalloc.start()
+    found = search._best_of_blocks(3)(asked, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows >= 3 * 400 and peak < 30_000_000
