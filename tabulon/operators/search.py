@@ -127,9 +127,56 @@ def query_problem(c: Column | str, longest: int = 2000) -> Column:
 
 
 def inverted_index(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(term, id, tf, first): one row per term and document."""
+    """(term, id, tf, first): one row per term and document.  Rows of one id, where there are such, count as one document."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return df.select(F.col(id_col).alias("id"), F.posexplode(words).alias("pos", "term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
+    found = postings(df, id_col, words, "tf", "first")
+    if df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return found
+    return found.groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.min("first").alias("first"))
+
+
+POSTING_WORDS = 500_000  # words that a worker groups at a time, or one text's
+_POSTING = {"tf": "long", "first": "int", "positions": "array<int>"}
+
+
+def postings(df: DataFrame, id_col: str, words: Column, *wanted: str) -> DataFrame:
+    """(term, id, and what is wanted of tf, first and positions): one row per row of df and distinct word in it.  Every
+    text is grouped where it lies, so nothing is shuffled."""
+    kind = df.schema[id_col].dataType.simpleString()
+    schema = ", ".join(["term string", f"id {kind}", *(f"{w} {_POSTING[w]}" for w in wanted)])
+    return df.select(F.col(id_col).alias("id"), words.alias("words")).mapInArrow(_grouped_words(wanted), schema)
+
+
+def _grouped_words(wanted: tuple[str, ...]):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def group(ids: pa.Array, lists: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+        coded = lists.flatten().dictionary_encode()
+        code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        place = np.arange(len(code), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+        order = np.argsort(code.astype(np.uint16) if len(coded.dictionary) <= 1 << 16 else code, kind="stable")  # rows and places stay in order
+        code, row, place = code[order], row[order], place[order]
+        start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])][: len(code)])
+        out = {"term": coded.dictionary.take(pa.array(code[start])), "id": ids.take(pa.array(row[start]))}
+        for w in wanted:
+            if w == "positions":
+                out[w] = pa.ListArray.from_arrays(pa.array(np.r_[start, len(place)], pa.int32()), pa.array(place))
+            else:
+                out[w] = pa.array(np.diff(np.r_[start, len(place)]) if w == "tf" else place[start])
+        return pa.RecordBatch.from_pydict(out)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            part = (np.cumsum(size) - size) // POSTING_WORDS
+            edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(size) else []
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                yield group(batch.column("id").slice(lo, hi - lo), lists.slice(lo, hi - lo), size[lo:hi])
+
+    return run
 
 
 def tiered(df: DataFrame, title: str, body: str, q: str, ordinal: str) -> DataFrame:
