@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,12 +101,20 @@ CLAUSE_END = r"(?:[.;:]\s+|\)\s+|\n)"
 LABEL_WORDS, SNIPPET_CHARS = 12, 200
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: inside a lambda Spark works an expression out again wherever it stands."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _label(clause: Column) -> Column:
     """What a date is for: the clause before it without lead-ins, its last words; null if nothing is left."""
     s = F.trim(F.regexp_replace(squeezed(clause), "[,;:]+$", ""))
     s = F.aggregate(F.sequence(F.lit(1), F.lit(4)), s, lambda acc, _: F.trim(F.regexp_replace(acc, LEAD_IN, "")))
-    words = F.split(s, " ")
-    return F.when(s != "", F.when(F.size(words) > LABEL_WORDS, F.concat(F.lit("… "), F.array_join(F.slice(words, -LABEL_WORDS, LABEL_WORDS), " "))).otherwise(s))
+
+    def last_words(words: Column) -> Column:
+        return F.when(F.size(words) > LABEL_WORDS, F.concat(F.lit("… "), F.array_join(F.slice(words, -LABEL_WORDS, LABEL_WORDS), " "))).otherwise(F.array_join(words, " "))
+
+    return _once(s, lambda s: F.when(s != "", _once(F.split(s, " "), last_words)))
 
 
 def docket_dates(c: Column | str) -> Column:
@@ -113,38 +123,44 @@ def docket_dates(c: Column | str) -> Column:
     A date that directly goes on with "is vacated" is taken back, and only that one.  Its label is what its clause says
     before it; a further date in one clause is for the same thing.  Impossible days are left out.
     """
-    marked = F.split(F.regexp_replace(F.regexp_replace(_col(c), "[\x01\x02]", ""), DATE_SETTING, "\x01$0\x02"), "\x01")
-    parts = F.transform(F.slice(marked, 2, F.size(marked)), lambda p: F.struct(F.substring_index(p, "\x02", 1).alias("m"), F.substring_index(p, "\x02", -1).alias("rest")))
-    numbered = F.transform(parts, lambda p, k: F.struct(p["m"].alias("m"), p["rest"].alias("rest"), F.translate(F.array_join(F.slice(marked, k + 2, F.size(marked)), ""), "\x02", "").alias("onward")))
-
-    def one(p: Column, label: Column, clause: Column) -> Column:
-        part = [F.regexp_extract(p["m"], DATE_SETTING, k) for k in range(1, 6)]
-        year = part[3].cast("int")
-        day = F.when(year.between(1900, 2100), F.try_to_date(F.concat_ws("/", *part[1:4]), "M/d/yyyy"))
-        said = F.concat(clause, p["onward"])
-        ended = F.regexp_extract(said, r"(?s)^(.*?)\.\s+[A-Z(]", 1)
-        snippet = F.substring(squeezed(F.when(said.rlike(r"\.\s+[A-Z(]"), ended).otherwise(said)), 1, SNIPPET_CHARS)
-        return F.struct(day.alias("date"), F.concat_ws("/", *part[1:4]).alias("printed"), F.regexp_replace(F.lower(part[0]), r"\s+", " ").alias("phrase"), label.alias("label"), F.nullif(squeezed(part[4]), F.lit("")).alias("time"), p["rest"].rlike(VACATED).alias("vacated"), snippet.alias("snippet"))
 
     def clause_of(text: Column) -> Column:
         return F.regexp_replace(text, f"(?s)^.*{CLAUSE_END}", "")
 
-    none = F.filter(F.transform(numbered, lambda p: one(p, F.lit(None).cast("string"), F.lit(""))), lambda _: F.lit(False))
-    start = F.struct(clause_of(F.element_at(marked, 1)).alias("clause"), F.lit(False).alias("same"), F.lit(None).cast("string").alias("label"), none.alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        found = one(p, F.when(acc["same"], acc["label"]).otherwise(_label(acc["clause"])), acc["clause"])
-        real = found["date"].isNotNull()
-        onward = F.concat(p["m"], p["rest"])
-        ends = onward.rlike(CLAUSE_END)
-        return F.struct(
-            F.when(ends, clause_of(onward)).otherwise(F.concat(acc["clause"], onward)).alias("clause"),
-            (~ends & (real | acc["same"])).alias("same"),
-            F.when(real, found["label"]).otherwise(acc["label"]).alias("label"),
-            F.when(real, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.when(_col(c).isNotNull(), F.aggregate(numbered, start, step, lambda acc: acc["out"]))
+    def fact(p: Column, onward: Column) -> Column:
+        """What a date's own match says: p is the match, its five groups, and the text up to the next one."""
+        day = F.when(p[4].cast("int").between(1900, 2100), F.try_to_date(F.concat_ws("/", p[2], p[3], p[4]), "M/d/yyyy"))
+        text = F.concat(p[0], p[6])
+        return F.struct(day.alias("date"), F.concat_ws("/", p[2], p[3], p[4]).alias("printed"), F.regexp_replace(F.lower(p[1]), r"\s+", " ").alias("phrase"), F.nullif(squeezed(p[5]), F.lit("")).alias("time"), p[6].rlike(VACATED).alias("vacated"), text.alias("text"), text.rlike(CLAUSE_END).alias("ends"), onward.alias("onward"))
+
+    def facts(parts: Column) -> Column:
+        onward = lambda k: F.array_join(F.transform(F.slice(parts, k + 1, F.size(parts)), lambda q: F.concat(q[0], q[6])), "")
+        return F.transform(parts, lambda p, k: fact(p, onward(k)))
+
+    def step(acc: Column, f: Column) -> Column:
+        real = f["date"].isNotNull()
+
+        def told(label: Column) -> Column:
+            snippet = F.substring(squeezed(F.regexp_replace(F.concat(acc["clause"], f["onward"]), r"(?s)\.\s+[A-Z(].*$", "")), 1, SNIPPET_CHARS)
+            found = F.struct(f["date"].alias("date"), f["printed"].alias("printed"), f["phrase"].alias("phrase"), label.alias("label"), f["time"].alias("time"), f["vacated"].alias("vacated"), snippet.alias("snippet"))
+            return F.struct(
+                F.when(f["ends"], clause_of(f["text"])).otherwise(F.concat(acc["clause"], f["text"])).alias("clause"),
+                (~f["ends"] & (real | acc["same"])).alias("same"),
+                F.when(real, label).otherwise(acc["label"]).alias("label"),
+                F.when(real, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
+            )
+
+        return _once(F.when(real & acc["same"], acc["label"]).when(real, _label(acc["clause"])), told)
+
+    def dates(marked: Column) -> Column:
+        none = F.array().cast("array<struct<date:date,printed:string,phrase:string,label:string,time:string,vacated:boolean,snippet:string>>")
+        start = F.struct(clause_of(marked[0]).alias("clause"), F.lit(False).alias("same"), F.lit(None).cast("string").alias("label"), none.alias("out"))
+        parts = F.transform(F.slice(marked, 2, F.size(marked)), lambda p: F.split(p, "\x02"))
+        return F.aggregate(_once(parts, facts), start, step, lambda acc: acc["out"])
+
+    groups = "".join(f"\x02${k}" for k in range(1, 6))
+    marked = F.split(F.regexp_replace(F.regexp_replace(_col(c), "[\x01\x02]", ""), DATE_SETTING, f"\x01$0{groups}\x02"), "\x01")
+    return _once(marked, lambda m: F.when(m.isNotNull(), dates(m)))
 
 
 def backed_sentences(summary: Column | str, source: Column | str) -> Column:

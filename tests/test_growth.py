@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+from tabulon.functions import text
 from tabulon.operators import search, text_index
 
 TEXTS = [(1, "The court of the Appeals"), (2, None), (3, ""), (4, " x1—The-x1\nx1 "), (5, "of " * 700), (None, "The end"), (6, "..."), (7, "éclair, Éclair")]
@@ -35,3 +36,10 @@ def test_ranges_of_an_index_follow_its_words(spark, monkeypatch, tmp_path):
     assert len(held) > 30 and held == {k: (min(r.term for r in rows if r.range == k), max(r.term for r in rows if r.range == k)) for k in {r.range for r in rows}}
     want = {(w, i): [k for k, x in enumerate(words(t)) if x == w] for i, t in docs for w in set(words(t))}
     assert {(r.term, r.id): r.positions for r in rows} == want and all(r.tf == len(r.positions) for r in rows) and len(rows) == len(want)
+
+
+def test_docket_dates_match_an_entry_once(spark):
+    df = spark.createDataFrame([("Hearing set for 1/5/2027, Jury Trial set for 2/8/2027 at 9:30 is vacated. And more",)], "e string").select(text.docket_dates("e").alias("d"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"due\s+by") == 1 and plan.count("VACATED") == 1 and plan.count("Please") == 1
+    assert [(d.label, str(d.date), d.time, d.vacated) for d in df.first().d] == [("Hearing", "2027-01-05", None, False), ("Hearing", "2027-02-08", "9:30", True)]
