@@ -220,18 +220,20 @@ class PassageState:
         """((key, body) to embed, (key) to delete, records cut): against the newest generation, which the night's replaces."""
         held, number = self.held(), len(self._generations())
         now = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
-        known = held.select("id", "digest").distinct()
-        marks = stored(now.select("id", "digest").unionByName(known.select("id", "digest")).distinct().join(known.withColumn("was", F.lit(True)), ["id", "digest"], "left").join(now.select("id", "digest").withColumn("here", F.lit(True)), ["id", "digest"], "left"), "marks")
-        fresh = now.join(marks.filter("was is null").select("id", "digest"), ["id", "digest"], "left_semi")
+        seen = held.select("id", "digest", F.lit(True).alias("was"), F.lit(None).cast("boolean").alias("here"))
+        offered = now.select("id", "digest", F.lit(None).cast("boolean").alias("was"), F.lit(True).alias("here"))
+        marks = stored(offered.unionByName(seen).groupBy("id", "digest").agg(F.max("was").alias("was"), F.max("here").alias("here")), "marks")
+        news = marks.filter("was is null").select("id", "digest")
+        fresh = now.join(news, ["id", "digest"], "left_semi")
         pieces = stored(self.cut(fresh.select("id", "text")).select("id", "chunk_no", "body").withColumn("key", key(F.col("body"))), "pieces")
-        rows = pieces.join(fresh.select("id", "digest"), "id").select("id", "digest", F.col("chunk_no").cast("int").alias("chunk_no"), "key")
-        empty = fresh.join(pieces.select("id").distinct(), "id", "left_anti").select("id", "digest", F.lit(-1).alias("chunk_no"), F.lit(None).cast("string").alias("key"))  # known, without passages
+        rows = pieces.join(news, "id").select("id", "digest", F.col("chunk_no").cast("int").alias("chunk_no"), "key")
+        empty = news.filter("id is not null").join(pieces.select("id"), "id", "left_anti").select("id", "digest", F.lit(-1).alias("chunk_no"), F.lit(None).cast("string").alias("key"))  # known, without passages
         same = held.join(marks.filter("was and here").select("id", "digest"), ["id", "digest"], "left_semi")
         same.select("id", "digest", "chunk_no", "key").unionByName(rows).unionByName(empty).write.mode("overwrite").parquet(f"{self.root}/g={number:06}")
         after = self.held().filter("key is not null").select("key").distinct()
         before = held.filter("key is not null").select("key").distinct()
         send = pieces.groupBy("key").agg(F.min("body").alias("body")).join(before, "key", "left_anti")
-        return send, before.join(after, "key", "left_anti"), marks.filter("was is null").count()
+        return send, before.join(after, "key", "left_anti"), news.count()
 
 
 def change_events(df: DataFrame, id_col: str, version: str, fields: list[str]) -> DataFrame:

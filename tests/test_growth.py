@@ -5,6 +5,7 @@ from collections import Counter
 
 from tabulon.functions import text
 from tabulon.operators import search, text_index
+from tabulon.streaming import cdc
 
 TEXTS = [(1, "The court of the Appeals"), (2, None), (3, ""), (4, " x1—The-x1\nx1 "), (5, "of " * 700), (None, "The end"), (6, "..."), (7, "éclair, Éclair")]
 
@@ -43,3 +44,14 @@ def test_docket_dates_match_an_entry_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"due\s+by") == 1 and plan.count("VACATED") == 1 and plan.count("Please") == 1
     assert [(d.label, str(d.date), d.time, d.vacated) for d in df.first().d] == [("Hearing", "2027-01-05", None, False), ("Hearing", "2027-02-08", "9:30", True)]
+
+
+def test_a_night_marks_records_in_one_grouping(spark, monkeypatch, tmp_path):
+    seen, stored = {}, cdc.stored
+    monkeypatch.setattr(cdc, "stored", lambda df, name: stored(seen.setdefault(name, df), name))
+    state = cdc.PassageState(spark, str(tmp_path / "s"), lambda d: d.selectExpr("id", "posexplode(split(text, ' ')) AS (chunk_no, body)").filter("body <> ''"))
+    for docs, cut, sent, gone in (([(1, "a b"), (2, None), (None, "z")], 3, "ab", ""), ([(1, "a b"), (2, "c a"), (3, "")], 2, "c", ""), ([(2, "c a")], 0, "", "b")):
+        send, drop, n = state.refresh(spark.createDataFrame(docs, "id long, text string"), "id", "text", lambda body: body)
+        assert (n, sorted(r.key for r in send.collect()), sorted(r.key for r in drop.collect())) == (cut, list(sent), list(gone))
+        assert "Join" not in seen.pop("marks")._jdf.queryExecution().optimizedPlan().toString() and seen.pop("pieces")
+    assert {(r.id, r.chunk_no, r.key) for r in state.held().collect()} == {(2, 0, "c"), (2, 1, "a")}
